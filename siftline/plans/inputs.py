@@ -1,0 +1,85 @@
+"""Inputs of the registered queries: the given tables and files Spark writes from them."""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from siftline.functions.text import split_lines
+from siftline.model import RECORD_COLUMNS
+from siftline.operators.library import LIBRARY
+from siftline.operators.patterns import Pattern, select_patterns
+from siftline.operators.scan import scan
+from siftline.session import configure, shared_folder
+from siftline.sources.tables import lines_of, read_table_records
+
+# Patterns of the queries' own, besides the library.
+WORDS = Pattern("words", r"\b(token|password|auth|import|func|package|var|const|class|AKIA)\b ?[A-Za-z]*")
+TITLES = Pattern("titles", r"([A-Z][a-z]+ )+[A-Z][a-z]+")
+DIGITS = Pattern("digits", r"[0-9]+")
+
+
+def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    configure(spark)
+    return spark.read.parquet(f"{folder}/{name}.parquet")
+
+
+def library(names: str) -> list[Pattern]:
+    return select_patterns(LIBRARY, names)
+
+
+def documents(spark: SparkSession, folder: str) -> DataFrame:
+    """Records of documents, whole texts, with ``doc_id``."""
+    return read_table_records(table(spark, folder, "documents"), "doc_id", ["text"], "documents", keep=["doc_id"])
+
+
+def pages(spark: SparkSession, folder: str, *targets: str) -> DataFrame:
+    return read_table_records(table(spark, folder, "pages"), "page_id", targets, "pages", keep=["page_id"])
+
+
+def turns(spark: SparkSession, folder: str, *targets: str) -> DataFrame:
+    talk = table(spark, folder, "conversations").withColumn("turn_id", F.concat_ws("-", "conv_id", "turn"))
+    return read_table_records(talk, "turn_id", targets, "conversations", keep=["conv_id", "turn"])
+
+
+def document_lines(spark: SparkSession, folder: str) -> DataFrame:
+    """Records of the lines of documents."""
+    return lines_of(documents(spark, folder))
+
+
+def document_findings(spark: SparkSession, folder: str, names: str = "ip,http-auth,strings") -> DataFrame:
+    return scan(documents(spark, folder), library(names))
+
+
+def new_folder(spark: SparkSession) -> str:
+    """A folder name not used before, where all executors can reach it."""
+    return f"{shared_folder(spark)}/run-{uuid.uuid4().hex}"
+
+
+def event_lines(spark: SparkSession, folder: str) -> DataFrame:
+    """Events as JSON lines with a nested object, as (value, file, line, event_id)."""
+    line = F.to_json(F.struct(
+        "event_id", "event_type", F.struct("user_id", F.col("props").alias("props")).alias("meta"),
+        F.array("event_type", F.col("user_id").cast("string")).alias("marks"),
+    ))
+    return table(spark, folder, "events").select(
+        line.alias("value"), F.lit("events").alias("file"), F.col("event_id").alias("line"), "event_id"
+    )
+
+
+def written_lines(spark: SparkSession, folder: str) -> str:
+    """Documents written as text files, one ``doc_id TAB line`` per line, documents in order."""
+    lines = table(spark, folder, "documents").select(
+        "doc_id", F.posexplode(split_lines(F.col("text"))).alias("at", "value")
+    )
+    target = new_folder(spark)
+    lines.repartitionByRange(8, "doc_id").sortWithinPartitions("doc_id", "at").select(
+        F.concat_ws("\t", "doc_id", "value").alias("value")
+    ).write.text(target)
+    return target
+
+
+def plain(findings: DataFrame, *columns: str) -> DataFrame:
+    """Findings without record columns."""
+    return findings.drop(*[name for name in RECORD_COLUMNS if name != "content"], "ext", "tool_data").select(*columns)
