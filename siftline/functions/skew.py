@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 #: Default number of parts a key is spread over.  AQE splits what is still too large.
 SALTS = 16
@@ -31,10 +31,17 @@ def salted_left_join(
     return salted.join(copies, [*on, "_salt"], "left").drop("_salt")
 
 
-def fits_broadcast(table: DataFrame, max_rows: int, max_bytes: int = BROADCAST_BYTES) -> bool:
-    """Whether a table of text columns is small, by one aggregate over it."""
+def measure(
+    table: DataFrame, max_rows: int, *more: Column, max_bytes: int = BROADCAST_BYTES
+) -> tuple[bool, tuple]:
+    """Whether a table is small enough to broadcast, and other aggregates, in one pass over it."""
     size = F.lit(0).cast("bigint")
     for name in table.columns:
         size = size + F.coalesce(F.octet_length(F.col(name).cast("string")), F.lit(0))
-    measured = table.agg(F.count(F.lit(1)).alias("rows"), F.sum(size).alias("bytes")).first()
-    return measured["rows"] <= max_rows and (measured["bytes"] or 0) <= max_bytes
+    rows, held, *others = table.agg(F.count(F.lit(1)), F.sum(size), *more).first()
+    return rows <= max_rows and (held or 0) <= max_bytes, tuple(others)
+
+
+def fits_broadcast(table: DataFrame, max_rows: int, max_bytes: int = BROADCAST_BYTES) -> bool:
+    """Whether a table is small enough to broadcast, by one aggregate over it."""
+    return measure(table, max_rows, max_bytes=max_bytes)[0]

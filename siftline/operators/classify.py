@@ -17,6 +17,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from siftline.functions.skew import SALTS, fits_broadcast, salted_left_join
+from siftline.session import stored
 
 HIGH, LOW = "high-interest", "low-interest"
 DEFAULT_SMOOTHING = 1.1
@@ -91,7 +92,8 @@ def fit_text_classifier(
 ) -> TextModel:
     """Fit a model to rows of (text, label).
 
-    Token counts are summed before the shuffle; only the totals per class come to the driver.
+    Token counts are summed before the shuffle and stored in the shared folder; only the totals
+    per class come to the driver.
     """
     rows = training.select(F.col(text).alias("text"), F.col(label).cast("string").alias("label")).filter(
         F.col("text").isNotNull() & F.col("label").isNotNull()
@@ -105,10 +107,10 @@ def fit_text_classifier(
     counts = rows.select("label", F.explode(tokens(F.col("text"), ngram)).alias("token")).groupBy("token").agg(*[
         F.sum(F.when(F.col("label") == name, 1).otherwise(0)).alias(f"n{index}") for index, name in enumerate(labels)
     ])
-    vocabulary = counts.count()
-    gains = counts.select("token", F.array(*[
+    gains = stored(counts.select("token", F.array(*[
         F.log((F.col(f"n{index}") + F.lit(smoothing)) / F.lit(smoothing)) for index in range(len(labels))
-    ]).alias("gains"))
+    ]).alias("gains")))
+    vocabulary = gains.count()
     texts = sum(row["texts"] for row in totals)
     return TextModel(
         labels=tuple(labels),

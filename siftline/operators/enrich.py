@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from siftline.functions import decode
 from siftline.functions.regex import PatternError, translate
-from siftline.functions.skew import SALTS, fits_broadcast, salted_left_join
+from siftline.functions.skew import SALTS, fits_broadcast, measure, salted_left_join
 from siftline.functions.template import main_match, render, tool_value
 from siftline.functions.text import trim_space
 from siftline.model import TOOL_OUTPUT
@@ -130,11 +130,10 @@ def enrich_by_lookup(
     key = step.key_of(extracted) if step.key_of else extracted
     keyed = findings.withColumn("_key", key)
     table = step.table.select(F.col(step.key).cast("string").alias("_key"), F.col(step.value).cast("string").alias("_found"))
-    small = fits_broadcast(table, broadcast_rows)
     if step.cidr:
-        table = address_table(keyed, table, small)
-        small = False
+        table, small = address_table(keyed, table, broadcast_rows), False
     else:
+        small = fits_broadcast(table, broadcast_rows)
         table = table.groupBy("_key").agg(F.min("_found").alias("_found"))
     if small:
         joined = keyed.join(F.broadcast(table), "_key", "left")
@@ -156,7 +155,7 @@ def address_number(address: Column) -> Column:
     return F.when(quad & valid, number)
 
 
-def address_table(findings: DataFrame, networks: DataFrame, small: bool) -> DataFrame:
+def address_table(findings: DataFrame, networks: DataFrame, broadcast_rows: int) -> DataFrame:
     """(_key, _found) for every distinct address: the value of the longest network holding it.
 
     Every address meets one network per prefix length in use (at most 33), as an equi-join on
@@ -169,7 +168,8 @@ def address_table(findings: DataFrame, networks: DataFrame, small: bool) -> Data
     ).filter("_base is not null and _size between 0 and 32")
     network = network.withColumn("_net", _prefix(F.col("_base"), F.col("_size")))
     network = network.groupBy("_size", "_net").agg(F.min("_found").alias("_found"))
-    sizes = [row["_size"] for row in network.select("_size").distinct().collect()]
+    # One pass: how large the table is, and the prefix lengths in it.
+    small, (sizes,) = measure(network, broadcast_rows, F.collect_set("_size"))
     addresses = findings.select("_key", address_number(F.col("_key")).alias("_base")).filter("_base is not null")
     probes = addresses.dropDuplicates().withColumn(
         "_size", F.explode(F.array(*[F.lit(size) for size in sizes]).cast("array<int>"))

@@ -22,14 +22,18 @@ LIBRARY: list[Pattern] = [
         tags=["encoding"],
         needs=["eyJ", "YTo", "Tzo", "PD", "aHR0c", "rO0"],
     ),
-    pattern("cors", ["Access-Control-Allow"], flags="-HnriE", needs=["-control-allow"]),
+    pattern("cors", ["Access-Control-Allow"], flags="-HnriE"),
     pattern(
         "debug-pages",
         r"""(Application-Trace|Routing Error|DEBUG"? ?[=:] ?True|Caused by:|stack trace:|Microsoft .NET Framework"""
         r"""|Traceback|[0-9]:in `|#!/us|WebApplicationException|java\.lang\.|phpinfo|swaggerUi|on line [0-9]|SQLSTATE)""",
         flags="-HnraiE",
+        needs=[
+            "application-trace", "routing error", "debug", "caused by:", "stack trace:", "microsoft ", "traceback",
+            ":in `", "#!/us", "webapplicationexception", "java.lang.", "phpinfo", "swaggerui", "on line ", "sqlstate",
+        ],
     ),
-    pattern("firebase", r"firebaseio.com", flags="-Hnri", tags=["cloud", "database"], needs=["fireba"]),
+    pattern("firebase", r"firebaseio.com", flags="-Hnri", tags=["cloud", "database"]),
     pattern(
         "fw",
         [
@@ -40,7 +44,7 @@ LIBRARY: list[Pattern] = [
         ],
         flags="-HnriE",
     ),
-    pattern("go-functions", r"func [a-z0-9_]+\(", flags="-HnriE", needs=["func "]),
+    pattern("go-functions", r"func [a-z0-9_]+\(", flags="-HnriE"),
     pattern("http-auth", r"[a-z0-9_/\.:-]+@[a-z0-9-]+\.[a-z0-9.-]+", flags="-hrioaE", needs=["@"]),
     pattern(
         "ip",
@@ -70,6 +74,10 @@ LIBRARY: list[Pattern] = [
         ],
         flags="-HnriE",
         tags=["debug", "error"],
+        needs=[
+            "php", "fatal error", "uncaught exception", "include_path", "undefined ", "<?", "stack trace:",
+            "expects parameter ", "debug trace",
+        ],
     ),
     pattern("php-serialized", ["a:[0-9]+:{", 'O:[0-9]+:"', 's:[0-9]+:"'], flags="-HnrE", needs=["a:", "O:", "s:"]),
     pattern(
@@ -96,15 +104,19 @@ LIBRARY: list[Pattern] = [
         ],
         flags="-hrioaE",
         tags=["cloud", "storage"],
-        needs=[".amazonaw", "3-web"],
+        needs=[".amazonaws.com", ".s3-website", "//s3"],
     ),
     pattern(
         "sec",
         r"(aws_access|aws_secret|api[_-]?key|ListBucketResult|S3_ACCESS_KEY|Authorization:|RSA PRIVATE|Index of|aws_"
         r"|secret|ssh-rsa AA)",
         flags="-HanriE",
+        needs=[
+            "aws_", "api", "listbucketresult", "s3_access_key", "authorization:", "rsa private", "index of", "secret",
+            "ssh-rsa aa",
+        ],
     ),
-    pattern("servers", r"server: ", flags="-hri", needs=["erver: "]),
+    pattern("servers", r"server: ", flags="-hri"),
     pattern("strings", [r'"[^"]+"', r"'[^']+'"], flags="-hroiaE", needs=['"', "'"]),
     pattern(
         "takeovers",

@@ -3,13 +3,17 @@
 from __future__ import annotations
 
 import logging
+import re
 from collections.abc import Iterable
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from siftline.functions.regex import PatternError, Regex, translate
 
+#: Shorter literals are too common to be worth a test.
+MIN_LITERAL = 3
+
 log = logging.getLogger(__name__)
 
 #: Layout of a pattern definition file.
@@ -28,8 +32,7 @@ class Pattern:
     """A named pattern in RE2 syntax.
 
     ``needs`` lists literals of which every match contains at least one.  It only saves work:
-    a text with none of them is not searched.  Under ``ignore_case`` the literals are lower case
-    and hold neither ``k`` nor ``s``, the two letters that also fold to non-ASCII characters.
+    a text with none of them is not searched.  Under ``ignore_case`` they are lower-case ASCII.
     """
 
     name: str
@@ -41,8 +44,8 @@ class Pattern:
     def __post_init__(self):
         if self.ignore_case:
             for literal in self.needs:
-                if literal != literal.lower() or set(literal) & set("ks") or not literal.isascii():
-                    raise ValueError(f"{self.name}: literal {literal!r} cannot guard a folded match")
+                if literal != literal.lower() or not literal.isascii():
+                    raise ValueError(f"{self.name}: literal {literal!r} must be lower-case ASCII")
 
     def effective(self) -> str:
         """The regex with the ignore-case flag written into it."""
@@ -51,27 +54,44 @@ class Pattern:
         return self.regex
 
 
-def join_alternatives(pattern: str, patterns: Iterable[str]) -> str:
-    """One regex out of a definition: ``pattern`` wins, else the alternatives joined by ``|``."""
-    return pattern or "|".join(patterns)
+def leading_literal(regex: str) -> str:
+    """The longest run of plain characters before the first group, class or escape.
+
+    Every match holds it.  A character made optional by ``?`` or ``*`` is not part of a run, and
+    a regex with ``|`` or ``{`` has none.
+    """
+    if "|" in regex or "{" in regex:
+        return ""
+    head = re.split(r"[\[(\\]", regex)[0]
+    return max(re.split(r"[.^$]|\+\??|.[?*]\??", head), key=len)
+
+
+def literals_of(alternatives: Iterable[str], ignore_case: bool) -> tuple[str, ...]:
+    """One literal per alternative, or nothing if some alternative has none of at least 3 letters."""
+    found = [leading_literal(item) for item in alternatives]
+    if any(len(literal) < MIN_LITERAL or not literal.isascii() for literal in found):
+        return ()
+    return tuple(dict.fromkeys(literal.lower() if ignore_case else literal for literal in found))
 
 
-def pattern(name: str, regex: str | list[str], flags: str = "", tags=(), needs=()) -> Pattern:
+def pattern(name: str, regex: str | Iterable[str], flags: str = "", tags=(), needs=()) -> Pattern:
     """Build a pattern from the parts of a definition; the letter ``i`` in flags ignores case."""
-    alternatives = [] if isinstance(regex, str) else regex
+    alternatives = [regex] if isinstance(regex, str) else list(regex)
+    ignore_case = "i" in flags
     return Pattern(
         name=name,
-        regex=join_alternatives(regex if isinstance(regex, str) else "", alternatives),
-        ignore_case="i" in flags,
+        regex="|".join(alternatives),
+        ignore_case=ignore_case,
         tags=tuple(tags),
-        needs=tuple(needs),
+        needs=tuple(needs) or literals_of(alternatives, ignore_case),
     )
 
 
 def load_patterns(spark: SparkSession, folder: str) -> list[Pattern]:
     """Patterns defined by the ``*.json`` files of a folder, named by file stem.
 
-    Files that are not valid JSON are left out.  The definitions are settings, a few lines each,
+    Of a definition with both ``pattern`` and ``patterns`` only the first counts; several
+    ``patterns`` are joined by ``|``.  Files that are not valid JSON are left out.  The definitions are settings, a few lines each,
     so they are held on the driver; no data goes through here.
     """
     name = F.regexp_extract(F.col("_metadata.file_name"), r"^(.*)\.json$", 1)
@@ -86,12 +106,7 @@ def load_patterns(spark: SparkSession, folder: str) -> list[Pattern]:
         .collect()
     )
     return [
-        Pattern(
-            name=row["name"],
-            regex=join_alternatives(row["pattern"] or "", row["patterns"] or []),
-            ignore_case="i" in (row["flags"] or ""),
-            tags=tuple(row["tags"] or ()),
-        )
+        pattern(row["name"], row["pattern"] or row["patterns"] or "", row["flags"] or "", row["tags"] or ())
         for row in rows
     ]
 

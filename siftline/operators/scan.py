@@ -45,7 +45,9 @@ def may_match(content: Column, pattern: Pattern) -> Column | None:
     """A cheap test that is true for every text the pattern matches; None where there is none."""
     if not pattern.needs:
         return None
-    text = F.lower(content) if pattern.ignore_case else content
+    # Besides the capital letters, only two characters fold to ASCII: U+212A, which lower() turns
+    # into k, and the long s.
+    text = F.replace(F.lower(content), F.lit("ſ"), F.lit("s")) if pattern.ignore_case else content
     test = F.contains(text, F.lit(pattern.needs[0]))
     for literal in pattern.needs[1:]:
         test = test | F.contains(text, F.lit(literal))
@@ -64,29 +66,26 @@ def scan(records: DataFrame, patterns: Iterable[Pattern], content: str = "conten
     serves batch and streaming DataFrames.  Groups 1..n are searched only where the pattern hit.
     """
     kept = [name for name in records.columns if name != content]
-    stage = records.withColumnRenamed(content, "_text")
-    arrays = []
+    text = F.col("_text")
+    whole, parts, arrays = {}, {}, []
     for index, (pattern, regex) in enumerate(compile_patterns(patterns)):
-        hits = f"_hits{index}"
-        guard = may_match(F.col("_text"), pattern)
+        first = f"_g{index}_0"
+        hit = F.size(first) > 0
+        guard = may_match(text, pattern)
         if regex.deep and regex.python is not None:
             find = F.pandas_udf(_find_all(regex.python), "array<array<string>>")
-            found = find(F.col("_text") if guard is None else F.when(guard, F.col("_text")))
-            stage = stage.withColumn(hits, found)
-            groups = F.col(hits)
-            rows = F.transform(groups, _hit(pattern.name, lambda match: match))
+            whole[first] = find(text if guard is None else F.when(guard, text))
+            rows = F.transform(first, _hit(pattern.name, lambda match: match))
         else:
-            whole, *parts = _group_arrays(F.col("_text"), regex)
-            if guard is not None:
-                whole = F.when(guard, whole)
-            names = [f"_g{index}_{group}" for group in range(len(parts) + 1)]
-            stage = stage.withColumn(names[0], whole)
-            hit = F.size(names[0]) > 0
-            for name, part in zip(names[1:], parts):
-                stage = stage.withColumn(name, F.when(hit, part))
-            zipped = F.arrays_zip(*names)
-            rows = F.when(hit, F.transform(zipped, _hit(pattern.name, _fields(names))))
-        arrays.append(F.coalesce(rows.cast(HITS), F.array().cast(HITS)))
+            groups = _group_arrays(text, regex)
+            whole[first] = groups[0] if guard is None else F.when(guard, groups[0])
+            names = [f"_g{index}_{group}" for group in range(len(groups))]
+            parts.update({name: F.when(hit, group) for name, group in zip(names[1:], groups[1:])})
+            rows = F.transform(F.arrays_zip(*names), _hit(pattern.name, _fields(names)))
+        arrays.append(F.coalesce(F.when(hit, rows).cast(HITS), F.array().cast(HITS)))
+    stage = records.withColumnRenamed(content, "_text")
+    stage = stage.withColumns(whole) if whole else stage
+    stage = stage.withColumns(parts) if parts else stage
     every = F.concat(*arrays) if arrays else F.array().cast(HITS)
     exploded = stage.select(*kept, F.explode(every).alias("_hit"))
     matched = F.col("_hit.matches")[0]

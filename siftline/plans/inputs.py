@@ -12,7 +12,7 @@ from siftline.operators.library import LIBRARY
 from siftline.operators.patterns import Pattern, select_patterns
 from siftline.operators.scan import scan
 from siftline.session import configure, shared_folder
-from siftline.sources.tables import lines_of, read_table_records
+from siftline.sources.tables import lines_of, read_table_records, spread_rows
 
 # Patterns of the queries' own, besides the library.
 WORDS = Pattern("words", r"\b(token|password|auth|import|func|package|var|const|class|AKIA)\b ?[A-Za-z]*")
@@ -22,7 +22,7 @@ DIGITS = Pattern("digits", r"[0-9]+")
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     configure(spark)
-    return spark.read.parquet(f"{folder}/{name}.parquet")
+    return spread_rows(spark.read.parquet(f"{folder}/{name}.parquet"))
 
 
 def library(names: str) -> list[Pattern]:

@@ -88,11 +88,11 @@ WITH training(text, label) AS (VALUES {rows}),
 counts AS (SELECT token, sum((label = 'high-interest')::INT) AS n0, sum((label = 'low-interest')::INT) AS n1
            FROM {words("training", "label", "text")} GROUP BY token),
 size AS (SELECT count(*) AS v, sum(n0) AS t0, sum(n1) AS t1 FROM counts),
-found AS (SELECT * FROM {hits("pages", "page_id", "html", [WORDS])}),
+found AS (SELECT * FROM {hits("documents", "doc_id", "text", [WORDS])}),
 scored AS (SELECT content, {score.format(n="n0", i=0)} AS high, {score.format(n="n1", i=1)} AS low
            FROM (SELECT DISTINCT content, token FROM {words("found", "content", "content")}) w
            LEFT JOIN counts USING (token), size GROUP BY content)
-SELECT page_id, ordinal, content FROM found JOIN scored USING (content) WHERE high > low"""
+SELECT doc_id, ordinal, content FROM found JOIN scored USING (content) WHERE high > low"""
 
 
 def escaped_turn() -> str:
@@ -172,8 +172,8 @@ def unique_of(found: str, extra: str = "") -> str:
 def oracle_sql() -> dict[str, str]:
     page_strings = hits("pages", "page_id", "html", named("strings"))
     url_hits = hits("pages", "page_id", "url", named("urls"))
-    turn_hits = hits("conversations", "conv_id", "text", named("ip,http-auth,strings"))
-    mails = hits(DOCUMENT_LINES, "doc_id, line", "content", named("ip,http-auth"))
+    with_lines = named("ip,http-auth,all_lines")
+    passages = hits("benchmark", "item_id", "text", with_lines)
     ip = regex(named("ip")[0])
     sinks = named("php-sinks")[0]
     file = "'documents:' || doc_id"
@@ -196,7 +196,7 @@ UNION ALL SELECT doc_id, 'php-sinks', i, g0[i+1] || '|' || g1[i+1] FROM (
                              f"unnest(range(len(g0))) AS i FROM (SELECT doc_id, regexp_extract_all(text, {regex(TITLES)}) AS g0, "
                              f"regexp_extract_all(text, {regex(TITLES)}, 1) AS g1 FROM documents))",
         "scan_targets": "SELECT conv_id, turn, target, pattern, ordinal, content FROM "
-                        + hits(TURNS_BOTH, "conv_id, turn, target", "v", [*named("ip,http-auth"), WORDS]),
+                        + hits(TURNS_BOTH, "conv_id, turn, target", "v", [*named("all_lines"), WORDS]),
         "select_by_tag": "SELECT pattern, count(*) AS hits, count(DISTINCT content) AS distinct_contents FROM "
                          + hits(PAGES_BOTH, "page_id", "v", by_tag) + " GROUP BY pattern",
         "grep_document_lines": " UNION ALL ".join(
@@ -210,7 +210,7 @@ UNION ALL SELECT doc_id, 'php-sinks', i, g0[i+1] || '|' || g1[i+1] FROM (
                         "WHERE entropy >= 3.5",
         "unique_matches": unique_of(DOCUMENT_HITS),
         "unseen_matches": unique_of(
-            DOCUMENT_HITS, f"AND NOT EXISTS (SELECT 1 FROM {turn_hits} h WHERE h.pattern = f.pattern AND h.content = f.content)"
+            hits("documents", "doc_id", "text", with_lines), f"AND NOT EXISTS (SELECT 1 FROM {passages} h WHERE h.pattern = f.pattern AND h.content = f.content)"
         ),
         "classifier_fit": f"WITH {MODEL} SELECT token, round(ln((n0 + {ALPHA}) / {ALPHA}), 9) AS gain_0, "
                           f"round(ln((n1 + {ALPHA}) / {ALPHA}), 9) AS gain_1 FROM counts",

@@ -17,6 +17,7 @@ from siftline.operators.prune import min_entropy, unique_findings, unseen_findin
 from siftline.operators.rewrite import rewrite_fields
 from siftline.operators.scan import as_findings, grep_lines, hits_per_pattern, scan
 from siftline.operators.summary import scan_progress, scan_summary, total_hits
+from siftline.session import stored
 from siftline.plans.inputs import (
     DIGITS, TITLES, WORDS, document_findings, document_lines, documents, event_lines, library, new_folder, pages,
     table, turns, written_lines,
@@ -94,7 +95,7 @@ def scan_deep_pattern(spark, folder):
 @query
 def scan_targets(spark, folder):
     """Several columns of a table as targets."""
-    found = scan(turns(spark, folder, "role", "text"), [*library("ip,http-auth"), WORDS])
+    found = scan(turns(spark, folder, "role", "text"), [*library("all_lines"), WORDS])
     return found.select("conv_id", "turn", "target", "pattern", "ordinal", "content")
 
 
@@ -146,9 +147,10 @@ def unique_matches(spark, folder):
 
 @query
 def unseen_matches(spark, folder):
-    """Findings in documents that no conversation held."""
-    history = scan(turns(spark, folder, "text"), library("ip,http-auth,strings"))
-    found = unseen_findings(document_findings(spark, folder), history, order=["doc_id", "ordinal"])
+    """Lines and addresses in documents that no benchmark passage held."""
+    names = library("ip,http-auth,all_lines")
+    history = scan(read_table_records(table(spark, folder, "benchmark"), "item_id", ["text"]), names)
+    found = unseen_findings(scan(documents(spark, folder), names), history, order=["doc_id", "ordinal"])
     return found.select("pattern", "content", "doc_id", "ordinal")
 
 
@@ -174,8 +176,8 @@ def classifier_apply(spark, folder):
 
 @query
 def smart_filter(spark, folder):
-    found = only_high_interest(scan(pages(spark, folder, "html"), [WORDS]))
-    return found.select("page_id", "ordinal", "content")
+    found = only_high_interest(scan(documents(spark, folder), [WORDS]))
+    return found.select("doc_id", "ordinal", "content")
 
 
 # Records.
@@ -394,7 +396,7 @@ def enrich_networks(spark, folder):
     near = found.groupBy(pair.alias("pair")).agg(F.count(F.lit(1)).alias("found")).filter("found > 1").select(
         F.concat("pair", F.lit(".0.0/16")).alias("key"), F.concat(F.lit("org-"), "pair").alias("value")
     )
-    networks = wide.unionByName(near).dropDuplicates()
+    networks = stored(wide.unionByName(near).dropDuplicates())
     chain = [LOOKUPS["ip_info"].using(networks)]
     return enrich(found, chain, identity=["doc_id", "ordinal"]).select("doc_id", "ordinal", "content", outputs())
 

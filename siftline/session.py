@@ -1,10 +1,11 @@
-"""Session settings the package relies on, and the folder for cut lineage."""
+"""Session settings the package relies on, and tables kept to cut lineage."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def configure(spark: SparkSession) -> SparkSession:
@@ -32,17 +33,21 @@ def build_session(master: str, app: str = "siftline", **settings: str) -> SparkS
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder named by ``spark.checkpoint.dir``; only a local session gets one of its own."""
-    context = spark.sparkContext
-    named = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        if context.getCheckpointDir() is None:
-            context.setCheckpointDir(named)
-        return named
-    current = context.getCheckpointDir()
-    if current:
-        return current
-    if not context.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors can reach")
-    folder = tempfile.mkdtemp(prefix="siftline-")
-    context.setCheckpointDir(folder)
-    return folder
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors can reach")
+        named = tempfile.mkdtemp(prefix="siftline-")
+        spark.conf.set("spark.checkpoint.dir", named)
+    return named
+
+
+def stored(frame: DataFrame) -> DataFrame:
+    """The DataFrame written once, as a table in the shared folder, and read back.
+
+    What builds on it reads the table, so it is computed a single time and survives lost executors.
+    """
+    spark = frame.sparkSession
+    path = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
+    frame.write.parquet(path)
+    return spark.read.schema(frame.schema).parquet(path)

@@ -9,7 +9,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types a
 from siftline.functions.template import render
 from siftline.model import FINDING
 from siftline.operators.scan import as_findings
-from siftline.session import shared_folder
+from siftline.session import stored
+from siftline.sources.lines import row_in_task
 
 REPORT_TITLE = "# Findings report"
 
@@ -111,22 +112,17 @@ def list_runs(spark: SparkSession, folder: str) -> DataFrame:
 def with_finding_ids(findings: DataFrame, order: Sequence[str]) -> DataFrame:
     """Findings numbered from 1 in the given order, which must be a total one.
 
-    The findings are sorted over many tasks and kept by a checkpoint, so that both the count per
-    task and the numbering see the same rows even if an executor is lost.  Only the counts, one
-    row per task, are added up in one place.
+    The findings are stored, sorted over many tasks and stored with their place in the task, so
+    a lost executor cannot change a number and nothing is searched twice.  Only the counts per
+    task are added up on the driver.
     """
     spark = findings.sparkSession
-    shared_folder(spark)
-    ordered = findings.drop("id").orderBy(*order).checkpoint()
-    placed = ordered.withColumns({
-        "_part": F.spark_partition_id(),
-        "_index": F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)),
-    })
-    counts = {row["_part"]: row["count"] for row in placed.groupBy("_part").count().collect()}
+    ordered = stored(findings.drop("id")).orderBy(*order)
+    placed = stored(ordered.withColumns({"_part": F.spark_partition_id(), "_index": row_in_task()}))
     before, offsets = 0, []
-    for part in sorted(counts):
-        offsets.append((part, before))
-        before += counts[part]
+    for row in sorted(placed.groupBy("_part").count().collect()):
+        offsets.append((row["_part"], before))
+        before += row["count"]
     table = spark.createDataFrame(offsets, "_part int, _before bigint")
     numbered = placed.join(F.broadcast(table), "_part")
-    return numbered.select((F.col("_before") + F.col("_index") + 1).alias("id"), *ordered.columns)
+    return numbered.select((F.col("_before") + F.col("_index") + 1).alias("id"), *findings.drop("id").columns)

@@ -2,8 +2,8 @@
 
 Files are read by line, so any file splits.  Two regular expressions tell for each line whether
 a quoted cell is open at its end, given that one was or was not open at its start.  Where no line
-opens a cell, lines are rows.  Where some do, the answers are chained along each block and then
-along the blocks of the file, which gives every line its row.
+leaves a cell open, lines are rows.  Where some do, the answers are folded along each block, then
+along the blocks of the file; with the state at its start known, each block joins its lines.
 
 Quotes are lazy: one inside an unquoted cell, or inside a quoted cell but not before a separator
 or the end of the line, is an ordinary character.
@@ -11,13 +11,16 @@ or the end of the line, is an ordinary character.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
+from urllib.parse import unquote
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from siftline.functions.text import strip_carriage_return
 from siftline.model import CsvConfig
+from siftline.session import stored
 from siftline.sources.lines import MAX_BLOCKS, add_shift, file_label, in_parts, raw_lines, row_in_task, shifts
 
 #: Rows numbered together by one window in files with multi-line cells.
@@ -67,120 +70,174 @@ class _Grammar:
         )
 
 
-def _states(rows: DataFrame, group: list[str], order: str, fixed: Column, flips: Column) -> DataFrame:
-    """Chain cell states along an order.
-
-    ``fixed`` is the state after a row whatever came before (NULL if it depends on that) and
-    ``flips`` says that the row turns the state around.  Adds ``_known``, the state before the
-    row if some earlier row of the group fixes it, and ``_turned``, whether the state at the
-    start of the group is turned around before this row.
-    """
-    before = Window.partitionBy(*group).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    upto = Window.partitionBy(*group).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    turns = rows.withColumns({"_fixed": fixed, "_turns": F.sum(F.when(flips, 1).otherwise(0)).over(upto)})
-    mark = F.when(F.col("_fixed").isNotNull(), F.struct("_fixed", "_turns"))
-    marked = turns.withColumns({
-        "_mark": F.last(mark, ignorenulls=True).over(before),
-        "_sofar": F.coalesce(F.max("_turns").over(before), F.lit(0)),
-    })
-    odd = F.pmod(F.col("_sofar") - F.coalesce("_mark._turns", F.lit(0)), F.lit(2)) == 1
-    return marked.withColumns({
-        "_known": F.when(F.col("_mark").isNotNull(), F.col("_mark._fixed") != odd),
-        "_turned": odd,
-    }).drop("_fixed", "_turns", "_mark", "_sofar")
+def _tested(rows: DataFrame, grammar: _Grammar) -> DataFrame:
+    value = F.col("value")
+    return rows.withColumns({"_complete": grammar.complete(value), "_closes": grammar.closes(value)})
+
+
+# The functions that run in Python tasks are made by a function, so that tasks get them by value.
+
+def block_folder() -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    """Per block: whether a cell is open at its end and how many rows begin in it, for either start."""
+    columns = ["_path", "_block", "_open0", "_open1", "_begun0", "_begun1"]
+
+    def fold_blocks(batches):
+        place, states, begun = None, (False, True), (0, 0)
+        for batch in batches:
+            for path, block, blank, complete, closes in batch.itertuples(index=False, name=None):
+                if place != (path, block):
+                    if place:
+                        yield pd.DataFrame([(*place, *states, *begun)], columns=columns)
+                    place, states, begun = (path, block), (False, True), (0, 0)
+                begun = tuple(count + (not state and not blank) for count, state in zip(begun, states))
+                states = tuple(not closes if state else not complete for state in states)
+        if place:
+            yield pd.DataFrame([(*place, *states, *begun)], columns=columns)
+
+    return fold_blocks
+
+
+def block_chainer() -> Callable[[pd.DataFrame], pd.DataFrame]:
+    """For the blocks of one file: whether each starts inside a cell, and the rows begun before it."""
+
+    def chain_blocks(blocks):
+        inside, earlier, found = False, 0, []
+        for block in blocks.sort_values("_block").itertuples(index=False):
+            path, start, open0, open1, begun0, begun1 = block
+            found.append((path, start, inside, earlier))
+            earlier += begun1 if inside else begun0
+            inside = open1 if inside else open0
+        return pd.DataFrame(found, columns=["_path", "_block", "_start", "_earlier"])
+
+    return chain_blocks
+
+
+def line_joiner() -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    """Lines of blocks with known starts → rows; a row that crosses blocks gives a part per block."""
+    columns = ["_path", "_block", "_row", "value", "_crosses", "_open"]
+
+    def join_lines(batches):
+        place, row, inside, part, crosses = None, 0, False, [], False
+        for batch in batches:
+            found = []
+            for path, block, start, earlier, value, complete, closes in batch.itertuples(index=False, name=None):
+                if place != (path, block):
+                    if part:
+                        found.append((*place, row, "\n".join(part), True, True))
+                    place, row, inside, part, crosses = (path, block), earlier, start, [], start
+                if not inside:
+                    if value == "":
+                        continue
+                    row, crosses = row + 1, False
+                part.append(value)
+                inside = not closes if inside else not complete
+                if not inside:
+                    found.append((path, block, row, "\n".join(part), crosses, False))
+                    part = []
+            yield pd.DataFrame(found, columns=columns)
+        if part:
+            yield pd.DataFrame([(*place, row, "\n".join(part), True, True)], columns=columns)
+
+    return join_lines
 
 
 def assemble_rows(lines: DataFrame, grammar: _Grammar) -> DataFrame:
-    """(_path, _block, _index, value) lines → (_path, _row, value) rows, blank lines left out.
+    """(_path, _block, value) lines of whole files → (_path, _row, value) rows, blank lines left out.
 
-    Windows run within one block; what is broadcast holds one row per block (``MAX_BLOCKS``).
+    The first pass sends two flags per line through Python, the second the text, both within the
+    tasks that read it.  Only rows that cross a block border are shuffled.
     """
-    complete, closes = F.col("_complete"), F.col("_closes")
-    tested = lines.withColumns({"_complete": grammar.complete(F.col("value")), "_closes": grammar.closes(F.col("value"))})
-    fixed = F.when(complete & closes, False).when(~complete & ~closes, True)
-    chained = _states(tested, ["_path", "_block"], "_index", fixed, ~complete & closes)
-
-    # State after the last line of each block, then state at the start of each block.
-    after = F.when(complete & closes, False).when(~complete & ~closes, True).when(
-        ~complete, ~F.col("_known")
-    ).otherwise(F.col("_known"))
-    turned = F.col("_turned") != (~complete & closes)
-    ends = chained.groupBy("_path", "_block").agg(
-        F.max_by(F.struct(after.alias("fixed"), turned.alias("turned")), "_index").alias("_end")
+    tested = _tested(lines, grammar)
+    flags = tested.select("_path", "_block", (F.col("value") == "").alias("_blank"), "_complete", "_closes")
+    folded = flags.mapInPandas(
+        block_folder(), "_path string, _block long, _open0 boolean, _open1 boolean, _begun0 long, _begun1 long"
+    )
+    # One row per block, at most MAX_BLOCKS of them.
+    starts = stored(folded.groupBy("_path").applyInPandas(
+        block_chainer(), "_path string, _block long, _start boolean, _earlier long"
+    ))
+    known = tested.join(F.broadcast(starts), ["_path", "_block"], "left").withColumn(
+        "_start", F.when(F.col("_start").isNull(), F.raise_error(F.lit("files changed between two passes")).cast("boolean"))
+        .otherwise(F.col("_start"))
     )
-    starts = _states(ends, ["_path"], "_block", F.col("_end.fixed"), F.col("_end.fixed").isNull() & F.col("_end.turned"))
-    starts = starts.select("_path", "_block", F.coalesce("_known", F.col("_turned")).alias("_start"))
-
-    inside = F.coalesce("_known", F.col("_start") != F.col("_turned"))
-    stated = chained.join(F.broadcast(starts), ["_path", "_block"]).withColumn("_inside", inside)
-    stated = stated.filter(F.col("_inside") | (F.col("value") != "")).withColumn(
-        "_first", (~F.col("_inside")).cast("bigint")
-    ).withColumn("_open", F.when(F.col("_inside"), ~closes).otherwise(~complete))
-
-    # Number the rows: rows begun in earlier blocks, plus those begun in this one.
-    per_block = stated.groupBy("_path", "_block").agg(F.sum("_first").alias("_begun"))
-    earlier = Window.partitionBy("_path").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    per_block = per_block.select(
-        "_path", "_block", F.coalesce(F.sum("_begun").over(earlier), F.lit(0)).alias("_earlier")
+    parts = known.select("_path", "_block", "_start", "_earlier", "value", "_complete", "_closes").mapInPandas(
+        line_joiner(), "_path string, _block long, _row long, value string, _crosses boolean, _open boolean"
     )
-    within = Window.partitionBy("_path", "_block").orderBy("_index").rowsBetween(Window.unboundedPreceding, 0)
-    numbered = stated.withColumn("_here", F.sum("_first").over(within)).join(
-        F.broadcast(per_block), ["_path", "_block"]
-    ).withColumn("_row", F.col("_earlier") + F.col("_here"))
-
-    alone = ~F.col("_inside") & ~F.col("_open")
-    single = numbered.filter(alone).select("_path", "_row", "value")
-    pieces = F.sort_array(F.collect_list(F.struct("_block", "_index", "value", "_open")))
-    joined = numbered.filter(~alone).groupBy("_path", "_row").agg(pieces.alias("_pieces"))
+    pieces = F.sort_array(F.collect_list(F.struct("_block", "value", "_open")))
+    crossing = parts.filter("_crosses").groupBy("_path", "_row").agg(pieces.alias("_pieces"))
     text = F.array_join(F.transform("_pieces", lambda piece: piece["value"]), "\n")
     # A cell still open at the end of the file ends there.
     closed = F.concat(text, F.when(F.element_at("_pieces", -1)["_open"], F.lit('"')).otherwise(F.lit("")))
-    return single.unionByName(joined.select("_path", "_row", closed.alias("value")))
+    return parts.filter("not _crosses").select("_path", "_row", "value").unionByName(
+        crossing.select("_path", "_row", closed.alias("value"))
+    )
+
+
+def _placed(rows: DataFrame) -> DataFrame:
+    return rows.withColumns({"_part": F.spark_partition_id(), "_index": row_in_task()})
+
 
+def _widths(rows: DataFrame, grammar: _Grammar) -> DataFrame:
+    """Number of lines of each block per number of cells, and whether a line leaves a cell open.
 
-def _line_rows(lines: DataFrame, grammar: _Grammar, config: CsvConfig) -> DataFrame:
+    A few rows per block, stored so that the files are read once for it.
+    """
+    value = F.col("value")
+    return stored(_placed(rows).filter(value != "").groupBy(
+        "_path", "_block", "_part", F.size(grammar.cells(value)).alias("_width")
+    ).agg(
+        F.count(F.lit(1)).alias("rows"), F.min("_index").alias("first"),
+        F.max(F.contains(value, F.lit('"')) & ~grammar.complete(value)).alias("open"),
+    ))
+
+
+def _line_rows(lines: DataFrame, widths: DataFrame, grammar: _Grammar, config: CsvConfig) -> DataFrame:
     """Rows of files in which every line is a row: (cells, line, _path)."""
-    placed = lines.withColumns({"_part": F.spark_partition_id(), "_index": row_in_task()})
-    kinds = placed.filter(F.col("value") != "").groupBy(
-        "_path", "_block", "_part", F.size(grammar.cells(F.col("value"))).alias("_width")
-    ).agg(F.count(F.lit(1)).alias("rows"), F.min("_index").alias("first"))
     # The first row of a file sets the number of cells of all.
-    heads = kinds.groupBy("_path").agg(
-        F.min(F.struct("_block", "first", "_width")).alias("_head")
-    ).select("_path", F.col("_head._width").alias("_head_width"),
-             F.col("_head._block").alias("_head_block"), F.col("_head.first").alias("_head_index"))
-    same = kinds.join(heads, "_path")
-    header = F.col("_block") == F.col("_head_block") if config.has_header else F.lit(False)
+    heads = widths.groupBy("_path").agg(F.min(F.struct("_block", "first", "_width")).alias("_head")).select(
+        "_path", F.col("_head._width").alias("_head_width"), F.col("_head._block").alias("_head_block"),
+        F.col("_head.first").alias("_head_index"),
+    )
+    header = (F.col("_block") == F.col("_head_block")) if config.has_header else F.lit(False)
     good = F.sum(F.when(F.col("_width") == F.col("_head_width"), F.col("rows")).otherwise(0))
-    blocks = same.groupBy("_path", "_block", "_part").agg(
+    blocks = widths.join(F.broadcast(heads), "_path").groupBy("_path", "_block", "_part").agg(
         (good - F.max(F.when(header, 1).otherwise(0))).alias("good"), F.min("first").alias("first")
     )
-    first = (F.col("_block") == F.col("_head_block")) & (F.col("_index") == F.col("_head_index"))
-    kept = placed.join(F.broadcast(heads), "_path").withColumn("cells", grammar.cells(F.col("value"))).filter(
+    kept = _placed(lines).join(F.broadcast(heads), "_path").withColumn("cells", grammar.cells(F.col("value"))).filter(
         (F.col("value") != "") & (F.size("cells") == F.col("_head_width"))
     )
     if config.has_header:
-        kept = kept.filter(~first)
+        kept = kept.filter(~((F.col("_block") == F.col("_head_block")) & (F.col("_index") == F.col("_head_index"))))
     # The place is taken again among the rows that are left.
     return add_shift(kept.withColumn("_index", row_in_task()), shifts(blocks)).select("cells", "line", "_path")
 
 
 def _multi_line_rows(lines: DataFrame, grammar: _Grammar, config: CsvConfig) -> DataFrame:
     """Rows of files in which some cell holds a line break: (cells, line, _path)."""
-    placed = lines.withColumn("_index", row_in_task())
-    rows = assemble_rows(placed, grammar).withColumn("cells", grammar.cells(F.col("value")))
-    heads = rows.filter(F.col("_row") == 1).select("_path", F.size("cells").alias("_head_width"))
+    rows = assemble_rows(lines, grammar).select("_path", "_row", grammar.cells(F.col("value")).alias("cells"))
+    group = F.floor(F.col("_row") / ROWS_PER_GROUP)
+    # A few rows per 100,000 rows of data.
+    widths = stored(rows.groupBy("_path", group.alias("_group"), F.size("cells").alias("_width")).agg(
+        F.count(F.lit(1)).alias("rows"), F.min("_row").alias("first")
+    ))
+    heads = widths.groupBy("_path").agg(F.min_by("_width", "first").alias("_head_width"))
+    sized = widths.join(F.broadcast(heads), "_path")
     kept = rows.join(F.broadcast(heads), "_path").filter(F.size("cells") == F.col("_head_width"))
+    skipped = 1 if config.has_header else 0
     if config.has_header:
         kept = kept.filter(F.col("_row") > 1)
-    kept = kept.withColumn("_group", F.floor(F.col("_row") / ROWS_PER_GROUP))
+    if sized.filter(F.col("_width") != F.col("_head_width")).isEmpty():
+        return kept.select("cells", (F.col("_row") - skipped).alias("line"), "_path")
+    # Ragged rows leave gaps: rank the others within groups.
     earlier = Window.partitionBy("_path").orderBy("_group").rowsBetween(Window.unboundedPreceding, -1)
-    before = kept.groupBy("_path", "_group").agg(F.count(F.lit(1)).alias("_rows")).select(
-        "_path", "_group", F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_before")
+    good = F.sum(F.when(F.col("_width") == F.col("_head_width"), F.col("rows")).otherwise(0))
+    before = sized.groupBy("_path", "_group").agg(good.alias("_good")).select(
+        "_path", "_group", F.coalesce(F.sum("_good").over(earlier), F.lit(0)).alias("_before")
     )
     within = Window.partitionBy("_path", "_group").orderBy("_row")
-    ranked = kept.withColumn("_rank", F.row_number().over(within)).join(before, ["_path", "_group"])
-    return ranked.select("cells", (F.col("_before") + F.col("_rank")).cast("bigint").alias("line"), "_path")
+    ranked = kept.withColumn("_group", group).withColumn("_rank", F.row_number().over(within))
+    line = F.col("_before") + F.col("_rank") - F.when(F.col("_group") > 0, skipped).otherwise(0)
+    return ranked.join(before, ["_path", "_group"]).select("cells", line.cast("bigint").alias("line"), "_path")
 
 
 def csv_records(rows: DataFrame, config: CsvConfig) -> DataFrame:
@@ -212,7 +269,8 @@ def read_csv_records(
     """One record per chosen cell; ``line`` counts the good rows of the file, without its header.
 
     Rows with another number of cells than the file's first row are left out, as are blank
-    lines.  One pass finds the files with multi-line cells; their names come to the driver.
+    lines.  Building the reader runs one pass over the files (three more over those with
+    multi-line cells); file names, but no data, come to the driver.
     """
     grammar = _Grammar((config.separator or ",")[0])
 
@@ -220,18 +278,17 @@ def read_csv_records(
         rows = raw_lines(spark, some, **files)
         return rows.withColumn("value", strip_carriage_return(F.col("value")))
 
-    open_files = [
-        row["_path"] for row in
-        read(paths).filter(F.contains("value", F.lit('"'))).filter(~grammar.complete(F.col("value")))
-        .select("_path").distinct().collect()
-    ]
-
     def number(rows):
-        listed = rows.filter(~F.col("_path").isin(open_files)) if open_files else rows
-        whole = _line_rows(listed, grammar, config)
-        if open_files:
-            split = _multi_line_rows(rows.filter(F.col("_path").isin(open_files)), grammar, config)
-            whole = whole.unionByName(split)
-        return whole
-
-    return csv_records(in_parts(spark, paths, read, number, max_blocks), config)
+        widths = _widths(rows, grammar)
+        kinds = widths.groupBy("_path").agg(F.max("open").alias("open")).collect()
+        open_files = [unquote(row["_path"]) for row in kinds if row["open"]]
+        if not open_files:
+            return _line_rows(rows, widths, grammar, config)
+        split = _multi_line_rows(read(open_files), grammar, config)
+        others = [unquote(row["_path"]) for row in kinds if not row["open"]]
+        if not others:
+            return split
+        rest = read(others)
+        return split.unionByName(_line_rows(rest, _widths(rest, grammar), grammar, config))
+
+    return csv_records(in_parts(paths, read, number, max_blocks), config)

@@ -19,17 +19,20 @@ def jsonl_records(lines: DataFrame, config: InputConfig) -> DataFrame:
     configure(lines.sparkSession)
     targets = config.target_names()
     parsed = lines.withColumn("_json", parse_json(F.col("value")))
-    stage = parsed.withColumn("_object", is_json_object(F.col("value"), F.col("_json")))
-    wanted = F.col("_object") & passes(F.col("_json"), dict(config.filters))
+    stage = parsed.withColumn("_object", F.coalesce(is_json_object(F.col("value"), F.col("_json")), F.lit(False)))
+    is_object = F.col("_object")
+    wanted = is_object & passes(F.col("_json"), dict(config.filters))
     if WHOLE_LINE in targets:
-        wanted = wanted | ~F.coalesce("_object", F.lit(False))
-    rows = stage.filter(wanted).select(
-        "value", "_json", "_object", "line",
+        wanted = wanted | ~is_object
+    names = {name: f"_target{index}" for index, name in enumerate(targets)}
+    rows = stage.select(
+        "line",
         F.col("file").alias("source_file"),
-        F.when(F.col("_object"), field(F.col("_json"), config.id)).alias("record_id"),
+        F.when(is_object, field(F.col("_json"), config.id)).alias("record_id"),
+        wanted.alias("_wanted"),
+        *[
+            (F.col("value") if name == WHOLE_LINE else F.when(is_object, field(F.col("_json"), name))).alias(column)
+            for name, column in names.items()
+        ],
     )
-    contents = {
-        name: F.col("value") if name == WHOLE_LINE else F.when(F.col("_object"), field(F.col("_json"), name))
-        for name in targets
-    }
-    return fan_out(rows, contents)
+    return fan_out(rows, {name: F.col(column) for name, column in names.items()}, wanted=F.col("_wanted"))

@@ -83,7 +83,7 @@ def block_bound(rows: DataFrame) -> tuple[int, list[str]]:
 
 
 def in_parts(
-    spark: SparkSession, paths: str | Sequence[str], read: Callable[[str | Sequence[str]], DataFrame],
+    paths: str | Sequence[str], read: Callable[[str | Sequence[str]], DataFrame],
     number: Callable[[DataFrame], DataFrame], max_blocks: int = MAX_BLOCKS,
 ) -> DataFrame:
     """Number the lines of all files, in several parts where one would hold too many blocks."""
@@ -141,7 +141,7 @@ def read_lines(
     def read(some):
         return raw_lines(spark, some, **files)
 
-    rows = in_parts(spark, paths, read, with_line_numbers, max_blocks) if line_numbers else (
+    rows = in_parts(paths, read, with_line_numbers, max_blocks) if line_numbers else (
         read(paths).withColumn("line", F.lit(0).cast("bigint"))
     )
     return rows.select(strip_carriage_return(F.col("value")).alias("value"),

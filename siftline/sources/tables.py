@@ -16,16 +16,21 @@ def source_label(file: Column, record_id: Column) -> Column:
     return F.when(known, F.concat_ws(":", file, record_id)).otherwise(file)
 
 
-def fan_out(rows: DataFrame, contents: dict[str, Column], keep: Sequence[str] = ()) -> DataFrame:
+def fan_out(
+    rows: DataFrame, contents: dict[str, Column], keep: Sequence[str] = (), wanted: Column | None = None
+) -> DataFrame:
     """One record per target whose content is present and not empty, in the given order.
 
-    ``rows`` must hold ``record_id``, ``line`` and ``source_file``.
+    ``rows`` must hold ``record_id``, ``line`` and ``source_file``.  Rows that are not ``wanted``
+    give no record; a filter would be pushed below the parsing and make it run twice.
     """
     pairs = F.array(*[
         F.struct(F.lit(name).alias("target"), content.cast("string").alias("content"))
         for name, content in contents.items()
     ])
     present = F.filter(pairs, lambda pair: F.coalesce(pair["content"], F.lit("")) != "")
+    if wanted is not None:
+        present = F.when(wanted, present)
     carried = [F.col(name) for name in keep]
     exploded = rows.select("record_id", "line", "source_file", *carried, F.explode(present).alias("_record"))
     return exploded.select(
@@ -39,6 +44,18 @@ def fan_out(rows: DataFrame, contents: dict[str, Column], keep: Sequence[str] =
     )
 
 
+def spread_rows(table: DataFrame) -> DataFrame:
+    """A table read from fewer file pieces than there are cores, spread over all of them.
+
+    Matching costs far more than moving such a small input.  Tables in many pieces, which are
+    the large ones, stay where they are.  To be used directly on what a reader returns.
+    """
+    cores = table.sparkSession.sparkContext.defaultParallelism
+    if table.isStreaming or len(table.inputFiles()) >= cores or table.rdd.getNumPartitions() >= cores:
+        return table
+    return table.repartition(cores, table.columns[0])
+
+
 def read_table_records(
     table: DataFrame, id: str, targets: Sequence[str], source: str = "", keep: Sequence[str] = ()
 ) -> DataFrame:
