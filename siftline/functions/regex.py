@@ -372,6 +372,6 @@ def _property(found):
     return f"\\{'P' if negated else 'p'}{{{java}}}"
 
 
-def translate(text: str) -> Regex:
+def translate_regex(text: str) -> Regex:
     """RE2 pattern text → :class:`Regex`; raises :class:`PatternError` if RE2 would refuse it."""
     return _Translator(text).run()

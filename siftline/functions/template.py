@@ -27,7 +27,7 @@ def tool_value(name: str, tool_data: str = "tool_data") -> Column:
     return F.get(named, F.lit(0))["value"]
 
 
-def render(template: str, extracted: Column | None = None, with_entropy: bool = False) -> Column:
+def render_placeholders(template: str, extracted: Column | None = None, with_entropy: bool = False) -> Column:
     """The template as a text column; slots that cannot be filled stay as they are."""
     parts, at = [], 0
     for slot in _SLOT.finditer(template):

@@ -8,9 +8,9 @@ from dataclasses import dataclass, field, replace
 from pyspark.sql import Column, DataFrame, functions as F
 
 from siftline.functions import decode
-from siftline.functions.regex import PatternError, translate
+from siftline.functions.regex import PatternError, translate_regex
 from siftline.functions.skew import SALTS, fits_broadcast, measure, salted_left_join
-from siftline.functions.template import main_match, render, tool_value
+from siftline.functions.template import main_match, render_placeholders, tool_value
 from siftline.functions.text import trim_space
 from siftline.model import TOOL_OUTPUT
 from siftline.session import configure
@@ -68,7 +68,7 @@ def sub_extract(match: Column, expression: str) -> Column:
     if not expression:
         return match
     try:
-        found = F.regexp_extract(match, translate(expression).java, 0)
+        found = F.regexp_extract(match, translate_regex(expression).java, 0)
     except PatternError:
         return F.lit(None).cast("string")
     return F.nullif(found, F.lit(""))
@@ -101,7 +101,7 @@ def enrich(
             continue
         extracted = sub_extract(main_match(), step.extract)
         if step.template is not None:
-            value = F.when(extracted.isNotNull(), render(step.template, extracted))
+            value = F.when(extracted.isNotNull(), render_placeholders(step.template, extracted))
         else:
             value = step.value(extracted)
         findings = _record(findings, step, value)

@@ -9,7 +9,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from siftline.functions.regex import PatternError, Regex, translate
+from siftline.functions.regex import PatternError, Regex, translate_regex
 
 #: Shorter literals are too common to be worth a test.
 MIN_LITERAL = 3
@@ -130,7 +130,7 @@ def select_patterns(
     return [by_name[name.strip()] for name in names if name.strip() in by_name]
 
 
-def patterns_table(spark: SparkSession, catalog: Iterable[Pattern]) -> DataFrame:
+def list_patterns(spark: SparkSession, catalog: Iterable[Pattern]) -> DataFrame:
     """The catalog as a DataFrame, for listing."""
     rows = [(item.name, item.regex, item.ignore_case, list(item.tags)) for item in catalog]
     return spark.createDataFrame(rows, "name string, regex string, ignore_case boolean, tags array<string>")
@@ -138,7 +138,7 @@ def patterns_table(spark: SparkSession, catalog: Iterable[Pattern]) -> DataFrame
 
 def tag_counts(spark: SparkSession, catalog: Iterable[Pattern]) -> DataFrame:
     """Number of patterns per tag."""
-    tags = patterns_table(spark, catalog).select(F.explode("tags").alias("tag"))
+    tags = list_patterns(spark, catalog).select(F.explode("tags").alias("tag"))
     return tags.groupBy("tag").agg(F.count(F.lit(1)).alias("patterns"))
 
 
@@ -147,7 +147,7 @@ def compile_patterns(catalog: Iterable[Pattern]) -> list[tuple[Pattern, Regex]]:
     compiled = []
     for item in catalog:
         try:
-            compiled.append((item, translate(item.effective())))
+            compiled.append((item, translate_regex(item.effective())))
         except PatternError as problem:
             log.warning("pattern %s skipped: %s", item.name, problem)
     return compiled

@@ -31,7 +31,7 @@ from siftline.sources.documents import expand_json_document
 from siftline.sources.files import (
     done_files, list_files, read_any_records, read_records, read_target_list, remaining_files,
 )
-from siftline.sources.findings import parse_grep_output, read_findings
+from siftline.sources.findings import read_grep_output, read_findings
 from siftline.sources.jsonl import jsonl_records
 from siftline.sources.lines import read_lines
 from siftline.sources.prepare import transform_fields, unescape_content
@@ -277,7 +277,7 @@ def grep_output(spark, folder):
     lines = document_lines(spark, folder).select(
         F.concat(F.lit("doc-"), "record_id", F.lit(".txt:"), "line", F.lit(":"), "content").alias("value")
     )
-    return parse_grep_output(lines).select("file", "ext", "line", "content")
+    return read_grep_output(lines).select("file", "ext", "line", "content")
 
 
 @query

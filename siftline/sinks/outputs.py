@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
-from siftline.functions.template import render
+from siftline.functions.template import render_placeholders
 from siftline.model import FINDING
 from siftline.operators.scan import as_findings
 from siftline.session import stored
@@ -40,7 +40,7 @@ def findings_table(findings: DataFrame) -> DataFrame:
 
 def render_template(findings: DataFrame, template: str) -> DataFrame:
     """One text per finding; adds ``{{entropy}}``, with three decimals, to the slots of enrichers."""
-    return findings.select(render(template, with_entropy=True).alias("value"))
+    return findings.select(render_placeholders(template, with_entropy=True).alias("value"))
 
 
 def report_entry() -> Column:

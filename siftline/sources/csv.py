@@ -59,7 +59,8 @@ class _Grammar:
 
     def cells(self, row: Column) -> Column:
         """Cells of a row, quotes resolved."""
-        raw = F.regexp_extract_all(row, F.lit(rf"(?:\A|{self.sep})({self.cell})"), F.lit(1))
+        # With a separator ahead of the first cell too, no match is empty.
+        raw = F.regexp_extract_all(F.concat(F.lit(self.separator), row), F.lit(rf"{self.sep}({self.cell})"), F.lit(1))
 
         def plain(cell):
             inner = F.substring(cell, F.lit(2), F.length(cell) - 2)

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from siftline.functions.fields import parse_json
+from siftline.functions.fields import LONG, parse_json
 from siftline.session import configure
 from siftline.sources.lines import file_label
 
@@ -14,11 +14,12 @@ def expand_json_document(documents: DataFrame, document: str = "document", depth
 
     Objects and arrays are opened up to ``depth`` levels; what lies deeper stays one leaf, as
     compact JSON.  JSON nulls and empty containers are leaves too, with NULL, ``{}`` or ``[]``.
-    Text that is no JSON gives no rows.
+    Text that is no JSON gives no rows.  A document larger than a VARIANT is opened one level
+    first; each of its parts must then fit one.
     """
     configure(documents.sparkSession)
     kept = [name for name in documents.columns if name != document]
-    nodes = documents.select(*kept, F.lit("$").alias("path"), parse_json(F.col(document)).alias("_node"))
+    nodes = documents.select(*kept, F.inline(_roots(F.col(document))))
     spark = documents.sparkSession
     for _ in range(depth):
         opened = nodes.lateralJoin(spark.tvf.variant_explode_outer(F.col("_node").outer()))
@@ -35,6 +36,21 @@ def expand_json_document(documents: DataFrame, document: str = "document", depth
     return nodes.select(*kept, "path", F.try_variant_get("_node", "$", "string").alias("value"))
 
 
+def _roots(document: Column) -> Column:
+    """The document as one node, or the members of one that is too long."""
+    strict = {"allowSingleQuotes": "false", "allowNonNumericNumbers": "false"}
+    members = F.transform(
+        F.map_entries(F.from_json(document, "map<string,variant>", strict)),
+        lambda entry: F.struct(F.concat(F.lit("$."), entry["key"]).alias("path"), entry["value"].alias("_node")),
+    )
+    elements = F.transform(F.from_json(document, "array<variant>", strict), lambda node, at: F.struct(
+        F.concat(F.lit("$["), at.cast("string"), F.lit("]")).alias("path"), node.alias("_node")
+    ))
+    whole = F.array(F.struct(F.lit("$").alias("path"), parse_json(document).alias("_node")))
+    opened = F.when(F.rlike(document, F.lit(r"\A\s*\{")), members).otherwise(elements)
+    return F.when(F.octet_length(document) > LONG, opened).otherwise(whole)
+
+
 def leaf_records(documents: DataFrame, depth: int = 8) -> DataFrame:
     """Records of documents (``document``, ``file``, ``line``): one per leaf, the path as target."""
     leaves = expand_json_document(documents, depth=depth).filter(F.coalesce("value", F.lit("")) != "")
@@ -49,8 +65,7 @@ def read_json_documents(spark: SparkSession, paths: str | list[str]) -> DataFram
 
     A document is one value in one row, so it must fit a task; many documents spread over tasks.
     """
-    reader = spark.read.option("wholetext", "true").option("recursiveFileLookup", "true")
-    return reader.text(paths).select(
+    return spark.read.text(paths, wholetext=True, recursiveFileLookup=True).select(
         F.col("value").alias("document"), file_label(F.col("_metadata.file_path")).alias("file"),
         F.lit(0).cast("bigint").alias("line"),
     )

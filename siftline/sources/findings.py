@@ -37,7 +37,7 @@ def read_findings(spark: SparkSession, paths: str | Sequence[str], multi_line: b
     return fill_blanks(lines.select(F.inline(F.from_json(array, schema))))
 
 
-def parse_grep_output(lines: DataFrame, pattern: str = "", value: str = "value") -> DataFrame:
+def read_grep_output(lines: DataFrame, pattern: str = "", value: str = "value") -> DataFrame:
     """``file:line:content`` lines as findings.
 
     Without a colon the line is all content, with one colon it is file and content.

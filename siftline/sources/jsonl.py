@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from siftline.functions.fields import field, is_json_object, parse_json, passes
+from siftline.functions.fields import field, is_json_object, parse_json, filter_equals
 from siftline.model import WHOLE_LINE, InputConfig
 from siftline.session import configure
-from siftline.sources.tables import fan_out
+from siftline.sources.tables import fan_out_targets
 
 
 def jsonl_records(lines: DataFrame, config: InputConfig) -> DataFrame:
@@ -21,18 +21,18 @@ def jsonl_records(lines: DataFrame, config: InputConfig) -> DataFrame:
     parsed = lines.withColumn("_json", parse_json(F.col("value")))
     stage = parsed.withColumn("_object", F.coalesce(is_json_object(F.col("value"), F.col("_json")), F.lit(False)))
     is_object = F.col("_object")
-    wanted = is_object & passes(F.col("_json"), dict(config.filters))
+    wanted = is_object & filter_equals(F.col("_json"), dict(config.filters), F.col("value"))
     if WHOLE_LINE in targets:
         wanted = wanted | ~is_object
     names = {name: f"_target{index}" for index, name in enumerate(targets)}
     rows = stage.select(
         "line",
         F.col("file").alias("source_file"),
-        F.when(is_object, field(F.col("_json"), config.id)).alias("record_id"),
+        F.when(is_object, field(F.col("_json"), config.id, F.col("value"))).alias("record_id"),
         wanted.alias("_wanted"),
         *[
-            (F.col("value") if name == WHOLE_LINE else F.when(is_object, field(F.col("_json"), name))).alias(column)
+            (F.col("value") if name == WHOLE_LINE else F.when(is_object, field(F.col("_json"), name, F.col("value")))).alias(column)
             for name, column in names.items()
         ],
     )
-    return fan_out(rows, {name: F.col(column) for name, column in names.items()}, wanted=F.col("_wanted"))
+    return fan_out_targets(rows, {name: F.col(column) for name, column in names.items()}, wanted=F.col("_wanted"))

@@ -16,7 +16,7 @@ def source_label(file: Column, record_id: Column) -> Column:
     return F.when(known, F.concat_ws(":", file, record_id)).otherwise(file)
 
 
-def fan_out(
+def fan_out_targets(
     rows: DataFrame, contents: dict[str, Column], keep: Sequence[str] = (), wanted: Column | None = None
 ) -> DataFrame:
     """One record per target whose content is present and not empty, in the given order.
@@ -65,7 +65,7 @@ def read_table_records(
         "line": F.lit(0).cast("bigint"),
         "source_file": F.lit(source),
     })
-    return fan_out(rows, {name: F.col(name) for name in targets}, keep)
+    return fan_out_targets(rows, {name: F.col(name) for name in targets}, keep)
 
 
 def lines_of(records: DataFrame) -> DataFrame:
