@@ -10,7 +10,7 @@ from siftline.functions.fields import field, is_json_object, parse_json, filter_
 from siftline.functions.text import unescape
 from siftline.model import WHOLE_LINE, InputConfig
 from siftline.operators.patterns import Pattern
-from siftline.operators.scan import hit_counts
+from siftline.operators.scan import hit_columns
 from siftline.session import configure
 from siftline.sources.prepare import transform_fields
 
@@ -58,8 +58,9 @@ def diagnose(lines: DataFrame, patterns: Iterable[Pattern], config: InputConfig)
 
     parsed = F.when(F.col("value") == "", "empty").when(is_object, "ok").otherwise("failed")
     verdicts = [] if text_only else [_verdict("parse", "", parsed)]
-    for path, text in filters.items():
-        value = field(F.col("_json"), path, F.col("value"))
+    for index, (path, text) in enumerate(filters.items()):
+        stage = stage.withColumn(f"_filter{index}", field(F.col("_json"), path, F.col("value")))
+        value = F.col(f"_filter{index}")
         outcome = F.when(value.isNull(), "missing").when(value == F.lit(text), "pass").otherwise("fail")
         verdicts.append(F.when(is_object, _verdict("filter", path, outcome, value)))
     looked = F.col("_passed") & (F.col("value") != "")
@@ -72,15 +73,16 @@ def diagnose(lines: DataFrame, patterns: Iterable[Pattern], config: InputConfig)
         if target in config.transforms or WHOLE_LINE in config.transforms:
             verdicts.append(F.when(raw.isNotNull(), _verdict("transform", target, "done")))
     fixed = F.filter(F.array(*verdicts).cast(f"array<{VERDICT}>"), lambda verdict: verdict.isNotNull())
-    hits = [
-        F.transform(
-            F.filter(hit_counts(F.col(f"_ready{index}"), patterns), lambda count: count["hits"] > 0),
+    hits = []
+    for index in range(len(targets)):
+        columns, counts = hit_columns(F.col(f"_ready{index}"), patterns, f"_hits{index}_")
+        stage = stage.withColumns(columns) if columns else stage
+        hits.append(F.transform(
+            F.filter(counts, lambda count: count["hits"] > 0),
             lambda count: F.struct(
                 F.lit("pattern").alias("stage"), count["pattern"].alias("subject"),
                 F.lit("hit").alias("outcome"), count["hits"].cast("string").alias("detail"),
             ),
-        ).cast(f"array<{VERDICT}>")
-        for index in range(len(targets))
-    ] if patterns else []
+        ).cast(f"array<{VERDICT}>"))
     every = F.concat(fixed, *[F.coalesce(found, F.array().cast(f"array<{VERDICT}>")) for found in hits])
     return stage.select("file", "line", F.explode(every).alias("_verdict")).select("file", "line", "_verdict.*")

@@ -112,7 +112,9 @@ def _identity(findings: DataFrame, identity: Sequence[str] | None) -> list[str]:
     if identity:
         return list(identity)
     names = ("file", "line", "target", "record_id", "ordinal", "pattern")
-    return [name for name in names if name in findings.columns]
+    return [name for name in names if name in findings.columns] or [
+        name for name in findings.columns if name != "tool_data"
+    ]
 
 
 def enrich_by_lookup(

@@ -50,6 +50,7 @@ LIBRARY: list[Pattern] = [
         "ip",
         r"(([0-9]|[1-9][0-9]|1[0-9]{2}|2[0-4][0-9]|25[0-5])\.){3}([0-9]|[1-9][0-9]|1[0-9]{2}|2[0-4][0-9]|25[0-5])",
         flags="-HnroE",
+        sieve=r"\.[0-9]{1,3}\.[0-9]",
     ),
     pattern(
         "json-sec",

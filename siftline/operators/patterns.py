@@ -31,8 +31,9 @@ DEFINITION = T.StructType([
 class Pattern:
     """A named pattern in RE2 syntax.
 
-    ``needs`` lists literals of which every match contains at least one.  It only saves work:
-    a text with none of them is not searched.  Under ``ignore_case`` they are lower-case ASCII.
+    ``needs`` lists literals of which every match contains at least one, and ``sieve`` is a
+    cheaper regex that matches somewhere in every match.  They only save work: a text without
+    them is not searched.  Under ``ignore_case`` the literals are lower-case ASCII.
     """
 
     name: str
@@ -40,6 +41,7 @@ class Pattern:
     ignore_case: bool = False
     tags: tuple[str, ...] = ()
     needs: tuple[str, ...] = ()
+    sieve: str = ""
 
     def __post_init__(self):
         if self.ignore_case:
@@ -74,7 +76,7 @@ def literals_of(alternatives: Iterable[str], ignore_case: bool) -> tuple[str, ..
     return tuple(dict.fromkeys(literal.lower() if ignore_case else literal for literal in found))
 
 
-def pattern(name: str, regex: str | Iterable[str], flags: str = "", tags=(), needs=()) -> Pattern:
+def pattern(name: str, regex: str | Iterable[str], flags: str = "", tags=(), needs=(), sieve: str = "") -> Pattern:
     """Build a pattern from the parts of a definition; the letter ``i`` in flags ignores case."""
     alternatives = [regex] if isinstance(regex, str) else list(regex)
     ignore_case = "i" in flags
@@ -84,6 +86,7 @@ def pattern(name: str, regex: str | Iterable[str], flags: str = "", tags=(), nee
         ignore_case=ignore_case,
         tags=tuple(tags),
         needs=tuple(needs) or literals_of(alternatives, ignore_case),
+        sieve=sieve,
     )
 
 

@@ -24,6 +24,7 @@ def unique_findings(findings: DataFrame, order: Sequence[str] = ORDER) -> DataFr
     A streaming input keeps whichever arrives first, with a seen-set that is never evicted.
     In batch this is an aggregate, not a window: each task reduces its own repeats before
     anything is shuffled, so a match that makes up most of the input moves as one row per task.
+    Columns that are not needed are best dropped before, for all of them travel along.
     """
     if findings.isStreaming:
         return findings.dropDuplicates(list(KEY))

@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Iterable
+from functools import reduce
+from operator import and_, or_
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-from siftline.functions.regex import Regex
+from siftline.functions.regex import Regex, translate_regex
 from siftline.functions.text import shannon_entropy
 from siftline.model import FINDING, TOOL_OUTPUT
 from siftline.operators.patterns import Pattern, compile_patterns
@@ -43,15 +45,15 @@ def _group_arrays(content: Column, regex: Regex) -> list[Column]:
 
 def may_match(content: Column, pattern: Pattern) -> Column | None:
     """A cheap test that is true for every text the pattern matches; None where there is none."""
-    if not pattern.needs:
+    if not pattern.needs and not pattern.sieve:
         return None
     # Besides the capital letters, only two characters fold to ASCII: U+212A, which lower() turns
     # into k, and the long s.
     text = F.replace(F.lower(content), F.lit("ſ"), F.lit("s")) if pattern.ignore_case else content
-    test = F.contains(text, F.lit(pattern.needs[0]))
-    for literal in pattern.needs[1:]:
-        test = test | F.contains(text, F.lit(literal))
-    return test
+    tests = [F.contains(text, F.lit(literal)) for literal in pattern.needs]
+    any_literal = [reduce(or_, tests)] if tests else []
+    sieve = [F.rlike(content, F.lit(translate_regex(pattern.sieve).java))] if pattern.sieve else []
+    return reduce(and_, any_literal + sieve)
 
 
 def scan(records: DataFrame, patterns: Iterable[Pattern], content: str = "content") -> DataFrame:
@@ -130,32 +132,48 @@ def _test(content: Column, pattern: Pattern, regex: Regex) -> Column:
 
 def grep_lines(records: DataFrame, patterns: Iterable[Pattern], content: str = "content") -> DataFrame:
     """Whole records that match, one row per matching pattern."""
-    names = [
-        F.when(_test(F.col(content), pattern, regex), F.lit(pattern.name))
-        for pattern, regex in compile_patterns(patterns)
-    ]
-    if not names:
-        return records.withColumn("pattern", F.lit("")).limit(0)
-    matched = F.filter(F.array(*names), lambda name: name.isNotNull())
-    return records.select("*", F.explode(matched).alias("pattern"))
-
-
-def hit_counts(content: Column, patterns: Iterable[Pattern]) -> Column:
-    """An array of (pattern, hits) for one content; zero-length matches do not count."""
-    counts = []
-    for pattern, regex in compile_patterns(patterns):
-        found = F.regexp_extract_all(content, F.lit(regex.java), F.lit(0))
-        hits = F.size(F.filter(found, lambda match: match != ""))
-        guard = may_match(content, pattern)
-        hits = hits if guard is None else F.when(guard, hits).otherwise(0)
-        counts.append(F.struct(F.lit(pattern.name).alias("pattern"), hits.alias("hits")))
-    return F.array(*counts)
+    tests, names = {}, []
+    for index, (pattern, regex) in enumerate(compile_patterns(patterns)):
+        tests[f"_p{index}"] = _test(F.col(content), pattern, regex)
+        names.append(F.when(F.col(f"_p{index}"), F.lit(pattern.name)))
+    # The tests are columns of their own, so that work they share is done once.
+    tested = records.withColumns(tests) if tests else records
+    matched = F.filter(F.array(*names).cast("array<string>"), lambda name: name.isNotNull())
+    return tested.select(*records.columns, F.explode(matched).alias("pattern"))
+
+
+def _hits(content: Column, pattern: Pattern, regex: Regex) -> Column:
+    """Number of matches of a pattern in a content; zero-length matches do not count."""
+    found = F.regexp_extract_all(content, F.lit(regex.java), F.lit(0))
+    hits = F.coalesce(F.size(F.filter(found, lambda match: match != "")), F.lit(0))
+    guard = may_match(content, pattern)
+    return hits if guard is None else F.when(guard, hits).otherwise(0)
+
+
+def hit_columns(content: Column, patterns: Iterable[Pattern], prefix: str) -> tuple[dict[str, Column], Column]:
+    """Columns that count hits, and an array of (pattern, hits) made of them."""
+    counts, pairs = {}, []
+    for index, (pattern, regex) in enumerate(compile_patterns(patterns)):
+        counts[f"{prefix}{index}"] = _hits(content, pattern, regex)
+        pairs.append(F.struct(F.lit(pattern.name).alias("pattern"), F.col(f"{prefix}{index}").alias("hits")))
+    return counts, F.array(*pairs).cast("array<struct<pattern:string,hits:int>>")
 
 
 def hits_per_pattern(records: DataFrame, patterns: Iterable[Pattern], content: str = "content") -> DataFrame:
-    """Total matches and matching records per pattern, summed before the shuffle."""
-    counted = records.select(F.explode(hit_counts(F.col(content), patterns)).alias("_count")).select("_count.*")
-    return counted.groupBy("pattern").agg(
-        F.sum("hits").cast("bigint").alias("hits"),
-        F.sum(F.when(F.col("hits") > 0, 1).otherwise(0)).cast("bigint").alias("records"),
-    )
+    """Total matches and matching records per pattern.
+
+    Every task sums its records into a single row; only those rows are moved.
+    """
+    compiled = compile_patterns(patterns)
+    counts, _ = hit_columns(F.col(content), [pattern for pattern, _ in compiled], "_n")
+    counted = records.select(*[count.alias(name) for name, count in counts.items()])
+    sums = [F.sum(name).alias(f"hits{name}") for name in counts]
+    matching = [F.sum(F.when(F.col(name) > 0, 1).otherwise(0)).alias(f"records{name}") for name in counts]
+    totals = counted.agg(F.count(F.lit(1)), *sums, *matching)
+    rows = F.array(*[
+        F.struct(F.lit(pattern.name).alias("pattern"), *[
+            F.coalesce(F.col(f"{kind}{name}"), F.lit(0)).cast("bigint").alias(kind) for kind in ("hits", "records")
+        ])
+        for (pattern, _), name in zip(compiled, counts)
+    ]).cast("array<struct<pattern:string,hits:bigint,records:bigint>>")
+    return totals.select(F.inline(rows))

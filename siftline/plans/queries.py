@@ -141,8 +141,8 @@ def high_entropy(spark, folder):
 
 @query
 def unique_matches(spark, folder):
-    found = unique_findings(document_findings(spark, folder), order=["doc_id", "ordinal"])
-    return found.select("pattern", "content", "doc_id", "ordinal")
+    found = document_findings(spark, folder).select("pattern", "content", "doc_id", "ordinal")
+    return unique_findings(found, order=["doc_id", "ordinal"])
 
 
 @query
@@ -150,8 +150,8 @@ def unseen_matches(spark, folder):
     """Lines and addresses in documents that no benchmark passage held."""
     names = library("ip,http-auth,all_lines")
     history = scan(read_table_records(table(spark, folder, "benchmark"), "item_id", ["text"]), names)
-    found = unseen_findings(scan(documents(spark, folder), names), history, order=["doc_id", "ordinal"])
-    return found.select("pattern", "content", "doc_id", "ordinal")
+    found = scan(documents(spark, folder), names).select("pattern", "content", "doc_id", "ordinal")
+    return unseen_findings(found, history, order=["doc_id", "ordinal"])
 
 
 def _quality(spark, folder):

@@ -103,6 +103,7 @@ def test_guards_lose_no_match(spark):
     texts = [
         "ſtruts JENKINſ Kibana", "x api_KEY secret", "Server: ſerver: nginx", "my.s3-website-eu ſ3",
         "//s3-eu.amazonaws.com/x a.s3.amazonaws.com", "PHP Warning <?= on line 4", "DEBUG = True", "index of /", "java.lang.",
+        "10.1.2.3 and 1.22.333.4", "1.2.3", "version 1.2",
     ] + [f"{item.regex}" for item in LIBRARY]
     frame = spark.createDataFrame([(text,) for text in texts], "content string")
     bare = [Pattern(item.name, item.regex, item.ignore_case) for item in LIBRARY]
