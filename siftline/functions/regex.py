@@ -171,8 +171,10 @@ class _Translator:
         elif char == "{" and (found := _REPEAT.match(self.text, self.at)):
             self.counted_repeat(found)
         elif char == "[":
+            leads = len(self.scopes) == 1 and self.last is None
             content = self.bracket()
-            self.put(content.java(), content.python())
+            repeated = self.text[self.at:self.at + 1] in ("+", "*")
+            self.put((_run_start(content) if leads and repeated else "") + content.java(), content.python())
         elif char == "\\":
             self.escape()
         else:
@@ -363,6 +365,16 @@ class _Translator:
             content.ranges.append((low, high))
 
 
+def _run_start(content):
+    """Where an alternative that starts with a repeated class may begin to match.
+
+    The leftmost match begins where a run of the class begins, or where the search resumed:
+    otherwise the character before it would begin a match too.  Java would try every character
+    of the run, which takes quadratic time on long runs.
+    """
+    return rf"(?:\G|(?<!{content.java()}))"
+
+
 def _property(found):
     name = found[3] or found[4]
     negated = (found[1] == "P") != bool(found[2])

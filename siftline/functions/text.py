@@ -12,7 +12,7 @@ def strip_carriage_return(line: Column) -> Column:
 
 def trim_space(text: Column) -> Column:
     """Text without leading and trailing Unicode white space."""
-    return F.regexp_replace(text, r"(?U)^\s+|\s+\z", "")
+    return F.regexp_replace(text, r"(?U)\A\s++|(?<!\s)\s++\z", "")
 
 
 def unescape(text: Column) -> Column:

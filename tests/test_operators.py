@@ -62,6 +62,7 @@ def test_decoders(spark):
     assert column(texts(spark, ["1.2.3.4 x 999.1.1.1", "x"]), decode.dotted_quads(F.col("t"))) == ["1.2.3.4\n999.1.1.1", ""]
     assert column(texts(spark, ['{"tech":["a","b"]}', "{}", "x"]), decode.technologies(F.col("t"))) == ["a\nb", "None", "None"]
     assert column(texts(spark, ["a" * 32, "a" * 40, "a" * 64, "a"]), decode.hash_kind(F.col("t"))) == ["MD5", "SHA1", "SHA256", "Unknown"]
+    assert column(texts(spark, ["x" + " " * 300_000 + "y"]), F.length(trim_space(F.col("t")))) == [300_002]
     assert column(texts(spark, [" \n a b　\u0085\t", " "]), trim_space(F.col("t"))) == ["a b", ""]
 
 

@@ -16,11 +16,13 @@ PATTERNS = [
     r"a(?i)b|c", r"(a(?i)b)c", r"(?i:ab)C", r"(?-s).", r"(?i)a(?-i)b", r"\Qa.b\E+", r"\x41+", r"\x{e9}+", r"\101", r"\t|\v|\f",
     r"\pL+", r"\p{Greek}+", r"[\p{Lu}0-9]+", r"\PL+", r"a*?b", r"(a*)+b", r"((a)|b)*", r"(?:ab|c)+d", r"\A.|.\z", r"\.|\_",
     r"([A-Z][a-z]+ )+[A-Z][a-z]+", r"[^a]", r"(a)?(b)?(c)?", r"|a", r"a||b", r"(|a)+", r"\+\?\(\)", r"}]", r"[a-c-e]+",
+    r"[a-z0-9_/\.:-]+@[a-z0-9-]+\.[a-z0-9.-]+", r"[ab]*c", r"[ab]+?c|[cd]+a", r"(?i)[k-s]+x|[A-C]+", r"[^a]+a", r"x|[ab]*", r"([ab]+)c",
 ]
 TEXTS = [
     "a:12:{x}", "xxxx x{,3}", "line one\nline two\r\nthree four", "a\n", "b\nb\n\nb", "foo éfoo foo_ foo", "[a&b]&&", "]a-z]",
     "abc ABC aBc abcd", "KKk ſs S kKſ", "strasse STRASSE", "a.b.b", "Ac Bd", "ééÉ", "αβγ Ω", "tab\tvt\x0bff\x0c",
     "aaab abab cabd", "New York Mills and San Luis Obispo", "", "a", "π\U0001f600x", "}]+?()", "1.2.3.4 10.0.0.256", "_._",
+    "a@b.c:d@e.f/x:y@z.w aabbcabcacdda", "abcabc aabb cc",
 ]
 # Known difference: after an iteration that matched nothing, Java and Python leave the group empty
 # where RE2 keeps the iteration before; the whole matches are the same.

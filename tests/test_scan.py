@@ -61,6 +61,12 @@ def test_deep_pattern_on_a_long_text(records):
         sorted((len(row["content"]), row["matches"][1]) for row in found) == [(1, ""), (40_001, "b")]
 
 
+def test_long_run_before_a_missing_character(records):
+    """A class that leads a pattern is tried once per run, not once per character."""
+    text = "a" * 1_000_000 + " user@host.com " + "b" * 1_000_000
+    assert [row["content"] for row in scan(records(text), select_patterns(LIBRARY, "http-auth,s3-buckets")).collect()] == ["user@host.com"]
+
+
 def test_unusable_pattern_is_skipped(records):
     patterns = [Pattern("bad", "(?=a)"), IP]
     assert [item.name for item, _ in compile_patterns(patterns)] == ["ip"]
