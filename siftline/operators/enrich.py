@@ -197,6 +197,7 @@ def enrich_saved(findings: DataFrame, chain: Iterable[Enricher | Lookup], **opti
 # Ids and labels of the enrichers and the text they produce.
 ENRICHERS: dict[str, Enricher] = {step.id: step for step in [
     Enricher("b64_decode", "decoded", decode.base64_text),
+    Enricher("b64-decode", "Decoded Content", decode.base64_text, apply_to=("base64", "api-keys")),
     Enricher("url_decode", "decoded", decode.percent_decode),
     Enricher("html_unescape", "unescaped", decode.html_text),
     Enricher("jwt_decode", "jwt_data", decode.jwt_text),

@@ -17,6 +17,8 @@ from siftline.sources.tables import lines_of, read_table_records, spread_rows
 # Patterns of the queries' own, besides the library.
 WORDS = Pattern("words", r"\b(token|password|auth|import|func|package|var|const|class|AKIA)\b ?[A-Za-z]*")
 TITLES = Pattern("titles", r"([A-Z][a-z]+ )+[A-Z][a-z]+")
+ENTITIES = Pattern("entities", r"&[a-z]+;", needs=("&",))
+KEYED = Pattern("keyed", r"(?s)^[0-9]+\t.*")
 DIGITS = Pattern("digits", r"[0-9]+")
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from siftline.operators.classify import DEFAULT_SMOOTHING, DEFAULT_TEXTS
 from siftline.operators.library import LIBRARY
 from siftline.operators.patterns import Pattern, select_patterns
-from siftline.plans.inputs import DIGITS, TITLES, WORDS
+from siftline.plans.inputs import DIGITS, ENTITIES, TITLES, WORDS
 
 
 def text(value: str) -> str:
@@ -205,6 +205,13 @@ UNION ALL SELECT doc_id, 'php-sinks', i, g0[i+1] || '|' || g1[i+1] FROM (
         ),
         "pattern_hits": library_counts(),
         "diagnose_events": diagnose_events(),
+        "diagnose_csv": f"""
+SELECT c_custkey, 'parse' AS stage, '' AS subject, 'ok' AS outcome, '3' AS detail FROM customer
+UNION ALL SELECT c_custkey, 'target', '1', 'found', '' FROM customer
+UNION ALL SELECT c_custkey, 'target', '2', 'found', '' FROM customer
+UNION ALL SELECT c_custkey, 'target', '3', 'missing', '' FROM customer
+UNION ALL SELECT c_custkey, 'pattern', 'digits', 'hit', len(regexp_extract_all(v, {regex(DIGITS)}))::VARCHAR
+  FROM (SELECT c_custkey, unnest([c_name, c_mktsegment]) AS v FROM customer) WHERE regexp_matches(v, {regex(DIGITS)})""",
         "entropy": f"SELECT page_id, ordinal, content, {entropy('content')} AS entropy FROM {page_strings}",
         "high_entropy": f"SELECT * FROM (SELECT page_id, ordinal, content, {entropy('content')} AS entropy FROM {page_strings}) "
                         "WHERE entropy >= 3.5",
@@ -221,7 +228,21 @@ scored AS (SELECT doc_id, any_value(p0) + coalesce(sum(CASE WHEN token IS NOT NU
            FROM documents LEFT JOIN {words("documents", "doc_id", "text")} w USING (doc_id) LEFT JOIN counts USING (token), size, prior
            GROUP BY doc_id)
 SELECT doc_id, CASE WHEN s1 >= s0 THEN '1' ELSE '0' END AS label, round(s0, 3) AS score_0, round(s1, 3) AS score_1 FROM scored""",
+        "classifier_ngrams": f"""
+SELECT token, round(ln((sum((role = 'assistant')::INT) + {ALPHA}) / {ALPHA}), 9) AS gain_assistant,
+       round(ln((sum((role = 'user')::INT) + {ALPHA}) / {ALPHA}), 9) AS gain_user
+FROM (SELECT role, CASE WHEN len(text) < 2 THEN text ELSE substr(text, i, 2) END AS token
+      FROM (SELECT role, text, unnest(range(1, greatest(len(text), 2))) AS i FROM conversations)) GROUP BY token""",
         "smart_filter": smart(),
+        "smart_filter_fitted": f"""
+WITH {MODEL},
+found AS (SELECT * FROM {hits("conversations", "conv_id, turn", "text", named("all_lines"))}),
+scored AS (SELECT content, any_value(p0) + coalesce(sum(CASE WHEN token IS NOT NULL THEN ln((coalesce(n0, 0) + {ALPHA}) / (t0 + {ALPHA} * v)) END), 0) AS s0,
+           any_value(p1) + coalesce(sum(CASE WHEN token IS NOT NULL THEN ln((coalesce(n1, 0) + {ALPHA}) / (t1 + {ALPHA} * v)) END), 0) AS s1
+           FROM (SELECT DISTINCT content FROM found) d
+           LEFT JOIN {words("(SELECT DISTINCT content FROM found)", "content", "content")} w USING (content)
+           LEFT JOIN counts USING (token), size, prior GROUP BY content)
+SELECT conv_id, turn, ordinal, content FROM found JOIN scored USING (content) WHERE s1 >= s0""",
         "jsonl_fields": " UNION ALL ".join(
             f"SELECT event_id::VARCHAR AS record_id, '{target}' AS target, {value} AS content, 'events:' || event_id AS file "
             "FROM events WHERE event_type = 'click'" for target, value in (
@@ -269,6 +290,12 @@ UNION ALL SELECT doc_id, line, content FROM {DOCUMENT_LINES} WHERE content = ''"
                            "replace(text, ' ', '+') || ' 8.8.8.8 and 10.1.2.3|hash_id=MD5' AS outputs FROM conversations WHERE text <> ''",
         "enrich_json": """SELECT event_id, 'jq_pretty={"k":' || json_extract_string(props, '$.k') || '}|extract_tech=None' AS outputs """
                        "FROM events",
+        "enrich_tokens": """
+SELECT event_id, 'token' AS target, 'jwt_decode={"alg":"' || event_type || '"}' || props AS outputs FROM events
+UNION ALL SELECT event_id, 'string', 'unquote_json=' || props FROM events""",
+        "enrich_html": f"SELECT page_id, ordinal, content, 'html_unescape=' || html_unescaped AS outputs FROM "
+                       f"(SELECT *, CASE content WHEN '&amp;' THEN '&' WHEN '&lt;' THEN '<' WHEN '&gt;' THEN '>' WHEN '&quot;' THEN '\"' "
+                       f"ELSE content END AS html_unescaped FROM {hits('pages', 'page_id', 'html', [ENTITIES])})",
         "enrich_lookup": f"WITH hosts AS (SELECT split_part(url, '/', 3) AS host, count(*) AS n FROM pages GROUP BY 1) "
                          f"SELECT page_id, content, 'extract_domain=' || host || '|whois=pages:' || n AS outputs "
                          f"FROM {url_hits} JOIN hosts ON host = {HOST}",
@@ -298,6 +325,7 @@ SELECT 'conversations' AS source_file, count(*) AS records, sum(strlen(v))::BIGI
   (SELECT role AS v FROM conversations WHERE role <> '' UNION ALL SELECT text FROM conversations WHERE text <> '')
 UNION ALL SELECT 'pages', count(*), sum(strlen(html))::BIGINT FROM pages WHERE html <> ''""",
         "summary": f"SELECT pattern, count(*) AS hits, count(DISTINCT content) AS distinct_contents FROM {DOCUMENT_HITS} GROUP BY pattern",
+        "stream_numbered": f"SELECT doc_id, line, content FROM {DOCUMENT_LINES}",
         "stream_scan": f"SELECT pattern, ordinal, content, {entropy('content')} AS entropy FROM "
                        + hits(f"(SELECT doc_id || chr(9) || content AS t FROM {DOCUMENT_LINES})", "1", "t", named("ip,http-auth")),
         "stream_unique": "SELECT DISTINCT pattern, content FROM "

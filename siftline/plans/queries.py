@@ -19,7 +19,7 @@ from siftline.operators.scan import as_findings, grep_lines, hits_per_pattern, s
 from siftline.operators.summary import scan_progress, scan_summary, total_hits
 from siftline.session import stored
 from siftline.plans.inputs import (
-    DIGITS, TITLES, WORDS, document_findings, document_lines, documents, event_lines, library, new_folder, pages,
+    DIGITS, ENTITIES, KEYED, TITLES, WORDS, document_findings, document_lines, documents, event_lines, library, new_folder, pages,
     table, turns, written_lines,
 )
 from siftline.sinks.outputs import (
@@ -37,7 +37,7 @@ from siftline.sources.lines import read_lines
 from siftline.sources.prepare import transform_fields, unescape_content
 from siftline.sources.presets import PRESETS
 from siftline.sources.tables import read_table_records
-from siftline.streaming.streams import run_available, scan_stream, stream_lines, unique_stream
+from siftline.streaming.streams import run_available, scan_numbered, scan_stream, stream_lines, unique_stream
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -125,6 +125,17 @@ def diagnose_events(spark, folder):
     return verdicts.select(F.col("line").alias("event_id"), "stage", "subject", "outcome", "detail")
 
 
+@query
+def diagnose_csv(spark, folder):
+    lines = table(spark, folder, "customer").select(
+        F.concat_ws(";", "c_custkey", F.concat(F.lit('"'), "c_name", F.lit('"')), "c_mktsegment").alias("value"),
+        F.lit("customer").alias("file"), F.col("c_custkey").alias("line"),
+    )
+    config = InputConfig(format="csv", csv=CsvConfig(separator=";", target_indices=(1, 2, 3)))
+    verdicts = diagnose(lines, [DIGITS], config)
+    return verdicts.select(F.col("line").alias("c_custkey"), "stage", "subject", "outcome", "detail")
+
+
 # Scoring and pruning.
 
 @query
@@ -180,6 +191,23 @@ def smart_filter(spark, folder):
     return found.select("doc_id", "ordinal", "content")
 
 
+@query
+def classifier_ngrams(spark, folder):
+    talk = table(spark, folder, "conversations").select("text", F.col("role").alias("label"))
+    model = fit_text_classifier(talk, ngram=2)
+    return model.gains.select("token", *[
+        F.round(F.col("gains")[index], 9).alias(f"gain_{label}") for index, label in enumerate(model.labels)
+    ])
+
+
+@query
+def smart_filter_fitted(spark, folder):
+    """Lines of conversations that a model fitted to documents puts in the class of good quality."""
+    found = scan(turns(spark, folder, "text"), library("all_lines"))
+    kept = only_high_interest(found, fit_text_classifier(_quality(spark, folder)), "1", ["conv_id", "turn", "ordinal"])
+    return kept.select("conv_id", "turn", "ordinal", "content")
+
+
 # Records.
 
 @query
@@ -371,6 +399,26 @@ def enrich_json(spark, folder):
     return enrich(found, [ENRICHERS["jq_pretty"], ENRICHERS["extract_tech"]]).select("event_id", outputs())
 
 
+@query
+def enrich_tokens(spark, folder):
+    """Events as web tokens and as JSON strings."""
+    def coded(text):
+        return F.rtrim(F.translate(F.base64(F.encode(text, "UTF-8")), "+/\r\n", "-_"), F.lit("="))
+
+    events = table(spark, folder, "events").withColumns({
+        "token": F.concat_ws(".", coded(F.concat(F.lit('{"alg":"'), "event_type", F.lit('"}'))), coded(F.col("props")), F.lit("x")),
+        "string": F.concat(F.lit('"'), F.replace("props", F.lit('"'), F.lit('\\"')), F.lit('"')),
+    })
+    found = scan(read_table_records(events, "event_id", ["token", "string"], "events", ["event_id"]), library("all_lines"))
+    return enrich(found, [ENRICHERS["jwt_decode"], ENRICHERS["unquote_json"]]).select("event_id", "target", outputs())
+
+
+@query
+def enrich_html(spark, folder):
+    found = scan(pages(spark, folder, "html"), [ENTITIES])
+    return enrich(found, [ENRICHERS["html_unescape"]]).select("page_id", "ordinal", "content", outputs())
+
+
 @query
 def enrich_lookup(spark, folder):
     """Registrar of a URL's host, from a table of hosts."""
@@ -486,6 +534,23 @@ def summary(spark, folder):
 
 # Streaming.
 
+@query
+def stream_numbered(spark, folder):
+    """Lines found by a stream with their numbers, made relative to each document."""
+    source, target = written_lines(spark, folder), new_folder(spark)
+
+    def sink(found, number):
+        found.select("content", "line").write.mode("overwrite").parquet(f"{target}/batch={number}")
+
+    scan_numbered(spark, source, [KEYED], f"{target}-checkpoint", sink, max_files=3).awaitTermination()
+    lines = spark.read.schema("content string, line bigint").parquet(target).select(
+        F.split_part("content", F.lit("\t"), F.lit(1)).cast("bigint").alias("doc_id"),
+        F.expr("substring(content, instr(content, '\t') + 1)").alias("content"), "line",
+    )
+    first = lines.groupBy("doc_id").agg(F.min("line").alias("first"))
+    return lines.join(first, "doc_id").select("doc_id", (F.col("line") - F.col("first") + 1).alias("line"), "content")
+
+
 @query
 def stream_scan(spark, folder):
     """Files of document lines scanned as a stream, to the end."""

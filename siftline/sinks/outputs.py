@@ -59,14 +59,15 @@ def report_entries(findings: DataFrame) -> DataFrame:
 def markdown_report(findings: DataFrame, title: str = REPORT_TITLE) -> DataFrame:
     """The report's texts in reading order: the title, then entries by pattern, file and line.
 
-    Sorting reads its input twice, so the entries are stored first.
+    Sorting reads its input twice, so the entries are stored first, with a number that lets
+    equal ones go to several tasks.
     """
-    order = ("_part", "pattern", "file", "line", "content")
+    order = ("_part", "pattern", "file", "line", "content", "_row")
     entries = stored(findings.select(
         F.lit(1).alias("_part"), "pattern", "file", F.col("line").cast("bigint").alias("line"), "content",
-        report_entry().alias("value"),
+        report_entry().alias("value"), F.monotonically_increasing_id().alias("_row"),
     ))
-    head = findings.sparkSession.createDataFrame([(0, None, None, None, None, title)], entries.schema)
+    head = findings.sparkSession.createDataFrame([(0, None, None, None, None, title, None)], entries.schema)
     return head.unionByName(entries).orderBy(*order).select("value")
 
 

@@ -28,8 +28,8 @@ ROWS_PER_GROUP = 100_000
 
 
 @dataclass(frozen=True)
-class _Grammar:
-    """Regular expressions for one separator."""
+class Grammar:
+    """Regular expressions for rows with one separator character."""
 
     separator: str
 
@@ -71,7 +71,7 @@ class _Grammar:
         )
 
 
-def _tested(rows: DataFrame, grammar: _Grammar) -> DataFrame:
+def _tested(rows: DataFrame, grammar: Grammar) -> DataFrame:
     value = F.col("value")
     return rows.withColumns({"_complete": grammar.complete(value), "_closes": grammar.closes(value)})
 
@@ -142,7 +142,7 @@ def line_joiner() -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
     return join_lines
 
 
-def assemble_rows(lines: DataFrame, grammar: _Grammar) -> DataFrame:
+def assemble_rows(lines: DataFrame, grammar: Grammar) -> DataFrame:
     """(_path, _block, value) lines of whole files → (_path, _row, value) rows, blank lines left out.
 
     The first pass sends two flags per line through Python, the second the text, both within the
@@ -178,7 +178,7 @@ def _placed(rows: DataFrame) -> DataFrame:
     return rows.withColumns({"_part": F.spark_partition_id(), "_index": row_in_task()})
 
 
-def _widths(rows: DataFrame, grammar: _Grammar) -> DataFrame:
+def _widths(rows: DataFrame, grammar: Grammar) -> DataFrame:
     """Number of lines of each block per number of cells, and whether a line leaves a cell open.
 
     A few rows per block, stored so that the files are read once for it.
@@ -192,7 +192,7 @@ def _widths(rows: DataFrame, grammar: _Grammar) -> DataFrame:
     ))
 
 
-def _line_rows(lines: DataFrame, widths: DataFrame, grammar: _Grammar, config: CsvConfig) -> DataFrame:
+def _line_rows(lines: DataFrame, widths: DataFrame, grammar: Grammar, config: CsvConfig) -> DataFrame:
     """Rows of files in which every line is a row: (cells, line, _path)."""
     # The first row of a file sets the number of cells of all.
     heads = widths.groupBy("_path").agg(F.min(F.struct("_block", "first", "_width")).alias("_head")).select(
@@ -213,7 +213,7 @@ def _line_rows(lines: DataFrame, widths: DataFrame, grammar: _Grammar, config: C
     return add_shift(kept.withColumn("_index", row_in_task()), shifts(blocks)).select("cells", "line", "_path")
 
 
-def _multi_line_rows(lines: DataFrame, grammar: _Grammar, config: CsvConfig) -> DataFrame:
+def _multi_line_rows(lines: DataFrame, grammar: Grammar, config: CsvConfig) -> DataFrame:
     """Rows of files in which some cell holds a line break: (cells, line, _path)."""
     rows = assemble_rows(lines, grammar).select("_path", "_row", grammar.cells(F.col("value")).alias("cells"))
     group = F.floor(F.col("_row") / ROWS_PER_GROUP)
@@ -273,7 +273,7 @@ def read_csv_records(
     lines.  Building the reader runs one pass over the files (three more over those with
     multi-line cells); file names, but no data, come to the driver.
     """
-    grammar = _Grammar((config.separator or ",")[0])
+    grammar = Grammar((config.separator or ",")[0])
 
     def read(some):
         rows = raw_lines(spark, some, **files)

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from collections.abc import Sequence
+
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from siftline.functions.fields import field, is_json_object, parse_json, filter_equals
 from siftline.model import WHOLE_LINE, InputConfig
 from siftline.session import configure
+from siftline.sources.lines import read_lines
 from siftline.sources.tables import fan_out_targets
 
 
@@ -36,3 +39,8 @@ def jsonl_records(lines: DataFrame, config: InputConfig) -> DataFrame:
         ],
     )
     return fan_out_targets(rows, {name: F.col(column) for name, column in names.items()}, wanted=F.col("_wanted"))
+
+
+def read_jsonl_records(spark: SparkSession, paths: str | Sequence[str], config: InputConfig, **options) -> DataFrame:
+    """Records of JSON lines files."""
+    return jsonl_records(read_lines(spark, paths, **options), config)

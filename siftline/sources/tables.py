@@ -53,7 +53,7 @@ def spread_rows(table: DataFrame) -> DataFrame:
     cores = table.sparkSession.sparkContext.defaultParallelism
     if table.isStreaming or len(table.inputFiles()) >= cores or table.rdd.getNumPartitions() >= cores:
         return table
-    return table.repartition(cores, table.columns[0])
+    return table.repartition(cores)
 
 
 def read_table_records(

@@ -14,7 +14,7 @@ from siftline.functions import decode
 from siftline.functions.skew import fits_broadcast, salted_left_join
 from siftline.functions.template import render_placeholders
 from siftline.functions.text import trim_space
-from siftline.model import InputConfig
+from siftline.model import CsvConfig, InputConfig
 from siftline.operators.classify import (
     DEFAULT_SMOOTHING, DEFAULT_TEXTS, classify_text, default_model, fit_text_classifier, only_high_interest, tokens,
 )
@@ -244,6 +244,21 @@ def test_diagnose(spark):
     assert sorted((row["line"], row["detail"]) for row in whole.filter("stage = 'pattern'").collect()) == [(1, "1"), (3, "1")]
 
 
+def test_diagnose_csv(spark):
+    rows = ['a,"1.1.1.1 ""x""",\\\\n', "", 'open,"cell', "short"]
+    frame = spark.createDataFrame([(text, "f", at) for at, text in enumerate(rows, 1)], "value string, file string, line bigint")
+    config = InputConfig(format="csv", csv=CsvConfig(target_indices=(1, 2)), decode=True, transforms={"2": F.upper})
+    got = sorted(tuple(row)[1:] for row in diagnose(frame, [IP], config).collect())
+    assert got == sorted([
+        (1, "parse", "", "ok", "3"), (1, "target", "1", "found", ""), (1, "decode", "1", "done", "11 -> 11"),
+        (1, "pattern", "ip", "hit", "1"), (1, "target", "2", "found", ""), (1, "decode", "2", "done", "3 -> 2"),
+        (1, "transform", "2", "done", ""), (2, "parse", "", "empty", ""), (3, "parse", "", "failed", ""),
+        (4, "parse", "", "ok", "1"), (4, "target", "1", "missing", ""), (4, "target", "2", "missing", ""),
+    ])
+    every = diagnose(frame, [IP], InputConfig(format="csv")).filter("stage = 'target'")
+    assert sorted((row["line"], row["subject"]) for row in every.collect()) == [(1, "0"), (1, "1"), (1, "2"), (4, "0")]
+
+
 def test_rewrite(spark, tmp_path):
     rows = ['{"b": {"c": "x", "n": 1.50}, "a": "y"}', "not json", '{"z": [1, {"q": null}], "b": 5}', "null"]
     frame = texts(spark, rows).withColumnRenamed("t", "value")
