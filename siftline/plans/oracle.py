@@ -230,6 +230,7 @@ scored AS (SELECT doc_id, any_value(p0) + coalesce(sum(CASE WHEN token IS NOT NU
 SELECT doc_id, CASE WHEN s1 >= s0 THEN '1' ELSE '0' END AS label, round(s0, 3) AS score_0, round(s1, 3) AS score_1 FROM scored""",
         "classifier_ngrams": f"""
 SELECT token, round(ln((sum((role = 'assistant')::INT) + {ALPHA}) / {ALPHA}), 9) AS gain_assistant,
+       round(ln((sum((role = 'system')::INT) + {ALPHA}) / {ALPHA}), 9) AS gain_system,
        round(ln((sum((role = 'user')::INT) + {ALPHA}) / {ALPHA}), 9) AS gain_user
 FROM (SELECT role, CASE WHEN len(text) < 2 THEN text ELSE substr(text, i, 2) END AS token
       FROM (SELECT role, text, unnest(range(1, greatest(len(text), 2))) AS i FROM conversations)) GROUP BY token""",
@@ -293,9 +294,10 @@ UNION ALL SELECT doc_id, line, content FROM {DOCUMENT_LINES} WHERE content = ''"
         "enrich_tokens": """
 SELECT event_id, 'token' AS target, 'jwt_decode={"alg":"' || event_type || '"}' || props AS outputs FROM events
 UNION ALL SELECT event_id, 'string', 'unquote_json=' || props FROM events""",
-        "enrich_html": f"SELECT page_id, ordinal, content, 'html_unescape=' || html_unescaped AS outputs FROM "
-                       f"(SELECT *, CASE content WHEN '&amp;' THEN '&' WHEN '&lt;' THEN '<' WHEN '&gt;' THEN '>' WHEN '&quot;' THEN '\"' "
-                       f"ELSE content END AS html_unescaped FROM {hits('pages', 'page_id', 'html', [ENTITIES])})",
+        "enrich_html": f"""
+SELECT page_id, ordinal, content, 'html_unescape=' || CASE content WHEN '&amp;' THEN '&' WHEN '&lt;' THEN '<' WHEN '&gt;' THEN '>'
+  WHEN '&quot;' THEN '"' WHEN '&copy;' THEN '©' WHEN '&middot;' THEN '·' ELSE content END AS outputs
+FROM {hits('pages', 'page_id', 'html', [ENTITIES])}""",
         "enrich_lookup": f"WITH hosts AS (SELECT split_part(url, '/', 3) AS host, count(*) AS n FROM pages GROUP BY 1) "
                          f"SELECT page_id, content, 'extract_domain=' || host || '|whois=pages:' || n AS outputs "
                          f"FROM {url_hits} JOIN hosts ON host = {HOST}",
