@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from siftline.functions import decode
 from siftline.functions.regex import PatternError, translate_regex
+from siftline.functions.search import first_match
 from siftline.functions.skew import SALTS, fits_broadcast, measure, salted_left_join
 from siftline.functions.template import main_match, render_placeholders, tool_value
 from siftline.functions.text import trim_space
@@ -68,7 +69,7 @@ def sub_extract(match: Column, expression: str) -> Column:
     if not expression:
         return match
     try:
-        found = F.regexp_extract(match, translate_regex(expression).java, 0)
+        found = first_match(match, translate_regex(expression))
     except PatternError:
         return F.lit(None).cast("string")
     return F.nullif(found, F.lit(""))

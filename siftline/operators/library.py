@@ -25,8 +25,7 @@ LIBRARY: list[Pattern] = [
     pattern("cors", ["Access-Control-Allow"], flags="-HnriE"),
     pattern(
         "debug-pages",
-        r"""(Application-Trace|Routing Error|DEBUG"? ?[=:] ?True|Caused by:|stack trace:|Microsoft .NET Framework"""
-        r"""|Traceback|[0-9]:in `|#!/us|WebApplicationException|java\.lang\.|phpinfo|swaggerUi|on line [0-9]|SQLSTATE)""",
+        r"""(Application-Trace|Routing Error|DEBUG"? ?[=:] ?True|Caused by:|stack trace:|Microsoft .NET Framework|Traceback|[0-9]:in `|#!/us|WebApplicationException|java\.lang\.|phpinfo|swaggerUi|on line [0-9]|SQLSTATE)""",
         flags="-HnraiE",
         needs=[
             "application-trace", "routing error", "debug", "caused by:", "stack trace:", "microsoft ", "traceback",
@@ -54,8 +53,7 @@ LIBRARY: list[Pattern] = [
     ),
     pattern(
         "json-sec",
-        r"""(\\?"|&quot;|%22)[a-z0-9_-]*(api[_-]?key|S3|aws_|secret|passw|auth)[a-z0-9_-]*(\\?"|&quot;|%22): ?"""
-        r"""(\\?"|&quot;|%22)[^"&]+(\\?"|&quot;|%22)""",
+        r"""(\\?"|&quot;|%22)[a-z0-9_-]*(api[_-]?key|S3|aws_|secret|passw|auth)[a-z0-9_-]*(\\?"|&quot;|%22): ?(\\?"|&quot;|%22)[^"&]+(\\?"|&quot;|%22)""",
         flags="-harioE",
         needs=['":', "&quot;:", "%22:"],
     ),
@@ -83,8 +81,7 @@ LIBRARY: list[Pattern] = [
     pattern("php-serialized", ["a:[0-9]+:{", 'O:[0-9]+:"', 's:[0-9]+:"'], flags="-HnrE", needs=["a:", "O:", "s:"]),
     pattern(
         "php-sinks",
-        r"[^a-z0-9_](system|exec|popen|pcntl_exec|eval|create_function|unserialize|file_exists|md5_file|filemtime"
-        r"|filesize|assert) ?\(",
+        r"[^a-z0-9_](system|exec|popen|pcntl_exec|eval|create_function|unserialize|file_exists|md5_file|filemtime|filesize|assert) ?\(",
         flags="-HnriE",
         needs=["("],
     ),
@@ -109,8 +106,7 @@ LIBRARY: list[Pattern] = [
     ),
     pattern(
         "sec",
-        r"(aws_access|aws_secret|api[_-]?key|ListBucketResult|S3_ACCESS_KEY|Authorization:|RSA PRIVATE|Index of|aws_"
-        r"|secret|ssh-rsa AA)",
+        r"(aws_access|aws_secret|api[_-]?key|ListBucketResult|S3_ACCESS_KEY|Authorization:|RSA PRIVATE|Index of|aws_|secret|ssh-rsa AA)",
         flags="-HanriE",
         needs=[
             "aws_", "api", "listbucketresult", "s3_access_key", "authorization:", "rsa private", "index of", "secret",

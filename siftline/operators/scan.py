@@ -2,15 +2,14 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Callable, Iterable
 from functools import reduce
 from operator import and_, or_
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from siftline.functions.regex import Regex, translate_regex
+from siftline.functions.search import count_matches, every_match, group_arrays, has_match, runs_in_python
 from siftline.functions.text import shannon_entropy
 from siftline.model import FINDING, TOOL_OUTPUT
 from siftline.operators.patterns import Pattern, compile_patterns
@@ -18,31 +17,6 @@ from siftline.operators.patterns import Pattern, compile_patterns
 HITS = "array<struct<pattern:string,ordinal:int,matches:array<string>>>"
 
 
-def _find_all(expression: str) -> Callable[[pd.Series], pd.Series]:
-    """A pandas function giving every match with its groups, for patterns too deep for Java."""
-
-    def find(texts: pd.Series) -> pd.Series:
-        compiled = re.compile(expression)
-
-        def matches(text):
-            found, at = [], 0
-            while text is not None and at <= len(text) and (match := compiled.search(text, at)):
-                if match.end() > match.start():
-                    found.append([group or "" for group in (match[0], *match.groups())])
-                    at = match.end()
-                else:
-                    at = match.end() + 1
-            return found
-
-        return texts.map(matches)
-
-    return find
-
-
-def _group_arrays(content: Column, regex: Regex) -> list[Column]:
-    return [F.regexp_extract_all(content, F.lit(regex.java), F.lit(group)) for group in range(regex.groups + 1)]
-
-
 def may_match(content: Column, pattern: Pattern) -> Column | None:
     """A cheap test that is true for every text the pattern matches; None where there is none."""
     if not pattern.needs and not pattern.sieve:
@@ -74,12 +48,11 @@ def scan(records: DataFrame, patterns: Iterable[Pattern], content: str = "conten
         first = f"_g{index}_0"
         hit = F.size(first) > 0
         guard = may_match(text, pattern)
-        if regex.deep and regex.python is not None:
-            find = F.pandas_udf(_find_all(regex.python), "array<array<string>>")
-            whole[first] = find(text if guard is None else F.when(guard, text))
+        if runs_in_python(regex):
+            whole[first] = every_match(text if guard is None else F.when(guard, text), regex)
             rows = F.transform(first, _hit(pattern.name, lambda match: match))
         else:
-            groups = _group_arrays(text, regex)
+            groups = group_arrays(text, regex)
             whole[first] = groups[0] if guard is None else F.when(guard, groups[0])
             names = [f"_g{index}_{group}" for group in range(len(groups))]
             parts.update({name: F.when(hit, group) for name, group in zip(names[1:], groups[1:])})
@@ -126,7 +99,7 @@ def as_findings(found: DataFrame) -> DataFrame:
 
 def _test(content: Column, pattern: Pattern, regex: Regex) -> Column:
     guard = may_match(content, pattern)
-    matched = F.rlike(content, F.lit(regex.java))
+    matched = has_match(content, regex)
     return matched if guard is None else guard & matched
 
 
@@ -144,8 +117,7 @@ def grep_lines(records: DataFrame, patterns: Iterable[Pattern], content: str = "
 
 def _hits(content: Column, pattern: Pattern, regex: Regex) -> Column:
     """Number of matches of a pattern in a content; zero-length matches do not count."""
-    found = F.regexp_extract_all(content, F.lit(regex.java), F.lit(0))
-    hits = F.coalesce(F.size(F.filter(found, lambda match: match != "")), F.lit(0))
+    hits = F.coalesce(count_matches(content, regex), F.lit(0))
     guard = may_match(content, pattern)
     return hits if guard is None else F.when(guard, hits).otherwise(0)
 

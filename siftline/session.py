@@ -9,9 +9,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def configure(spark: SparkSession) -> SparkSession:
-    """Settings that change answers: the last of several equal JSON keys wins; times are UTC."""
+    """Settings that answers rest on.
+
+    The last of several equal JSON keys wins.  Files are cut into the same blocks however many
+    executors are up, for line numbers join two passes over them.
+    """
     spark.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
-    spark.conf.set("spark.sql.session.timeZone", "UTC")
+    if spark.conf.get("spark.sql.files.minPartitionNum", None) is None:
+        spark.conf.set("spark.sql.files.minPartitionNum", str(spark.sparkContext.defaultParallelism))
     return spark
 
 
@@ -23,6 +28,7 @@ def build_session(master: str, app: str = "siftline", **settings: str) -> SparkS
         .config("spark.ui.enabled", "false")
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.driver.memory", "12g")
+        .config("spark.sql.session.timeZone", "UTC")
     )
     if cores.isdigit():
         builder = builder.config("spark.sql.shuffle.partitions", cores)

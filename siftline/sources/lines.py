@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from siftline.functions.decode import percent_decode
 from siftline.functions.text import strip_carriage_return
+from siftline.session import configure
 
 #: Most blocks numbered by one broadcast (64 TB in blocks of 128 MB); more files go in several parts.
 MAX_BLOCKS = 500_000
@@ -54,7 +55,7 @@ def raw_lines(
 
     ``other_than`` leaves out file names that match a regular expression.
     """
-    reader = spark.read.option("lineSep", "\n").option("recursiveFileLookup", "true")
+    reader = configure(spark).read.option("lineSep", "\n").option("recursiveFileLookup", "true")
     if glob:
         reader = reader.option("pathGlobFilter", glob)
     rows = ignore_files(reader.text(paths), ignore_extensions, ignore_names)

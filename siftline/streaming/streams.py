@@ -64,6 +64,12 @@ def run_available(findings: DataFrame, target: str, checkpoint: str, format: str
     )
 
 
+def stream_progress(query: StreamingQuery) -> tuple[int, int]:
+    """Micro-batches and lines that a query has read since it was started, as far as it remembers them."""
+    batches = {step["batchId"]: step["numInputRows"] for step in query.recentProgress}
+    return len(batches), sum(batches.values())
+
+
 def scan_numbered(
     spark: SparkSession, folder: str, patterns: Iterable[Pattern], checkpoint: str,
     sink: Callable[[DataFrame, int], None], config: InputConfig = InputConfig(), max_files: int | None = None,

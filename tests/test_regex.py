@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from siftline.functions.regex import PatternError, translate_regex
 from siftline.operators.library import LIBRARY
 from siftline.operators.patterns import Pattern, leading_literal, literals_of, pattern
-from siftline.operators.scan import _find_all, may_match, scan
+from siftline.functions.search import match_finder
+from siftline.operators.scan import may_match, scan
 
 PATTERNS = [
     r"a:[0-9]+:{", r"x{2,3}", r"x{,3}", r".+", r".*", r"(?s).+", r"a$", r"(?m)^b", r"(?m)b$", r"(?m)^$", r"^a", r"\bfoo\b",
@@ -63,7 +64,7 @@ def test_python_text_gives_the_same_matches(spark):
         translated = translate_regex(source)
         if translated.python is None:
             continue
-        find = _find_all(translated.python)
+        find = match_finder(translated.python)
         for text in TEXTS:
             want = duckdb.execute("SELECT regexp_extract_all(?, ?, 0)", [text, source]).fetchone()[0]
             if "ſ" in text or "É" in text:

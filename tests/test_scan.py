@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from siftline.functions.text import shannon_entropy
 from siftline.model import FINDING
+from siftline.operators.enrich import sub_extract
 from siftline.operators.library import LIBRARY
 from siftline.operators.patterns import (
     Pattern, compile_patterns, load_patterns, pattern, list_patterns, select_patterns, tag_counts,
@@ -56,9 +57,13 @@ def test_groups_without_part_and_empty_matches(records):
 
 def test_deep_pattern_on_a_long_text(records):
     text = "ab" * 20_000 + "c"
-    found = scan(records(text, "c"), [pattern("p", "(a|b)*c")]).collect()
-    assert sorted((row["content"], row["matches"][1]) for row in found) == [(text, "b"), ("c", "")] or \
-        sorted((len(row["content"]), row["matches"][1]) for row in found) == [(1, ""), (40_001, "b")]
+    lines, deep = records(text, "c", "x"), [pattern("p", "(a|b)*c")]
+    found = scan(lines, deep).collect()
+    assert sorted((len(row["content"]), row["matches"][1]) for row in found) == [(1, ""), (40_001, "b")]
+    assert grep_lines(lines, deep).count() == 2
+    assert hits_per_pattern(lines, deep).first()["hits"] == 2
+    first = lines.select(sub_extract(F.col("content"), "(?:a|b)+c")).collect()
+    assert [row[0] for row in first] == [text, None, None]
 
 
 def test_long_run_before_a_missing_character(records):

@@ -273,6 +273,7 @@ def test_formats_by_name(spark, tmp_path):
     write(tmp_path / "c.txt", "t 3.3.3.3\n")
     found = scan(read_any_records(spark, str(tmp_path)), [IP])
     assert contents(found, "content", "target") == [("1.1.1.1", "$"), ("2.2.2.2", "1"), ("3.3.3.3", "$")]
+    assert contents(read_any_records(spark, [str(tmp_path / "c.txt")])) == [(1, "t 3.3.3.3")]
 
 
 def test_target_list_and_resume(spark, tmp_path):

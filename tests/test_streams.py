@@ -5,7 +5,7 @@ from siftline.operators.patterns import pattern
 from siftline.operators.prune import unique_findings
 from siftline.operators.scan import scan
 from siftline.sources.lines import read_text_records
-from siftline.streaming.streams import run_available, scan_numbered, scan_stream, stream_lines, unique_stream
+from siftline.streaming.streams import run_available, scan_numbered, scan_stream, stream_lines, stream_progress, unique_stream
 
 IP = pattern("ip", r"\d+\.\d+\.\d+\.\d+")
 SHOWN = ["file", "pattern", "ordinal", "content"]
@@ -17,7 +17,9 @@ def put(folder, name, text):
 
 
 def drain(rows, target, checkpoint):
-    run_available(rows, str(target), str(checkpoint)).awaitTermination()
+    query = run_available(rows, str(target), str(checkpoint))
+    query.awaitTermination()
+    return query
 
 
 def test_stream_equals_batch_and_goes_on_after_a_stop(spark, tmp_path):
@@ -60,7 +62,8 @@ def test_jsonl_stream(spark, tmp_path):
     put(tmp_path / "in", "a.jsonl", '{"id": "x", "data": "1.1.1.1"}\nbad 2.2.2.2\n{"id": "y", "data": "a\\\\n3.3.3.3"}\n')
     config = InputConfig(format="jsonl", targets=("data",), id="id", decode=True)
     found = scan_stream(stream_lines(spark, str(tmp_path / "in")), [pattern("p", r"(?m)^\d\S+")], config)
-    drain(found.select("record_id", "content"), tmp_path / "out", tmp_path / "check")
+    query = drain(found.select("record_id", "content"), tmp_path / "out", tmp_path / "check")
+    assert stream_progress(query)[1] == 3
     assert sorted(map(tuple, spark.read.parquet(str(tmp_path / "out")).collect())) == [("x", "1.1.1.1"), ("y", "3.3.3.3")]
 
 
