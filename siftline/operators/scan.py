@@ -14,7 +14,7 @@ from siftline.functions.text import shannon_entropy
 from siftline.model import FINDING, TOOL_OUTPUT
 from siftline.operators.patterns import Pattern, compile_patterns
 
-HITS = "array<struct<pattern:string,ordinal:int,matches:array<string>>>"
+HITS = "array<struct<pattern:string,ordinal:bigint,matches:array<string>>>"
 
 
 def may_match(content: Column, pattern: Pattern) -> Column | None:

@@ -310,7 +310,7 @@ FROM {hits('pages', 'page_id', 'html', [ENTITIES])}""",
         "text_output": f"SELECT '[' || pattern || '] ' || {file} || ':0: ' || content || chr(10) || '   ↳ reversed: ' || "
                        f"{trimmed('reverse(content)')} AS value FROM {DOCUMENT_HITS}",
         "content_output": f"SELECT content AS value FROM {DOCUMENT_HITS}",
-        "table_output": f"SELECT pattern, {file} AS file, 0 AS line, content FROM {DOCUMENT_HITS}",
+        "table_output": f"SELECT pattern, {file} AS file, 0::BIGINT AS line, content FROM {DOCUMENT_HITS}",
         "template_output": f"""
 SELECT 'ip|' || g1[i+1] || '|documents:' || doc_id || '|' || printf('%.3f', {entropy('g0[i+1]')}) || '|{{{{match[9]}}}}' AS value FROM (
   SELECT *, unnest(range(len(g0))) AS i FROM (SELECT doc_id, regexp_extract_all(text, {ip}) AS g0,

@@ -17,11 +17,11 @@ from siftline.operators.prune import min_entropy, unique_findings, unseen_findin
 from siftline.operators.rewrite import rewrite_fields
 from siftline.operators.scan import as_findings, grep_lines, hits_per_pattern, scan
 from siftline.operators.summary import scan_progress, scan_summary, total_hits
-from siftline.session import stored
 from siftline.plans.inputs import (
     DIGITS, ENTITIES, KEYED, TITLES, WORDS, document_findings, document_lines, documents, event_lines, library, new_folder, pages,
     table, turns, written_lines,
 )
+from siftline.session import stored
 from siftline.sinks.outputs import (
     findings_table, list_runs, load_run, render_template, report_entries, save_run, to_content_lines, to_text_lines,
     with_finding_ids, write_findings_json,
@@ -564,7 +564,7 @@ def stream_scan(spark, folder):
 @query
 def stream_unique(spark, folder):
     source, target = written_lines(spark, folder), new_folder(spark)
-    found = unique_stream(scan_stream(stream_lines(spark, source, max_files=3), library("ip,http-auth")))
+    found = unique_stream(scan_stream(stream_lines(spark, source), library("ip,http-auth")))
     rows = found.select("pattern", "content")
     run_available(rows, target, f"{target}-checkpoint").awaitTermination()
     return spark.read.schema(rows.schema).parquet(target)
