@@ -123,9 +123,16 @@ def fit_text_classifier(
 
 
 def default_model(spark: SparkSession) -> TextModel:
-    """The model that tells interesting matches from code."""
-    rows = [(text, label) for label, texts in DEFAULT_TEXTS.items() for text in texts]
-    return fit_text_classifier(spark.createDataFrame(rows, "text string, label string"))
+    """The model that tells interesting matches from code, fitted once per application."""
+    application = spark.sparkContext.applicationId
+    if application not in _default_models:
+        rows = [(text, label) for label, texts in DEFAULT_TEXTS.items() for text in texts]
+        training = spark.createDataFrame(rows, "text string, label string").coalesce(1)
+        _default_models[application] = fit_text_classifier(training)
+    return _default_models[application]
+
+
+_default_models: dict[str, TextModel] = {}
 
 
 def classify_text(

@@ -5,6 +5,7 @@ import math
 import random
 import re
 from collections import Counter
+from types import SimpleNamespace
 from urllib.parse import unquote
 
 import pytest
@@ -25,6 +26,7 @@ from siftline.operators.enrich import (
 from siftline.operators.patterns import pattern
 from siftline.operators.rewrite import rewrite_fields, rewrite_file
 from siftline.operators.scan import as_findings, scan
+from siftline.session import shared_folder, stored
 from siftline.sinks.outputs import (
     findings_table, json_rows, list_runs, load_run, markdown_report, render_template, save_run, to_content_lines,
     to_text_lines, with_finding_ids, write_findings_json, write_text,
@@ -321,6 +323,21 @@ def test_finding_ids(records):
     assert all(row["id"] == 2 * (row["line"] - 1) + row["ordinal"] + 1 for row in got)
 
 
+def test_shared_folder(spark):
+    def session(named, master):
+        return SimpleNamespace(
+            conf=SimpleNamespace(get=lambda name, default: named if name == "spark.checkpoint.dir" else default),
+            sparkContext=SimpleNamespace(master=master, applicationId="a"),
+        )
+
+    assert shared_folder(session("hdfs://x/y", "spark://host")) == "hdfs://x/y"
+    with pytest.raises(RuntimeError):
+        shared_folder(session(None, "spark://host"))
+    assert shared_folder(spark) == shared_folder(spark)
+    kept = stored(spark.range(5))
+    assert kept.count() == 5 and kept.inputFiles()[0].startswith(f"file://{shared_folder(spark)}/table-")
+
+
 def test_template_slots(records):
     found = scan(records("x"), [WORD])
     assert column(found, render_placeholders("a{{line}}{{unknown}}{{match")) == ["a1{{unknown}}{{match"]
