@@ -77,5 +77,5 @@ def has_match(content: Column, regex: Regex) -> Column:
 def count_matches(content: Column, regex: Regex) -> Column:
     """Number of matches that are not empty."""
     if runs_in_python(regex):
-        return F.size(every_match(content, regex))
-    return F.size(F.filter(group_arrays(content, regex)[0], lambda match: match != ""))
+        return F.array_size(every_match(content, regex))
+    return F.array_size(F.filter(group_arrays(content, regex)[0], lambda match: match != ""))

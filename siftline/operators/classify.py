@@ -16,7 +16,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from siftline.functions.skew import SALTS, fits_broadcast, salted_left_join
+from siftline.functions.skew import BROADCAST_BYTES, SALTS, fits_broadcast, salted_left_join
 from siftline.session import stored
 
 HIGH, LOW = "high-interest", "low-interest"
@@ -148,7 +148,9 @@ def classify_text(
     found = tokens(F.coalesce(F.col(text), F.lit("")), model.ngram)
     exploded = texts.select(*id, F.posexplode_outer(found).alias("_at", "token"))
     gains = model.gains.withColumnRenamed("gains", "_gains")
-    if fits_broadcast(gains.select("token"), broadcast_tokens):
+    # The gains themselves take eight bytes per class.
+    most = min(broadcast_tokens, BROADCAST_BYTES // (8 * len(model.labels) + 16))
+    if fits_broadcast(gains.select("token"), most):
         joined = exploded.join(F.broadcast(gains), "token", "left")
     else:
         joined = salted_left_join(exploded, gains, ["token"], [*id, "_at"], salts)

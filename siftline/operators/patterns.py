@@ -32,8 +32,9 @@ class Pattern:
     """A named pattern in RE2 syntax.
 
     ``needs`` lists literals of which every match contains at least one, and ``sieve`` is a
-    cheaper regex that matches somewhere in every match.  They only save work: a text without
-    them is not searched.  Under ``ignore_case`` the literals are lower-case ASCII.
+    cheaper regex, with flags of its own, that matches somewhere in every match.  They only save
+    work: a text without them is not searched.  Under ``ignore_case`` the literals are lower-case
+    ASCII.
     """
 
     name: str

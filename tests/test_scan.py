@@ -119,6 +119,9 @@ def test_grep_and_counts(records):
     assert grep_lines(lines, []).count() == 0
     counts = {row["pattern"]: (row["hits"], row["records"]) for row in hits_per_pattern(lines, patterns).collect()}
     assert counts == {"ip": (3, 2), "none": (0, 0)}
+    absent = lines.withColumn("content", F.lit(None).cast("string"))
+    assert {row["hits"] for row in hits_per_pattern(absent, patterns).collect()} == {0}
+    assert scan(absent, LIBRARY).count() == 0 and grep_lines(absent, patterns).count() == 0
     found = scan(lines, patterns)
     assert total_hits(found).first()[0] == 3
     assert scan_summary(found).collect()[0].asDict() == {"pattern": "ip", "hits": 3, "distinct_contents": 3}
