@@ -4,6 +4,7 @@ from siftline.llm.decontaminate import op2_decontaminate
 from siftline.llm.extract import op6_html_extraction
 from siftline.llm.packing import op9_best_fit_packing
 from siftline.llm.quality import op1_quality_rules
+from siftline.llm.suffixes import op5_suffix_dedup
 from siftline.llm.urls import op10_url_filter
 from siftline.llm.warc import op3_warc_bundles
 
@@ -11,6 +12,7 @@ QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_decontaminate": op2_decontaminate,
     "op3_warc_bundles": op3_warc_bundles,
+    "op5_suffix_dedup": op5_suffix_dedup,
     "op6_html_extraction": op6_html_extraction,
     "op9_best_fit_packing": op9_best_fit_packing,
     "op10_url_filter": op10_url_filter,
