@@ -18,6 +18,10 @@ BASE_INVERSE = pow(int(BASE), -1, 2**64)
 MIX_1 = np.uint64(0xBF58476D1CE4E5B9)
 MIX_2 = np.uint64(0x94D049BB133111EB)
 
+#: Rows and bytes of an Arrow batch, which is held a few times over by a task and its Python worker.
+BATCH_ROWS = 4000
+BATCH_BYTES = 8 << 20
+
 #: Bytes of text that are worked on at once; a longer text is a slab of its own.
 SLAB = 2_000_000
 
@@ -26,7 +30,9 @@ SPACED = bytes(32 if 9 <= b <= 13 else b + 32 if 65 <= b <= 90 else b for b in r
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A given table, with the file splits pinned so that every scan cuts it alike."""
+    """A given table, with the file splits pinned so that every scan cuts it alike, and small Arrow batches."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     return configure(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -78,7 +84,7 @@ def powers(base: int, n: int) -> np.ndarray:
         have = np.full(max(n, SLAB + 1), base, np.uint64)
         have[0] = 1
         have = np.cumprod(have, dtype=np.uint64)
-        if n <= 8 * SLAB:
+        if n <= 3 * SLAB:
             _tables[base] = have
     return have[:n]
 

@@ -1,8 +1,9 @@
 """Exact Jaccard join of documents on word shingles, by a token-group matrix.
 
 Two sets that are similar enough share one of their rarest tokens: of a set with n tokens the
-``n - ceil(share * n) + 1`` rarest form its *prefix*.  Only sets with a prefix token that another set has
-too are looked at; which tokens those are is told by a filter of fixed size, and a false hit costs but a row.
+``n - ceil(share * n) + 1`` rarest form its *prefix*, and of a prefix that is longer by k they share k more.
+Only sets with enough tokens of a long prefix that other sets have too are looked at; which tokens those are
+is told by a filter of fixed size, and a false hit costs but a row.
 
 Similar sets are put into groups of bounded size by the smallest (and once more by the largest) hash of
 their shared prefix tokens.  Each group is joined within, together with a hub that all groups of that hash
@@ -19,6 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -35,6 +37,8 @@ BUCKETS = 1 << 15
 #: Bits of the filter of shared tokens, and bits set by a token.
 FILTER_BITS = 1 << 26
 FILTER_HASHES = 3
+#: One in so many tokens is asked for in common before a set is looked at.
+SURPLUS = 20
 #: Sets of a group at most on average, tokens of a group, and queries that are held against a copy of it.
 GROUP_SETS = 128
 GROUP_TOKENS = 400_000
@@ -69,21 +73,32 @@ def shingle_sets(texts: pa.Array, words: int = WORDS) -> Iterator[tuple[int, np.
         yield first, token, np.searchsorted(row, np.arange(end - first + 1))
 
 
-def prefix_size(n: np.ndarray, percent: int) -> np.ndarray:
-    """Rarest tokens of a set of n, of which two similar sets have one in common at least."""
-    return np.where(n > 0, n - -(-percent * n // 100) + 1, 0)
+def missing(n: np.ndarray, percent: int) -> np.ndarray:
+    """Tokens of a set of n that a similar set can lack."""
+    return n - -(-percent * n // 100)
 
 
-def prefixes(token: np.ndarray, at: np.ndarray, counts: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """Places of the prefix tokens of every set, and their sets; rare buckets first, then by hash."""
+def surplus(n: np.ndarray) -> np.ndarray:
+    """Common tokens that are asked for in a long prefix, which has as many more tokens than can be lacking."""
+    return np.maximum(1, n // SURPLUS)
+
+
+def prefixes(token: np.ndarray, at: np.ndarray, counts: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the ``size`` first tokens of every set, and their sets; rare buckets first, then by hash."""
     n = np.diff(at)
     row = np.repeat(np.arange(len(n)), n)
     order = np.lexsort((token, counts[(token % _U(len(counts))).astype(np.int64)], row))
     rank = np.arange(len(token)) - at[:-1][row]
-    chosen = rank < prefix_size(n, percent)[row]
+    chosen = rank < size[row]
     return order[chosen], row[chosen]
 
 
+def long_prefixes(token: np.ndarray, at: np.ndarray, counts: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """The prefixes of which two similar sets have the smaller one's surplus in common."""
+    n = np.diff(at)
+    return prefixes(token, at, counts, missing(n, percent) + surplus(n))
+
+
 def _filter_places(token: np.ndarray) -> list[np.ndarray]:
     return [(mixed(token + _U(k + 1)) % _U(FILTER_BITS)).astype(np.int64) for k in range(FILTER_HASHES)]
 
@@ -135,7 +150,7 @@ def shared_filter(frame: DataFrame, counts: Broadcast, words: int, percent: int)
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for _, token, at in shingle_sets(batch.column("text"), words):
-                place, row = prefixes(token, at, counts.value, percent)
+                place, row = long_prefixes(token, at, counts.value, percent)
                 digest, _ = _digests(token, at)
                 yield _batch("token bigint, fa bigint", token[place].view(np.int64), digest[row])
 
@@ -187,8 +202,16 @@ class Group:
         return np.bincount(self.owner[start + np.arange(len(start))], minlength=len(self.size))
 
 
-def _sets(column: pa.ChunkedArray) -> list[np.ndarray]:
-    return [np.frombuffer(x, _U) for x in column.to_pylist()]
+def _unpacked(column: pa.Array) -> pa.Array:
+    unpack = zstandard.ZstdDecompressor().decompress
+    return pa.array([unpack(x.as_buffer()) for x in column], pa.large_binary())
+
+
+def _sets(column: pa.ChunkedArray, words: int) -> list[np.ndarray]:
+    """The tokens of packed texts."""
+    return [
+        token[low:high] for _, token, at in shingle_sets(_unpacked(column), words) for low, high in zip(at[:-1], at[1:], strict=True)
+    ]
 
 
 def _joined_within(sets: list[np.ndarray], percent: int) -> np.ndarray:
@@ -225,13 +248,13 @@ def _spread(nodes: DataFrame, gid: str) -> DataFrame:
     return own.filter("parts = 1 OR node <> hub").select("gid", "part", "node").union(hubs)
 
 
-def links_within(nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) that hold the sets of each group together; ``nodes`` has node, n, gid, gid2, ``sets`` node, tokens."""
+def links_within(nodes: DataFrame, sets: DataFrame, words: int, percent: int) -> DataFrame:
+    """Links (a, b) that hold the sets of each group together; ``nodes`` has node, n, gid, gid2, ``sets`` node, packed."""
 
     def join(found: pa.Table) -> pa.Table:
         node = found.column("node").to_numpy()
         order = np.argsort(node)
-        root = _joined_within(_sets(found.column("tokens").take(pa.array(order))), percent)
+        root = _joined_within(_sets(found.column("packed").take(pa.array(order)), words), percent)
         at = np.flatnonzero(root != np.arange(len(root)))
         return pa.table({"a": pa.array(node[order][at]), "b": pa.array(node[order][root[at]])})
 
@@ -239,7 +262,7 @@ def links_within(nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return parts.join(sets, "node").groupBy("gid", "part").applyInArrow(join, "a bigint, b bigint")
 
 
-def links_across(nodes: DataFrame, sets: DataFrame, tokens: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+def links_across(nodes: DataFrame, sets: DataFrame, tokens: DataFrame, classes: DataFrame, words: int, percent: int) -> DataFrame:
     """Links (a, b) between sets of different classes that share a prefix token.
 
     Of two classes the smaller one asks, so a large class is never held against its few neighbours.
@@ -269,19 +292,19 @@ def links_across(nodes: DataFrame, sets: DataFrame, tokens: DataFrame, classes:
     asked = stored(asked)
     copies = asked.groupBy("open").agg(F.ceil(F.count("*") / GROUP_QUERIES).cast("int").alias("copies"))
     queries = asked.join(copies, "open").join(sets, "node").select(
-        "open", F.pmod(F.xxhash64("node"), F.col("copies")).cast("int").alias("copy"), "node", "class.size", "class.root", "tokens",
+        "open", F.pmod(F.xxhash64("node"), F.col("copies")).cast("int").alias("copy"), "node", "class.size", "class.root", "packed",
     )
     members = own.join(copies, own["group"] == copies["open"]).join(sets, "node").select(
-        "open", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("copy"), "node", "class.size", "class.root", "tokens",
+        "open", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("copy"), "node", "class.size", "class.root", "packed",
     )
 
     def compare(asking: pa.Table, members: pa.Table) -> pa.Table:
         out: list[tuple[int, int]] = []
-        group = Group(_sets(members.column("tokens")))
+        group = Group(_sets(members.column("packed"), words))
         node, root = members.column("node").to_numpy(), members.column("root").to_numpy()
         size = members.column("size").to_numpy()
         columns = (asking.column(c).to_numpy() for c in ("node", "root", "size"))
-        for query, own_root, own_size, tokens_ in zip(*columns, _sets(asking.column("tokens")), strict=True):
+        for query, own_root, own_size, tokens_ in zip(*columns, _sets(asking.column("packed"), words), strict=True):
             known = group.known(tokens_)
             if 100 * len(known) < percent * len(tokens_):
                 continue
@@ -318,45 +341,48 @@ def linked_documents(
     shared = context.broadcast(shared_filter(frame, counts, words, percent))
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pack = zstandard.ZstdCompressor(level=3).compress
         for batch in batches:
             for first, token, at in shingle_sets(batch.column("text"), words):
-                place, row = prefixes(token, at, counts.value, percent)
-                wanted = np.zeros(len(at) - 1, bool)
-                wanted[row[_in_filter(shared.value, token[place])]] = True
+                place, row = long_prefixes(token, at, counts.value, percent)
+                n = np.diff(at)
+                hits = np.bincount(row[_in_filter(shared.value, token[place])], minlength=len(n))
+                # A partner has percent hundredths of the tokens at least.
+                wanted = (n > 0) & (hits >= surplus(-(-percent * n // 100)))
                 fa, fb = _digests(token, at)
-                sets = [token[at[k] : at[k + 1]].tobytes() if wanted[k] else None for k in range(len(wanted))]
+                part = batch.slice(first, len(n))
+                texts = [pack(x.as_buffer()) if w else None for x, w in zip(part.column("text"), wanted, strict=True)]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").slice(first, len(wanted)), pa.array(fa), pa.array(fb), pa.array(np.diff(at)),
-                     pa.array(sets, pa.binary())], ["doc_id", *KEY, "tokens"],
+                    [part.column("doc_id"), pa.array(fa), pa.array(fb), pa.array(n), pa.array(texts, pa.binary())],
+                    ["doc_id", *KEY, "packed"],
                 )
 
     rows = stored(frame.select("doc_id", "text").mapInArrow(
-        describe, f"doc_id {kind}, fa bigint, fb bigint, n bigint, tokens binary",
+        describe, f"doc_id {kind}, fa bigint, fb bigint, n bigint, packed binary",
     ))
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [np.frombuffer(x, _U) for x in batch.column("tokens").to_pylist()]
-            token = np.concatenate(sets) if sets else np.zeros(0, _U)
-            at = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int64)
-            place, row = prefixes(token, at, counts.value, percent)
-            hit = _in_filter(shared.value, token[place])
-            yield _batch("node bigint, token bigint", batch.column("node").to_numpy()[row[hit]], token[place[hit]].view(np.int64))
-
-    sets = stored(rows.filter("tokens IS NOT NULL").groupBy(*KEY).agg(F.first("tokens").alias("tokens")).withColumn(
+            node = batch.column("node").to_numpy()
+            for first, token, at in shingle_sets(_unpacked(batch.column("packed")), words):
+                place, row = prefixes(token, at, counts.value, missing(np.diff(at), percent) + 1)
+                hit = _in_filter(shared.value, token[place])
+                yield _batch("node bigint, token bigint", node[first + row[hit]], token[place[hit]].view(np.int64))
+
+    sets = stored(rows.filter("packed IS NOT NULL").groupBy(*KEY).agg(F.first("packed").alias("packed")).withColumn(
         "node", F.monotonically_increasing_id(),
     ))
-    found = sets.select("node", "tokens").mapInArrow(keys, "node bigint, token bigint")
+    found = sets.select("node", "packed").mapInArrow(keys, "node bigint, token bigint")
     twice = found.groupBy("token").agg(F.min("node").alias("low"), F.max("node").alias("high")).filter("low <> high")
     tokens = stored(found.join(twice.select("token"), "token").select("node", "token"))
     gids = tokens.groupBy("node").agg(
         F.min(F.xxhash64("token")).alias("gid"), F.max(F.xxhash64("token")).alias("gid2"),
     )
     nodes = stored(sets.select("node", "n").join(gids, "node"))
-    payload = sets.select("node", "tokens")
-    links = stored(links_within(nodes, payload, percent))
+    payload = sets.select("node", "packed")
+    links = stored(links_within(nodes, payload, words, percent))
     classes = components(links)
-    more = stored(links_across(nodes, payload, tokens, classes, percent))
+    more = stored(links_across(nodes, payload, tokens, classes, words, percent))
     roots = components(links.union(more)) if more.limit(1).count() else classes
     # The smallest id of each set, then of each component; sets without links are their own.
     lowest = rows.filter("n > 0").groupBy(*KEY).agg(F.min("doc_id").alias("lowest"))

@@ -3,6 +3,7 @@
 from siftline.llm.decontaminate import op2_decontaminate
 from siftline.llm.extract import op6_html_extraction
 from siftline.llm.jaccard import op8_jaccard_join
+from siftline.llm.mixing import op7_lm_scoring
 from siftline.llm.packing import op9_best_fit_packing
 from siftline.llm.quality import op1_quality_rules
 from siftline.llm.suffixes import op5_suffix_dedup
@@ -15,6 +16,7 @@ QUERIES = {
     "op3_warc_bundles": op3_warc_bundles,
     "op5_suffix_dedup": op5_suffix_dedup,
     "op6_html_extraction": op6_html_extraction,
+    "op7_lm_scoring": op7_lm_scoring,
     "op8_jaccard_join": op8_jaccard_join,
     "op9_best_fit_packing": op9_best_fit_packing,
     "op10_url_filter": op10_url_filter,

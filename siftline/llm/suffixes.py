@@ -162,10 +162,11 @@ def compared_suffixes(found: DataFrame) -> DataFrame:
         border = (same == same[0]) | (same == same[-1])
         keep = np.flatnonzero((count > 1) | (kinds > 1) | border)
         bucket = np.full(len(keep), TaskContext.get().partitionId(), np.int32)
-        shown = border[keep]
         edge = np.zeros(len(keep), np.int8)
         edge[0] |= 1
         edge[-1] |= 2
+        # The others of a run of equal contexts are known to repeat, and one of them stands for all.
+        shown = (border & (head | (count == 1)))[keep] | (edge > 0)
         masked = [pa.array(c[keep], mask=~shown) for c in (lead, kernel, context)]
         yield from pa.Table.from_arrays(
             [pa.array(bucket), *masked, pa.array(uid[keep]), pa.array(place[keep]), pa.array(count[keep] > 1),
