@@ -3,6 +3,7 @@
 from siftline.llm.decontaminate import op2_decontaminate
 from siftline.llm.extract import op6_html_extraction
 from siftline.llm.jaccard import op8_jaccard_join
+from siftline.llm.licenses import op4_license_scan
 from siftline.llm.mixing import op7_lm_scoring
 from siftline.llm.packing import op9_best_fit_packing
 from siftline.llm.quality import op1_quality_rules
@@ -14,6 +15,7 @@ QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_decontaminate": op2_decontaminate,
     "op3_warc_bundles": op3_warc_bundles,
+    "op4_license_scan": op4_license_scan,
     "op5_suffix_dedup": op5_suffix_dedup,
     "op6_html_extraction": op6_html_extraction,
     "op7_lm_scoring": op7_lm_scoring,
