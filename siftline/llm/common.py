@@ -29,11 +29,16 @@ SLAB = 2_000_000
 SPACED = bytes(32 if 9 <= b <= 13 else b + 32 if 65 <= b <= 90 else b for b in range(256))
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A given table, with the file splits pinned so that every scan cuts it alike, and small Arrow batches."""
+def tuned(spark: SparkSession) -> SparkSession:
+    """File splits pinned, so that every scan cuts a table alike, and small Arrow batches."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
-    return configure(spark).read.parquet(f"{sf_dir}/{name}.parquet")
+    return configure(spark)
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A given table."""
+    return tuned(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def numbered(frame: DataFrame, **columns: str) -> DataFrame:
@@ -42,7 +47,7 @@ def numbered(frame: DataFrame, **columns: str) -> DataFrame:
     The number rests on the file splits, so ``frame`` must come straight from stored files or from
     the driver, not from a shuffle; ``columns`` maps new names to those of ``frame``.
     """
-    configure(frame.sparkSession)
+    tuned(frame.sparkSession)
     return frame.select(
         F.monotonically_increasing_id().alias("uid"), *[F.col(f"`{old}`").alias(new) for new, old in columns.items()],
     )

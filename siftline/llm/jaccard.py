@@ -25,9 +25,9 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftline.llm.common import Rolling, lowered, mixed, slabs, table, word_spans
+from siftline.llm.common import Rolling, lowered, mixed, numbered, slabs, table, tuned, word_spans
 from siftline.llm.components import components
-from siftline.session import configure, stored
+from siftline.session import stored
 
 #: Words of a shingle, and the share of common shingles in hundredths.
 WORDS = 3
@@ -333,7 +333,7 @@ def linked_documents(
     component has no other; then the component is null.
     """
     spark = documents.sparkSession
-    configure(spark)
+    tuned(spark)
     context = spark.sparkContext
     frame = documents.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text"))
     kind = frame.schema["doc_id"].dataType.simpleString()
@@ -395,6 +395,20 @@ def linked_documents(
     )
 
 
+def one_of_each_group(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
+    """The document with the smallest id of each group of linked ones, all columns as they were.
+
+    Of rows with equal ids the first stays, and one with an id before one without.  Documents without words link
+    with nothing and all stay.  ``documents`` must come straight from stored files or the driver.
+    """
+    uid = F.monotonically_increasing_id().alias("uid")
+    linked = linked_documents(numbered(documents, text=text), "uid", "text", **options)
+    ids = numbered(documents, id=doc_id).select("uid", F.struct(F.col("id").isNull().alias("without"), "id", "uid").alias("place"))
+    first = linked.select(F.col("doc_id").alias("uid"), "component_id").join(ids, "uid").groupBy("component_id").agg(F.min("place").alias("place"))
+    kept = first.select(F.col("place.uid").alias("uid"))
+    return documents.select(uid, F.struct("*").alias("row")).join(kept, "uid", "left_semi").select("row.*")
+
+
 def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with the size of its set and its component."""
     return linked_documents(table(spark, sf_dir, "documents"))

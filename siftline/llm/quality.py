@@ -14,8 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftline.llm.common import table
-from siftline.session import configure
+from siftline.llm.common import table, tuned
 
 #: Buckets of n-grams, and what is added to each bucket's share of the counts (pseudo-count per bucket).
 BUCKETS = 1 << 16
@@ -131,7 +130,7 @@ def judge_quality(
     words, or more than a fifth of them repeated.  A null or empty text has no words, scores 0 and fails.
     Repeated rows are judged alike; labels of unknown documents, and null labels, do not count.
     """
-    configure(documents.sparkSession)
+    tuned(documents.sparkSession)
     weights = bucket_weights(documents, labels, doc_id, text, buckets, **options)
     content = F.coalesce(F.col(f"`{text}`"), F.lit(""))
     # A column that is not deterministic keeps filters on the verdict from being computed twice.

@@ -26,8 +26,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from siftline.llm.common import BASE, BASE_INVERSE, MIX_1, MIX_2, SLAB, Rolling, mixed, powers, slabs, table
-from siftline.session import configure, stored
+from siftline.llm.common import BASE, BASE_INVERSE, MIX_1, MIX_2, SLAB, Rolling, mixed, powers, slabs, table, tuned
+from siftline.session import stored
 
 #: Bytes that a string must have to count as repeated.
 LENGTH = 200
@@ -351,7 +351,7 @@ def cut_repeats(documents: DataFrame, text: str = "text", length: int = LENGTH,
     """
     if length < KERNELS + 8:
         raise ValueError(f"strings must have {KERNELS + 8} bytes or more")
-    configure(documents.sparkSession)
+    tuned(documents.sparkSession)
     uid = F.monotonically_increasing_id().alias("uid")
     spans = repeated_spans(documents.select(uid, F.col(f"`{text}`").alias("text")), length)
     kind, place = documents.schema.simpleString(), documents.columns.index(text)
@@ -379,6 +379,20 @@ def cut_repeats(documents: DataFrame, text: str = "text", length: int = LENGTH,
     return rows.select("row", "spans").mapInArrow(cut, f"row {kind}, {_CUT}")
 
 
+def documents_without_repeats(documents: DataFrame, text: str = "text", size: str | None = "n_chars", **options) -> DataFrame:
+    """All documents with what is left of their texts, and its code points in column ``size`` if there is one.
+
+    No row goes; a text that repeats as a whole is left empty, and a null one null.
+    """
+    cut = cut_repeats(documents, text, **options)
+    kept = {text: F.col("kept_text")}
+    if size in documents.columns:
+        kept[size] = F.char_length("kept_text").cast(documents.schema[size].dataType)
+    return cut.select(*[
+        (kept[c] if c in kept else F.col("row").getField(c)).alias(c) for c in documents.columns
+    ])
+
+
 def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document without strings of 200 bytes that start elsewhere too."""
     documents = table(spark, sf_dir, "documents").select("doc_id", "text")
