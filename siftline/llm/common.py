@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -10,7 +11,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftline.session import configure
+from siftline.session import configure, stored
 
 #: Odd multipliers of the rolling hash and of the mixer.
 BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -41,6 +42,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return tuned(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def few_files(frame: DataFrame) -> DataFrame:
+    """The rows in no more partitions than four for each core, so that small tables are not cut into many files."""
+    return frame.coalesce(4 * frame.sparkSession.sparkContext.defaultParallelism)
+
+
+def saved(frame: DataFrame) -> DataFrame:
+    """The DataFrame written once to the shared folder and read back."""
+    return stored(few_files(frame))
+
+
+def run_number() -> int:
+    """A number that no other run of a function over a partition has; of several attempts one is kept."""
+    return uuid.uuid4().int >> 66
+
+
 def numbered(frame: DataFrame, **columns: str) -> DataFrame:
     """The named columns and ``uid``, a number of the row.
 

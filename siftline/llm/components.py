@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftline.session import stored
+from siftline.llm.common import saved
 
 #: Rounds after which something must be wrong: each halves the height of the trees at least.
 MAX_ROUNDS = 60
@@ -20,7 +20,7 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     splits.  Nothing but two sums reaches the driver.
     """
     edges = links.select(F.greatest(a, b).alias("x"), F.least(a, b).alias("y")).filter("x <> y").distinct()
-    edges = stored(edges)
+    edges = saved(edges)
     before = None
     for _ in range(MAX_ROUNDS):
         # Large star: every larger neighbour of a node goes to the smallest of the node and its neighbours.
@@ -33,7 +33,7 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         large = large.filter("x <> y").distinct()
         least = large.groupBy("x").agg(F.min("y").alias("low"))
         small = large.join(least, "x").select(F.col("y").alias("x"), F.col("low").alias("y")).union(least.select("x", "low"))
-        edges = stored(small.filter("x <> y").distinct())
+        edges = saved(small.filter("x <> y").distinct())
         after = edges.agg(F.count("*"), F.sum(F.xxhash64("x", "y").cast("decimal(38,0)"))).first()
         if after == before:
             break

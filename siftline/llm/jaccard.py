@@ -25,9 +25,8 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftline.llm.common import Rolling, lowered, mixed, numbered, slabs, table, tuned, word_spans
+from siftline.llm.common import Rolling, few_files, lowered, mixed, numbered, saved, slabs, table, tuned, word_spans
 from siftline.llm.components import components
-from siftline.session import stored
 
 #: Words of a shingle, and the share of common shingles in hundredths.
 WORDS = 3
@@ -273,7 +272,7 @@ def links_across(nodes: DataFrame, sets: DataFrame, tokens: DataFrame, classes:
     many = nodes.groupBy("gid").agg(F.greatest(
         F.ceil(F.count("*") / GROUP_SETS), F.ceil(F.sum("n") / GROUP_TOKENS),
     ).cast("int").alias("parts"))
-    own = stored(own.join(many, "gid").select(
+    own = saved(own.join(many, "gid").select(
         "node", F.struct("size", "root").alias("class"), F.struct(
             "gid", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int").alias("part"),
         ).alias("group"), "n",
@@ -289,7 +288,7 @@ def links_across(nodes: DataFrame, sets: DataFrame, tokens: DataFrame, classes:
         (F.col("class") < F.col("high")) & (percent * F.col("least") <= 100 * F.col("n"))
         & (100 * F.col("most") >= percent * F.col("n"))
     ).select("open", "node", "class").distinct()
-    asked = stored(asked)
+    asked = saved(asked)
     copies = asked.groupBy("open").agg(F.ceil(F.count("*") / GROUP_QUERIES).cast("int").alias("copies"))
     queries = asked.join(copies, "open").join(sets, "node").select(
         "open", F.pmod(F.xxhash64("node"), F.col("copies")).cast("int").alias("copy"), "node", "class.size", "class.root", "packed",
@@ -357,7 +356,7 @@ def linked_documents(
                     ["doc_id", *KEY, "packed"],
                 )
 
-    rows = stored(frame.select("doc_id", "text").mapInArrow(
+    rows = saved(frame.select("doc_id", "text").mapInArrow(
         describe, f"doc_id {kind}, fa bigint, fb bigint, n bigint, packed binary",
     ))
 
@@ -369,20 +368,20 @@ def linked_documents(
                 hit = _in_filter(shared.value, token[place])
                 yield _batch("node bigint, token bigint", node[first + row[hit]], token[place[hit]].view(np.int64))
 
-    sets = stored(rows.filter("packed IS NOT NULL").groupBy(*KEY).agg(F.first("packed").alias("packed")).withColumn(
+    sets = saved(rows.filter("packed IS NOT NULL").groupBy(*KEY).agg(F.first("packed").alias("packed")).withColumn(
         "node", F.monotonically_increasing_id(),
     ))
     found = sets.select("node", "packed").mapInArrow(keys, "node bigint, token bigint")
     twice = found.groupBy("token").agg(F.min("node").alias("low"), F.max("node").alias("high")).filter("low <> high")
-    tokens = stored(found.join(twice.select("token"), "token").select("node", "token"))
+    tokens = saved(found.join(twice.select("token"), "token").select("node", "token"))
     gids = tokens.groupBy("node").agg(
         F.min(F.xxhash64("token")).alias("gid"), F.max(F.xxhash64("token")).alias("gid2"),
     )
-    nodes = stored(sets.select("node", "n").join(gids, "node"))
+    nodes = saved(sets.select("node", "n").join(gids, "node"))
     payload = sets.select("node", "packed")
-    links = stored(links_within(nodes, payload, words, percent))
+    links = saved(links_within(nodes, payload, words, percent))
     classes = components(links)
-    more = stored(links_across(nodes, payload, tokens, classes, words, percent))
+    more = saved(links_across(nodes, payload, tokens, classes, words, percent))
     roots = components(links.union(more)) if more.limit(1).count() else classes
     # The smallest id of each set, then of each component; sets without links are their own.
     lowest = rows.filter("n > 0").groupBy(*KEY).agg(F.min("doc_id").alias("lowest"))
@@ -390,7 +389,7 @@ def linked_documents(
     joined = lowest.join(member, KEY, "left")
     by_root = joined.filter("root IS NOT NULL").groupBy("root").agg(F.min("lowest").alias("component"))
     by_set = joined.join(by_root, "root", "left").select(*KEY, F.coalesce("component", "lowest").alias("component"))
-    return rows.select("doc_id", *KEY).join(by_set, KEY, "left").select(
+    return few_files(rows.select("doc_id", *KEY).join(by_set, KEY, "left")).select(
         "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc_id")).alias("component_id"),
     )
 

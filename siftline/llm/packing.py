@@ -18,12 +18,10 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from siftline.llm.common import table
-from siftline.session import stored
+from siftline.llm.common import few_files, run_number, saved, table
 
 #: Tokens of a sequence, and the id that ends a document.
 SIZE = 2048
@@ -87,7 +85,7 @@ def pieces_of(documents: DataFrame, size: int = SIZE, vocabulary: str | None = N
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = tokenizer(vocabulary or default_tokenizer())
-        task, ranks = TaskContext.get().partitionId(), Counter()
+        task, ranks = run_number(), Counter()
         for batch in batches:
             owner, rows = [], []
             for at, text in enumerate(batch.column("text")):
@@ -99,14 +97,14 @@ def pieces_of(documents: DataFrame, size: int = SIZE, vocabulary: str | None = N
                     rows.append((piece, start, end - start, zlib.crc32(ids[start:end].tobytes()), task, ranks[end - start]))
                     ranks[end - start] += 1
             columns = list(zip(*rows, strict=True)) or [()] * 6
-            kinds = (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64())
+            kinds = (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64())
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id").take(pa.array(owner, pa.int64())), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))],
                 ["doc_id", "piece", "start", "length", "ids_crc32", "task", "rank"],
             )
 
     return documents.select("doc_id", "text").mapInArrow(
-        cut, f"doc_id {kind}, piece int, start bigint, length bigint, ids_crc32 bigint, task int, rank bigint",
+        cut, f"doc_id {kind}, piece int, start bigint, length bigint, ids_crc32 bigint, task bigint, rank bigint",
     )
 
 
@@ -244,7 +242,7 @@ def _places(plan: list[tuple[Config, int]], size: int) -> tuple[np.ndarray, ...]
 
 def pack(pieces: DataFrame, size: int = SIZE) -> DataFrame:
     """The pieces, each with its ``sequence_id`` and ``offset``; see ``pieces_of`` for the columns."""
-    pieces = stored(pieces)
+    pieces = saved(pieces)
     counts = pieces.groupBy("task", "length").agg(F.count("*").alias("n"))
     order = Window.partitionBy("length").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
     base = counts.select("task", "length", F.coalesce(F.sum("n").over(order), F.lit(0)).alias("base"))
@@ -263,7 +261,7 @@ def pack(pieces: DataFrame, size: int = SIZE) -> DataFrame:
                 ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"],
             )
 
-    ranked = pieces.join(base, ["task", "length"]).select(
+    ranked = few_files(pieces.join(base, ["task", "length"])).select(
         "doc_id", "piece", "start", "length", "ids_crc32", (F.col("rank") + F.col("base")).alias("rank"),
     )
     return ranked.mapInArrow(

@@ -22,12 +22,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from siftline.llm.common import BASE, BASE_INVERSE, MIX_1, MIX_2, SLAB, Rolling, mixed, powers, slabs, table, tuned
-from siftline.session import stored
+from siftline.llm.common import BASE, BASE_INVERSE, MIX_1, MIX_2, SLAB, Rolling, few_files, mixed, powers, run_number, saved, slabs, table, tuned
 
 #: Bytes that a string must have to count as repeated.
 LENGTH = 200
@@ -161,7 +159,7 @@ def compared_suffixes(found: DataFrame) -> DataFrame:
         # Runs at a border are kept until the neighbours are known.
         border = (same == same[0]) | (same == same[-1])
         keep = np.flatnonzero((count > 1) | (kinds > 1) | border)
-        bucket = np.full(len(keep), TaskContext.get().partitionId(), np.int32)
+        bucket = np.full(len(keep), run_number())
         edge = np.zeros(len(keep), np.int8)
         edge[0] |= 1
         edge[-1] |= 2
@@ -175,8 +173,8 @@ def compared_suffixes(found: DataFrame) -> DataFrame:
         ).to_batches(max_chunksize=100_000)
 
     ranged = found.repartitionByRange(*keys, "uid", "place")
-    kept = stored(ranged.mapInArrow(
-        sort, "bucket int, lead bigint, kernel bigint, context bigint, uid bigint, place bigint, whole boolean, "
+    kept = saved(ranged.mapInArrow(
+        sort, "bucket bigint, lead bigint, kernel bigint, context bigint, uid bigint, place bigint, whole boolean, "
         "open boolean, head boolean, edge tinyint",
     ))
     # One row for each bucket and side: what the border runs of all buckets have in common.
@@ -299,7 +297,7 @@ def compared_strings(open_contexts: DataFrame, length: int = LENGTH) -> DataFram
                 names=["hash", "second", "uid", "start", "found"],
             ).to_batches(max_chunksize=100_000)
 
-    rows = stored(open_contexts.repartitionByRange("suffix", "uid", "low").mapInArrow(sort, _STRING))
+    rows = saved(open_contexts.repartitionByRange("suffix", "uid", "low").mapInArrow(sort, _STRING))
     local = rows.filter("found = 1").select("uid", "start")
     waiting = rows.filter("found = 0")
     # Against the strings of border runs in other buckets.
@@ -310,7 +308,7 @@ def compared_strings(open_contexts: DataFrame, length: int = LENGTH) -> DataFram
 
 def repeated_spans(frame: DataFrame, length: int = LENGTH) -> DataFrame:
     """For each ``uid`` of ``frame`` (uid, text) with repeats: ``spans``, byte runs (low, high) that may overlap."""
-    found = stored(compared_suffixes(suffixes(frame, length)))
+    found = saved(compared_suffixes(suffixes(frame, length)))
     place = F.col("place")
     low = F.shiftright(place, 16) - F.shiftright(place, 8).bitwiseAND(F.lit(255))
     high = low + place.bitwiseAND(F.lit(255)) + length
@@ -397,4 +395,4 @@ def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document without strings of 200 bytes that start elsewhere too."""
     documents = table(spark, sf_dir, "documents").select("doc_id", "text")
     cut = cut_repeats(documents, with_text=False)
-    return cut.select("row.doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    return few_files(cut).select("row.doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")

@@ -21,8 +21,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftline.llm.common import numbered, table
-from siftline.session import shared_folder, stored
+from siftline.llm.common import few_files, numbered, saved, table
+from siftline.session import shared_folder
 
 #: Fixed values of the Zstandard seekable format.
 SKIPPABLE_MAGIC = 0x184D2A5E
@@ -173,7 +173,7 @@ def write_bundles(records: DataFrame, folder: str, frame_bytes: int = FRAME_BYTE
         if entries:
             yield indexed()
 
-    return stored(records.select("record_id", "kind", "payload", "url", "refers_to").mapInArrow(write, INDEX))
+    return saved(records.select("record_id", "kind", "payload", "url", "refers_to").mapInArrow(write, INDEX))
 
 
 def read_bundles(index: DataFrame, folder: str, payloads: bool = True) -> DataFrame:
@@ -250,7 +250,7 @@ def op3_warc_bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
     folder = f"{shared_folder(spark)}/warc-{uuid.uuid4().hex}"
     records = read_bundles(archive_pages(pages, folder), folder)
-    return records.select(
+    return few_files(records).select(
         page_of("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type",
         page_of("refers_to_id").alias("refers_to"), "bundle", "frame", "offset",
     )
