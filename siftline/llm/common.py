@@ -43,12 +43,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def few_files(frame: DataFrame) -> DataFrame:
-    """The rows in no more partitions than four for each core, so that small tables are not cut into many files."""
-    return frame.coalesce(4 * frame.sparkSession.sparkContext.defaultParallelism)
+    """The rows of a narrow table that was shuffled, in no more partitions than there are cores: fewer small files."""
+    return frame.coalesce(frame.sparkSession.sparkContext.defaultParallelism)
 
 
 def saved(frame: DataFrame) -> DataFrame:
-    """The DataFrame written once to the shared folder and read back."""
+    """A narrow table that was shuffled, written once to the shared folder and read back."""
     return stored(few_files(frame))
 
 
@@ -133,7 +133,7 @@ def word_spans(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray
     starts = np.flatnonzero(word & (~before | edge[:-1]))
     after = np.concatenate([word[1:], [False]]) if len(data) else word
     ends = np.flatnonzero(word & (~after | edge[1:])) + 1
-    rows = np.searchsorted(at, starts, "right") - 1
+    rows = np.repeat(np.arange(len(at) - 1), np.diff(np.searchsorted(starts, at)))
     return starts, ends, rows
 
 

@@ -7,33 +7,33 @@ from pyspark.sql import functions as F
 
 from siftline.llm.common import saved
 
-#: Rounds after which something must be wrong: each halves the height of the trees at least.
-MAX_ROUNDS = 60
+#: Turns after which something must be wrong, for their number grows with the logarithm of the links.
+MAX_TURNS = 60
+
+
+def _contracted(edges: DataFrame) -> DataFrame:
+    """A round: larger neighbours of a node hang on its smallest, then smaller ones and the node do."""
+    both = edges.union(edges.select("y", "x"))
+    low = both.groupBy("x").agg(F.min("y").alias("low")).select(F.col("x").alias("node"), F.least("x", "low").alias("low"))
+    large = edges.select(F.col("y").alias("node"), F.col("x").alias("far")).join(low, "node").select(
+        F.col("far").alias("x"), F.col("low").alias("y"),
+    ).filter("x <> y").distinct()
+    least = large.groupBy("x").agg(F.min("y").alias("low"))
+    small = large.join(least, "x").select(F.col("y").alias("x"), F.col("low").alias("y")).union(least.select("x", "low"))
+    return small.filter("x <> y").distinct()
 
 
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, root) of every node that has a link; the root is the smallest node that can be reached.
 
-    Each round hangs the larger neighbours of a node on its smallest (large star), then the smaller ones
-    (small star), and writes the links; it ends when a round changes nothing.  A node with many links is
-    reduced to one row per task by each minimum; the join that hands the minimum back is one that Spark
-    splits.  Nothing but two sums reaches the driver.
+    Each turn does two rounds of star contraction and writes the links; it ends when a turn changes nothing.  A
+    node with many links is reduced to one row per task by each minimum; the join that hands the minimum back is
+    one that Spark splits.  Nothing but a count and a sum reaches the driver.
     """
     edges = links.select(F.greatest(a, b).alias("x"), F.least(a, b).alias("y")).filter("x <> y").distinct()
-    edges = saved(edges)
     before = None
-    for _ in range(MAX_ROUNDS):
-        # Large star: every larger neighbour of a node goes to the smallest of the node and its neighbours.
-        both = edges.union(edges.select("y", "x"))
-        low = both.groupBy("x").agg(F.min("y").alias("low")).select("x", F.least("x", "low").alias("low"))
-        large = edges.select(F.col("y").alias("node"), F.col("x").alias("far")).join(
-            low.withColumnRenamed("x", "node"), "node",
-        ).select(F.col("far").alias("x"), F.col("low").alias("y"))
-        # Small star: every smaller neighbour, and the node, go to the smallest.
-        large = large.filter("x <> y").distinct()
-        least = large.groupBy("x").agg(F.min("y").alias("low"))
-        small = large.join(least, "x").select(F.col("y").alias("x"), F.col("low").alias("y")).union(least.select("x", "low"))
-        edges = saved(small.filter("x <> y").distinct())
+    for _ in range(MAX_TURNS):
+        edges = saved(_contracted(_contracted(edges)))
         after = edges.agg(F.count("*"), F.sum(F.xxhash64("x", "y").cast("decimal(38,0)"))).first()
         if after == before:
             break

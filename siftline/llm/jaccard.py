@@ -33,6 +33,10 @@ WORDS = 3
 PERCENT = 90
 #: Buckets in which tokens are counted, so that rare ones come first.
 BUCKETS = 1 << 15
+#: Bits of a token, bits of the level of a bucket, and rows of a slab, whose numbers stand above the token.
+TOKEN_BITS = 52
+LEVEL_BITS = 8
+MOST_ROWS = 1 << (64 - TOKEN_BITS)
 #: Bits of the filter of shared tokens, and bits set by a token.
 FILTER_BITS = 1 << 26
 FILTER_HASHES = 3
@@ -47,29 +51,44 @@ _U = np.uint64
 KEY = ["fa", "fb", "n"]
 
 
+def shingles(data: np.ndarray, at: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hash of TOKEN_BITS bits and row of every shingle of a slab, repeated ones too."""
+    low = lowered(data)
+    starts, ends, rows = word_spans(low, at)
+    word = mixed(Rolling(low).spans(starts, ends))
+    count = np.bincount(rows, minlength=len(at) - 1)
+    begin = np.cumsum(count) - count
+    left = np.repeat(begin + count, count) - np.arange(len(rows))
+    # Shingles start at words with enough words after them; a shorter text is one shingle.
+    short = begin[(count > 0) & (count < words)]
+    whole = np.flatnonzero(left >= words)
+    token = np.zeros(len(whole) + len(short), _U)
+    picked = np.concatenate([whole, short])
+    for k in range(words):
+        at_k = picked + k
+        value = mixed(token * _U(0x2545F4914F6CDD1D) + word[np.minimum(at_k, len(word) - 1)] + _U(k + 1)) if len(word) else token
+        token = value if not len(short) else np.where(left[picked] > k, value, token)
+    return token >> _U(64 - TOKEN_BITS), rows[picked]
+
+
 def shingle_sets(texts: pa.Array, words: int = WORDS) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(first row, tokens, bounds of the rows in them): the sorted distinct shingle hashes of each text."""
-    for first, end, data, at in slabs(texts):
-        low = lowered(data)
-        starts, ends, rows = word_spans(low, at)
-        word = mixed(Rolling(low).spans(starts, ends))
-        count = np.bincount(rows, minlength=end - first)
-        begin = np.cumsum(count) - count
-        left = count[rows] - (np.arange(len(rows)) - begin[rows])
-        # Shingles start at words with enough words after them; a shorter text is one shingle.
-        at_start = np.arange(len(rows)) == begin[rows]
-        picked = np.flatnonzero((left >= words) | (at_start & (count[rows] < words)))
-        token = np.zeros(len(picked), _U)
-        for k in range(words):
-            inside = left[picked] > k
-            token[inside] = mixed(token[inside] * _U(0x2545F4914F6CDD1D) + word[picked[inside] + k] + _U(k + 1))
-        row = rows[picked]
-        order = np.lexsort((token, row))
-        token, row = token[order], row[order]
-        new = np.ones(len(token), bool)
-        new[1:] = (token[1:] != token[:-1]) | (row[1:] != row[:-1])
-        token, row = token[new], row[new]
-        yield first, token, np.searchsorted(row, np.arange(end - first + 1))
+    for first, end, data, at in _row_slabs(texts):
+        token, row = shingles(data, at, words)
+        key = token | row.astype(_U) << _U(TOKEN_BITS)
+        key.sort()
+        new = np.ones(len(key), bool)
+        new[1:] = key[1:] != key[:-1]
+        key = key[new]
+        bounds = np.searchsorted(key, np.arange(end - first + 1, dtype=_U) << _U(TOKEN_BITS))
+        yield first, key & _U((1 << TOKEN_BITS) - 1), bounds
+
+
+def _row_slabs(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """Slabs of so few rows that their numbers fit above a token."""
+    for low in range(0, len(texts), MOST_ROWS):
+        for first, end, data, at in slabs(texts.slice(low, MOST_ROWS)):
+            yield low + first, low + end, data, at
 
 
 def missing(n: np.ndarray, percent: int) -> np.ndarray:
@@ -83,10 +102,16 @@ def surplus(n: np.ndarray) -> np.ndarray:
 
 
 def prefixes(token: np.ndarray, at: np.ndarray, counts: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Places of the ``size`` first tokens of every set, and their sets; rare buckets first, then by hash."""
+    """Places of the ``size`` first tokens of every set, and their sets; low levels first, then by hash."""
     n = np.diff(at)
     row = np.repeat(np.arange(len(n)), n)
-    order = np.lexsort((token, counts[(token % _U(len(counts))).astype(np.int64)], row))
+    level = counts[(token & _U(len(counts) - 1)).astype(np.int64)].astype(_U)
+    shift = _U(TOKEN_BITS - LEVEL_BITS)
+    key = row.astype(_U) << _U(TOKEN_BITS) | level << shift | token >> _U(LEVEL_BITS)
+    order = np.argsort(key)
+    ordered = key[order]
+    if (ordered[1:] == ordered[:-1]).any():
+        order = np.lexsort((token, level, row))
     rank = np.arange(len(token)) - at[:-1][row]
     chosen = rank < size[row]
     return order[chosen], row[chosen]
@@ -115,14 +140,15 @@ def _batch(schema: str, *columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, kinds[k]) for c, (_, k) in zip(columns, names, strict=True)], [x for x, _ in names])
 
 
-def bucket_counts(frame: DataFrame, words: int) -> np.ndarray:
-    """Tokens of all sets of ``frame`` (text) by bucket."""
+def bucket_levels(frame: DataFrame, words: int) -> np.ndarray:
+    """For each bucket of tokens a level of how many shingles of ``frame`` (text) it has, in equal ratios."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(BUCKETS, np.int64)
         for batch in batches:
-            for _, token, _ in shingle_sets(batch.column("text"), words):
-                total += np.bincount((token % _U(BUCKETS)).astype(np.int64), minlength=BUCKETS)
+            for _, _, data, at in _row_slabs(batch.column("text")):
+                token, _ = shingles(data, at, words)
+                total += np.bincount((token & _U(BUCKETS - 1)).astype(np.int64), minlength=BUCKETS)
         seen = np.flatnonzero(total)
         yield _batch("bucket int, tokens bigint", seen.astype(np.int32), total[seen])
 
@@ -130,7 +156,7 @@ def bucket_counts(frame: DataFrame, words: int) -> np.ndarray:
     out = np.zeros(BUCKETS, np.int64)
     rows = found.toArrow()
     out[rows.column("bucket").to_numpy()] = rows.column("tokens").to_numpy()
-    return out
+    return np.minimum(np.rint(4 * np.log2(out + 1.0)), (1 << LEVEL_BITS) - 1).astype(np.uint8)
 
 
 def _digests(token: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -248,17 +274,23 @@ def _spread(nodes: DataFrame, gid: str) -> DataFrame:
 
 
 def links_within(nodes: DataFrame, sets: DataFrame, words: int, percent: int) -> DataFrame:
-    """Links (a, b) that hold the sets of each group together; ``nodes`` has node, n, gid, gid2, ``sets`` node, packed."""
+    """Links (a, b) of sets to the smallest one of their group that links lead to.
+
+    ``nodes`` has node, n, gid, gid2, ``sets`` node, packed; ``first`` tells links of groups by gid.
+    """
 
     def join(found: pa.Table) -> pa.Table:
         node = found.column("node").to_numpy()
         order = np.argsort(node)
         root = _joined_within(_sets(found.column("packed").take(pa.array(order)), words), percent)
         at = np.flatnonzero(root != np.arange(len(root)))
-        return pa.table({"a": pa.array(node[order][at]), "b": pa.array(node[order][root[at]])})
+        first = found.column("first")[0]
+        return pa.table({"a": pa.array(node[order][at]), "b": pa.array(node[order][root[at]]), "first": pa.repeat(first, len(at))})
 
-    parts = _spread(nodes, "gid").union(_spread(nodes.filter("gid2 <> gid"), "gid2"))
-    return parts.join(sets, "node").groupBy("gid", "part").applyInArrow(join, "a bigint, b bigint")
+    parts = _spread(nodes, "gid").withColumn("first", F.lit(True)).union(
+        _spread(nodes.filter("gid2 <> gid"), "gid2").withColumn("first", F.lit(False)),
+    )
+    return parts.join(sets, "node").groupBy("gid", "part", "first").applyInArrow(join, "a bigint, b bigint, first boolean")
 
 
 def links_across(nodes: DataFrame, sets: DataFrame, tokens: DataFrame, classes: DataFrame, words: int, percent: int) -> DataFrame:
@@ -266,9 +298,8 @@ def links_across(nodes: DataFrame, sets: DataFrame, tokens: DataFrame, classes:
 
     Of two classes the smaller one asks, so a large class is never held against its few neighbours.
     """
-    size = classes.groupBy("root").agg(F.count("*").alias("size"))
     own = nodes.select("node", "gid", "n").join(classes, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    own = own.join(size, "root", "left").withColumn("size", F.coalesce("size", F.lit(1)))
+    own = own.join(own.groupBy("root").agg(F.count("*").alias("size")), "root")
     many = nodes.groupBy("gid").agg(F.greatest(
         F.ceil(F.count("*") / GROUP_SETS), F.ceil(F.sum("n") / GROUP_TOKENS),
     ).cast("int").alias("parts"))
@@ -325,7 +356,7 @@ def linked_documents(
 
     Words are runs without 20 and 09-0D, A-Z in lower case; a text of fewer words than a shingle is one
     shingle.  Documents link at ``percent`` hundredths of common shingles; ``component_id`` is the smallest id
-    reachable by links.  Shingles and sets are told apart by hashes of 64 and 128 bits.
+    reachable by links.  Shingles and sets are told apart by hashes of 52 and 128 bits.
 
     A null or empty text has no shingle, links with nothing and is a component of its own, as is each of
     several such rows.  Repeated rows are linked like other equal texts.  A null id counts only where a
@@ -336,7 +367,7 @@ def linked_documents(
     context = spark.sparkContext
     frame = documents.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text"))
     kind = frame.schema["doc_id"].dataType.simpleString()
-    counts = context.broadcast(bucket_counts(frame, words))
+    counts = context.broadcast(bucket_levels(frame, words))
     shared = context.broadcast(shared_filter(frame, counts, words, percent))
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -380,9 +411,10 @@ def linked_documents(
     nodes = saved(sets.select("node", "n").join(gids, "node"))
     payload = sets.select("node", "packed")
     links = saved(links_within(nodes, payload, words, percent))
-    classes = components(links)
-    more = saved(links_across(nodes, payload, tokens, classes, words, percent))
-    roots = components(links.union(more)) if more.limit(1).count() else classes
+    # The hub is the smallest member, so what links to it has one class in all parts of a group.
+    classes = links.filter("first").groupBy("a").agg(F.min("b").alias("root")).withColumnRenamed("a", "node")
+    more = links_across(nodes, payload, tokens, classes, words, percent)
+    roots = components(saved(links.select("a", "b").union(more)))
     # The smallest id of each set, then of each component; sets without links are their own.
     lowest = rows.filter("n > 0").groupBy(*KEY).agg(F.min("doc_id").alias("lowest"))
     member = sets.select("node", *KEY).join(roots, "node").select(*KEY, "root")

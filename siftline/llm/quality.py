@@ -1,8 +1,8 @@
 """Quality rules: hashed n-gram log-likelihood ratio between a trusted target and the raw corpus.
 
 Single words and pairs of words are hashed into buckets.  Over all documents, and over trusted ones, the
-buckets are counted; the logarithm of the smoothed ratio of the two multinomials is the weight of a
-bucket.  A document's score is the mean weight of its n-grams, and it is kept at a score of ``threshold``
+buckets are counted, and the raw counts are scaled to the size of the target.  Both multinomials are smoothed
+alike, so that what is rare says little, and the logarithm of their ratio is the weight of a bucket.  A document's score is the mean weight of its n-grams, and it is kept at a score of ``threshold``
 or more, if the plain rules of its words and lines let it pass.
 
 Only DataFrame functions are used.  Counting shuffles one row per bucket and task; the weights are one
@@ -16,13 +16,13 @@ from pyspark.sql import functions as F
 
 from siftline.llm.common import table, tuned
 
-#: Buckets of n-grams, and what is added to each bucket's share of the counts (pseudo-count per bucket).
+#: Buckets of n-grams, and what is added to the count of each in both multinomials.
 BUCKETS = 1 << 16
-SMOOTHING = 0.5
+SMOOTHING = 5.0
 #: Trusted rows that the target is fitted on, at most: those with the smallest hashes of their ids.
 MAX_TRUSTED = 20_000
 #: Mean weight under which a document goes.
-THRESHOLD = -0.35
+THRESHOLD = -0.2
 
 #: Fixed values of the plain rules.
 MIN_WORDS = 10
@@ -82,10 +82,11 @@ def bucket_weights(
         F.sum("raw").alias("all_raw"), F.sum("target").alias("all_target"),
         F.array_sort(F.collect_list(F.struct("bucket", "raw", "target"))).alias("counts"),
     )
-    share = lambda n, whole: (n + smoothing) / (F.col(whole) + smoothing * buckets)
     return total.select(F.when(
         F.col("all_target") > 0,
-        F.transform("counts", lambda c: F.log(share(c["target"], "all_target") / share(c["raw"], "all_raw"))),
+        F.transform("counts", lambda c: F.log(
+            (c["target"] + smoothing) / (c["raw"] * (F.col("all_target") / F.col("all_raw")) + smoothing)
+        )),
     ).otherwise(F.array_repeat(F.lit(0.0), buckets)).alias("weights"))
 
 

@@ -5,6 +5,7 @@ from siftline.llm.extract import op6_html_extraction
 from siftline.llm.jaccard import op8_jaccard_join
 from siftline.llm.licenses import op4_license_scan
 from siftline.llm.mixing import op7_lm_scoring
+from siftline.llm.oracle import ORACLE_SQL
 from siftline.llm.packing import op9_best_fit_packing
 from siftline.llm.quality import op1_quality_rules
 from siftline.llm.suffixes import op5_suffix_dedup
@@ -24,5 +25,4 @@ QUERIES = {
     "op10_url_filter": op10_url_filter,
 }
 
-#: SQL where it can express the operator.
-ORACLE_SQL: dict[str, str] = {}
+__all__ = ["ORACLE_SQL", "QUERIES"]

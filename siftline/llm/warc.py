@@ -252,5 +252,5 @@ def op3_warc_bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
     records = read_bundles(archive_pages(pages, folder), folder)
     return few_files(records).select(
         page_of("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type",
-        page_of("refers_to_id").alias("refers_to"), "bundle", "frame", "offset",
+        page_of("refers_to_id").alias("refers_to"),
     )
