@@ -28,7 +28,7 @@ THRESHOLD = -0.2
 MIN_WORDS = 10
 REPEAT_WINDOW = 5
 MAX_REPEAT_PERCENT = 20
-SYMBOLS = "#*$%&|<>"
+SYMBOLS = r"[#*$%&|<>]"
 BLANK = r"[\x20\x09-\x0D]+"
 
 COLUMNS = (
@@ -40,19 +40,17 @@ def _words(text: Column) -> Column:
     return F.array_remove(F.split(text, BLANK, -1), "")
 
 
-def _shifted(words: Column, by: int, less: Column) -> Column:
-    """The words from number ``by`` on, ``less`` fewer than all."""
-    return F.slice(words, F.lit(by + 1), F.greatest(F.size(words) - less, F.lit(0)))
+def _hashes(words: Column) -> Column:
+    return F.transform(words, lambda w: F.xxhash64(w))
 
 
-def _grams(words: Column, buckets: int) -> Column:
-    """Buckets of the words, then of the pairs; the last word pairs with the end of the text."""
-    one = F.transform(words, lambda w: F.pmod(F.xxhash64(w), F.lit(buckets)).cast("int"))
-    two = F.zip_with(
-        words, F.slice(words, F.lit(2), F.greatest(F.size(words), F.lit(1))),
-        lambda a, b: F.pmod(F.xxhash64(a, F.lit("\n"), b), F.lit(buckets)).cast("int"),
-    )
-    return F.concat(one, two)
+def _pairs(hashes: Column) -> Column:
+    """A hash of each word and the next; the last word pairs with the end of the text."""
+    return F.zip_with(hashes, F.slice(hashes, F.lit(2), F.greatest(F.size(hashes), F.lit(1))), lambda a, b: F.xxhash64(a, b))
+
+
+def _bucket(hashed: Column, buckets: int) -> Column:
+    return F.pmod(hashed, F.lit(buckets))
 
 
 def bucket_weights(
@@ -69,10 +67,12 @@ def bucket_weights(
         F.col("doc_id").alias("trusted"),
     ).distinct().orderBy(F.xxhash64("trusted"), "trusted").limit(max_trusted)
     words = documents.select(
-        F.col(f"`{doc_id}`").alias("doc_id"), _words(F.coalesce(F.col(f"`{text}`"), F.lit(""))).alias("words"),
+        F.col(f"`{doc_id}`").alias("doc_id"), _hashes(_words(F.coalesce(F.col(f"`{text}`"), F.lit("")))).alias("hashes"),
     ).join(F.broadcast(trusted), F.col("doc_id") == F.col("trusted"), "left")
-    grams = words.select(F.col("trusted").isNotNull().alias("good"), F.explode(_grams(F.col("words"), buckets)).alias("bucket"))
-    counts = grams.groupBy("bucket").agg(
+    grams = words.select(
+        F.col("trusted").isNotNull().alias("good"), F.explode(F.concat("hashes", _pairs(F.col("hashes")))).alias("gram"),
+    )
+    counts = grams.groupBy(_bucket(F.col("gram"), buckets).cast("int").alias("bucket")).agg(
         F.count("*").alias("raw"), F.sum(F.col("good").cast("bigint")).alias("target"),
     )
     every = documents.sparkSession.range(buckets).select(F.col("id").cast("int").alias("bucket"))
@@ -92,16 +92,18 @@ def bucket_weights(
 
 def _repeated_words(frame: DataFrame) -> DataFrame:
     """Adds ``n_repeat_words``: words in windows of five that are found twice or more in the text."""
-    words, less = F.col("words"), F.lit(REPEAT_WINDOW - 1)
-    part = [_shifted(words, by, less) for by in range(REPEAT_WINDOW)]
-    hashed = frame.withColumn("windows", F.arrays_zip(*[p.alias(f"w{i}") for i, p in enumerate(part)]))
-    each = lambda w: [w[f"w{i}"] for i in range(REPEAT_WINDOW)]
-    hashed = hashed.withColumn("hashes", F.transform("windows", lambda w: F.xxhash64(*each(w))))
+    hashes, pairs = F.col("hashes"), F.col("pairs")
+    # A window is a pair, the pair two words on, and a last word.
+    count = F.greatest(F.size("words") - (REPEAT_WINDOW - 1), F.lit(0))
+    part = lambda values, start: F.slice(values, F.lit(start), count)
+    fours = F.zip_with(part(pairs, 1), part(pairs, 3), lambda a, b: F.xxhash64(a, b))
+    hashed = frame.withColumn("windows", F.zip_with(fours, part(hashes, 5), lambda a, b: F.xxhash64(a, b)))
     # Equal windows have equal hashes, so texts without equal hashes are done; the others compare the words.
-    ordered = hashed.withColumn("ordered", F.when(
-        F.size(F.array_distinct("hashes")) < F.size("hashes"),
-        F.sort_array(F.transform("windows", lambda w, i: F.struct(F.concat_ws(" ", *each(w)).alias("w"), i.alias("i")))),
-    ))
+    again = F.size(F.array_distinct("windows")) < F.size("windows")
+    zipped = F.arrays_zip(*[part(F.col("words"), k + 1).alias(f"w{k}") for k in range(REPEAT_WINDOW)])
+    ordered = hashed.withColumn("zipped", F.when(again, zipped)).withColumn("ordered", F.sort_array(F.transform(
+        "zipped", lambda w, i: F.struct(F.concat_ws(" ", *[w[f"w{k}"] for k in range(REPEAT_WINDOW)]).alias("w"), i.alias("i")),
+    )))
     n = F.size("ordered")
     twins = F.zip_with(
         F.slice("ordered", F.lit(1), n - 1), F.slice("ordered", F.lit(2), n - 1),
@@ -115,7 +117,7 @@ def _repeated_words(frame: DataFrame) -> DataFrame:
         ),
     )["n"]
     return ordered.withColumn("n_repeat_words", F.when(F.col("ordered").isNull(), F.lit(0).cast("bigint")).otherwise(covered)).drop(
-        "windows", "hashes", "ordered",
+        "windows", "zipped", "ordered",
     )
 
 
@@ -137,18 +139,19 @@ def judge_quality(
     # A column that is not deterministic keeps filters on the verdict from being computed twice.
     frame = documents.select(
         F.struct("*").alias("row"), content.alias("text"), F.monotonically_increasing_id().alias("uid"),
-    ).withColumn("words", _words(F.col("text")))
+    ).withColumn("words", _words(F.col("text"))).withColumn("hashes", _hashes(F.col("words")))
     lines = F.filter(F.split("text", "\n", -1), lambda line: line.rlike(r"[^\x20\x09-\x0D]"))
     frame = frame.withColumns({
         "n_words": F.size("words").cast("bigint"),
-        "word_chars": F.char_length(F.regexp_replace("text", BLANK, "")).cast("bigint"),
-        "n_symbols": (F.char_length("text") - F.char_length(F.translate("text", SYMBOLS, ""))).cast("bigint"),
-        "lines": lines, "grams": _grams(F.col("words"), buckets), "weights": weights.scalar(),
+        "word_chars": F.char_length(F.array_join("words", "")).cast("bigint"),
+        "n_symbols": F.regexp_count("text", F.lit(SYMBOLS)).cast("bigint"),
+        "lines": lines, "pairs": _pairs(F.col("hashes")), "weights": weights.scalar(),
     })
     frame = frame.withColumn("n_dup_lines", (F.size("lines") - F.size(F.array_distinct("lines"))).cast("bigint"))
-    frame = frame.withColumn("score", F.when(F.size("grams") == 0, F.lit(0.0)).otherwise(
-        F.aggregate("grams", F.lit(0.0), lambda total, b: total + F.get("weights", b)) / F.size("grams"),
-    )).drop("lines", "grams", "weights")
+    total = F.lit(0.0)
+    for grams in ("hashes", "pairs"):
+        total = F.aggregate(grams, total, lambda sum_, x: sum_ + F.get("weights", _bucket(x, buckets).cast("int")))
+    frame = frame.withColumn("score", F.when(F.size("hashes") == 0, F.lit(0.0)).otherwise(total / (2 * F.size("hashes"))))
     frame = _repeated_words(frame).withColumn("base_failed", (F.col("n_words") < MIN_WORDS) | (
         F.lit(100) * F.col("n_repeat_words") > F.lit(MAX_REPEAT_PERCENT) * F.col("n_words")
     ))

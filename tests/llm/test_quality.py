@@ -1,5 +1,6 @@
 import math
 import re
+import struct
 from collections import Counter
 
 import pytest
@@ -22,14 +23,10 @@ def base(text):
 
 
 def buckets(text):
-    words = WORD.findall(text or "")
-    hashed = lambda value, seed=42: xxhash.xxh64_intdigest(value.encode(), seed)
-    out = [hashed(w) % BUCKETS for w in words]
-    for a, b in zip(words, [*words[1:], None]):
-        value = hashed("\n", hashed(a))
-        out.append((value if b is None else hashed(b, value)) % BUCKETS)
-    return out
-
+    words = [xxhash.xxh64_intdigest(w.encode(), 42) for w in WORD.findall(text or "")]
+    chained = lambda value, seed: xxhash.xxh64_intdigest(struct.pack("<Q", value), seed)
+    pairs = [chained(a, 42) if b is None else chained(b, chained(a, 42)) for a, b in zip(words, [*words[1:], None])]
+    return [x % BUCKETS for x in words + pairs]
 
 
 def weights(rows, trusted):
