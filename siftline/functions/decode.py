@@ -7,7 +7,7 @@ import html
 import pandas as pd
 from pyspark.sql import Column, functions as F
 
-from siftline.functions.fields import parse_json
+from siftline.functions.fields import JSON_OPTIONS, parse_json
 
 
 def percent_decode(text: Column) -> Column:
@@ -43,8 +43,10 @@ def html_text(text: Column) -> Column:
     def replaced(texts: pd.Series) -> pd.Series:
         return texts.map(html.unescape, na_action="ignore")
 
-    # Defined here so that tasks get it by value and need no copy of this package.
-    return F.pandas_udf(replaced, "string")(text)
+    # Defined here so that tasks get it by value and need no copy of this package.  Texts without
+    # an ampersand, which are most, do not go through Python.
+    decoded = F.pandas_udf(replaced, "string")(F.when(F.contains(text, F.lit("&")), text))
+    return F.coalesce(decoded, text)
 
 
 def url_part(text: Column, number: int, prefix: str = "") -> Column:
@@ -62,7 +64,7 @@ def dotted_quads(text: Column) -> Column:
 
 def technologies(text: Column) -> Column:
     """Elements of the ``tech`` array of a JSON object, one per line, or ``None``."""
-    parsed = F.from_json(text, "struct<tech:array<string>>")
+    parsed = F.from_json(text, "struct<tech:array<string>>", {"maxStringLen": JSON_OPTIONS["maxStringLen"]})
     return F.coalesce(F.array_join(parsed["tech"], "\n"), F.lit("None"))
 
 

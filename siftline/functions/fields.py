@@ -5,38 +5,25 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 
-#: A VARIANT holds 16 MiB; longer texts are read by path, field by field.
-LONG = 16_000_000
+#: Strict JSON, with strings of any length; the default ends at 20 million characters.
+JSON_OPTIONS = {"maxStringLen": str(2**31 - 1), "allowSingleQuotes": "false", "allowNonNumericNumbers": "false"}
 
 
-def _pair(line: Column) -> tuple[Column, Column]:
-    """The text as the first of two array elements, and the second element.
+def parse_json(line: Column) -> Column:
+    """JSON text → VARIANT, NULL where it is not exactly one JSON value.
 
-    JSON parsers ignore what follows a value.  The second element, a hash of the text, tells
+    The parser ignores what follows a value.  A second array element, a hash of the text, tells
     whether all of the text was read as one value.
     """
     mark = F.xxhash64(line).cast("string")
-    return F.concat(F.lit("["), line, F.lit(","), mark, F.lit("]")), mark
-
-
-def _is_long(line: Column) -> Column:
-    return F.octet_length(line) > LONG
-
-
-def parse_json(line: Column) -> Column:
-    """JSON text → VARIANT, NULL where it is not exactly one JSON value or too long."""
-    text, mark = _pair(line)
-    pair = F.try_parse_json(F.when(~_is_long(line), text))
+    pair = F.from_json(F.concat(F.lit("["), line, F.lit(","), mark, F.lit("]")), "variant", JSON_OPTIONS)
     complete = F.try_variant_get(pair, "$[1]", "string") == mark
     return F.when(complete, F.try_variant_get(pair, "$[0]", "variant"))
 
 
 def is_json_object(line: Column, parsed: Column) -> Column:
     """True for a valid JSON object; a lone ``null`` counts as an object without keys."""
-    object_text = F.rlike(line, F.lit(r"\A[ \t\r\n]*(\{|null[ \t\r\n]*\z)"))
-    text, mark = _pair(line)
-    long_value = _is_long(line) & F.coalesce(F.get_json_object(text, "$[1]") == mark, F.lit(False))
-    return (parsed.isNotNull() | long_value) & object_text
+    return parsed.isNotNull() & F.rlike(line, F.lit(r"\A[ \t\r\n]*(\{|null[ \t\r\n]*\z)"))
 
 
 def variant_path(path: str) -> str:
@@ -50,12 +37,11 @@ def variant_path(path: str) -> str:
     return "$" + "".join(steps)
 
 
-def field(parsed: Column, path: str, line: Column | None = None) -> Column:
+def field(parsed: Column, path: str) -> Column:
     """The value at a path as text; NULL where it is missing or JSON null.
 
     Strings are raw, objects and arrays compact JSON.  Numbers keep their digits, without the
-    ``.0`` that a whole double would show.  With ``line``, the text that was parsed, fields of
-    texts too long for a VARIANT are found too.
+    ``.0`` that a whole double would show.
     """
     if path == "":
         return F.lit(None).cast("string")
@@ -63,16 +49,12 @@ def field(parsed: Column, path: str, line: Column | None = None) -> Column:
     text = F.try_variant_get(parsed, steps, "string")
     whole = F.rlike(text, F.lit(r"\A-?[0-9]+\.0\z"))
     number = F.schema_of_variant(F.try_variant_get(parsed, steps, "variant")) != "STRING"
-    value = F.when(whole & number, F.substring(text, F.lit(1), F.length(text) - 2)).otherwise(text)
-    if line is None:
-        return value
-    by_path = F.get_json_object(_pair(line)[0], "$[0]" + "".join(f"['{step}']" for step in path.split(".")))
-    return F.when(_is_long(line), by_path).otherwise(value)
+    return F.when(whole & number, F.substring(text, F.lit(1), F.length(text) - 2)).otherwise(text)
 
 
-def filter_equals(parsed: Column, filters: dict[str, str], line: Column | None = None) -> Column:
+def filter_equals(parsed: Column, filters: dict[str, str]) -> Column:
     """True where every field equals its text; a missing field fails."""
     test = F.lit(True)
     for path, text in filters.items():
-        test = test & F.coalesce(field(parsed, path, line) == F.lit(text), F.lit(False))
+        test = test & F.coalesce(field(parsed, path) == F.lit(text), F.lit(False))
     return test

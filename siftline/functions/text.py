@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
+from siftline.functions.fields import JSON_OPTIONS
+
 
 def strip_carriage_return(line: Column) -> Column:
     """A line without the one ``\\r`` that may end it."""
@@ -26,9 +28,8 @@ def unescape(text: Column) -> Column:
     for escape, char in (("\\n", "\n"), ("\\r", "\r"), ("\\t", "\t"), ('\\"', '"')):
         plain = F.replace(plain, F.lit(escape), F.lit(char))
     parsable = F.rlike(plain, F.lit(r'\A(?:[^\\"\x{0}-\x{1F}]++|\\["\\/bfnrt]|\\u[0-9A-Fa-f]{4})*+\z'))
-    decoded = F.try_variant_get(
-        F.try_parse_json(F.when(parsable, F.concat(F.lit('"'), plain, F.lit('"')))), "$", "string"
-    )
+    body = F.when(parsable, F.concat(F.lit('"'), plain, F.lit('"')))
+    decoded = F.try_variant_get(F.from_json(body, "variant", JSON_OPTIONS), "$", "string")
     whole = F.when(F.contains(plain, F.lit("\\u")), F.coalesce(decoded, plain)).otherwise(plain)
     return F.when(F.contains(text, F.lit("\\")), whole).otherwise(text)
 

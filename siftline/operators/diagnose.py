@@ -49,11 +49,11 @@ def diagnose(lines: DataFrame, patterns: Iterable[Pattern], config: InputConfig)
     stage = stage.withColumn("_object", F.coalesce(is_json_object(F.col("value"), F.col("_json")), F.lit(False)))
     is_object = F.col("_object")
     filters = {} if text_only else dict(config.filters)
-    stage = stage.withColumn("_passed", ~is_object | filter_equals(F.col("_json"), filters, F.col("value")))
+    stage = stage.withColumn("_passed", ~is_object | filter_equals(F.col("_json"), filters))
 
     # One content column per target, before and after decoding and transforms.
     for index, target in enumerate(targets):
-        raw = F.col("value") if target == WHOLE_LINE else F.when(is_object, field(F.col("_json"), target, F.col("value")))
+        raw = F.col("value") if target == WHOLE_LINE else F.when(is_object, field(F.col("_json"), target))
         stage = stage.withColumn(f"_raw{index}", F.when(F.col("_passed") & (F.col("value") != ""), raw))
         decoded = unescape(F.col(f"_raw{index}")) if config.decode else F.col(f"_raw{index}")
         stage = stage.withColumn(f"_decoded{index}", decoded)
@@ -65,7 +65,7 @@ def diagnose(lines: DataFrame, patterns: Iterable[Pattern], config: InputConfig)
     parsed = F.when(F.col("value") == "", "empty").when(is_object, "ok").otherwise("failed")
     verdicts = [] if text_only else [_verdict("parse", "", parsed)]
     for index, (path, text) in enumerate(filters.items()):
-        stage = stage.withColumn(f"_filter{index}", field(F.col("_json"), path, F.col("value")))
+        stage = stage.withColumn(f"_filter{index}", field(F.col("_json"), path))
         value = F.col(f"_filter{index}")
         outcome = F.when(value.isNull(), "missing").when(value == F.lit(text), "pass").otherwise("fail")
         verdicts.append(F.when(is_object, _verdict("filter", path, outcome, value)))

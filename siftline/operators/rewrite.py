@@ -19,8 +19,7 @@ def rewrite_fields(
 
     A field is read by its dotted path and written as a top-level key named by the whole path.
     A field that is missing, or whose transform gives NULL, is left alone.  Lines that are no
-    JSON objects pass through.  Keys come out in alphabetical order.  An object larger than a
-    VARIANT is an error, for it could not be written back whole.
+    JSON objects pass through.  Keys come out in alphabetical order.
     """
     configure(lines.sparkSession)
     stage = lines.withColumn("_json", parse_json(F.col(value)))
@@ -43,9 +42,8 @@ def rewrite_fields(
     table = F.map_from_entries(merged)
     keys = F.sort_array(F.map_keys(table))
     ordered = F.map_from_arrays(keys, F.transform(keys, lambda key: table[key]))
-    too_long = F.raise_error(F.lit("line too long to be rewritten")).cast("string")
     # A lone null has no entries and stays as it is.
-    written = F.when(F.col("_json").isNull(), too_long).otherwise(F.coalesce(F.to_json(ordered), F.trim(value)))
+    written = F.coalesce(F.to_json(ordered), F.trim(value))
     return stage.withColumn(value, F.when(F.col("_object"), written).otherwise(F.col(value))).select(
         *lines.columns
     )

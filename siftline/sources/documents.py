@@ -2,24 +2,41 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from siftline.functions.fields import LONG, parse_json
-from siftline.session import configure
-from siftline.sources.lines import file_label
+from siftline.functions.fields import parse_json
+from siftline.session import configure, stored
+from siftline.sources.lines import file_label, text_records
+
+
+def json_depth(document: Column) -> Column:
+    """How deep the brackets of a JSON text nest, read off the text; 0 for a lone value."""
+    brackets = F.regexp_replace(document, r'"(?:[^"\\]++|\\.)*+"|[^\[\]{}"]++', "")
+    steps = F.split(F.translate(brackets, "{}", "[]"), "")
+    count = F.aggregate(
+        steps, F.struct(F.lit(0).alias("now"), F.lit(0).alias("most")),
+        lambda at, step: F.struct(
+            (at["now"] + F.when(step == "[", 1).when(step == "]", -1).otherwise(0)).alias("now"),
+            F.greatest(at["most"], at["now"] + F.when(step == "[", 1).otherwise(0)).alias("most"),
+        ),
+    )
+    return F.coalesce(count["most"], F.lit(0))
 
 
-def expand_json_document(documents: DataFrame, document: str = "document", depth: int = 8) -> DataFrame:
+def expand_json_document(documents: DataFrame, document: str = "document", depth: int | None = None) -> DataFrame:
     """One row (``path``, ``value``) per leaf of each JSON document; other columns are kept.
 
-    Objects and arrays are opened up to ``depth`` levels; what lies deeper stays one leaf, as
-    compact JSON.  JSON nulls and empty containers are leaves too, with NULL, ``{}`` or ``[]``.
-    Text that is no JSON gives no rows.  A document larger than a VARIANT is opened one level
-    first; each of its parts must then fit one.
+    Every level of objects and arrays is opened.  JSON nulls and empty containers are leaves too,
+    with NULL, ``{}`` or ``[]``.  Text that is no JSON gives no rows.  Without ``depth`` a pass over
+    the documents finds how deep they are; with it, what lies deeper stays one leaf, as compact JSON.
     """
     configure(documents.sparkSession)
     kept = [name for name in documents.columns if name != document]
-    nodes = documents.select(*kept, F.inline(_roots(F.col(document))))
+    if depth is None:
+        depth = documents.agg(F.max(json_depth(F.col(document)))).first()[0] or 0
+    nodes = documents.select(*kept, F.lit("$").alias("path"), parse_json(F.col(document)).alias("_node"))
     spark = documents.sparkSession
     for _ in range(depth):
         opened = nodes.lateralJoin(spark.tvf.variant_explode_outer(F.col("_node").outer()))
@@ -36,22 +53,7 @@ def expand_json_document(documents: DataFrame, document: str = "document", depth
     return nodes.select(*kept, "path", F.try_variant_get("_node", "$", "string").alias("value"))
 
 
-def _roots(document: Column) -> Column:
-    """The document as one node, or the members of one that is too long."""
-    strict = {"allowSingleQuotes": "false", "allowNonNumericNumbers": "false"}
-    members = F.transform(
-        F.map_entries(F.from_json(document, "map<string,variant>", strict)),
-        lambda entry: F.struct(F.concat(F.lit("$."), entry["key"]).alias("path"), entry["value"].alias("_node")),
-    )
-    elements = F.transform(F.from_json(document, "array<variant>", strict), lambda node, at: F.struct(
-        F.concat(F.lit("$["), at.cast("string"), F.lit("]")).alias("path"), node.alias("_node")
-    ))
-    whole = F.array(F.struct(F.lit("$").alias("path"), parse_json(document).alias("_node")))
-    opened = F.when(F.rlike(document, F.lit(r"\A\s*\{")), members).otherwise(elements)
-    return F.when(F.octet_length(document) > LONG, opened).otherwise(whole)
-
-
-def leaf_records(documents: DataFrame, depth: int = 8) -> DataFrame:
+def leaf_records(documents: DataFrame, depth: int | None = None) -> DataFrame:
     """Records of documents (``document``, ``file``, ``line``): one per leaf, the path as target."""
     leaves = expand_json_document(documents, depth=depth).filter(F.coalesce("value", F.lit("")) != "")
     return leaves.select(
@@ -60,12 +62,34 @@ def leaf_records(documents: DataFrame, depth: int = 8) -> DataFrame:
     )
 
 
-def read_json_documents(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+def document_records(spark: SparkSession, paths: str | Sequence[str], lines: DataFrame) -> DataFrame:
+    """Records of files (``lines`` are theirs, numbered) that hold JSON in any layout, or text.
+
+    Where the first line that is not blank is a JSON value, every line is a document of its own;
+    else the whole file is one if it is JSON.  What is no JSON is given as text, line by line.
+    """
+    blank = F.trim("value") == ""
+    first = lines.filter(~blank).groupBy("file").agg(F.min_by(parse_json(F.col("value")).isNotNull(), "line").alias("_by_line"))
+    # One row per file; the files that are read whole are documents that fit a task.
+    whole = read_json_documents(spark, paths).join(first.filter("not _by_line").select("file"), "file", "left_semi")
+    whole = stored(whole.withColumn("_json", parse_json(F.col("document")).isNotNull()))
+    known = first.filter("_by_line").select("file", F.lit(True).alias("_by_line"))
+    kinds = known.unionByName(whole.filter("_json").select("file", F.lit(False).alias("_by_line")))
+    placed = lines.join(kinds, "file", "left")
+    single = placed.withColumn("_json", F.col("_by_line") & parse_json(F.col("value")).isNotNull())
+    documents = single.filter("_json").select(F.col("value").alias("document"), "line", "file").unionByName(
+        whole.filter("_json").select("document", "line", "file"),
+    )
+    text = single.filter((F.col("_by_line").isNull() | F.col("_by_line")) & ~F.coalesce("_json", F.lit(False)))
+    return leaf_records(documents).unionByName(text_records(text))
+
+
+def read_json_documents(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
     """Files that hold one JSON document each, as (document, file, line).
 
     A document is one value in one row, so it must fit a task; many documents spread over tasks.
     """
-    return spark.read.text(paths, wholetext=True, recursiveFileLookup=True).select(
+    return spark.read.text(paths if isinstance(paths, str) else list(paths), wholetext=True, recursiveFileLookup=True).select(
         F.col("value").alias("document"), file_label(F.col("_metadata.file_path")).alias("file"),
         F.lit(0).cast("bigint").alias("line"),
     )

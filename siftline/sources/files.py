@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from siftline.model import InputConfig
 from siftline.sources.csv import read_csv_records
+from siftline.sources.documents import document_records
 from siftline.sources.jsonl import jsonl_records
 from siftline.sources.lines import read_lines, text_records
 from siftline.sources.prepare import prepare
@@ -29,10 +30,9 @@ def read_records(
     if config.format == "csv":
         records = read_csv_records(spark, paths, config.csv, **files)
     else:
-        lines = read_lines(spark, paths, line_numbers, **files)
+        lines = read_lines(spark, paths, line_numbers or config.expand_json, **files)
         if config.expand_json:
-            from siftline.sources.documents import leaf_records
-            records = leaf_records(lines.select(F.col("value").alias("document"), "file", "line"))
+            records = document_records(spark, paths, lines)
         else:
             records = jsonl_records(lines, config) if config.format in ("jsonl", "json") else text_records(lines)
     return prepare(records, config)

@@ -24,17 +24,17 @@ def jsonl_records(lines: DataFrame, config: InputConfig) -> DataFrame:
     parsed = lines.withColumn("_json", parse_json(F.col("value")))
     stage = parsed.withColumn("_object", F.coalesce(is_json_object(F.col("value"), F.col("_json")), F.lit(False)))
     is_object = F.col("_object")
-    wanted = is_object & filter_equals(F.col("_json"), dict(config.filters), F.col("value"))
+    wanted = is_object & filter_equals(F.col("_json"), dict(config.filters))
     if WHOLE_LINE in targets:
         wanted = wanted | ~is_object
     names = {name: f"_target{index}" for index, name in enumerate(targets)}
     rows = stage.select(
         "line",
         F.col("file").alias("source_file"),
-        F.when(is_object, field(F.col("_json"), config.id, F.col("value"))).alias("record_id"),
+        F.when(is_object, field(F.col("_json"), config.id)).alias("record_id"),
         wanted.alias("_wanted"),
         *[
-            (F.col("value") if name == WHOLE_LINE else F.when(is_object, field(F.col("_json"), name, F.col("value")))).alias(column)
+            (F.col("value") if name == WHOLE_LINE else F.when(is_object, field(F.col("_json"), name))).alias(column)
             for name, column in names.items()
         ],
     )
