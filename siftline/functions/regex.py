@@ -64,6 +64,8 @@ WORD = "[0-9A-Za-z_]"
 WORD_EDGE = f"(?:(?<={WORD})(?!{WORD})|(?<!{WORD})(?={WORD}))"
 WORD_INNER = f"(?:(?<={WORD})(?={WORD})|(?<!{WORD})(?!{WORD}))"
 
+#: What begins with a word character in every match: a letter that is not optional, or a group of words.
+_WORD_NEXT = re.compile(r"[0-9A-Za-z_](?![*?{])|\((?:\?:)?\w+(?:\|\w+)*\)(?![*?{])", re.ASCII)
 _REPEAT = re.compile(r"\{(\d+)(,(\d*))?\}")
 _FLAGS = re.compile(r"\(\?([a-zA-Z]*)(?:-([a-zA-Z]+))?([:)])")
 _NAMED = re.compile(r"\(\?P?<([A-Za-z0-9_]+)>")
@@ -85,6 +87,20 @@ def _complement(ranges):
     return gaps
 
 
+def _folded(ranges):
+    """The ranges with the other cases of their ASCII letters, as RE2 folds them."""
+    wide = list(ranges)
+    for start, end in ranges:
+        for low, high, shift in ((0x41, 0x5A, 0x20), (0x61, 0x7A, -0x20)):
+            if max(start, low) <= min(end, high):
+                wide.append((max(start, low) + shift, min(end, high) + shift))
+    # The long s and the Kelvin sign fold to letters.
+    for letter, other in ((0x73, 0x17F), (0x6B, 0x212A)):
+        if any(start <= letter <= end for start, end in wide):
+            wide.append((other, other))
+    return wide
+
+
 def _java_char(code):
     char = chr(code)
     return char if char.isascii() and char.isalnum() else f"\\x{{{code:X}}}"
@@ -137,6 +153,9 @@ class _Translator:
         self.deep = False
         self.scopes = [_Scope(outer=False, ignore_case=False)]
         self.last = None
+        # Whether an alternative of the whole pattern begins here, and where guards were put.
+        self.fresh = True
+        self.guards = []
 
     def run(self):
         while self.at < len(self.text):
@@ -145,12 +164,17 @@ class _Translator:
             raise PatternError("missing closing )")
         self.close_flag()
         python = None if None in self.python else "".join(self.python)
+        if python is None or _least_width(python) == 0:
+            # After an empty match the search goes on one character later, where a run may be cut.
+            for place in self.guards:
+                self.java[place] = ""
         return Regex(self.text, "".join(self.java), python, self.groups, self.deep)
 
     def put(self, java, python="", kind="atom"):
         self.java.append(java)
         self.python.append(java if python == "" else python)
         self.last = kind
+        self.fresh = False
 
     def put_char(self, code, kind="atom"):
         self.put(_java_char(code), _python_char(code), kind)
@@ -165,16 +189,21 @@ class _Translator:
             self.close_flag()
             self.put("|", kind=None)
             self.open_flag(scope)
+            self.fresh = len(self.scopes) == 1
             self.at += 1
         elif char in "*+?":
             self.repeat(char, self.at + 1, unbounded=char != "?")
         elif char == "{" and (found := _REPEAT.match(self.text, self.at)):
             self.counted_repeat(found)
         elif char == "[":
-            leads = len(self.scopes) == 1 and self.last is None
+            leads = self.fresh
             content = self.bracket()
-            repeated = self.text[self.at:self.at + 1] in ("+", "*")
-            self.put((_run_start(content) if leads and repeated else "") + content.java(), content.python())
+            following = self.text[self.at:self.at + 2]
+            if leads and following[:1] in ("+", "*") and following[1:] != "?":
+                self.guards.append(len(self.java))
+                self.java.append(_run_start(content))
+                self.python.append("")
+            self.put(content.java(), content.python())
         elif char == "\\":
             self.escape()
         else:
@@ -219,10 +248,12 @@ class _Translator:
         elif found := _FLAGS.match(self.text, self.at):
             self.at = found.end()
             if found[3] == ")":
+                fresh = self.fresh
                 self.set_flags(scope, found[1], found[2] or "")
                 self.close_flag()
                 self.open_flag(scope)
                 self.last = None
+                self.fresh = fresh
             else:
                 self.put("(?:", kind=None)
                 self.scopes.append(inner)
@@ -275,6 +306,9 @@ class _Translator:
         following = self.text[self.at + 1:self.at + 2]
         if following in ("b", "B"):
             edge = WORD_EDGE if following == "b" else WORD_INNER
+            if following == "b" and _WORD_NEXT.match(self.text, self.at + 2):
+                # A word character is sure to follow, so one look back tells.
+                edge = f"(?<!{WORD})"
             if self.scopes[-1].ignore_case:
                 self.put(f"(?-iu:{edge})", f"(?-i:{edge})")
             else:
@@ -300,6 +334,10 @@ class _Translator:
             else:
                 self.put(content.java(), content.python())
 
+    def without(self, ranges):
+        """All but the ranges; where case is ignored they are folded first."""
+        return _complement(_folded(ranges) if self.scopes[-1].ignore_case else ranges)
+
     def class_item(self, content):
         """Read one character or one named class; a class is added to ``content``."""
         char = self.text[self.at]
@@ -309,7 +347,7 @@ class _Translator:
         following = self.text[self.at + 1:self.at + 2]
         if following.lower() in PERL_CLASSES and following:
             ranges = PERL_CLASSES[following.lower()]
-            content.ranges += ranges if following.islower() else _complement(ranges)
+            content.ranges += ranges if following.islower() else self.without(ranges)
             self.at += 2
             return None
         if found := _PROPERTY.match(self.text, self.at):
@@ -351,7 +389,7 @@ class _Translator:
                 if found[2] not in POSIX_CLASSES:
                     raise PatternError(f"unknown class {found[0]}")
                 ranges = POSIX_CLASSES[found[2]]
-                content.ranges += _complement(ranges) if found[1] else ranges
+                content.ranges += self.without(ranges) if found[1] else ranges
                 self.at = found.end()
                 continue
             low = high = self.class_item(content)
@@ -369,12 +407,21 @@ def _run_start(content):
     """Where an alternative that starts with a repeated class may begin to match.
 
     The leftmost match begins where a run of the class begins, or where the search resumed:
-    otherwise the character before it would begin a match too.  Java would try every character
+    otherwise the character before it would begin a match too.  That holds for the first atom of
+    an alternative with a greedy repeat, if no match of the pattern is empty.  Java would try every character
     of the run, which takes quadratic time on long runs.
     """
     return rf"(?:\G|(?<!{content.java()}))"
 
 
+def _least_width(python):
+    """The length of the shortest match; 0 where Python cannot tell."""
+    try:
+        return re._parser.parse(python).getwidth()[0]
+    except re.error:
+        return 0
+
+
 def _property(found):
     name = found[3] or found[4]
     negated = (found[1] == "P") != bool(found[2])

@@ -69,10 +69,28 @@ def leading_literal(regex: str) -> str:
     return max(re.split(r"[.^$]|\+\??|.[?*]\??", head), key=len)
 
 
+#: A group of plain words, neither optional nor repeated away, and nothing but plain text around it.
+_WORD_GROUP = re.compile(r"\((?:\?:)?([^()\[\]{}\\|.^$*+?]+(?:\|[^()\[\]{}\\|.^$*+?]+)+)\)(?![*?{])")
+
+
+def mandatory_literals(regex: str) -> tuple[str, ...]:
+    """Literals of which every match has one: the words of a group that has to match, or one run of characters."""
+    single = leading_literal(regex)
+    if len(single) >= MIN_LITERAL or regex.startswith("(?"):
+        return (single,) if single else ()
+    for found in _WORD_GROUP.finditer(regex):
+        around = regex[:found.start()] + regex[found.end():]
+        # No other choice and no group that this one might stand in.
+        if "|" not in around and "(" not in around and ")" not in around and "[" not in regex[:found.start()]:
+            return tuple(found[1].split("|"))
+    return (single,) if single else ()
+
+
 def literals_of(alternatives: Iterable[str], ignore_case: bool) -> tuple[str, ...]:
     """One literal per alternative, or nothing if some alternative has none of at least 3 letters."""
-    found = [leading_literal(item) for item in alternatives]
-    if any(len(literal) < MIN_LITERAL or not literal.isascii() for literal in found):
+    lists = [mandatory_literals(item) for item in alternatives]
+    found = [literal for literals in lists for literal in literals]
+    if not all(lists) or any(len(literal) < MIN_LITERAL or not literal.isascii() for literal in found):
         return ()
     return tuple(dict.fromkeys(literal.lower() if ignore_case else literal for literal in found))
 

@@ -1,10 +1,12 @@
+import random
+
 import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from siftline.functions.regex import PatternError, translate_regex
 from siftline.operators.library import LIBRARY
-from siftline.operators.patterns import Pattern, leading_literal, literals_of, pattern
+from siftline.operators.patterns import Pattern, leading_literal, literals_of, mandatory_literals, pattern
 from siftline.functions.search import match_finder
 from siftline.operators.scan import may_match, scan
 
@@ -71,6 +73,69 @@ def test_python_text_gives_the_same_matches(spark):
             assert got == [item for item in want if item], (source, text)
 
 
+#: Texts with runs, folded letters, blanks and line breaks for patterns made at random.
+RANDOM_TEXTS = ["foobar fooBAR", "abc", "ab", "fa9_b", "éa ſkK b", "a b\nab a_b", "", "xx  yy\n\nzz", "aab aabb b", "Kk ſs"]
+REPORTED = [
+    r"foo(?i)[a-z]+", r"x(?i)[a-z]+ ", r"(?s)o(?i)[A-Z]*r", r"^|[a-z]+", r"\b|[ab]+", r"[a-z]*?\d?", r"(?i)\W+", r"(?i)[\W]+", r"(?i)[^\w]+",
+    r"(?i)[[:^alpha:]]+", r"(?i)[[:^lower:]]+", r"(?i)\S+\b", r"\b(foo|ab)\b", r"\b(?:a|b)+", r"\bx*y", r"\b(?:ab|x)?b", r"(?i)[k-s]+|", r"[ab]+?b|[b]+",
+]
+
+
+def random_pattern(pick, depth=2):
+    atoms = ["a", "b", "f", "o", ".", r"\w", r"\W", r"\d", r"\D", r"\s", r"\S", "[ab]", "[^a]", "[a-z]", "[A-K]", r"[\W_]", "^", "$", r"\b", r"\B"]
+    out = pick.choice(["", "", "", "(?i)", "(?s)", "(?m)", "(?i)"])
+    for _ in range(pick.randint(0, 3)):
+        roll = pick.random()
+        if depth and roll < 0.2:
+            atom = pick.choice(["(", "(?:"]) + random_pattern(pick, depth - 1) + ")"
+        elif roll < 0.28:
+            out += pick.choice(["(?i)", "(?-i)", "(?s)"])
+            continue
+        else:
+            atom = pick.choice(atoms)
+        out += atom
+        if atom not in ("^", "$", r"\b", r"\B") and not atom.startswith("("):
+            out += pick.choice(["", "", "", "+", "*", "?", "+?", "*?", "??", "{1,2}"])
+    return out + ("|" + random_pattern(pick, depth - 1) if depth and pick.random() < 0.25 else "")
+
+
+def test_random_patterns_equal_re2(spark):
+    """A thousand patterns and the reported ones: whole matches and all groups."""
+    pick = random.Random(11)
+    sources = list(REPORTED)
+    while len(sources) < 1000 + len(REPORTED):
+        source = random_pattern(pick)
+        try:
+            duckdb.execute("SELECT regexp_extract_all('', ?, 0)", [source])
+            translate_regex(source)
+        except (duckdb.Error, PatternError):
+            continue
+        sources.append(source)
+    texts = spark.createDataFrame([(index, text) for index, text in enumerate(RANDOM_TEXTS)], "id int, text string").coalesce(1)
+    database = duckdb.connect()
+    database.execute("CREATE TABLE texts (id INT, text VARCHAR)")
+    database.executemany("INSERT INTO texts VALUES (?, ?)", list(enumerate(RANDOM_TEXTS)))
+    wrong = []
+    for start in range(0, len(sources), 150):
+        some = sources[start:start + 150]
+        found = texts.select("id", *[
+            F.array(*[F.regexp_extract_all("text", F.lit(translate_regex(s).java), F.lit(g)) for g in range(translate_regex(s).groups + 1)]) for s in some
+        ]).orderBy("id").collect()
+        for number, source in enumerate(some):
+            groups = translate_regex(source).groups + 1
+            wanted = database.execute(
+                f"SELECT {', '.join('regexp_extract_all(text, ?, %d)' % g for g in range(groups))} FROM texts ORDER BY id", [source] * groups,
+            ).fetchall()
+            wrong += [(source, RANDOM_TEXTS[row["id"]]) for row, want in zip(found, wanted) if _matches(row[number + 1]) != _matches(want)]
+    assert not wrong, wrong[:8]
+
+
+def test_literals_of_a_group_that_has_to_match():
+    assert mandatory_literals(r"\b(token|password|secret)\b ?=") == ("token", "password", "secret")
+    assert mandatory_literals(r"(token|password)?=") == () and mandatory_literals(r"(?:abc|def)*x") == ()
+    assert mandatory_literals(r"x(a(token|password))|y") == () and mandatory_literals(r"[(token|pass)]") == ()
+
+
 @pytest.mark.parametrize("source", REFUSED)
 def test_what_re2_refuses_is_refused(source):
     with pytest.raises(PatternError):
