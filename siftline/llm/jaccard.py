@@ -9,8 +9,9 @@ Similar sets are put into groups of bounded size by the smallest (and once more
 their shared prefix tokens.  Each group is joined within, together with a hub that all groups of that hash
 have in common.  The links so far make classes.  The matrix then has a row for each prefix token and group;
 a set is a query against a group if they share a prefix token there and the group has members of another
-class.  In the task of a group, the union of its tokens bounds the overlap with each query; only groups
-whose bound reaches the needed share are opened and compared set by set.  Nothing similar is missed, and a
+class.  Signatures, which bound the difference of two sets from below, rule out most of them.  In the task of
+a group, the union of its tokens bounds the overlap with each query; only groups whose bound reaches the needed
+share are opened and compared set by set.  Nothing similar is missed, and a
 large family of copies costs no pairs, for its members are in one class by then.
 """
 
@@ -42,6 +43,8 @@ FILTER_BITS = 1 << 26
 FILTER_HASHES = 3
 #: One in so many tokens is asked for in common before a set is looked at.
 SURPLUS = 20
+#: Bytes of a signature.
+SIGNATURE = 256
 #: Sets of a group at most on average, tokens of a group, and queries that are held against a copy of it.
 GROUP_SETS = 128
 GROUP_TOKENS = 400_000
@@ -196,6 +199,22 @@ def shared_filter(frame: DataFrame, counts: Broadcast, words: int, percent: int)
     return out
 
 
+def signature(token: np.ndarray) -> bytes:
+    """A bit for each bucket of tokens, set where it has an odd number of them.
+
+    The signatures of two sets differ in no more bits than there are tokens that one of them lacks.
+    """
+    odd = np.bincount((mixed(token) % _U(8 * SIGNATURE)).astype(np.int64), minlength=8 * SIGNATURE) & 1
+    return np.packbits(odd.astype(np.uint8)).tobytes()
+
+
+def may_be_similar(query: np.ndarray, members: np.ndarray, n: int, size: np.ndarray, percent: int) -> np.ndarray:
+    """Which of the signatures are near enough to that of a set of n tokens."""
+    apart = np.bitwise_count(members ^ query).sum(1)
+    both = n + size
+    return apart <= both - 2 * -(-percent * both // (100 + percent))
+
+
 def similar(common: np.ndarray, n: np.ndarray, m: np.ndarray, percent: int) -> np.ndarray:
     """Whether ``common`` of n and m tokens is the share or more."""
     return (100 * common >= percent * (n + m - common)) & (common > 0)
@@ -293,18 +312,54 @@ def links_within(nodes: DataFrame, sets: DataFrame, words: int, percent: int) ->
     return parts.join(sets, "node").groupBy("gid", "part", "first").applyInArrow(join, "a bigint, b bigint, first boolean")
 
 
+def _copies(asked: DataFrame) -> DataFrame:
+    """How many copies of a group its queries are held against."""
+    return asked.groupBy("open").agg(F.ceil(F.count("*") / GROUP_QUERIES).cast("int").alias("copies"))
+
+
+def _sides(queries: DataFrame, members: DataFrame) -> list:
+    """Both sides by copy of a group, with new names for columns that they have from the same tables."""
+    frames = (f.withColumns({"gid": F.col("open.gid"), "part": F.col("open.part")}).drop("open") for f in (queries, members))
+    return [frame.toDF(*frame.columns).groupBy("gid", "part", "copy") for frame in frames]
+
+
+def _near_groups(asked: DataFrame, own: DataFrame, percent: int) -> DataFrame:
+    """The queries and groups (``asked``) with a member of a larger class whose signature is near enough."""
+
+    def near(asking: pa.Table, members: pa.Table) -> pa.Table:
+        bits = np.frombuffer(b"".join(members.column("bits").to_pylist()), _U).reshape(-1, SIGNATURE // 8)
+        size, root, n = (members.column(c).to_numpy() for c in ("size", "root", "n"))
+        kept = []
+        for query, own_size, own_root, own_n in zip(*(asking.column(c).to_pylist() for c in ("bits", "size", "root", "n")), strict=True):
+            larger = (size > own_size) | ((size == own_size) & (root > own_root))
+            kept.append(bool((may_be_similar(np.frombuffer(query, _U), bits, own_n, n, percent) & larger).any()))
+        return asking.select(["node", "gid", "part"]).filter(pa.array(kept, pa.bool_()))
+
+    copies = _copies(asked)
+    shown = ("node", "class.size", "class.root", "n", "bits")
+    queries = asked.select("open", "node").join(copies, "open").join(own, "node").select(
+        "open", F.pmod(F.xxhash64("node"), F.col("copies")).cast("int").alias("copy"), *shown,
+    )
+    members = own.join(copies, own["group"] == copies["open"]).select(
+        "open", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("copy"), *shown,
+    )
+    sides = _sides(queries, members)
+    kept = sides[0].cogroup(sides[1]).applyInArrow(near, "node bigint, gid bigint, part int")
+    return kept.select(F.struct("gid", "part").alias("open"), "node").join(own.select("node", "class"), "node")
+
+
 def links_across(nodes: DataFrame, sets: DataFrame, tokens: DataFrame, classes: DataFrame, words: int, percent: int) -> DataFrame:
     """Links (a, b) between sets of different classes that share a prefix token.
 
     Of two classes the smaller one asks, so a large class is never held against its few neighbours.
     """
-    own = nodes.select("node", "gid", "n").join(classes, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    own = nodes.select("node", "gid", "n", "bits").join(classes, "node", "left").withColumn("root", F.coalesce("root", "node"))
     own = own.join(own.groupBy("root").agg(F.count("*").alias("size")), "root")
     many = nodes.groupBy("gid").agg(F.greatest(
         F.ceil(F.count("*") / GROUP_SETS), F.ceil(F.sum("n") / GROUP_TOKENS),
     ).cast("int").alias("parts"))
     own = saved(own.join(many, "gid").select(
-        "node", F.struct("size", "root").alias("class"), F.struct(
+        "node", "bits", F.struct("size", "root").alias("class"), F.struct(
             "gid", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int").alias("part"),
         ).alias("group"), "n",
     ))
@@ -319,8 +374,8 @@ def links_across(nodes: DataFrame, sets: DataFrame, tokens: DataFrame, classes:
         (F.col("class") < F.col("high")) & (percent * F.col("least") <= 100 * F.col("n"))
         & (100 * F.col("most") >= percent * F.col("n"))
     ).select("open", "node", "class").distinct()
-    asked = saved(asked)
-    copies = asked.groupBy("open").agg(F.ceil(F.count("*") / GROUP_QUERIES).cast("int").alias("copies"))
+    asked = saved(_near_groups(asked, own, percent))
+    copies = _copies(asked)
     queries = asked.join(copies, "open").join(sets, "node").select(
         "open", F.pmod(F.xxhash64("node"), F.col("copies")).cast("int").alias("copy"), "node", "class.size", "class.root", "packed",
     )
@@ -344,8 +399,7 @@ def links_across(nodes: DataFrame, sets: DataFrame, tokens: DataFrame, classes:
             out += [(int(query), int(node[linked[k]])) for k in np.unique(root[linked], return_index=True)[1]]
         return pa.table({"a": pa.array([a for a, _ in out], pa.int64()), "b": pa.array([b for _, b in out], pa.int64())})
 
-    # New names for columns that both sides have from the same tables.
-    sides = [frame.toDF(*frame.columns).groupBy("open", "copy") for frame in (queries, members)]
+    sides = _sides(queries, members)
     return sides[0].cogroup(sides[1]).applyInArrow(compare, "a bigint, b bigint")
 
 
@@ -382,13 +436,14 @@ def linked_documents(
                 fa, fb = _digests(token, at)
                 part = batch.slice(first, len(n))
                 texts = [pack(x.as_buffer()) if w else None for x, w in zip(part.column("text"), wanted, strict=True)]
+                bits = [signature(token[at[k] : at[k + 1]]) if w else None for k, w in enumerate(wanted)]
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), pa.array(fa), pa.array(fb), pa.array(n), pa.array(texts, pa.binary())],
-                    ["doc_id", *KEY, "packed"],
+                    [part.column("doc_id"), pa.array(fa), pa.array(fb), pa.array(n), pa.array(texts, pa.binary()), pa.array(bits, pa.binary())],
+                    ["doc_id", *KEY, "packed", "bits"],
                 )
 
     rows = saved(frame.select("doc_id", "text").mapInArrow(
-        describe, f"doc_id {kind}, fa bigint, fb bigint, n bigint, packed binary",
+        describe, f"doc_id {kind}, fa bigint, fb bigint, n bigint, packed binary, bits binary",
     ))
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -399,7 +454,9 @@ def linked_documents(
                 hit = _in_filter(shared.value, token[place])
                 yield _batch("node bigint, token bigint", node[first + row[hit]], token[place[hit]].view(np.int64))
 
-    sets = saved(rows.filter("packed IS NOT NULL").groupBy(*KEY).agg(F.first("packed").alias("packed")).withColumn(
+    sets = saved(rows.filter("packed IS NOT NULL").groupBy(*KEY).agg(
+        F.first("packed").alias("packed"), F.first("bits").alias("bits"),
+    ).withColumn(
         "node", F.monotonically_increasing_id(),
     ))
     found = sets.select("node", "packed").mapInArrow(keys, "node bigint, token bigint")
@@ -408,7 +465,7 @@ def linked_documents(
     gids = tokens.groupBy("node").agg(
         F.min(F.xxhash64("token")).alias("gid"), F.max(F.xxhash64("token")).alias("gid2"),
     )
-    nodes = saved(sets.select("node", "n").join(gids, "node"))
+    nodes = saved(sets.select("node", "n", "bits").join(gids, "node"))
     payload = sets.select("node", "packed")
     links = saved(links_within(nodes, payload, words, percent))
     # The hub is the smallest member, so what links to it has one class in all parts of a group.
