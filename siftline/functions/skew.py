@@ -1,36 +1,13 @@
-"""Joins that stay even when one key holds a large share of the rows."""
+"""Whether a table is small enough to broadcast."""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
 from pyspark.sql import Column, DataFrame, functions as F
 
-#: Default number of parts a key is spread over.  AQE splits what is still too large.
-SALTS = 16
-
 #: Most text a broadcast table may hold.
 BROADCAST_BYTES = 256 << 20
 
 
-def salted_left_join(
-    left: DataFrame, right: DataFrame, on: Sequence[str], spread: Sequence[str], salts: int = SALTS
-) -> DataFrame:
-    """``left`` join of a table with one row per key, each key spread over ``salts`` tasks.
-
-    ``spread`` names columns that tell the rows of one key apart; they decide which of the
-    ``salts`` copies of the right row a left row meets, so a rerun of a lost task agrees with
-    its first run.  Rows with a NULL key meet nothing and are spread freely.
-    """
-    copies = right.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(salts - 1).cast("bigint"))))
-    hashed = F.xxhash64(*[F.col(name) for name in spread])
-    keyed = F.lit(True)
-    for name in on:
-        keyed = keyed & F.col(name).isNotNull()
-    salted = left.withColumn("_salt", F.when(keyed, F.pmod(hashed, F.lit(salts))).otherwise(hashed))
-    return salted.join(copies, [*on, "_salt"], "left").drop("_salt")
-
-
 def measure(
     table: DataFrame, max_rows: int, *more: Column, max_bytes: int = BROADCAST_BYTES
 ) -> tuple[bool, tuple]:

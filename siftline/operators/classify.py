@@ -16,7 +16,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from siftline.functions.skew import BROADCAST_BYTES, SALTS, fits_broadcast, salted_left_join
+from siftline.functions.skew import BROADCAST_BYTES, fits_broadcast
 from siftline.session import stored
 
 HIGH, LOW = "high-interest", "low-interest"
@@ -98,14 +98,18 @@ def fit_text_classifier(
     rows = training.select(F.col(text).alias("text"), F.col(label).cast("string").alias("label")).filter(
         F.col("text").isNotNull() & F.col("label").isNotNull()
     )
-    totals = rows.groupBy("label").agg(
-        F.count(F.lit(1)).alias("texts"), F.sum(F.size(tokens(F.col("text"), ngram))).alias("tokens")
+    # One pass over the texts: tokens by class, and under NULL the number of texts of the class.
+    found = F.array_append(tokens(F.col("text"), ngram), F.lit(None).cast("string"))
+    pairs = stored(rows.select("label", F.explode(found).alias("token")).groupBy("label", "token").agg(F.count(F.lit(1)).alias("n")))
+    totals = pairs.groupBy("label").agg(
+        F.sum(F.when(F.col("token").isNull(), F.col("n"))).alias("texts"),
+        F.coalesce(F.sum(F.when(F.col("token").isNotNull(), F.col("n"))), F.lit(0)).alias("tokens"),
     ).orderBy("label").limit(MAX_LABELS + 1).collect()
     if not totals or len(totals) > MAX_LABELS:
         raise ValueError(f"a model needs 1 to {MAX_LABELS} classes")
     labels = [row["label"] for row in totals]
-    counts = rows.select("label", F.explode(tokens(F.col("text"), ngram)).alias("token")).groupBy("token").agg(*[
-        F.sum(F.when(F.col("label") == name, 1).otherwise(0)).alias(f"n{index}") for index, name in enumerate(labels)
+    counts = pairs.filter("token IS NOT NULL").groupBy("token").agg(*[
+        F.sum(F.when(F.col("label") == name, F.col("n")).otherwise(0)).alias(f"n{index}") for index, name in enumerate(labels)
     ])
     gains = stored(counts.select("token", F.array(*[
         F.log((F.col(f"n{index}") + F.lit(smoothing)) / F.lit(smoothing)) for index in range(len(labels))
@@ -137,23 +141,23 @@ _default_models: dict[str, TextModel] = {}
 
 def classify_text(
     texts: DataFrame, model: TextModel, id: Sequence[str], text: str = "text",
-    broadcast_tokens: int = BROADCAST_TOKENS, salts: int = SALTS,
+    broadcast_tokens: int = BROADCAST_TOKENS,
 ) -> DataFrame:
     """(id columns, ``label``, ``score_<class>``…) per text; ``id`` must tell the texts apart.
 
-    The tokens meet the model by broadcast if it is small by count and size, otherwise by a shuffle
-    in which every token is spread over ``salts`` tasks.  Sums are taken before the final
-    shuffle, which moves one row per text and task.
+    The tokens meet the model by broadcast if it is small by count and size, otherwise by a join that
+    Spark splits where a token is frequent.  Sums are taken before the final shuffle, which moves one
+    row per text and task.
     """
     found = tokens(F.coalesce(F.col(text), F.lit("")), model.ngram)
-    exploded = texts.select(*id, F.posexplode_outer(found).alias("_at", "token"))
+    exploded = texts.select(*id, F.explode_outer(found).alias("token"))
     gains = model.gains.withColumnRenamed("gains", "_gains")
     # The gains themselves take eight bytes per class.
     most = min(broadcast_tokens, BROADCAST_BYTES // (8 * len(model.labels) + 16))
     if fits_broadcast(gains.select("token"), most):
         joined = exploded.join(F.broadcast(gains), "token", "left")
     else:
-        joined = salted_left_join(exploded, gains, ["token"], [*id, "_at"], salts)
+        joined = exploded.join(gains, "token", "left")
     scores = [
         F.lit(model.priors[index]) + F.count("token") * F.lit(model.unseen[index])
         + F.coalesce(F.sum(F.col("_gains")[index]), F.lit(0.0))
@@ -165,18 +169,15 @@ def classify_text(
                          *[F.col(f"`{name}`") for name in names])
 
 
-def only_high_interest(
-    findings: DataFrame, model: TextModel | None = None, wanted: str = HIGH, identity: Sequence[str] = ()
-) -> DataFrame:
+def only_high_interest(findings: DataFrame, model: TextModel | None = None, wanted: str = HIGH) -> DataFrame:
     """Findings whose content the model puts in the wanted class.
 
-    A small model, such as the default one, is an expression and moves no data.  A larger one
-    needs ``identity``, the columns that tell findings apart.
+    A model that is small enough is written into an expression and moves no data; with a larger one
+    each different content is classified once and the findings are joined by content.
     """
     model = model or default_model(findings.sparkSession)
     if model.vocabulary <= INLINE_TOKENS:
         return findings.filter(model.label_column(F.col("content")) == wanted)
-    if not identity:
-        raise ValueError("a large model needs the columns that tell findings apart")
-    labelled = classify_text(findings, model, identity, "content").filter(F.col("label") == wanted)
-    return findings.join(labelled.select(*identity), list(identity), "left_semi")
+    contents = findings.select(F.coalesce("content", F.lit("")).alias("_content")).distinct()
+    labelled = classify_text(contents, model, ["_content"], "_content").filter(F.col("label") == wanted)
+    return findings.join(labelled.select("_content"), F.coalesce("content", F.lit("")) == F.col("_content"), "left_semi")

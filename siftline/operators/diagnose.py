@@ -37,7 +37,9 @@ def diagnose(lines: DataFrame, patterns: Iterable[Pattern], config: InputConfig)
     only if all filters pass.  Patterns run exactly as in ``scan``, flags included.
 
     For CSV every line is taken as a row: the detail of ``parse`` is the number of cells, targets
-    are cell numbers, and a line that leaves a cell open has failed.
+    are cell numbers, and a line that leaves a cell open has failed.  As in the reader, the first row
+    of a file sets the number of cells: it is the ``header`` if there is one, and rows of another
+    number are ``ragged``; neither has targets.
     """
     configure(lines.sparkSession)
     patterns = list(patterns)
@@ -103,6 +105,13 @@ def _diagnose_csv(lines: DataFrame, patterns: list[Pattern], config: InputConfig
     grammar, layout, value = Grammar((config.csv.separator or ",")[0]), config.csv, F.col("value")
     stage = lines.withColumn("_ok", (value != "") & grammar.complete(value))
     stage = stage.withColumn("_cells", F.when(F.col("_ok"), grammar.cells(value)))
+    # One row per file.
+    heads = stage.filter("_ok").groupBy("file").agg(F.min(F.struct("line", F.size("_cells").alias("width"))).alias("_head"))
+    stage = stage.join(heads, "file", "left")
+    header = F.lit(layout.has_header) & (F.col("line") == F.col("_head.line"))
+    ragged = F.size("_cells") != F.col("_head.width")
+    stage = stage.withColumn("_kind", F.when(value == "", "empty").when(~F.col("_ok"), "failed").when(header, "header")
+                             .when(ragged, "ragged").otherwise("ok"))
     wanted = F.array(*[F.lit(index) for index in layout.target_indices]) if layout.target_indices else F.sequence(
         F.lit(0), F.size("_cells") - 1
     )
@@ -111,8 +120,8 @@ def _diagnose_csv(lines: DataFrame, patterns: list[Pattern], config: InputConfig
     ))
     line = F.array(F.struct(F.lit(None).cast("string").alias("target"), F.lit(None).cast("string").alias("content")))
     rows = stage.select(
-        "file", "line", "_ok", (value == "").alias("_empty"), F.size("_cells").alias("_width"),
-        F.inline(F.when(F.col("_ok"), F.concat(line, cells)).otherwise(line)),
+        "file", "line", "_ok", "_kind", F.size("_cells").alias("_width"),
+        F.inline(F.when(F.col("_kind") == "ok", F.concat(line, cells)).otherwise(line)),
     ).withColumn("_raw", F.col("content"))
     if config.decode:
         rows = rows.withColumn("content", unescape(F.col("content")))
@@ -123,7 +132,6 @@ def _diagnose_csv(lines: DataFrame, patterns: list[Pattern], config: InputConfig
     rows = rows.withColumns(columns) if columns else rows
 
     raw, whole = F.col("_raw"), F.col("target").isNull()
-    parsed = F.when(F.col("_empty"), "empty").when(F.col("_ok"), "ok").otherwise("failed")
     width = F.when(F.col("_ok"), F.col("_width").cast("string"))
     lengths = F.concat_ws(" -> ", F.octet_length(raw).cast("string"), F.octet_length("_decoded").cast("string"))
     target = F.col("target")
@@ -132,7 +140,7 @@ def _diagnose_csv(lines: DataFrame, patterns: list[Pattern], config: InputConfig
         return _verdict(stage_name, target, outcome, detail)
 
     verdicts = [
-        F.when(whole, _verdict("parse", "", parsed, width)),
+        F.when(whole, _verdict("parse", "", F.col("_kind"), width)),
         F.when(~whole, about("target", F.when(raw.isNotNull(), "found").otherwise("missing"))),
     ]
     if config.decode:

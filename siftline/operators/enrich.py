@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable, Sequence
+from collections.abc import Callable, Iterable
 from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from siftline.functions import decode
 from siftline.functions.regex import PatternError, translate_regex
 from siftline.functions.search import first_match
-from siftline.functions.skew import SALTS, fits_broadcast, measure, salted_left_join
+from siftline.functions.skew import fits_broadcast, measure
 from siftline.functions.template import main_match, render_placeholders, tool_value
 from siftline.functions.text import trim_space
 from siftline.model import TOOL_OUTPUT
@@ -87,18 +87,16 @@ def _record(findings: DataFrame, step: Enricher | Lookup, value: Column) -> Data
 
 
 def enrich(
-    findings: DataFrame, chain: Iterable[Enricher | Lookup], identity: Sequence[str] | None = None,
-    broadcast_rows: int = BROADCAST_ROWS, salts: int = SALTS,
+    findings: DataFrame, chain: Iterable[Enricher | Lookup], broadcast_rows: int = BROADCAST_ROWS,
 ) -> DataFrame:
     """Run the steps in order; a step listed twice runs twice.
 
-    Steps with a value or a template are plain column expressions.  ``identity`` names columns
-    that tell findings apart; lookups in large tables use it to spread a frequent key.
+    Steps with a value or a template are plain column expressions.
     """
     configure(findings.sparkSession)
     for step in chain:
         if isinstance(step, Lookup):
-            findings = enrich_by_lookup(findings, step, identity, broadcast_rows, salts)
+            findings = enrich_by_lookup(findings, step, broadcast_rows)
             continue
         extracted = sub_extract(main_match(), step.extract)
         if step.template is not None:
@@ -109,23 +107,11 @@ def enrich(
     return findings
 
 
-def _identity(findings: DataFrame, identity: Sequence[str] | None) -> list[str]:
-    if identity:
-        return list(identity)
-    names = ("file", "line", "target", "record_id", "ordinal", "pattern")
-    return [name for name in names if name in findings.columns] or [
-        name for name in findings.columns if name != "tool_data"
-    ]
-
-
-def enrich_by_lookup(
-    findings: DataFrame, step: Lookup, identity: Sequence[str] | None = None,
-    broadcast_rows: int = BROADCAST_ROWS, salts: int = SALTS,
-) -> DataFrame:
+def enrich_by_lookup(findings: DataFrame, step: Lookup, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """Attach a table's value to every finding whose key it holds; no finding is lost or doubled.
 
     Several rows of one key count as one, with the smallest value.  A table that is small by
-    count is broadcast; otherwise the join is by shuffle with each key spread over tasks.
+    count and size is broadcast; otherwise the join is one that Spark splits where a key is frequent.
     """
     if step.table is None:
         raise ValueError(f"lookup {step.id} has no table")
@@ -141,7 +127,7 @@ def enrich_by_lookup(
     if small:
         joined = keyed.join(F.broadcast(table), "_key", "left")
     else:
-        joined = salted_left_join(keyed, table, ["_key"], _identity(findings, identity), salts)
+        joined = keyed.join(table, "_key", "left")
     found = F.coalesce("_found", F.lit(step.missing))
     result = _record(joined, step, F.when(F.col("_key").isNotNull(), found))
     return result.select(*findings.columns)
@@ -180,8 +166,7 @@ def address_table(findings: DataFrame, networks: DataFrame, broadcast_rows: int)
     if small:
         held = probes.join(F.broadcast(network), ["_size", "_net"])
     else:
-        # A large network holds many addresses: spread them.
-        held = salted_left_join(probes, network, ["_size", "_net"], ["_key"]).filter(F.col("_found").isNotNull())
+        held = probes.join(network, ["_size", "_net"])
     return held.groupBy("_key").agg(F.max_by("_found", "_size").alias("_found"))
 
 

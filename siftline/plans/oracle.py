@@ -5,7 +5,7 @@ from __future__ import annotations
 from siftline.operators.classify import DEFAULT_SMOOTHING, DEFAULT_TEXTS
 from siftline.operators.library import LIBRARY
 from siftline.operators.patterns import Pattern, select_patterns
-from siftline.plans.inputs import DIGITS, ENTITIES, TITLES, WORDS
+from siftline.plans.inputs import DIGITS, ENTITIES, FLAGGED, SEEDS, TITLES, WORDS
 
 
 def text(value: str) -> str:
@@ -162,6 +162,30 @@ UNION ALL SELECT event_id, '$.marks[0]', event_type FROM events
 UNION ALL SELECT event_id, '$.marks[1]', user_id::VARCHAR FROM events"""
 
 
+def report() -> str:
+    found = hits("documents", "doc_id", "text", named("ip,http-auth"))
+    return f"""
+WITH entries AS (
+    SELECT '### [' || pattern || '] documents:' || doc_id || chr(10) || '- Content: `' || content || '`' AS entry,
+           row_number() OVER (ORDER BY pattern, 'documents:' || doc_id, content) AS n FROM {found}
+)
+SELECT 1::BIGINT AS number, '# Found' AS value
+UNION ALL SELECT 2 * n + k - 1, string_split(entry, chr(10))[k] FROM entries, (SELECT unnest([1, 2]) AS k)"""
+
+
+def other_lookups() -> str:
+    names = ("host_dns", "reverse_dns", "shodan_lookup", "nmap_fast", "curl_head", "check_s3", "ping_host")
+    parts = "".join(
+        f" || CASE WHEN n > {number} THEN '|{name}=' || n ELSE '{'|ping_host=Dead' if name == 'ping_host' else ''}' END"
+        for number, name in enumerate(names)
+    )
+    return (
+        f"WITH hosts AS (SELECT split_part(url, '/', 3) AS host, count(*) AS n FROM pages GROUP BY 1) "
+        f"SELECT page_id, content, 'extract_domain=' || host{parts} AS outputs "
+        f"FROM {hits('pages', 'page_id', 'url', named('urls'))} JOIN hosts ON host = {HOST}"
+    )
+
+
 def unique_of(found: str, extra: str = "") -> str:
     return (
         f"SELECT pattern, content, doc_id, ordinal FROM (SELECT *, row_number() OVER (PARTITION BY pattern, content "
@@ -212,6 +236,18 @@ UNION ALL SELECT c_custkey, 'target', '2', 'found', '' FROM customer
 UNION ALL SELECT c_custkey, 'target', '3', 'missing', '' FROM customer
 UNION ALL SELECT c_custkey, 'pattern', 'digits', 'hit', len(regexp_extract_all(v, {regex(DIGITS)}))::VARCHAR
   FROM (SELECT c_custkey, unnest([c_name, c_mktsegment]) AS v FROM customer) WHERE regexp_matches(v, {regex(DIGITS)})""",
+        "diagnose_csv_ragged": f"""
+SELECT -1::BIGINT AS c_custkey, 'parse' AS stage, '' AS subject, 'header' AS outcome, '2' AS detail
+UNION ALL SELECT c_custkey, 'parse', '', CASE WHEN c_custkey % 3 = 0 THEN 'ragged' ELSE 'ok' END,
+  CASE WHEN c_custkey % 3 = 0 THEN '3' ELSE '2' END FROM customer
+UNION ALL SELECT c_custkey, 'target', '1', 'found', '' FROM customer WHERE c_custkey % 3 <> 0
+UNION ALL SELECT c_custkey, 'pattern', 'digits', 'hit', len(regexp_extract_all(c_name, {regex(DIGITS)}))::VARCHAR FROM customer
+  WHERE c_custkey % 3 <> 0 AND regexp_matches(c_name, {regex(DIGITS)})""",
+        "scan_flags": "SELECT doc_id, pattern, ordinal, content FROM (SELECT doc_id, pattern, row_number() OVER "
+                      "(PARTITION BY doc_id, pattern ORDER BY ordinal) - 1 AS ordinal, content FROM "
+                      + hits("documents", "doc_id", "text", FLAGGED) + ")",
+        "scan_seeded": "SELECT doc_id, pattern, ordinal, content FROM "
+                       + hits(f"(SELECT doc_id, text || chr(10) || {text(SEEDS)} AS t FROM documents)", "doc_id", "t", LIBRARY),
         "entropy": f"SELECT page_id, ordinal, content, {entropy('content')} AS entropy FROM {page_strings}",
         "high_entropy": f"SELECT * FROM (SELECT page_id, ordinal, content, {entropy('content')} AS entropy FROM {page_strings}) "
                         "WHERE entropy >= 3.5",
@@ -251,6 +287,12 @@ SELECT conv_id, turn, ordinal, content FROM found JOIN scored USING (content) WH
                 ("marks", "'[' || to_json(event_type) || ',\"' || user_id || '\"]'"),
             )
         ),
+        "jsonl_long": "SELECT event_id, 'pad' AS target, CASE WHEN event_id = 7 THEN 21000000 ELSE event_id % 50 END::INT AS chars FROM events "
+                      "WHERE event_id % 50 > 0 UNION ALL SELECT event_id, 'one', 1 FROM events",
+        "json_documents": """
+SELECT '$.of.n_name' AS target, n_name AS content, count(*) AS found FROM nation GROUP BY ALL
+UNION ALL SELECT '$.of.in[0]', n_regionkey::VARCHAR, count(*) FROM nation GROUP BY ALL
+UNION ALL SELECT '$.c_name', c_name, count(*) FROM customer GROUP BY ALL""",
         "jsonl_malformed": f"""
 SELECT 'documents:' || doc_id AS source_file, line, '$' AS target, content FROM {DOCUMENT_LINES} WHERE content <> ''
 UNION ALL SELECT 'events', event_id, '$', value FROM {EVENT_LINES} WHERE event_type = 'view'
@@ -262,6 +304,11 @@ UNION ALL SELECT 'events', event_id, 'meta.user_id', user_id::VARCHAR FROM event
             f"SELECT c_custkey::VARCHAR AS record_id, '{index}' AS target, {name}::VARCHAR AS content FROM customer"
             for index, name in enumerate(("c_custkey", "c_name", "c_mktsegment"))
         ),
+        "csv_ragged": "SELECT doc_id::VARCHAR AS record_id, row_number() OVER (ORDER BY doc_id) AS line, text AS content "
+                      "FROM documents WHERE doc_id % 4 <> 1",
+        "ignored_files": f"SELECT pattern, content, count(*) AS found FROM "
+                         + hits(lines("documents", "lang", "text"), "lang", "content", named("ip,http-auth"))
+                         + " WHERE lang IN ('en', 'de') GROUP BY ALL",
         "text_lines": f"SELECT doc_id, line, content FROM {DOCUMENT_LINES}",
         "mixed_formats": mixed(),
         "preset_records": "SELECT 'crawl:' || url AS file, page_id AS line, pattern, ordinal, content FROM "
@@ -286,6 +333,9 @@ UNION ALL SELECT doc_id, line, content FROM {DOCUMENT_LINES} WHERE content = ''"
             f"'extract_domain=' || {HOST}", "'extract_path=/' || split_part(content, '/', 4)", "'rev_str=' || reverse(content)",
             "'t1=STEP1:''' || content || ''''", "'t2=STEP2:STEP1:''' || content || ''''", "'echo_val=EXTRACTED: ' || content",
         ) + f" AS outputs FROM {url_hits}",
+        "enrich_some": f"SELECT doc_id, pattern, ordinal, content, CASE pattern WHEN 'ip' THEN 'rev_str=' || reverse(content) ELSE '' END "
+                       f"AS outputs FROM {DOCUMENT_HITS}",
+        "enrich_hosts": other_lookups(),
         "enrich_base64": f"SELECT conv_id, turn, 'b64_decode=' || {trimmed('text')} AS outputs FROM conversations WHERE text <> ''",
         "enrich_decoders": "SELECT conv_id, turn, 'extract_ip=8.8.8.8' || chr(10) || '10.1.2.3|url_decode=' || md5(text) || ' ' || "
                            "replace(text, ' ', '+') || ' 8.8.8.8 and 10.1.2.3|hash_id=MD5' AS outputs FROM conversations WHERE text <> ''",
@@ -317,6 +367,7 @@ SELECT 'ip|' || g1[i+1] || '|documents:' || doc_id || '|' || printf('%.3f', {ent
   regexp_extract_all(text, {ip}, 1) AS g1 FROM documents))""",
         "report_output": f"SELECT '### [' || pattern || '] ' || {file} || chr(10) || '- Content: `' || content || '`' AS value "
                          f"FROM {DOCUMENT_HITS}",
+        "report_texts": report(),
         "saved_runs": f"SELECT CASE pattern WHEN 'ip' THEN 'addresses' ELSE 'strings' END AS run_id, pattern, {file} AS file, content "
                       "FROM " + hits("documents", "doc_id", "text", named("ip,http-auth")),
         "finding_ids": f"SELECT row_number() OVER (ORDER BY doc_id, pattern, ordinal) AS id, doc_id, pattern, ordinal, content "
@@ -330,6 +381,10 @@ UNION ALL SELECT 'pages', count(*), sum(strlen(html))::BIGINT FROM pages WHERE h
         "stream_numbered": f"SELECT doc_id, line, content FROM {DOCUMENT_LINES}",
         "stream_scan": f"SELECT pattern, ordinal, content, {entropy('content')} AS entropy FROM "
                        + hits(f"(SELECT doc_id || chr(9) || content AS t FROM {DOCUMENT_LINES})", "1", "t", named("ip,http-auth")),
+        "stream_csv": "SELECT c_custkey::VARCHAR AS record_id, target, pattern, content FROM " + hits(
+            "(SELECT c_custkey, '1' AS target, c_name AS v FROM customer UNION ALL SELECT c_custkey, '2', c_mktsegment FROM customer)",
+            "c_custkey, target", "v", [DIGITS, *named("all_lines")],
+        ),
         "stream_unique": "SELECT DISTINCT pattern, content FROM "
                          + hits(f"(SELECT doc_id || chr(9) || content AS t FROM {DOCUMENT_LINES})", "1", "t", named("ip,http-auth")),
     }

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from siftline.functions.text import split_lines
 from siftline.model import CsvConfig, InputConfig
@@ -18,13 +19,13 @@ from siftline.operators.rewrite import rewrite_fields
 from siftline.operators.scan import as_findings, grep_lines, hits_per_pattern, scan
 from siftline.operators.summary import scan_progress, scan_summary, total_hits
 from siftline.plans.inputs import (
-    DIGITS, ENTITIES, KEYED, TITLES, WORDS, document_findings, document_lines, documents, event_lines, library, new_folder, pages,
+    DIGITS, ENTITIES, FLAGGED, KEYED, SEEDS, TITLES, WORDS, document_findings, document_lines, documents, event_lines, library, new_folder, pages,
     table, turns, written_lines,
 )
 from siftline.session import stored
 from siftline.sinks.outputs import (
-    findings_table, list_runs, load_run, render_template, report_entries, save_run, to_content_lines, to_text_lines,
-    with_finding_ids, write_findings_json,
+    findings_table, list_runs, load_run, markdown_report, render_template, report_entries, save_run, to_content_lines, to_text_lines,
+    with_finding_ids, write_findings_json, write_text,
 )
 from siftline.sources.csv import read_csv_records
 from siftline.sources.documents import expand_json_document
@@ -33,7 +34,7 @@ from siftline.sources.files import (
 )
 from siftline.sources.findings import read_grep_output, read_findings
 from siftline.sources.jsonl import jsonl_records
-from siftline.sources.lines import read_lines
+from siftline.sources.lines import literal_path, read_lines
 from siftline.sources.prepare import transform_fields, unescape_content
 from siftline.sources.presets import PRESETS
 from siftline.sources.tables import read_table_records
@@ -136,6 +137,32 @@ def diagnose_csv(spark, folder):
     return verdicts.select(F.col("line").alias("c_custkey"), "stage", "subject", "outcome", "detail")
 
 
+@query
+def diagnose_csv_ragged(spark, folder):
+    """Customers under a header, every third one with a cell too many."""
+    rows = table(spark, folder, "customer").select(
+        F.concat_ws(",", "c_custkey", "c_name", F.when(F.col("c_custkey") % 3 == 0, F.lit("more"))).alias("value"),
+        F.lit("customer").alias("file"), F.col("c_custkey").alias("line"),
+    )
+    head = spark.createDataFrame([("id,name", "customer", -1)], rows.schema)
+    config = InputConfig(format="csv", csv=CsvConfig(has_header=True, target_indices=(1,)))
+    verdicts = diagnose(rows.unionByName(head), [DIGITS], config)
+    return verdicts.select(F.col("line").alias("c_custkey"), "stage", "subject", "outcome", "detail")
+
+
+@query
+def scan_flags(spark, folder):
+    """Patterns with flag groups, empty alternatives, edges and folded complements."""
+    return scan(documents(spark, folder), FLAGGED).select("doc_id", "pattern", "ordinal", "content")
+
+
+@query
+def scan_seeded(spark, folder):
+    """Documents with a text appended that every shipped pattern finds something in."""
+    records = documents(spark, folder).withColumn("content", F.concat("content", F.lit("\n" + SEEDS)))
+    return scan(records, LIBRARY).select("doc_id", "pattern", "ordinal", "content")
+
+
 # Scoring and pruning.
 
 @query
@@ -204,7 +231,7 @@ def classifier_ngrams(spark, folder):
 def smart_filter_fitted(spark, folder):
     """Lines of conversations that a model fitted to documents puts in the class of good quality."""
     found = scan(turns(spark, folder, "text"), library("all_lines"))
-    kept = only_high_interest(found, fit_text_classifier(_quality(spark, folder)), "1", ["conv_id", "turn", "ordinal"])
+    kept = only_high_interest(found, fit_text_classifier(_quality(spark, folder)), "1")
     return kept.select("conv_id", "turn", "ordinal", "content")
 
 
@@ -219,6 +246,31 @@ def jsonl_fields(spark, folder):
     return jsonl_records(event_lines(spark, folder), config).select("record_id", "target", "content", "file")
 
 
+@query
+def jsonl_long(spark, folder):
+    """Events with a field of up to 21 million characters: lengths of the fields, and a filter on one."""
+    pad = F.repeat(F.lit("x"), F.when(F.col("event_id") == 7, 21_000_000).otherwise(F.col("event_id") % 50).cast("int"))
+    lines = table(spark, folder, "events").select(
+        F.to_json(F.struct("event_id", pad.alias("pad"), F.lit(1.0).alias("one"))).alias("value"),
+        F.lit("events").alias("file"), F.col("event_id").alias("line"),
+    )
+    config = InputConfig(format="jsonl", targets=("pad", "one"), filters={"one": "1"})
+    return jsonl_records(lines, config).select(F.col("line").alias("event_id"), "target", F.char_length("content").alias("chars"))
+
+
+@query
+def json_documents(spark, folder):
+    """Regions and nations as pretty documents of many lines, customers as one document a line."""
+    target = new_folder(spark)
+    pretty = {"pretty": "true", "ignoreNullFields": "false"}
+    table(spark, folder, "nation").select(F.to_json(
+        F.struct("n_nationkey", F.struct("n_name", F.array("n_regionkey").alias("in")).alias("of")), pretty,
+    ).alias("value"), "n_nationkey").write.partitionBy("n_nationkey").text(f"{target}/pretty")
+    table(spark, folder, "customer").select(F.to_json(F.struct("c_name")).alias("value")).write.text(f"{target}/lines")
+    records = read_records(spark, target, PRESETS["beautify_json"])
+    return records.groupBy("target", "content").agg(F.count(F.lit(1)).alias("found"))
+
+
 @query
 def jsonl_malformed(spark, folder):
     """Lines that are no objects, given whole because the whole line is a target."""
@@ -243,7 +295,7 @@ def csv_cells(spark, folder):
     """Documents written as CSV with line breaks inside the cells, and read back."""
     quoted = F.concat(F.lit('"'), F.replace("text", F.lit('"'), F.lit('""')), F.lit('"'))
     target = new_folder(spark)
-    table(spark, folder, "documents").repartition(8).select(
+    table(spark, folder, "documents").select(
         F.concat_ws(",", "doc_id", quoted, "source").alias("value")
     ).write.text(target)
     return read_csv_records(spark, target, CsvConfig(target_indices=(1, 2))).select("record_id", "target", "content")
@@ -253,11 +305,39 @@ def csv_cells(spark, folder):
 def csv_plain(spark, folder):
     target = new_folder(spark)
     customers = table(spark, folder, "customer").select("c_custkey", "c_name", "c_mktsegment")
-    customers.repartition(8).write.csv(target, header=True, sep=";")
+    customers.write.csv(target, header=True, sep=";")
     config = CsvConfig(separator=";", has_header=True)
     return read_csv_records(spark, target, config).select("record_id", "target", "content")
 
 
+@query
+def csv_ragged(spark, folder):
+    """Documents under a header, some rows a cell too long, with the numbers of the rows that are left."""
+    quoted = F.concat(F.lit('"'), F.replace("text", F.lit('"'), F.lit('""')), F.lit('"'))
+    rows = table(spark, folder, "documents").select(
+        F.col("doc_id").alias("place"),
+        F.concat_ws(",", "doc_id", quoted, F.when(F.col("doc_id") % 4 == 1, F.lit("more"))).alias("value"),
+    )
+    target = new_folder(spark)
+    # One file, in the order of the documents.
+    head = spark.createDataFrame([(-1, "id,text")], rows.schema)
+    rows.unionByName(head).coalesce(1).sortWithinPartitions("place").select("value").write.text(target)
+    config = CsvConfig(has_header=True, target_indices=(1,))
+    return read_csv_records(spark, target, config).select("record_id", "line", "content")
+
+
+@query
+def ignored_files(spark, folder):
+    """Text files of some languages, others left out by ending or by name."""
+    target = new_folder(spark)
+    lines = table(spark, folder, "documents").select("lang", F.explode(split_lines(F.col("text"))).alias("value"))
+    for lang, ending in (("en", "txt"), ("de", "log")):
+        lines.filter(F.col("lang") == lang).select("value").write.text(f"{target}/{lang}-{ending}")
+    records = read_records(spark, target, InputConfig(), line_numbers=False, ignore_extensions=["crc", ".png"], ignore_names=["_SUCCESS"])
+    found = scan(records, library("ip,http-auth"))
+    return found.groupBy("pattern", "content").agg(F.count(F.lit(1)).alias("found"))
+
+
 @query
 def text_lines(spark, folder):
     """Documents written as text and read with line numbers, made relative to each document."""
@@ -317,7 +397,7 @@ def resume_scan(spark, folder):
     patterns = library("ip,http-auth")
 
     def run(number, files):
-        paths = [row["path"] for row in files.select("path").collect()]
+        paths = [literal_path(row["path"]) for row in files.select("path").collect()]
         found = scan(read_records(spark, paths, InputConfig(), line_numbers=False), patterns)
         return found.select(F.lit(number).alias("run"), "pattern", "content")
 
@@ -372,6 +452,26 @@ def enrich_chain(spark, folder):
     return enrich(found, chain).select("page_id", "content", outputs())
 
 
+@query
+def enrich_some(spark, folder):
+    """A step that applies to one pattern of three."""
+    step = type(ENRICHERS["rev_str"])("rev_str", "reversed", ENRICHERS["rev_str"].value, apply_to=("ip",))
+    return enrich(document_findings(spark, folder), [step]).select("doc_id", "pattern", "ordinal", "content", outputs())
+
+
+@query
+def enrich_hosts(spark, folder):
+    """All other lookups in one chain, each keyed by the host, with joins by shuffle."""
+    hosts = table(spark, folder, "pages").groupBy(F.split_part("url", F.lit("/"), F.lit(3)).alias("key")).agg(
+        F.count(F.lit(1)).alias("value"))
+    found = scan(pages(spark, folder, "url"), library("urls"))
+    names = ("host_dns", "reverse_dns", "shodan_lookup", "nmap_fast", "curl_head", "check_s3", "ping_host")
+    chain = [ENRICHERS["extract_domain"], *[
+        replace(LOOKUPS[name].using(hosts.filter(F.col("value") > number)), source="extract_domain") for number, name in enumerate(names)
+    ]]
+    return enrich(found, chain, broadcast_rows=0).select("page_id", "content", outputs())
+
+
 @query
 def enrich_base64(spark, folder):
     coded = turns(spark, folder, "text").withColumn("content", F.translate(F.base64(F.encode("content", "UTF-8")), "\r\n", ""))
@@ -428,7 +528,7 @@ def enrich_lookup(spark, folder):
     )
     found = scan(pages(spark, folder, "url"), library("urls"))
     chain = [ENRICHERS["extract_domain"], type(LOOKUPS["whois"])("whois", "registrar", hosts, source="extract_domain")]
-    return enrich(found, chain, identity=["page_id", "ordinal"]).select("page_id", "content", outputs())
+    return enrich(found, chain).select("page_id", "content", outputs())
 
 
 @query
@@ -446,14 +546,14 @@ def enrich_networks(spark, folder):
     )
     networks = stored(wide.unionByName(near).dropDuplicates())
     chain = [LOOKUPS["ip_info"].using(networks)]
-    return enrich(found, chain, identity=["doc_id", "ordinal"]).select("doc_id", "ordinal", "content", outputs())
+    return enrich(found, chain).select("doc_id", "ordinal", "content", outputs())
 
 
 @query
 def enrich_listing(spark, folder):
     crawl = listing_table(table(spark, folder, "pages"))
     found = scan(pages(spark, folder, "url"), library("all_lines"))
-    return enrich(found, [LOOKUPS["dir_listing"].using(crawl)], identity=["page_id"]).select("page_id", outputs())
+    return enrich(found, [LOOKUPS["dir_listing"].using(crawl)]).select("page_id", outputs())
 
 
 @query
@@ -493,6 +593,20 @@ def report_output(spark, folder):
     return report_entries(document_findings(spark, folder))
 
 
+@query
+def report_texts(spark, folder):
+    """The whole report, numbered in its order."""
+    report = markdown_report(scan(documents(spark, folder), library("ip,http-auth")), "# Found")
+    target = new_folder(spark)
+    write_text(report, target)
+    # An entry has two lines; the title stands alone in front.
+    lines = read_lines(spark, target).select("file", "line", "value")
+    files = lines.groupBy("file").agg(F.count(F.lit(1)).alias("n"))
+    before = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)
+    start = files.select("file", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
+    return lines.join(start, "file").select((F.col("before") + F.col("line")).alias("number"), "value")
+
+
 @query
 def saved_runs(spark, folder):
     target = new_folder(spark)
@@ -561,6 +675,20 @@ def stream_scan(spark, folder):
     return spark.read.schema(rows.schema).parquet(target)
 
 
+@query
+def stream_csv(spark, folder):
+    """Customers as CSV files, scanned as they arrive."""
+    source, target = new_folder(spark), new_folder(spark)
+    table(spark, folder, "customer").select("c_custkey", "c_name", "c_mktsegment").write.csv(source)
+    config = InputConfig(format="csv", csv=CsvConfig(target_indices=(1, 2)))
+
+    def sink(found, number):
+        found.select("record_id", "target", "pattern", "content").write.mode("overwrite").parquet(f"{target}/batch={number}")
+
+    scan_numbered(spark, source, [DIGITS, *library("all_lines")], new_folder(spark), sink, config).awaitTermination()
+    return spark.read.parquet(target).drop("batch")
+
+
 @query
 def stream_unique(spark, folder):
     source, target = written_lines(spark, folder), new_folder(spark)

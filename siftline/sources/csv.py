@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 from siftline.functions.text import strip_carriage_return
 from siftline.model import CsvConfig
 from siftline.session import stored
-from siftline.sources.lines import MAX_BLOCKS, add_shift, file_label, in_parts, raw_lines, row_in_task, shifts
+from siftline.sources.lines import MAX_BLOCKS, add_shift, file_label, in_parts, literal_path, raw_lines, row_in_task, shifts
 
 #: Rows numbered together by one window in files with multi-line cells.
 ROWS_PER_GROUP = 100_000
@@ -282,11 +282,11 @@ def read_csv_records(
     def number(rows):
         widths = _widths(rows, grammar)
         kinds = widths.groupBy("_path").agg(F.max("open").alias("open")).collect()
-        open_files = [unquote(row["_path"]) for row in kinds if row["open"]]
+        open_files = [literal_path(unquote(row["_path"])) for row in kinds if row["open"]]
         if not open_files:
             return _line_rows(rows, widths, grammar, config)
         split = _multi_line_rows(read(open_files), grammar, config)
-        others = [unquote(row["_path"]) for row in kinds if not row["open"]]
+        others = [literal_path(unquote(row["_path"])) for row in kinds if not row["open"]]
         if not others:
             return split
         rest = read(others)

@@ -11,7 +11,7 @@ from siftline.model import InputConfig
 from siftline.sources.csv import read_csv_records
 from siftline.sources.documents import document_records
 from siftline.sources.jsonl import jsonl_records
-from siftline.sources.lines import read_lines, text_records
+from siftline.sources.lines import literal_path, read_lines, text_records
 from siftline.sources.prepare import prepare
 
 # File name endings of each format; any other file is text.
@@ -57,10 +57,11 @@ def read_any_records(
 def read_target_list(spark: SparkSession, path: str) -> list[str]:
     """Paths listed in a text file, one per line, blank lines left out.
 
-    The list is an argument for a reader, so it is wanted on the driver.
+    The list is an argument for a reader, so it is wanted on the driver.  Listed names are names and
+    no patterns, so characters that a reader would take for one are escaped.
     """
     rows = spark.read.option("lineSep", "\n").text(path).collect()
-    return [path for path in (row["value"].strip() for row in rows) if path]
+    return [literal_path(path) for path in (row["value"].strip() for row in rows) if path]
 
 
 def list_files(spark: SparkSession, paths: str | Sequence[str], glob: str | None = None) -> DataFrame:

@@ -21,20 +21,31 @@ def fill_blanks(findings: DataFrame) -> DataFrame:
     ])
 
 
-def read_findings(spark: SparkSession, paths: str | Sequence[str], multi_line: bool = False) -> DataFrame:
-    """Saved findings: JSON lines, or arrays that stand on one line.
+def read_findings(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
+    """Saved findings: JSON lines, or arrays in any layout.
 
-    Files are read by line, so they split.  ``multi_line`` reads arrays that run over several
-    lines; each such file is then one task's work.
+    Files are read by line, so they split.  Files in which a line is no finding and no array of
+    findings are read whole, one in a task; if that fails too, it is an error.
     """
-    if multi_line:
-        return fill_blanks(spark.read.schema(FINDING).option("multiLine", True).json(paths))
-    schema = F.lit(f"array<{FINDING.simpleString()}>")
-    lines = spark.read.option("lineSep", "\n").text(paths).filter(F.trim("value") != "")
-    array = F.when(F.startswith(F.ltrim("value"), F.lit("[")), F.col("value")).otherwise(
-        F.concat(F.lit("["), F.col("value"), F.lit("]"))
-    )
-    return fill_blanks(lines.select(F.inline(F.from_json(array, schema))))
+    schema, options = F.lit(f"array<{FINDING.simpleString()}>"), {"maxStringLen": str(2**31 - 1)}
+    path = F.col("_metadata.file_path").alias("_path")
+
+    def parsed(rows: DataFrame) -> DataFrame:
+        array = F.when(F.startswith(F.ltrim("value"), F.lit("[")), F.col("value")).otherwise(
+            F.concat(F.lit("["), F.col("value"), F.lit("]"))
+        )
+        return rows.select("_path", F.from_json(array, schema, options).alias("_found"))
+
+    lines = parsed(spark.read.option("lineSep", "\n").text(paths).filter(F.trim("value") != "").select("value", path))
+    broken = lines.filter("_found IS NULL").select("_path").distinct()
+    if broken.isEmpty():
+        return fill_blanks(lines.select(F.inline("_found")))
+    whole = parsed(spark.read.text(paths, wholetext=True).select("value", path).join(broken, "_path", "left_semi"))
+    other = whole.filter("_found IS NULL").select("_path").first()
+    if other:
+        raise ValueError(f"no saved findings: {other['_path']}")
+    good = lines.join(broken, "_path", "left_anti")
+    return fill_blanks(good.unionByName(whole).select(F.inline("_found")))
 
 
 def read_grep_output(lines: DataFrame, pattern: str = "", value: str = "value") -> DataFrame:

@@ -8,6 +8,7 @@ shuffled, and the broadcast holds one row per block, bounded by ``MAX_BLOCKS``.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Sequence
 from urllib.parse import unquote
 
@@ -31,6 +32,11 @@ def row_in_task() -> Column:
     return F.monotonically_increasing_id().bitwiseAND(F.lit(_INDEX_BITS))
 
 
+def literal_path(path: str) -> str:
+    """A path for a reader, which would take ``[ ] { } * ? \\`` in it for a pattern."""
+    return re.sub(r"([\[\]{}*?\\])", r"\\\1", path)
+
+
 def ignore_files(
     rows: DataFrame, extensions: Sequence[str] = (), names: Sequence[str] = (), name: Column | None = None
 ) -> DataFrame:
@@ -96,7 +102,7 @@ def in_parts(
     size = -(-len(files) // parts)
     united = None
     for start in range(0, len(files), size):
-        part = number(read(files[start:start + size]))
+        part = number(read([literal_path(file) for file in files[start:start + size]]))
         united = part if united is None else united.unionByName(part)
     return united
 

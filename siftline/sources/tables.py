@@ -44,14 +44,21 @@ def fan_out_targets(
     )
 
 
+#: Most bytes of a table that are moved to have it on all cores.
+SPREAD_BYTES = 256 << 20
+
+
 def spread_rows(table: DataFrame) -> DataFrame:
-    """A table read from fewer file pieces than there are cores, spread over all of them.
+    """A small table in fewer pieces than there are cores, spread over all of them.
 
-    Matching costs far more than moving such a small input.  Tables in many pieces, which are
-    the large ones, stay where they are.  To be used directly on what a reader returns.
+    Matching costs far more than moving such an input; a table of more than ``SPREAD_BYTES`` is
+    left as it is read.  Only the plan is looked at.  To be used directly on what a reader returns.
     """
     cores = table.sparkSession.sparkContext.defaultParallelism
-    if table.isStreaming or len(table.inputFiles()) >= cores or table.rdd.getNumPartitions() >= cores:
+    if table.isStreaming:
+        return table
+    size = table._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    if int(size.toString()) > SPREAD_BYTES or table.rdd.getNumPartitions() >= cores:
         return table
     return table.repartition(cores)
 

@@ -19,7 +19,7 @@ from siftline.operators.prune import KEY
 from siftline.operators.scan import scan
 from siftline.sources.files import read_records
 from siftline.sources.jsonl import jsonl_records
-from siftline.sources.lines import file_label, text_records
+from siftline.sources.lines import file_label, literal_path, text_records
 from siftline.sources.prepare import prepare
 
 
@@ -36,7 +36,12 @@ def stream_lines(spark: SparkSession, folder: str, max_files: int | None = None)
 
 
 def scan_stream(lines: DataFrame, patterns: Iterable[Pattern], config: InputConfig = InputConfig()) -> DataFrame:
-    """Findings of a stream of lines; no state is kept."""
+    """Findings of a stream of text or JSON lines; no state is kept.
+
+    CSV and whole JSON documents are made of more than one line: ``scan_numbered`` reads them.
+    """
+    if config.format not in ("text", "json", "jsonl") or config.expand_json:
+        raise ValueError("a stream of lines holds text or JSON lines; use scan_numbered for other formats")
     records = jsonl_records(lines, config) if config.format in ("jsonl", "json") else text_records(lines)
     return scan(prepare(records, config), patterns)
 
@@ -74,7 +79,7 @@ def scan_numbered(
     spark: SparkSession, folder: str, patterns: Iterable[Pattern], checkpoint: str,
     sink: Callable[[DataFrame, int], None], config: InputConfig = InputConfig(), max_files: int | None = None,
 ) -> StreamingQuery:
-    """Scan a stream of files with line numbers.
+    """Scan a stream of files in any format, with line numbers.
 
     A file never spans two micro-batches, so each batch reads its files by the two-pass batch
     reader.  ``sink`` gets the findings and the batch number and must accept a repeated batch.
@@ -85,7 +90,7 @@ def scan_numbered(
     patterns = list(patterns)
 
     def batch(files: DataFrame, number: int) -> None:
-        paths = [row["path"] for row in files.select("path").collect()]
+        paths = [literal_path(row["path"]) for row in files.select("path").collect()]
         if paths:
             sink(scan(read_records(files.sparkSession, paths, config), patterns), number)
 

@@ -1,12 +1,15 @@
 import json
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
+from siftline.functions.decode import normal_json
 from siftline.functions.fields import field, is_json_object, parse_json
 from siftline.functions.text import split_lines, unescape
 from siftline.model import CsvConfig, InputConfig
 from siftline.operators.patterns import pattern
+from siftline.operators.rewrite import rewrite_fields
 from siftline.operators.scan import scan
 from siftline.sources.csv import read_csv_records
 from siftline.sources.documents import expand_json_document, leaf_records, read_json_documents
@@ -14,6 +17,7 @@ from siftline.sources.files import (
     detect_format, done_files, list_files, read_any_records, read_records, read_target_list, remaining_files,
 )
 from siftline.sources.findings import read_grep_output, read_findings
+from siftline.sources.jsonl import jsonl_records
 from siftline.sources.lines import read_lines, read_text_records
 from siftline.sources.prepare import transform_fields, unescape_content
 from siftline.sources.presets import PRESETS
@@ -60,9 +64,9 @@ def test_line_numbers_over_many_blocks_and_files(small_blocks, tmp_path):
 
 
 def test_scan_of_text_file(spark, tmp_path):
-    path = write(tmp_path / "a.txt", "some text with 1.2.3.4\nand another 5.6.7.8\n")
+    path = write(tmp_path / "a.txt", "".join(f"{n}: {'9.9.9.%d ' % n * (n % 3)}\n" for n in range(1, 9)))
     found = scan(read_text_records(spark, path), [IP])
-    assert contents(found, "line", "content", "file") == [(1, "1.2.3.4", path), (2, "5.6.7.8", path)]
+    assert contents(found, "line", "content", "file") == [(n, f"9.9.9.{n}", path) for n in range(1, 9) for _ in range(n % 3)]
 
 
 def test_ignored_files_and_folders(spark, tmp_path):
@@ -88,22 +92,40 @@ def jsonl(spark, tmp_path, config, *texts):
 
 
 def test_jsonl_ids_and_targets(spark, tmp_path):
-    config = InputConfig(format="jsonl", targets=("data",), id="id")
-    read = jsonl(spark, tmp_path, config, '{"id": "test1", "data": "ip is 1.1.1.1"}', '{"id": "test2", "data": "no ip here"}',
-                 '{"id": "test3", "data": "another 2.2.2.2 ip"}')
-    found = scan(read, [IP])
+    rows = [{"key": {"no": n}, "in": f"from {n}.0.0.{n}", "out": "to nobody" if n % 2 else f"to 10.0.0.{n}, 10.1.0.{n}"} for n in range(1, 6)]
+    config = InputConfig(format="jsonl", targets=("out", "in"), id="key.no")
+    found = scan(jsonl(spark, tmp_path, config, *map(json.dumps, rows)), [IP])
     path = str(tmp_path / "f.jsonl")
-    assert contents(found, "file", "content") == [(f"{path}:test1", "1.1.1.1"), (f"{path}:test3", "2.2.2.2")]
+    want = [(f"{path}:{n}", "in", f"{n}.0.0.{n}") for n in range(1, 6)]
+    want += [(f"{path}:{n}", "out", f"10.{part}.0.{n}") for n in (2, 4) for part in (0, 1)]
+    assert contents(found, "file", "target", "content") == sorted(want)
 
 
 def test_jsonl_bad_lines(spark, tmp_path):
-    texts = ('{"data": "good"}', "not json at all", '{"data": "still good"}', "[1]", "null", '{"data": 1} x', "")
-    read = jsonl(spark, tmp_path, InputConfig(format="jsonl", targets=("data",)), *texts)
-    assert contents(scan(read, [pattern("p", "good")])) == [(1, "good"), (3, "good")]
-    whole = jsonl(spark, tmp_path, InputConfig(format="jsonl", filters={"data": "good"}), *texts)
-    assert contents(whole) == [(1, texts[0]), (2, texts[1]), (4, "[1]"), (6, texts[5])]
+    texts = ('{"v": "seven"}', "{v: seven}", "", '{"v": "se', '[{"v": "seven"}]', '{"w": "seven"}', '{"v": "seventy"}', '{"v": "seven"} seven', "null", "7")
+    read = jsonl(spark, tmp_path, InputConfig(format="jsonl", targets=("v",)), *texts)
+    assert contents(scan(read, [pattern("p", "seven")])) == [(1, "seven"), (7, "seven")]
+    whole = jsonl(spark, tmp_path, InputConfig(format="jsonl", filters={"v": "seven"}), *texts)
+    assert contents(whole) == sorted([(1, texts[0]), *((n + 1, texts[n]) for n in (1, 3, 4, 7, 9))])
     unfiltered = jsonl(spark, tmp_path, InputConfig(format="jsonl"), *texts)
-    assert [row[0] for row in contents(unfiltered)] == [1, 2, 3, 4, 5, 6]
+    assert [row[0] for row in contents(unfiltered)] == [1, 2, 4, 5, 6, 7, 8, 9, 10]
+
+
+@pytest.mark.parametrize("size", [17_000_000, 21_000_000, 100_000_000])
+def test_long_values_are_read_like_short_ones(spark, size):
+    """The same texts for the same fields, whatever else the line holds."""
+    line = F.concat(F.lit('{"n":1e3,"f":1.0,"d":1,"d":2,"s":"'), F.repeat(F.lit("x"), size), F.lit('\\u00e9","o":{"k":1.0}}'))
+    rows = spark.range(1).select(line.alias("value"), F.lit("f").alias("file"), F.lit(1).cast("bigint").alias("line"))
+    read = jsonl_records(rows, InputConfig(format="jsonl", targets=("n", "f", "d", "s", "o"), filters={"f": "1"}))
+    got = read.select("target", F.char_length("content").alias("size"), F.substring("content", 1, 9).alias("start")).collect()
+    assert sorted(map(tuple, got)) == [("d", 1, "2"), ("f", 1, "1"), ("n", 4, "1000"), ("o", 7, '{"k":1}'), ("s", size + 1, "x" * 9)]
+    if size < 50_000_000:
+        text = rows.select(F.concat(F.lit("a"), F.repeat(F.lit("x"), size), F.lit("\\u00e9")).alias("content"))
+        assert unescape_content(text).select(F.char_length("content")).first()[0] == size + 2
+        assert rewrite_fields(rows, {"n": F.reverse}).select(F.right("value", F.lit(4))).first()[0] == 'é"}'.rjust(4, "x")
+        assert rows.select(F.char_length(normal_json(F.col("value")))).first()[0] > size
+        leaves = expand_json_document(rows.withColumnRenamed("value", "document")).select("path", F.char_length("value").alias("n")).collect()
+        assert {row["path"]: row["n"] for row in leaves}["$.s"] == size + 1
 
 
 def test_jsonl_filters_and_value_texts(spark, tmp_path):
@@ -343,6 +365,32 @@ def test_expand_json(spark, tmp_path):
     assert read_records(spark, write(tmp_path / "one.txt", '{"k": ["2.2.2.2"]}\n'), PRESETS["beautify_json"]).first()["target"] == "$.k[0]"
 
 
+def test_json_depth_is_read_off_the_data(spark):
+    deep = '{"a":' * 12 + '"x]["' + "}" * 12
+    documents = spark.createDataFrame([(1, deep), (2, "[" * 30 + "]" * 30), (3, '"{[{"')], "id int, document string")
+    got = {row["id"]: (row["path"], row["value"]) for row in expand_json_document(documents).collect()}
+    assert got == {1: ("$" + ".a" * 12, "x]["), 2: ("$" + "[0]" * 29, "[]"), 3: ("$", "{[{")}
+
+
+def test_documents_in_any_layout(spark, tmp_path):
+    value = {"a": {"ip": "1.1.1.1"}, "b": ["2.2.2.2"]}
+    write(tmp_path / "pretty.json", "\n" + json.dumps(value, indent=2))
+    write(tmp_path / "line.json", json.dumps(value) + "\nbroken 3.3.3.3\n")
+    write(tmp_path / "text.txt", "4.4.4.4 is\nno json\n")
+    found = scan(read_records(spark, str(tmp_path), PRESETS["beautify_json"]), [IP])
+    assert contents(found, "content", "target") == sorted([("1.1.1.1", "$.a.ip"), ("2.2.2.2", "$.b[0]")] * 2 + [("3.3.3.3", "$"), ("4.4.4.4", "$")])
+
+
+def test_names_with_glob_characters(spark, tmp_path):
+    for name in ("a[1].csv", "b{x,y}.csv", "c*.csv"):
+        write(tmp_path / name, 'id,text\n1,"two\nlines"\n2,one\n')
+    read = read_csv_records(spark, str(tmp_path), CsvConfig(has_header=True, target_indices=(1,)))
+    assert contents(read, "record_id", "content") == sorted([("1", "two\nlines"), ("2", "one")] * 3)
+    listed = write(tmp_path / "list.txt", f"{tmp_path}/a[1].csv\n\n{tmp_path}/c*.csv\n")
+    lines = read_records(spark, read_target_list(spark, listed), InputConfig())
+    assert sorted({row["source_file"] for row in lines.collect()}) == [f"{tmp_path}/a[1].csv", f"{tmp_path}/c*.csv"]
+
+
 # Saved findings.
 
 def test_grep_lines(spark):
@@ -364,4 +412,8 @@ def test_saved_findings_as_array_or_lines(spark, tmp_path):
         assert (got[0]["matches"], got[0]["tool_data"], got[0]["ext"]) == (one["matches"], [], "")
         assert (got[1]["line"], got[1]["file"], got[1]["tool_data"][0]["value"]) == (0, "", "v")
     pretty = write(tmp_path / "pretty.json", json.dumps([one, two], indent=2))
-    assert read_findings(spark, pretty, multi_line=True).count() == 2
+    assert read_findings(spark, pretty).count() == 2
+    assert read_findings(spark, [pretty, paths[1]]).count() == 4
+    broken = write(tmp_path / "broken.json", json.dumps([one])[:-3])
+    with pytest.raises(ValueError, match="no saved findings"):
+        read_findings(spark, [broken, paths[1]]).collect()

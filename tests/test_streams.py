@@ -1,9 +1,11 @@
+import pytest
 from pyspark.sql import functions as F
 
-from siftline.model import InputConfig
+from siftline.model import CsvConfig, InputConfig
 from siftline.operators.patterns import pattern
 from siftline.operators.prune import unique_findings
 from siftline.operators.scan import scan
+from siftline.sources.files import read_records
 from siftline.sources.lines import read_text_records
 from siftline.streaming.streams import run_available, scan_numbered, scan_stream, stream_lines, stream_progress, unique_stream
 
@@ -77,3 +79,28 @@ def test_line_numbers_by_batch(spark, tmp_path):
     scan_numbered(spark, str(tmp_path / "in"), [IP], str(tmp_path / "check"), sink, max_files=2).awaitTermination()
     got = sorted((row["file"][-5:], row["line"]) for row in spark.read.parquet(str(tmp_path / "out")).collect())
     assert got == [("0.txt", 1), ("1.txt", 2), ("2.txt", 3)]
+
+
+@pytest.mark.parametrize("config", [
+    InputConfig(), InputConfig(format="jsonl", targets=("a",)), InputConfig(format="csv", csv=CsvConfig(target_indices=(1,))),
+    InputConfig(expand_json=True),
+])
+def test_every_format_on_a_stream_equals_batch(spark, tmp_path, config):
+    source = tmp_path / "in"
+    source.mkdir()
+    (source / "one").write_text('{"a": "1.1.1.1", "b": ["2.2.2.2"]}\nx,"3.3.3.3\n4.4.4.4"\n')
+    (source / "[2]").write_text('{\n "b": "5.5.5.5"\n}\n')
+    found = []
+    shown = ("content", "target", "line", "file")
+    query = scan_numbered(
+        spark, str(source), [IP], str(tmp_path / "checkpoint"), lambda rows, _: found.extend(rows.select(*shown).collect()), config, 1,
+    )
+    query.awaitTermination()
+    batch = scan(read_records(spark, str(source), config), [IP]).select(*shown).collect()
+    assert sorted(map(tuple, found)) == sorted(map(tuple, batch)) and batch
+
+
+def test_lines_of_a_stream_are_text_or_json_lines(spark, tmp_path):
+    for config in (InputConfig(format="csv"), InputConfig(expand_json=True)):
+        with pytest.raises(ValueError):
+            scan_stream(stream_lines(spark, str(tmp_path)), [IP], config)
