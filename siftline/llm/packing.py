@@ -21,7 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from siftline.llm.common import few_files, run_number, saved, table
+from siftline.llm.common import few_files, run_number, table
+from siftline.session import stored
 
 #: Tokens of a sequence, and the id that ends a document.
 SIZE = 2048
@@ -242,7 +243,7 @@ def _places(plan: list[tuple[Config, int]], size: int) -> tuple[np.ndarray, ...]
 
 def pack(pieces: DataFrame, size: int = SIZE) -> DataFrame:
     """The pieces, each with its ``sequence_id`` and ``offset``; see ``pieces_of`` for the columns."""
-    pieces = saved(pieces)
+    pieces = stored(pieces)
     counts = pieces.groupBy("task", "length").agg(F.count("*").alias("n"))
     order = Window.partitionBy("length").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
     base = counts.select("task", "length", F.coalesce(F.sum("n").over(order), F.lit(0)).alias("base"))
