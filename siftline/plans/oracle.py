@@ -243,9 +243,7 @@ UNION ALL SELECT c_custkey, 'parse', '', CASE WHEN c_custkey % 3 = 0 THEN 'ragge
 UNION ALL SELECT c_custkey, 'target', '1', 'found', '' FROM customer WHERE c_custkey % 3 <> 0
 UNION ALL SELECT c_custkey, 'pattern', 'digits', 'hit', len(regexp_extract_all(c_name, {regex(DIGITS)}))::VARCHAR FROM customer
   WHERE c_custkey % 3 <> 0 AND regexp_matches(c_name, {regex(DIGITS)})""",
-        "scan_flags": "SELECT doc_id, pattern, ordinal, content FROM (SELECT doc_id, pattern, row_number() OVER "
-                      "(PARTITION BY doc_id, pattern ORDER BY ordinal) - 1 AS ordinal, content FROM "
-                      + hits("documents", "doc_id", "text", FLAGGED) + ")",
+        "scan_flags": "SELECT doc_id, pattern, ordinal, content FROM " + hits("documents", "doc_id", "text", FLAGGED),
         "scan_seeded": "SELECT doc_id, pattern, ordinal, content FROM "
                        + hits(f"(SELECT doc_id, text || chr(10) || {text(SEEDS)} AS t FROM documents)", "doc_id", "t", LIBRARY),
         "entropy": f"SELECT page_id, ordinal, content, {entropy('content')} AS entropy FROM {page_strings}",
@@ -291,6 +289,7 @@ SELECT conv_id, turn, ordinal, content FROM found JOIN scored USING (content) WH
                       "WHERE event_id % 50 > 0 UNION ALL SELECT event_id, 'one', 1 FROM events",
         "json_documents": """
 SELECT '$.of.n_name' AS target, n_name AS content, count(*) AS found FROM nation GROUP BY ALL
+UNION ALL SELECT '$.n_nationkey', n_nationkey::VARCHAR, count(*) FROM nation GROUP BY ALL
 UNION ALL SELECT '$.of.in[0]', n_regionkey::VARCHAR, count(*) FROM nation GROUP BY ALL
 UNION ALL SELECT '$.c_name', c_name, count(*) FROM customer GROUP BY ALL""",
         "jsonl_malformed": f"""

@@ -58,7 +58,7 @@ def spread_rows(table: DataFrame) -> DataFrame:
     if table.isStreaming:
         return table
     size = table._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-    if int(size.toString()) > SPREAD_BYTES or table.rdd.getNumPartitions() >= cores:
+    if int(size) > SPREAD_BYTES or table.rdd.getNumPartitions() >= cores:
         return table
     return table.repartition(cores)
 
