@@ -11,11 +11,13 @@ or the end of the line, is an ordinary character.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 from urllib.parse import unquote
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from siftline.functions.text import strip_carriage_return
@@ -76,94 +78,183 @@ def _tested(rows: DataFrame, grammar: Grammar) -> DataFrame:
     return rows.withColumns({"_complete": grammar.complete(value), "_closes": grammar.closes(value)})
 
 
-# The functions that run in Python tasks are made by a function, so that tasks get them by value.
+def line_states(complete: np.ndarray, closes: np.ndarray, start: bool) -> np.ndarray:
+    """Whether a cell is open after each line, given whether one is open before the first.
 
-def block_folder() -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
-    """Per block: whether a cell is open at its end and how many rows begin in it, for either start."""
-    columns = ["_path", "_block", "_open0", "_open1", "_begun0", "_begun1"]
+    A line sets the state, keeps it or turns it round, whatever it was: the last line that sets it and the
+    number of turns since tell it.
+    """
+    outside, inside = ~complete, ~closes
+    sets = outside == inside
+    turns = np.cumsum(outside & ~inside)
+    last = np.maximum.accumulate(np.where(sets, np.arange(len(sets)), -1))
+    since = turns - np.where(last >= 0, turns[last], 0)
+    return np.where(last >= 0, outside[last], start) ^ (since % 2 == 1)
 
-    def fold_blocks(batches):
-        place, states, begun = None, (False, True), (0, 0)
-        for batch in batches:
-            for path, block, blank, complete, closes in batch.itertuples(index=False, name=None):
-                if place != (path, block):
-                    if place:
-                        yield pd.DataFrame([(*place, *states, *begun)], columns=columns)
-                    place, states, begun = (path, block), (False, True), (0, 0)
-                begun = tuple(count + (not state and not blank) for count, state in zip(begun, states))
-                states = tuple(not closes if state else not complete for state in states)
-        if place:
-            yield pd.DataFrame([(*place, *states, *begun)], columns=columns)
 
-    return fold_blocks
+def _block_runs(batch: pa.RecordBatch) -> list[tuple[int, int, str, int]]:
+    """(first, end, path, block) of the runs of lines of one block."""
+    if not batch.num_rows:
+        return []
+    path = batch.column("_path").dictionary_encode()
+    codes, block = path.indices.to_numpy(), batch.column("_block").to_numpy()
+    cuts = np.flatnonzero((codes[1:] != codes[:-1]) | (block[1:] != block[:-1])) + 1
+    bounds = [0, *cuts.tolist(), batch.num_rows]
+    return [(a, b, path.dictionary[int(codes[a])].as_py(), int(block[a])) for a, b in zip(bounds[:-1], bounds[1:])]
 
 
-def block_chainer() -> Callable[[pd.DataFrame], pd.DataFrame]:
-    """For the blocks of one file: whether each starts inside a cell, and the rows begun before it."""
+def _flags(batch: pa.RecordBatch, name: str) -> np.ndarray:
+    return batch.column(name).to_numpy(zero_copy_only=False).astype(bool)
 
-    def chain_blocks(blocks):
-        inside, earlier, found = False, 0, []
-        for block in blocks.sort_values("_block").itertuples(index=False):
-            path, start, open0, open1, begun0, begun1 = block
-            found.append((path, start, inside, earlier))
-            earlier += begun1 if inside else begun0
-            inside = open1 if inside else open0
-        return pd.DataFrame(found, columns=["_path", "_block", "_start", "_earlier"])
-
-    return chain_blocks
-
-
-def line_joiner() -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
-    """Lines of blocks with known starts → rows; a row that crosses blocks gives a part per block."""
-    columns = ["_path", "_block", "_row", "value", "_crosses", "_open"]
-
-    def join_lines(batches):
-        place, row, inside, part, crosses = None, 0, False, [], False
-        for batch in batches:
-            found = []
-            for path, block, start, earlier, value, complete, closes in batch.itertuples(index=False, name=None):
-                if place != (path, block):
-                    if part:
-                        found.append((*place, row, "\n".join(part), True, True))
-                    place, row, inside, part, crosses = (path, block), earlier, start, [], start
-                if not inside:
-                    if value == "":
-                        continue
-                    row, crosses = row + 1, False
-                part.append(value)
-                inside = not closes if inside else not complete
-                if not inside:
-                    found.append((path, block, row, "\n".join(part), crosses, False))
-                    part = []
-            yield pd.DataFrame(found, columns=columns)
-        if part:
-            yield pd.DataFrame([(*place, row, "\n".join(part), True, True)], columns=columns)
-
-    return join_lines
+
+def fold_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Per block: whether a cell is open at its end and how many rows begin in it, for either start."""
+    place, states, begun, rows = None, [False, True], [0, 0], []
+    for batch in batches:
+        blank, complete, closes = (_flags(batch, name) for name in ("_blank", "_complete", "_closes"))
+        for first, end, *here in _block_runs(batch):
+            if place != here:
+                if place:
+                    rows.append((*place, *states, *begun))
+                place, states, begun = here, [False, True], [0, 0]
+            part = slice(first, end)
+            for k in (0, 1):
+                after = line_states(complete[part], closes[part], states[k])
+                before = np.concatenate([[states[k]], after[:-1]])
+                begun[k] += int((~before & ~blank[part]).sum())
+                states[k] = bool(after[-1])
+    if place:
+        rows.append((*place, *states, *begun))
+    yield pa.RecordBatch.from_pylist([dict(zip(FOLDED.names, row)) for row in rows], FOLDED)
+
+
+FOLDED = pa.schema([
+    ("_path", pa.string()), ("_block", pa.int64()), ("_open0", pa.bool_()), ("_open1", pa.bool_()), ("_begun0", pa.int64()), ("_begun1", pa.int64()),
+])
+
+
+def chain_blocks(blocks: pa.Table) -> pa.Table:
+    """For the blocks of one file: whether each starts inside a cell, and the rows begun before it."""
+    inside, earlier, found = False, 0, []
+    for row in blocks.sort_by("_block").to_pylist():
+        found.append({"_path": row["_path"], "_block": row["_block"], "_start": inside, "_earlier": earlier})
+        earlier += row["_begun1"] if inside else row["_begun0"]
+        inside = row["_open1"] if inside else row["_open0"]
+    return pa.Table.from_pylist(found, pa.schema(
+        [("_path", pa.string()), ("_block", pa.int64()), ("_start", pa.bool_()), ("_earlier", pa.int64())]))
+
+
+class _Joiner:
+    """Joins the lines of blocks with known starts, keeping what is open at the end of a batch."""
+
+    def __init__(self) -> None:
+        self.place: list | None = None
+        self.row, self.inside, self.crosses, self.open = 0, False, False, []
+
+    def leave(self) -> list[tuple]:
+        """The part of a row that the block leaves open."""
+        found = [(*self.place, self.row, "\n".join(self.open), True, True)] if self.open else []
+        self.open = []
+        return found
+
+    def lines(self, place: list, texts: pa.Array, blank: np.ndarray, complete: np.ndarray, closes: np.ndarray,
+              start: bool, earlier: int) -> tuple[list[tuple], pa.Array, np.ndarray]:
+        """Parts of rows that cross borders, and the texts and numbers of the whole rows of a run of lines."""
+        parts: list[tuple] = []
+        if self.place != place:
+            if self.place:
+                parts += self.leave()
+            self.place, self.row, self.inside, self.crosses = place, earlier, start, start
+        after = line_states(complete, closes, self.inside)
+        before = np.concatenate([[self.inside], after[:-1]])
+        kept = np.flatnonzero(before | ~blank)
+        begins = ~before[kept]
+        number = self.row + np.cumsum(begins)
+        texts = texts.take(pa.array(kept))
+        # Rows are runs of equal numbers; the first may have begun before, the last may go on.
+        cuts = np.flatnonzero(number[1:] != number[:-1]) + 1 if len(kept) else np.zeros(0, np.int64)
+        bounds = np.concatenate([[0], cuts, [len(kept)]]) if len(kept) else np.zeros(1, np.int64)
+        rows = [(int(a), int(b)) for a, b in ((bounds[0], bounds[1]), (bounds[-2], bounds[-1]))] if len(kept) else []
+        low, high = 0, len(bounds) - 1
+        if rows and (self.open or not begins[0]):
+            # Goes on from before.
+            self.open += texts.slice(rows[0][0], rows[0][1] - rows[0][0]).to_pylist()
+            low = 1
+            if high > 1 or not after[-1]:
+                text = "\n".join(self.open)
+                parts.append((*place, int(number[0]), text, self.crosses, False))
+                self.open, self.crosses = [], False
+        if high > low and after[-1]:
+            self.open = texts.slice(rows[1][0], rows[1][1] - rows[1][0]).to_pylist()
+            self.crosses = False
+            high -= 1
+        if len(kept):
+            self.row = int(number[-1])
+        self.inside = bool(after[-1]) if len(after) else self.inside
+        whole = bounds[low : high + 1].astype(np.int32) if high >= low else np.zeros(1, np.int32)
+        lists = pa.ListArray.from_arrays(pa.array(whole, pa.int32()), texts)
+        return parts, pc.binary_join(lists, "\n"), number[whole[:-1]] if len(whole) > 1 else np.zeros(0, np.int64)
+
+
+JOINED = pa.schema([
+    ("_path", pa.string()), ("_block", pa.int64()), ("_row", pa.int64()), ("value", pa.string()), ("_crosses", pa.bool_()), ("_open", pa.bool_()),
+])
+
+
+def join_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Lines of blocks with known starts → rows; a row that crosses blocks gives a part per block.
+
+    Flags are worked on as arrays and texts joined as Arrow lists, so no line goes through Python.
+    """
+    joiner = _Joiner()
+
+    def batch_of(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), JOINED)], schema=JOINED)
+
+    for batch in batches:
+        complete, closes, start = (_flags(batch, name) for name in ("_complete", "_closes", "_start"))
+        value, earlier = batch.column("value"), batch.column("_earlier").to_numpy(zero_copy_only=False)
+        blank = pc.equal(value, "").to_numpy(zero_copy_only=False).astype(bool)
+        for first, end, *here in _block_runs(batch):
+            part = slice(first, end)
+            rows, texts, number = joiner.lines(
+                here, value.slice(first, end - first), blank[part], complete[part], closes[part], bool(start[first]), int(earlier[first]),
+            )
+            if rows:
+                yield batch_of(rows)
+            n = len(number)
+            if n:
+                yield pa.RecordBatch.from_arrays([
+                    pa.array([here[0]] * n), pa.array(np.full(n, here[1])), pa.array(number), texts,
+                    pa.array(np.zeros(n, bool)), pa.array(np.zeros(n, bool)),
+                ], schema=JOINED)
+    left = joiner.leave() if joiner.place else []
+    if left:
+        yield batch_of(left)
 
 
 def assemble_rows(lines: DataFrame, grammar: Grammar) -> DataFrame:
     """(_path, _block, value) lines of whole files → (_path, _row, value) rows, blank lines left out.
 
-    The first pass sends two flags per line through Python, the second the text, both within the
-    tasks that read it.  Only rows that cross a block border are shuffled.
+    The first pass looks at two flags per line, the second joins the lines, both within the tasks that
+    read them, and the rows are stored.  Only rows that cross a block border are shuffled.
     """
     tested = _tested(lines, grammar)
     flags = tested.select("_path", "_block", (F.col("value") == "").alias("_blank"), "_complete", "_closes")
-    folded = flags.mapInPandas(
-        block_folder(), "_path string, _block long, _open0 boolean, _open1 boolean, _begun0 long, _begun1 long"
+    folded = flags.mapInArrow(
+        fold_blocks, "_path string, _block long, _open0 boolean, _open1 boolean, _begun0 long, _begun1 long"
     )
     # One row per block, at most MAX_BLOCKS of them.
-    starts = stored(folded.groupBy("_path").applyInPandas(
-        block_chainer(), "_path string, _block long, _start boolean, _earlier long"
+    starts = stored(folded.groupBy("_path").applyInArrow(
+        chain_blocks, "_path string, _block long, _start boolean, _earlier long"
     ))
     known = tested.join(F.broadcast(starts), ["_path", "_block"], "left").withColumn(
         "_start", F.when(F.col("_start").isNull(), F.raise_error(F.lit("files changed between two passes")).cast("boolean"))
         .otherwise(F.col("_start"))
     )
-    parts = known.select("_path", "_block", "_start", "_earlier", "value", "_complete", "_closes").mapInPandas(
-        line_joiner(), "_path string, _block long, _row long, value string, _crosses boolean, _open boolean"
-    )
+    parts = stored(known.select("_path", "_block", "_start", "_earlier", "value", "_complete", "_closes").mapInArrow(
+        join_lines, "_path string, _block long, _row long, value string, _crosses boolean, _open boolean"
+    ))
     pieces = F.sort_array(F.collect_list(F.struct("_block", "value", "_open")))
     crossing = parts.filter("_crosses").groupBy("_path", "_row").agg(pieces.alias("_pieces"))
     text = F.array_join(F.transform("_pieces", lambda piece: piece["value"]), "\n")
@@ -270,8 +361,8 @@ def read_csv_records(
     """One record per chosen cell; ``line`` counts the good rows of the file, without its header.
 
     Rows with another number of cells than the file's first row are left out, as are blank
-    lines.  Building the reader runs one pass over the files (three more over those with
-    multi-line cells); file names, but no data, come to the driver.
+    lines.  Building the reader runs one pass over the files and two more over those with multi-line
+    cells, whose rows are stored; file names, but no data, come to the driver.
     """
     grammar = Grammar((config.separator or ",")[0])
 
