@@ -34,21 +34,46 @@ def unescape(text: Column) -> Column:
     return F.when(F.contains(text, F.lit("\\")), whole).otherwise(text)
 
 
+#: Characters that are sorted at once to count them.
+ENTROPY_WINDOW = 32_768
+
+
+def _runs(text: Column) -> Column:
+    """Runs of equal characters of the sorted text."""
+    return F.regexp_extract_all(F.array_join(F.sort_array(F.split(text, "")), ""), F.lit(r"(?s)(.)\1*+"), F.lit(0))
+
+
 def shannon_entropy(text: Column) -> Column:
     """``-Σ p·log2 p`` over characters, where p is a character's count over the length in bytes.
 
     The sorted characters are cut into runs of equal ones, so the cost is that of a sort and no
-    Python is involved; empty text gives 0.
+    Python is involved; empty text gives 0.  Long texts are counted window by window and the counts
+    added up, so memory is that of the text and of its different characters.
     """
     size = F.octet_length(text).cast("double")
-    ordered = F.array_join(F.sort_array(F.split(text, "")), "")
-    runs = F.regexp_extract_all(ordered, F.lit(r"(?s)(.)\1*+"), F.lit(0))
-
-    def add(total, run):
-        share = F.char_length(run) / size
-        return total - share * F.log2(share)
 
-    return F.when(size > 0, F.aggregate(runs, F.lit(0.0), add)).otherwise(F.lit(0.0))
+    def share(count):
+        part = count / size
+        return part * F.log2(part)
+
+    short = F.aggregate(_runs(text), F.lit(0.0), lambda total, run: total - share(F.char_length(run)))
+    windows = F.regexp_extract_all(text, F.lit(rf"(?s).{{1,{ENTROPY_WINDOW}}}"), F.lit(0))
+    counts = F.sort_array(F.flatten(F.transform(windows, lambda window: F.transform(
+        _runs(window), lambda run: F.struct(F.left(run, F.lit(1)).alias("char"), F.char_length(run).cast("bigint").alias("n")),
+    ))))
+    # Counts of one character stand together.
+    start = F.struct(F.lit(None).cast("string").alias("char"), F.lit(0).cast("bigint").alias("n"), F.lit(0.0).alias("total"))
+    done = F.aggregate(
+        counts, start, lambda at, entry: F.when(at["char"].eqNullSafe(entry["char"]), F.struct(
+            at["char"].alias("char"), (at["n"] + entry["n"]).alias("n"), at["total"].alias("total"),
+        )).otherwise(F.struct(
+            entry["char"].alias("char"), entry["n"].alias("n"),
+            (at["total"] - F.when(at["n"] > 0, share(at["n"])).otherwise(0.0)).alias("total"),
+        )),
+        lambda at: at["total"] - share(at["n"]),
+    )
+    value = F.when(F.char_length(text) <= ENTROPY_WINDOW, short).otherwise(done)
+    return F.when(size > 0, value).otherwise(F.lit(0.0))
 
 
 def split_lines(text: Column) -> Column:

@@ -95,6 +95,14 @@ def test_entropy_of_code_points_over_bytes(spark):
     assert spark.createDataFrame([(text,)], "t string").select(shannon_entropy(F.col("t"))).first()[0] == pytest.approx(want)
 
 
+def test_entropy_of_texts_of_many_windows(spark):
+    rows = spark.range(1).select(F.concat(F.repeat(F.lit("aé\n"), 3_000_000), F.repeat(F.lit("b"), 1_000_000)).alias("t"))
+    size = 3_000_000 * 4 + 1_000_000
+    want = -sum(n / size * math.log2(n / size) for n in (3_000_000, 3_000_000, 3_000_000, 1_000_000))
+    assert rows.select(shannon_entropy(F.col("t"))).first()[0] == pytest.approx(want)
+
+
+
 def test_load_patterns(spark, tmp_path):
     (tmp_path / "a.json").write_text(json.dumps({"flags": "-HnriE", "patterns": ["x", "y"], "tags": ["t", "u"]}))
     (tmp_path / "b.json").write_text(json.dumps({"pattern": "one", "patterns": ["two"]}, indent=1))
