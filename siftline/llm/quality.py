@@ -136,10 +136,7 @@ def judge_quality(
     tuned(documents.sparkSession)
     weights = bucket_weights(documents, labels, doc_id, text, buckets, **options)
     content = F.coalesce(F.col(f"`{text}`"), F.lit(""))
-    # A column that is not deterministic keeps filters on the verdict from being computed twice.
-    frame = documents.select(
-        F.struct("*").alias("row"), content.alias("text"), F.monotonically_increasing_id().alias("uid"),
-    ).withColumn("words", _words(F.col("text"))).withColumn("hashes", _hashes(F.col("words")))
+    frame = documents.select(F.struct("*").alias("row"), content.alias("text")).withColumn("words", _words(F.col("text"))).withColumn("hashes", _hashes(F.col("words")))
     lines = F.filter(F.split("text", "\n", -1), lambda line: line.rlike(r"[^\x20\x09-\x0D]"))
     frame = frame.withColumns({
         "n_words": F.size("words").cast("bigint"),
@@ -155,7 +152,9 @@ def judge_quality(
     frame = _repeated_words(frame).withColumn("base_failed", (F.col("n_words") < MIN_WORDS) | (
         F.lit(100) * F.col("n_repeat_words") > F.lit(MAX_REPEAT_PERCENT) * F.col("n_words")
     ))
-    frame = frame.withColumn("kept", ~F.col("base_failed") & (F.col("score") >= threshold))
+    # A row number is not deterministic: a filter on the verdict stays above it, or all would be computed again below.
+    held = F.monotonically_increasing_id() >= 0
+    frame = frame.withColumn("kept", ~F.col("base_failed") & (F.col("score") >= threshold) & held)
     return frame.select("row", *COLUMNS)
 
 
