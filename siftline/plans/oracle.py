@@ -5,7 +5,7 @@ from __future__ import annotations
 from siftline.operators.classify import DEFAULT_SMOOTHING, DEFAULT_TEXTS
 from siftline.operators.library import LIBRARY
 from siftline.operators.patterns import Pattern, select_patterns
-from siftline.plans.inputs import DIGITS, ENTITIES, FLAGGED, SEEDS, TITLES, WORDS
+from siftline.plans.inputs import DIGITS, ENTITIES, FLAGGED, HEAD_SEED, SEEDS, TITLES, WORDS
 
 
 def text(value: str) -> str:
@@ -245,7 +245,7 @@ UNION ALL SELECT c_custkey, 'pattern', 'digits', 'hit', len(regexp_extract_all(c
   WHERE c_custkey % 3 <> 0 AND regexp_matches(c_name, {regex(DIGITS)})""",
         "scan_flags": "SELECT doc_id, pattern, ordinal, content FROM " + hits("documents", "doc_id", "text", FLAGGED),
         "scan_seeded": "SELECT doc_id, pattern, ordinal, content FROM "
-                       + hits(f"(SELECT doc_id, text || chr(10) || {text(SEEDS)} AS t FROM documents)", "doc_id", "t", LIBRARY),
+                       + hits(f"(SELECT doc_id, {text(HEAD_SEED)} || text || {text(SEEDS)} AS t FROM documents)", "doc_id", "t", LIBRARY),
         "entropy": f"SELECT page_id, ordinal, content, {entropy('content')} AS entropy FROM {page_strings}",
         "high_entropy": f"SELECT * FROM (SELECT page_id, ordinal, content, {entropy('content')} AS entropy FROM {page_strings}) "
                         "WHERE entropy >= 3.5",

@@ -19,7 +19,7 @@ from siftline.operators.rewrite import rewrite_fields
 from siftline.operators.scan import as_findings, grep_lines, hits_per_pattern, scan
 from siftline.operators.summary import scan_progress, scan_summary, total_hits
 from siftline.plans.inputs import (
-    DIGITS, ENTITIES, FLAGGED, KEYED, SEEDS, TITLES, WORDS, document_findings, document_lines, documents, event_lines, library, new_folder, pages,
+    DIGITS, ENTITIES, FLAGGED, HEAD_SEED, KEYED, SEEDS, TITLES, WORDS, document_findings, document_lines, documents, event_lines, library, new_folder, pages,
     table, turns, written_lines,
 )
 from siftline.session import stored
@@ -158,8 +158,8 @@ def scan_flags(spark, folder):
 
 @query
 def scan_seeded(spark, folder):
-    """Documents with a text appended that every shipped pattern finds something in."""
-    records = documents(spark, folder).withColumn("content", F.concat("content", F.lit("\n" + SEEDS)))
+    """Documents between texts in which every shipped pattern finds something."""
+    records = documents(spark, folder).withColumn("content", F.concat(F.lit(HEAD_SEED), "content", F.lit(SEEDS)))
     return scan(records, LIBRARY).select("doc_id", "pattern", "ordinal", "content")
 
 

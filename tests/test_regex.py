@@ -9,6 +9,7 @@ from siftline.operators.library import LIBRARY
 from siftline.operators.patterns import Pattern, leading_literal, literals_of, mandatory_literals, pattern
 from siftline.functions.search import match_finder
 from siftline.operators.scan import may_match, scan
+from siftline.plans.inputs import HEAD_SEED, SEEDS
 
 PATTERNS = [
     r"a:[0-9]+:{", r"x{2,3}", r"x{,3}", r".+", r".*", r"(?s).+", r"a$", r"(?m)^b", r"(?m)b$", r"(?m)^$", r"^a", r"\bfoo\b",
@@ -176,3 +177,8 @@ def test_guards_lose_no_match(spark):
     shown = ["pattern", "ordinal", "content"]
     assert sorted(scan(frame, LIBRARY).select(*shown).collect()) == sorted(scan(frame, bare).select(*shown).collect())
     assert may_match(F.lit("x"), pattern("p", "[a-z]+")) is None
+
+
+def test_seeds_hold_something_for_every_pattern(spark):
+    frame = spark.createDataFrame([(HEAD_SEED + SEEDS,)], "content string")
+    assert {row["pattern"] for row in scan(frame, LIBRARY).collect()} == {item.name for item in LIBRARY}
