@@ -58,6 +58,30 @@ def test_stages_equal_brute_force(spark, folder):
     assert {100 + k for k in range(30)} <= {r[0] for r in rows} and not any(400 <= r[0] < 404 or r[0] >= 500 for r in rows)
 
 
+def test_near_duplicates_share_eight_tenths_of_five_words(spark, random_prose, tmp_path):
+    rows = []
+    for family in range(12):
+        words = [f"{w}{n}" for n, w in enumerate(random_prose(950 + family, 100).split())]
+        rows.append((1000 + 10 * family, " ".join(words)))
+        for copy, changed in enumerate(((20, 70), (20, 21), (15, 40, 80), (10, 30, 50, 70))):
+            other = list(words)
+            for k in changed:
+                other[k] = f"other{family}x{copy}x{k}"
+            rows.append((1001 + 10 * family + copy, " ".join(other)))
+    spark.createDataFrame(rows, "doc_id bigint, text string").coalesce(1).write.parquet(f"{tmp_path}/rows.parquet")
+    kept = dict(corpus_pipeline.STAGES)["near duplicates"](spark, spark.read.parquet(f"{tmp_path}/rows.parquet"), "")
+    sets = [{tuple(words[k : k + 5]) for k in range(len(words) - 4)} for words in (text.split() for _, text in rows)]
+    root = list(range(len(rows)))
+    for a in range(len(rows)):
+        for b in range(a):
+            if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+                low, high = sorted((root[a], root[b]))
+                root = [low if r == high else r for r in root]
+    # Two scattered words of a hundred are a duplicate here, and none by nine tenths of three words.
+    assert root[1] == root[0] != root[4]
+    assert {r.doc_id for r in kept.collect()} == {doc for k, (doc, _) in enumerate(rows) if root[k] == k}
+
+
 def test_run_applies_all_stages(spark, folder):
     found = corpus_pipeline.run(spark, folder[0]).collect()
     ends = defaultdict(int)
