@@ -97,9 +97,54 @@ SELECT doc_id, len(shingles)::BIGINT AS n_shingles, (SELECT min(other) FROM reac
 FROM sets s
 """
 
+#: crc32 of a list of bytes, bit by bit.
+_CRC32 = """xor(4294967295, list_reduce([4294967295] || {bytes}, lambda c, b:
+        list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda d, z: CASE WHEN d & 1 = 1 THEN xor(d >> 1, 3988292384) ELSE d >> 1 END)))"""
+
+#: Nodes as the joined digests of their turns; sums over the ways of the smallest members.
+OP12_PREFIX_TRIE = f"""
+WITH turns AS (
+    SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, tid) AS pos, tid, size FROM (
+        SELECT conv_id, turn, md5(length(coalesce(role, '')) || ':' || coalesce(role, '') || ':' || coalesce(text, '')) AS tid,
+               length(coalesce(text, '')) AS size
+        FROM conversations WHERE conv_id IS NOT NULL)
+), convs AS (
+    SELECT conv_id, conv_id - conv_id % 100 AS base,
+           {_CRC32.format(bytes="list_transform(string_split(conv_id::VARCHAR, ''), lambda x: ascii(x)::BIGINT)")} % 6 AS h
+    FROM (SELECT DISTINCT conv_id FROM turns)
+), rebuilt AS (
+    SELECT c.conv_id, 1 AS part, t.pos, t.tid, t.size FROM convs c JOIN turns t ON t.conv_id = c.base WHERE t.pos <= c.h
+    UNION ALL
+    SELECT c.conv_id, 2 AS part, t.pos, t.tid, t.size FROM convs c JOIN turns t ON t.conv_id = c.conv_id WHERE t.pos > c.h
+), placed AS (
+    SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY part, pos) AS depth, tid, size FROM rebuilt
+), ways AS (
+    SELECT conv_id, depth, string_agg(tid, '') OVER (PARTITION BY conv_id ORDER BY depth) AS node, size,
+           depth = max(depth) OVER (PARTITION BY conv_id) AS ends
+    FROM placed
+    UNION ALL
+    SELECT conv_id, 0, '', 0, conv_id NOT IN (SELECT conv_id FROM placed) FROM convs
+), nodes AS (
+    SELECT node, min(conv_id) AS conv_id, min(depth) AS depth, count(*) AS n_convs, min(size) AS size,
+           sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (WHERE ends), '')) AS ends_sha256
+    FROM ways GROUP BY node
+), children AS (
+    SELECT substr(node, 1, length(node) - 32) AS node, count(*) AS n_children FROM nodes WHERE node <> '' GROUP BY 1
+), counted AS (
+    SELECT n.*, coalesce(c.n_children, 0) AS n_children FROM nodes n LEFT JOIN children c ON n.node = c.node
+), sums AS (
+    SELECT w.node, sum((n.n_convs - 1) * n.size) AS saved_tokens, sum((n.n_children = 0)::INT) AS n_leaves
+    FROM counted n JOIN ways w ON w.conv_id = n.conv_id AND w.depth <= n.depth GROUP BY w.node
+)
+SELECT c.conv_id::BIGINT AS conv_id, c.depth::BIGINT AS depth, p.conv_id::BIGINT AS parent_conv_id, c.n_convs::BIGINT AS n_convs,
+       c.n_children::BIGINT AS n_children, s.n_leaves::BIGINT AS n_leaves, s.saved_tokens::BIGINT AS saved_tokens, c.ends_sha256
+FROM counted c JOIN sums s ON s.node = c.node LEFT JOIN nodes p ON c.node <> '' AND p.node = substr(c.node, 1, length(c.node) - 32)
+"""
+
 ORACLE_SQL = {
     "op2_decontaminate": OP2_DECONTAMINATE,
     "op3_warc_bundles": OP3_WARC_BUNDLES,
     "op5_suffix_dedup": OP5_SUFFIX_DEDUP,
     "op8_jaccard_join": OP8_JACCARD_JOIN,
+    "op12_prefix_trie": OP12_PREFIX_TRIE,
 }
