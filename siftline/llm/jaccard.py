@@ -307,8 +307,8 @@ def links_within(nodes: DataFrame, sets: DataFrame, words: int, percent: int) ->
         first = found.column("first")[0]
         return pa.table({"a": pa.array(node[order][at]), "b": pa.array(node[order][root[at]]), "first": pa.repeat(first, len(at))})
 
-    parts = _spread(nodes, "gid").withColumn("first", F.lit(True)).union(
-        _spread(nodes.filter("gid2 <> gid"), "gid2").withColumn("first", F.lit(False)),
+    parts = saved(_spread(nodes, "gid").withColumn("first", F.lit(True))).union(
+        saved(_spread(nodes.filter("gid2 <> gid"), "gid2").withColumn("first", F.lit(False))),
     )
     return parts.join(sets, "node").groupBy("gid", "part", "first").applyInArrow(join, "a bigint, b bigint, first boolean")
 
@@ -354,7 +354,8 @@ def links_across(nodes: DataFrame, sets: DataFrame, tokens: DataFrame, classes:
 
     Of two classes the smaller one asks, so a large class is never held against its few neighbours.
     """
-    own = nodes.select("node", "gid", "n", "bits").join(classes, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    # Every step whose result is used twice is stored, which keeps the plans small.
+    own = saved(nodes.select("node", "gid", "n", "bits").join(classes, "node", "left").withColumn("root", F.coalesce("root", "node")))
     own = own.join(own.groupBy("root").agg(F.count("*").alias("size")), "root")
     many = nodes.groupBy("gid").agg(F.greatest(
         F.ceil(F.count("*") / GROUP_SETS), F.ceil(F.sum("n") / GROUP_TOKENS),
@@ -365,17 +366,17 @@ def links_across(nodes: DataFrame, sets: DataFrame, tokens: DataFrame, classes:
         ).alias("group"), "n",
     ))
     # The token-group matrix, of the tokens that more than one class has.
-    marked = tokens.join(own.select("node", "class", "group", "n"), "node")
-    cells = marked.groupBy("token", "group").agg(
+    marked = saved(tokens.join(own.select("node", "class", "group", "n"), "node"))
+    cells = saved(marked.groupBy("token", "group").agg(
         F.min("class").alias("low"), F.max("class").alias("high"), F.min("n").alias("least"), F.max("n").alias("most"),
-    )
-    mixed_ = cells.groupBy("token").agg(F.min("low").alias("a"), F.max("high").alias("b")).filter("a <> b").select("token", F.col("b").alias("top"))
-    cells = cells.join(mixed_, "token").select("token", F.col("group").alias("open"), "high", "least", "most")
-    asked = marked.join(mixed_, "token").filter(F.col("class") < F.col("top")).join(cells, "token").filter(
+    ))
+    mixed_ = cells.groupBy("token").agg(F.min("low").alias("a"), F.max("high").alias("b")).filter("a <> b").select("token")
+    cells = saved(cells.join(mixed_, "token").select("token", F.col("group").alias("open"), "high", "least", "most"))
+    asked = marked.join(cells, "token").filter(
         (F.col("class") < F.col("high")) & (percent * F.col("least") <= 100 * F.col("n"))
         & (100 * F.col("most") >= percent * F.col("n"))
     ).select("open", "node", "class").distinct()
-    asked = saved(_near_groups(asked, own, percent))
+    asked = saved(_near_groups(saved(asked), own, percent))
     copies = _copies(asked)
     queries = asked.join(copies, "open").join(sets, "node").select(
         "open", F.pmod(F.xxhash64("node"), F.col("copies")).cast("int").alias("copy"), "node", "class.size", "class.root", "packed",
@@ -475,8 +476,8 @@ def linked_documents(
     roots = components(saved(links.select("a", "b").union(more)))
     # The smallest id of each set, then of each component; sets without links are their own.
     lowest = rows.filter("n > 0").groupBy(*KEY).agg(F.min("doc_id").alias("lowest"))
-    member = sets.select("node", *KEY).join(roots, "node").select(*KEY, "root")
-    joined = lowest.join(member, KEY, "left")
+    member = sets.select("node", *KEY).join(saved(roots), "node").select(*KEY, "root")
+    joined = saved(lowest.join(member, KEY, "left"))
     by_root = joined.filter("root IS NOT NULL").groupBy("root").agg(F.min("lowest").alias("component"))
     by_set = joined.join(by_root, "root", "left").select(*KEY, F.coalesce("component", "lowest").alias("component"))
     return few_files(rows.select("doc_id", *KEY).join(by_set, KEY, "left")).select(

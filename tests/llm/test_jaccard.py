@@ -4,8 +4,10 @@ from collections import defaultdict
 import numpy as np
 import pytest
 
+from siftline.llm import common, jaccard
 from siftline.llm.components import components
 from siftline.llm.jaccard import Group, linked_documents, one_of_each_group
+from siftline.session import stored
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -84,6 +86,20 @@ def test_empty_table(documents):
     assert one_of_each_group(documents([])).collect() == []
 
 
+def test_plans_stay_small(documents, families, monkeypatch):
+    """Each table that is written comes from a plan of few shuffles, so the driver holds small plans only."""
+    seen = []
+
+    def write(frame):
+        seen.append(frame._jdf.queryExecution().executedPlan().toString().count("Exchange "))
+        return stored(frame)
+
+    monkeypatch.setattr(jaccard, "stored", write)
+    monkeypatch.setattr(common, "stored", write)
+    got(documents(families))
+    assert len(seen) > 10 and max(seen) <= 20
+
+
 def test_components_of_links(spark):
     pick = np.random.default_rng(2)
     links = [(int(a), int(b)) for a, b in pick.integers(0, 400, (260, 2))] + [(k, k + 1) for k in range(1000, 1100)] + [(7, 7)]
