@@ -5,8 +5,8 @@ digests stands for a text.  A sketch has three rows of SIDE cells; each digest g
 and a cell holds the number of its digests, their exclusive or, and that of their check values.  Sketches of two
 versions subtract cell by cell: what both have is gone.  A cell that is left with one digest gives it away
 (*peeling*); taken out of its other cells it lays more of them bare.  Where peeling gets stuck, both sets are
-sketched anew in four times as many cells: four blocks, told apart by further bits of the digests, and again
-for each block that still sticks.  Whatever the sizes, the outcome is exact but for equal 64-bit digests.
+sketched anew in more cells: in blocks, told apart by further bits of the digests, four times as many until each has
+few digests, and again four for each block that still sticks.  Whatever the sizes, the outcome is exact but for equal 64-bit digests.
 
 Everything happens within a row.  To bring a document and its successor together, the table is dealt once into
 buckets of neighbouring ids; the first row of each bucket goes to the one before as well.
@@ -22,17 +22,21 @@ from pyspark.sql import functions as F
 from siftline.llm.common import numbered, table, tuned
 
 #: Words of a paragraph at most.
-WORDS = 8
+WORDS = 12
 #: Cells of a row of the sketch that is the fingerprint, and of a block of a larger one; powers of two.
 SIDE = 8
-BLOCK_SIDE = 4
+BLOCK_SIDE = 2
 ROWS = 3
+#: Digests of both sets for which the cells of a block are worth a try.
+FEW = 4
 #: Turns of peeling, after which a sketch counts as stuck; larger sketches, and the first bit that tells blocks apart.
-TURNS = 5
+TURNS = 4
 RETRIES = 20
 FIRST_BIT = 16
-#: Documents of a bucket at least, and buckets at most, whose first ids the driver holds.
-BUCKET = 2000
+#: Documents of a bucket while there are not too many buckets, whose first ids the driver holds; small tables have
+#: some buckets for each core.
+BUCKET = 1000
+BUCKETS_A_CORE = 4
 MOST_BUCKETS = 1 << 16
 #: Buckets that are looked up at once.
 SHELF = 256
@@ -49,8 +53,17 @@ def paragraph_digests(text: Column, words: int = WORDS) -> Column:
     return F.array_distinct(F.transform(pieces, lambda piece: F.xxhash64(piece)))
 
 
-def _bits(side: int) -> int:
-    return side.bit_length() - 1
+def _places(side: int) -> Column:
+    """(mask, value) of each cell: a digest lies in it if it has this value under the mask."""
+    width = side.bit_length() - 1
+    return F.array(*[
+        F.struct(F.lit((side - 1) << row * width).cast("bigint").alias("mask"), F.lit(place << row * width).cast("bigint").alias("value"))
+        for row in range(ROWS) for place in range(side)
+    ])
+
+
+def _lies_in(key: Column, place: Column) -> Column:
+    return key.bitwiseAND(place["mask"]) == place["value"]
 
 
 def _cell(n: Column, key: Column, check: Column) -> Column:
@@ -59,15 +72,12 @@ def _cell(n: Column, key: Column, check: Column) -> Column:
 
 def sketch(keys: Column, side: int = SIDE) -> Column:
     """The cells of a set of digests, row by row."""
-
-    def cell(row: int, place: int) -> Column:
-        shift = row * _bits(side)
-        mine = F.filter(keys, lambda key: key.bitwiseAND(F.lit((side - 1) << shift).cast("bigint")) == F.lit(place << shift).cast("bigint"))
-        return F.aggregate(mine, F.expr(f"cast(named_struct('n', 0, 'key', 0L, 'check', 0) as {_CELL})"), lambda sum_, key: _cell(
-            sum_["n"] + 1, sum_["key"].bitwiseXOR(key), sum_["check"].bitwiseXOR(F.hash(key)),
-        ))
-
-    return F.array(*[cell(row, place) for row in range(ROWS) for place in range(side)])
+    nothing = F.expr(f"cast(named_struct('n', 0, 'key', 0L, 'check', 0) as {_CELL})")
+    return F.transform(_places(side), lambda place: F.aggregate(
+        F.filter(keys, lambda key: _lies_in(key, place)), nothing, lambda cell, key: _cell(
+            cell["n"] + 1, cell["key"].bitwiseXOR(key), cell["check"].bitwiseXOR(F.hash(key)),
+        ),
+    ))
 
 
 def subtract(cells: Column, others: Column) -> Column:
@@ -84,17 +94,13 @@ def _let(value: Column, body) -> Column:
 
 def peel(cells: Column, side: int = SIDE) -> Column:
     """(done, found): whether every cell was emptied, and the cells of one digest each that came out."""
-    width = _bits(side)
-
-    def lies_in(key: Column, index: Column) -> Column:
-        row, place = F.call_function("shiftright", index, F.lit(width)), index.bitwiseAND(F.lit(side - 1))
-        return F.call_function("shiftright", key, row * width).bitwiseAND(F.lit(side - 1).cast("bigint")) == place.cast("bigint")
+    places = _places(side)
 
     def turn(state: Column, _: Column) -> Column:
         bare = F.array_distinct(F.filter(state["cells"], lambda c: (F.abs(c["n"]) == 1) & (F.hash(c["key"]) == c["check"])))
         return _let(bare, lambda pure: F.when(F.size(pure) == 0, state).otherwise(F.struct(
             F.transform(state["cells"], lambda c, index: F.aggregate(
-                F.filter(pure, lambda p: lies_in(p["key"], index)), c, lambda left, p: _cell(
+                F.filter(pure, lambda p: _lies_in(p["key"], F.get(places, index))), c, lambda left, p: _cell(
                     left["n"] - p["n"], left["key"].bitwiseXOR(p["key"]), left["check"].bitwiseXOR(p["check"]),
                 ),
             )).alias("cells"),
@@ -115,21 +121,25 @@ def _sum(numbers: Column) -> Column:
 def _larger(keys: Column, others: Column) -> Column:
     """How many digests only the first set has, by sketches of more and more blocks."""
 
-    def block_of(all_: Column, shift: Column, block: int) -> Column:
-        return F.filter(all_, lambda key: F.call_function("shiftright", key, shift).bitwiseAND(F.lit(3).cast("bigint")) == F.lit(block).cast("bigint"))
-
     def split(pair: Column, level: Column) -> Column:
         shift = level * 2 + (FIRST_BIT - 2)
-        blocks = F.array(*[
-            F.struct(block_of(pair["a"], shift, k).alias("a"), block_of(pair["b"], shift, k).alias("b")) for k in range(4)
-        ])
+
+        def of_block(all_: Column, block: Column) -> Column:
+            return F.filter(all_, lambda key: F.call_function("shiftright", key, shift).bitwiseAND(F.lit(3).cast("bigint")) == block)
+
+        blocks = F.transform(F.expr("array(0L, 1L, 2L, 3L)"), lambda k: F.struct(of_block(pair["a"], k).alias("a"), of_block(pair["b"], k).alias("b")))
         return F.filter(blocks, lambda p: (F.size(p["a"]) > 0) | (F.size(p["b"]) > 0))
 
+    def outcome(pair: Column, done: Column, own: Column) -> Column:
+        return F.struct(pair["a"].alias("a"), pair["b"].alias("b"), done.alias("done"), own.alias("own"))
+
     def tried(pair: Column) -> Column:
-        return _let(peel(subtract(sketch(pair["a"], BLOCK_SIDE), sketch(pair["b"], BLOCK_SIDE)), BLOCK_SIDE), lambda result: F.struct(
-            pair["a"].alias("a"), pair["b"].alias("b"), result["done"].alias("done"),
-            F.size(F.filter(result["found"], lambda c: c["n"] == 1)).cast("bigint").alias("own"),
-        ))
+        # Blocks that are still too full for their cells are split again at once.
+        full = F.size(pair["a"]) + F.size(pair["b"]) > FEW
+        cells = subtract(sketch(pair["a"], BLOCK_SIDE), sketch(pair["b"], BLOCK_SIDE))
+        return F.when(full, outcome(pair, F.lit(False), F.lit(0).cast("bigint"))).otherwise(_let(peel(cells, BLOCK_SIDE), lambda result: outcome(
+            pair, result["done"], F.size(F.filter(result["found"], lambda c: c["n"] == 1)).cast("bigint"),
+        )))
 
     def retry(state: Column, level: Column) -> Column:
         pairs = F.flatten(F.transform(state["stuck"], lambda pair: split(pair, level)))
@@ -166,12 +176,13 @@ def fingerprint_text(keys: Column, cells: Column) -> Column:
 
 
 def _in_buckets(documents: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """(bucket, guest, uid, id, text): documents by neighbouring ids; a guest is the first row of the bucket after."""
+    """(bucket, guest, uid, id, text): documents dealt by buckets of neighbouring ids; a guest is the first row of the bucket after."""
     spark = documents.sparkSession
     rows = numbered(documents, id=doc_id, text=text)
     order = [F.col("id").asc_nulls_first(), F.col("uid").asc()]
     ids = numbered(documents, id=doc_id)
-    size = max(BUCKET, -(-ids.count() // MOST_BUCKETS))
+    total = ids.count()
+    size = max(1, min(BUCKET, -(-total // (BUCKETS_A_CORE * spark.sparkContext.defaultParallelism))), -(-total // MOST_BUCKETS))
     firsts = ids.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("place", F.monotonically_increasing_id()).filter(
         F.col("place").bitwiseAND(F.lit(_IN_PART)) % size == 0,
     ).select(F.to_json(F.struct("id", "uid"), {"ignoreNullFields": "false"}).alias("first")).collect()
@@ -191,7 +202,7 @@ def _in_buckets(documents: DataFrame, doc_id: str, text: str) -> DataFrame:
     before = F.struct(F.pmod(bucket - 1, F.lit(len(found)).cast("bigint")).alias("bucket"), F.lit(True).alias("guest"))
     return rows.select(
         F.explode(F.when(is_first, F.array_append(places, before)).otherwise(places)).alias("at"), "uid", "id", F.coalesce("text", F.lit("")).alias("text"),
-    ).select("at.bucket", "at.guest", "uid", "id", "text")
+    ).select("at.bucket", "at.guest", "uid", "id", "text").repartition(len(found), "bucket")
 
 
 def fingerprints(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = WORDS) -> DataFrame:
@@ -207,8 +218,7 @@ def fingerprints(documents: DataFrame, doc_id: str = "doc_id", text: str = "text
     from stored files or the driver.
     """
     tuned(documents.sparkSession)
-    dealt = _in_buckets(documents, doc_id, text).repartition("bucket")
-    own = dealt.withColumn("keys", paragraph_digests(F.col("text"), words)).withColumn("cells", sketch(F.col("keys")))
+    own = _in_buckets(documents, doc_id, text).withColumn("keys", paragraph_digests(F.col("text"), words)).withColumn("cells", sketch(F.col("keys")))
     order = Window.partitionBy("bucket").orderBy("guest", F.col("id").asc_nulls_first(), "uid")
     pairs = own.select(
         "id", "guest", "text", "keys", "cells", F.lead("text").over(order).alias("next_text"),

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from siftline.llm import sketches
 from siftline.llm.sketches import fingerprints, likeness, paragraph_digests, peel, sketch, subtract
 
-PIECE = re.compile(r"[^ \t\n\x0b\f\r]+(?:[ \t\x0b\f\r]+[^ \t\n\x0b\f\r]+){0,7}")
+PIECE = re.compile(r"[^ \t\n\x0b\f\r]+(?:[ \t\x0b\f\r]+[^ \t\n\x0b\f\r]+){0,11}")
 
 
 def jaccard(a, b):
@@ -96,5 +96,5 @@ def test_plan_has_no_python_and_one_shuffle_of_texts(spark, random_prose, tmp_pa
 
 
 def test_digests_of_paragraphs(spark):
-    frame = spark.createDataFrame([("a b c d e f g h i\nj\n\na b c d e f g h",)], "text string")
+    frame = spark.createDataFrame([("a b c d e f g h i j k l m\nn\n\na b c d e f g h i j k l",)], "text string")
     assert len(frame.select(paragraph_digests(F.col("text")).alias("d")).first().d) == 3
