@@ -101,6 +101,48 @@ FROM sets s
 _CRC32 = """xor(4294967295, list_reduce([4294967295] || {bytes}, lambda c, b:
         list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda d, z: CASE WHEN d & 1 = 1 THEN xor(d >> 1, 3988292384) ELSE d >> 1 END)))"""
 
+#: Words by a table-driven crc32; near words by what is left when a code point is taken out at each place.
+OP11_SPELLING_VARIANTS = """
+WITH RECURSIVE steps AS (
+    SELECT list(list_reduce([n, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, z: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY n) AS t
+    FROM (SELECT unnest(range(256)) AS n)
+), runs AS (
+    SELECT doc_id, translate(unnest(regexp_extract_all(text, '[A-Za-zÀ-ÿ]+')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run
+    FROM documents WHERE text IS NOT NULL
+), counted AS (
+    SELECT coalesce(doc_id::VARCHAR, '') AS id, run, count(*) AS n FROM runs WHERE length(run) >= 5 GROUP BY ALL
+), hashed AS (
+    SELECT run, n, xor(4294967295, list_reduce(
+        [4294967295] || list_transform(range(1, octet_length(encode(id || ':' || run)) + 1),
+            lambda k: ('0x' || substr(hex(encode(id || ':' || run)), 2 * k - 1, 2))::BIGINT),
+        lambda c, b: xor(c >> 8, t[xor(c & 255, b) + 1]))) AS h
+    FROM counted, steps
+), words AS (
+    SELECT word, sum(n)::BIGINT AS n FROM (
+        SELECT CASE WHEN h % 97 = 0 THEN substr(run, 1, (h % length(run))::BIGINT) || substr(run, (h % length(run))::BIGINT + 2) ELSE run END AS word, n FROM hashed
+    ) WHERE length(word) >= 5 GROUP BY word HAVING sum(n) >= 3
+), cut AS (
+    SELECT word, n, k, substr(word, 1, k - 1) || substr(word, k + 1) AS rest FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS k FROM words)
+), near AS (
+    SELECT a.word, b.word AS near, b.n AS near_n FROM cut a JOIN cut b ON a.rest = b.rest AND a.k = b.k AND a.word <> b.word
+    UNION
+    SELECT a.word, b.word, b.n FROM cut a JOIN words b ON a.rest = b.word
+    UNION
+    SELECT b.word, a.word, a.n FROM cut a JOIN words b ON a.rest = b.word
+), best AS (
+    SELECT word, near, near_n, count(*) OVER (PARTITION BY word) AS n_near, row_number() OVER (PARTITION BY word ORDER BY near_n DESC, encode(near)) AS place FROM near
+), forms AS (
+    SELECT w.word, w.n, coalesce(b.n_near, 0)::BIGINT AS n_near, CASE WHEN b.near_n >= 2 * w.n THEN b.near END AS form,
+           CASE WHEN b.near_n >= 2 * w.n THEN b.near_n END AS form_n
+    FROM words w LEFT JOIN best b ON b.word = w.word AND b.place = 1
+), follow AS (
+    SELECT word, word AS root, form AS following FROM forms
+    UNION ALL
+    SELECT f.word, g.word, g.form FROM follow f JOIN forms g ON g.word = f.following
+)
+SELECT f.word, f.n, f.n_near, f.form, f.form_n, r.root FROM forms f JOIN follow r ON r.word = f.word AND r.following IS NULL
+"""
+
 #: Nodes as the joined digests of their turns; sums over the ways of the smallest members.
 OP12_PREFIX_TRIE = f"""
 WITH turns AS (
@@ -146,5 +188,6 @@ ORACLE_SQL = {
     "op3_warc_bundles": OP3_WARC_BUNDLES,
     "op5_suffix_dedup": OP5_SUFFIX_DEDUP,
     "op8_jaccard_join": OP8_JACCARD_JOIN,
+    "op11_spelling_variants": OP11_SPELLING_VARIANTS,
     "op12_prefix_trie": OP12_PREFIX_TRIE,
 }

@@ -9,6 +9,7 @@ from siftline.llm.oracle import ORACLE_SQL
 from siftline.llm.packing import op9_best_fit_packing
 from siftline.llm.quality import op1_quality_rules
 from siftline.llm.sketches import op13_document_fingerprints
+from siftline.llm.spelling import op11_spelling_variants
 from siftline.llm.suffixes import op5_suffix_dedup
 from siftline.llm.tries import op12_prefix_trie
 from siftline.llm.urls import op10_url_filter
@@ -25,6 +26,7 @@ QUERIES = {
     "op8_jaccard_join": op8_jaccard_join,
     "op9_best_fit_packing": op9_best_fit_packing,
     "op10_url_filter": op10_url_filter,
+    "op11_spelling_variants": op11_spelling_variants,
     "op12_prefix_trie": op12_prefix_trie,
     "op13_document_fingerprints": op13_document_fingerprints,
 }
