@@ -11,12 +11,15 @@ score(class | text) = log(prior) + Σ over tokens log((n(token, class) + s) / (N
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Mapping, Sequence
-from dataclasses import dataclass
+from collections.abc import Sequence
+from dataclasses import dataclass, field
 
+import numpy as np
+import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from siftline.functions.skew import BROADCAST_BYTES, fits_broadcast
+from siftline.functions.skew import BROADCAST_BYTES
 from siftline.session import stored
 
 HIGH, LOW = "high-interest", "low-interest"
@@ -31,9 +34,8 @@ DEFAULT_TEXTS = {
 #: Most classes a model may have; their totals are held on the driver.
 MAX_LABELS = 1000
 
-#: Largest vocabulary that is written into a column expression, and that is broadcast.
-INLINE_TOKENS = 500
-BROADCAST_TOKENS = 1_000_000
+#: Largest vocabulary that is broadcast; its table has two slots a token, of a hash and a number per class each.
+BROADCAST_TOKENS = 10_000_000
 
 
 def tokens(text: Column, ngram: int = 0) -> Column:
@@ -45,6 +47,45 @@ def tokens(text: Column, ngram: int = 0) -> Column:
     return F.filter(F.split(text, r"\s+"), lambda token: token != "")
 
 
+class TokenTable:
+    """The gains of a model as an open-addressed hash table in arrays.
+
+    A token lies in the first free slot from that of its hash on; ``reach`` is how far the farthest one lies.  The last slots
+    have ``reach`` more behind them, so a probe never runs over the end.
+    """
+
+    def __init__(self, hashes: np.ndarray, gains: np.ndarray) -> None:
+        if len(np.unique(hashes)) < len(hashes):
+            raise ValueError("two tokens of the model have the same hash")
+        size = 1 << max(4, (2 * len(hashes)).bit_length())
+        self.mask = np.uint64(size - 1)
+        home = (hashes.view(np.uint64) & self.mask).astype(np.int64)
+        order = np.argsort(home, kind="stable")
+        # In the order of their slots, each token is put one behind the last or into its own slot.
+        rank = np.arange(len(order))
+        slot = np.maximum.accumulate(home[order] - rank) + rank if len(order) else rank
+        self.reach = int((slot - home[order]).max(initial=0))
+        self.keys = np.zeros(size + self.reach + 1, np.int64)
+        self.filled = np.zeros(len(self.keys), bool)
+        self.gains = np.zeros((len(self.keys), gains.shape[1] if gains.ndim == 2 else 0))
+        self.keys[slot], self.filled[slot], self.gains[slot] = hashes[order], True, gains[order]
+
+    def sums(self, hashes: np.ndarray, row: np.ndarray, rows: int) -> np.ndarray:
+        """The summed gains of the hashes of each row; unknown ones add nothing."""
+        home = (hashes.view(np.uint64) & self.mask).astype(np.int64)
+        out = np.zeros((rows, self.gains.shape[1]))
+        left = np.arange(len(hashes))
+        for step in range(self.reach + 1):
+            slot = home[left] + step
+            hit = self.filled[slot] & (self.keys[slot] == hashes[left])
+            for index in range(out.shape[1]):
+                out[:, index] += np.bincount(row[left[hit]], self.gains[slot[hit], index], rows)
+            left = left[~hit & self.filled[slot]]
+            if not len(left):
+                break
+        return out
+
+
 @dataclass(frozen=True)
 class TextModel:
     """A fitted model.
@@ -59,32 +100,49 @@ class TextModel:
     gains: DataFrame
     vocabulary: int
     ngram: int = 0
-
-    def _best(self, scores: Sequence[Column]) -> Column:
-        """The class with the highest score; later classes win ties."""
-        best, label = scores[0], F.lit(self.labels[0])
-        for name, score in zip(self.labels[1:], scores[1:]):
-            label = F.when(score >= best, F.lit(name)).otherwise(label)
-            best = F.greatest(best, score)
-        return label
+    _sent: dict[str, Broadcast] = field(default_factory=dict, repr=False, compare=False)
+
+    def fits(self, most: int = BROADCAST_TOKENS) -> bool:
+        """Whether the model may be sent to every task, by its counted size."""
+        return self.vocabulary <= min(most, BROADCAST_BYTES // (2 * (9 + 8 * len(self.labels))))
+
+    def _table(self) -> Broadcast:
+        context = self.gains.sparkSession.sparkContext
+        if context.applicationId not in self._sent:
+            rows = self.gains.select(F.xxhash64("token").alias("hash"), "gains").toArrow().combine_chunks()
+            gains = rows.column("gains").combine_chunks().flatten().to_numpy() if len(rows) else np.zeros(0)
+            table = TokenTable(rows.column("hash").to_numpy(), gains.reshape(len(rows), len(self.labels)))
+            self._sent[context.applicationId] = context.broadcast(table)
+        return self._sent[context.applicationId]
+
+    def score_column(self, text: Column) -> Column:
+        """The scores of all classes, as an array, in an expression that serves batch and streams alike.
+
+        Tokens are cut and hashed by Spark; the hashes go to Python as Arrow arrays, where the table is probed for all of a
+        batch at once.  Models that do not ``fits`` are for ``classify_text`` on a batch.
+        """
+        if not self.fits():
+            raise ValueError(f"a model of {self.vocabulary} tokens is too large to be sent to every task; use classify_text on a batch")
+        table, priors, unseen = self._table(), np.array(self.priors), np.array(self.unseen)
+
+        @F.arrow_udf("array<double>")
+        def scores(hashes: pa.Array) -> pa.Array:
+            sizes = np.diff(hashes.offsets.to_numpy())
+            row = np.repeat(np.arange(len(sizes)), sizes)
+            total = priors + sizes[:, None] * unseen + table.value.sums(hashes.flatten().to_numpy(), row, len(sizes))
+            ends = pa.array(np.arange(len(sizes) + 1) * len(priors), pa.int32())
+            return pa.ListArray.from_arrays(ends, pa.array(total.ravel()))
+
+        return scores(F.transform(tokens(F.coalesce(text, F.lit("")), self.ngram), lambda token: F.xxhash64(token)))
+
+    def best(self, scores: Column) -> Column:
+        """The class with the highest of the scores; later classes win ties."""
+        place = F.size(scores) - F.array_position(F.reverse(scores), F.array_max(scores)).cast("int")
+        return F.get(F.lit(list(self.labels)), place)
 
     def label_column(self, text: Column) -> Column:
-        """The class of a text as an expression; only for models of up to ``INLINE_TOKENS`` tokens."""
-        if self.vocabulary > INLINE_TOKENS:
-            raise ValueError(f"{self.vocabulary} tokens are too many for one expression; use classify_text")
-        rows = self.gains.collect()
-        found = tokens(text, self.ngram)
-        known = F.filter(found, lambda token: token.isin([row["token"] for row in rows]))
-        scores = []
-        for index in range(len(self.labels)):
-            gain = F.aggregate(known, F.lit(0.0), _add_gain({row["token"]: row["gains"][index] for row in rows}))
-            scores.append(F.lit(self.priors[index]) + F.size(found) * F.lit(self.unseen[index]) + gain)
-        return self._best(scores)
-
-
-def _add_gain(gains: Mapping[str, float]) -> Callable[[Column, Column], Column]:
-    table = F.create_map(*[F.lit(part) for pair in gains.items() for part in pair])
-    return lambda total, token: total + table[token]
+        """The class of a text as an expression."""
+        return F.transform(F.array(self.score_column(text)), self.best)[0]
 
 
 def fit_text_classifier(
@@ -145,38 +203,37 @@ def classify_text(
 ) -> DataFrame:
     """(id columns, ``label``, ``score_<class>``…) per text; ``id`` must tell the texts apart.
 
-    The tokens meet the model by broadcast if it is small by count and size, otherwise by a join that
-    Spark splits where a token is frequent.  Sums are taken before the final shuffle, which moves one
-    row per text and task.
+    A model that is small by its counted size is a table in every task, and nothing is shuffled: that also serves streams.  The
+    tokens of a larger one meet it by a join that Spark splits where a token is frequent; sums are taken before the final shuffle, which
+    moves one row per text and task.
     """
-    found = tokens(F.coalesce(F.col(text), F.lit("")), model.ngram)
-    exploded = texts.select(*id, F.explode_outer(found).alias("token"))
-    gains = model.gains.withColumnRenamed("gains", "_gains")
-    # The gains themselves take eight bytes per class.
-    most = min(broadcast_tokens, BROADCAST_BYTES // (8 * len(model.labels) + 16))
-    if fits_broadcast(gains.select("token"), most):
-        joined = exploded.join(F.broadcast(gains), "token", "left")
-    else:
-        joined = exploded.join(gains, "token", "left")
-    scores = [
-        F.lit(model.priors[index]) + F.count("token") * F.lit(model.unseen[index])
-        + F.coalesce(F.sum(F.col("_gains")[index]), F.lit(0.0))
-        for index in range(len(model.labels))
-    ]
     names = [f"score_{name}" for name in model.labels]
-    scored = joined.groupBy(*id).agg(*[score.alias(name) for score, name in zip(scores, names)])
-    return scored.select(*id, model._best([F.col(f"`{name}`") for name in names]).alias("label"),
-                         *[F.col(f"`{name}`") for name in names])
+    if model.fits(broadcast_tokens):
+        scored = texts.select(*id, model.score_column(F.col(text)).alias("_scores"))
+    elif texts.isStreaming:
+        raise ValueError(f"a model of {model.vocabulary} tokens is too large for a stream")
+    else:
+        found = tokens(F.coalesce(F.col(text), F.lit("")), model.ngram)
+        exploded = texts.select(*id, F.explode_outer(found).alias("token"))
+        joined = exploded.join(model.gains.withColumnRenamed("gains", "_gains"), "token", "left")
+        scored = joined.groupBy(*id).agg(F.array(*[
+            F.lit(model.priors[index]) + F.count("token") * F.lit(model.unseen[index])
+            + F.coalesce(F.sum(F.col("_gains")[index]), F.lit(0.0))
+            for index in range(len(model.labels))
+        ]).alias("_scores"))
+    return scored.select(*id, model.best(F.col("_scores")).alias("label"), *[
+        F.get("_scores", F.lit(index)).alias(name) for index, name in enumerate(names)
+    ])
 
 
 def only_high_interest(findings: DataFrame, model: TextModel | None = None, wanted: str = HIGH) -> DataFrame:
-    """Findings whose content the model puts in the wanted class.
+    """Findings whose content the model puts in the wanted class, in batch and on a stream.
 
-    A model that is small enough is written into an expression and moves no data; with a larger one
-    each different content is classified once and the findings are joined by content.
+    A model that is small by its counted size moves no data.  With a larger one, in batch, each different content is classified
+    once and the findings are joined by content.
     """
     model = model or default_model(findings.sparkSession)
-    if model.vocabulary <= INLINE_TOKENS:
+    if model.fits():
         return findings.filter(model.label_column(F.col("content")) == wanted)
     contents = findings.select(F.coalesce("content", F.lit("")).alias("_content")).distinct()
     labelled = classify_text(contents, model, ["_content"], "_content").filter(F.col("label") == wanted)

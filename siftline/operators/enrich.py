@@ -10,10 +10,11 @@ from pyspark.sql import Column, DataFrame, functions as F
 from siftline.functions import decode
 from siftline.functions.regex import PatternError, translate_regex
 from siftline.functions.search import first_match
-from siftline.functions.skew import fits_broadcast, measure
+from siftline.functions.skew import fits_broadcast
 from siftline.functions.template import main_match, render_placeholders, tool_value
 from siftline.functions.text import trim_space
 from siftline.model import TOOL_OUTPUT
+from siftline.operators.networks import network_table, with_network
 from siftline.session import configure
 
 #: Lookup tables up to this many rows (and ``skew.BROADCAST_BYTES``) are sent to every task; larger
@@ -112,69 +113,25 @@ def enrich_by_lookup(findings: DataFrame, step: Lookup, broadcast_rows: int = BR
 
     Several rows of one key count as one, with the smallest value.  A table that is small by
     count and size is broadcast; otherwise the join is one that Spark splits where a key is frequent.
+    Findings may be a stream; the table is read as it is when the step is set up.
     """
     if step.table is None:
         raise ValueError(f"lookup {step.id} has no table")
     extracted = tool_value(step.source) if step.source else sub_extract(main_match(), step.extract)
     key = step.key_of(extracted) if step.key_of else extracted
     keyed = findings.withColumn("_key", key)
-    table = step.table.select(F.col(step.key).cast("string").alias("_key"), F.col(step.value).cast("string").alias("_found"))
     if step.cidr:
-        table, small = address_table(keyed, table, broadcast_rows), False
+        joined = with_network(keyed, "_key", network_table(step.table, step.key, step.value), "_found", broadcast_rows)
     else:
+        table = step.table.select(F.col(step.key).cast("string").alias("_key"), F.col(step.value).cast("string").alias("_found"))
         small = fits_broadcast(table, broadcast_rows)
         table = table.groupBy("_key").agg(F.min("_found").alias("_found"))
-    if small:
-        joined = keyed.join(F.broadcast(table), "_key", "left")
-    else:
-        joined = keyed.join(table, "_key", "left")
+        joined = keyed.join(F.broadcast(table) if small else table, "_key", "left")
     found = F.coalesce("_found", F.lit(step.missing))
     result = _record(joined, step, F.when(F.col("_key").isNotNull(), found))
     return result.select(*findings.columns)
 
 
-def address_number(address: Column) -> Column:
-    """A dotted quad as a number, NULL for any other text."""
-    parts = F.split(address, r"\.")
-    quad = F.rlike(address, F.lit(r"\A[0-9]{1,3}(?:\.[0-9]{1,3}){3}\z"))
-    number = F.lit(0).cast("bigint")
-    for index in range(4):
-        number = number * 256 + F.get(parts, F.lit(index)).try_cast("bigint")
-    valid = F.forall(parts, lambda part: part.try_cast("int") <= 255)
-    return F.when(quad & valid, number)
-
-
-def address_table(findings: DataFrame, networks: DataFrame, broadcast_rows: int) -> DataFrame:
-    """(_key, _found) for every distinct address: the value of the longest network holding it.
-
-    Every address meets one network per prefix length in use (at most 33), as an equi-join on
-    (length, network number).
-    """
-    size = F.coalesce(F.get(F.split("_key", "/"), F.lit(1)).try_cast("int"), F.lit(32))
-    network = networks.select(
-        size.alias("_size"),
-        address_number(F.get(F.split("_key", "/"), F.lit(0))).alias("_base"), "_found",
-    ).filter("_base is not null and _size between 0 and 32")
-    network = network.withColumn("_net", _prefix(F.col("_base"), F.col("_size")))
-    network = network.groupBy("_size", "_net").agg(F.min("_found").alias("_found"))
-    # One pass: how large the table is, and the prefix lengths in it.
-    small, (sizes,) = measure(network, broadcast_rows, F.collect_set("_size"))
-    addresses = findings.select("_key", address_number(F.col("_key")).alias("_base")).filter("_base is not null")
-    probes = addresses.dropDuplicates().withColumn(
-        "_size", F.explode(F.array(*[F.lit(size) for size in sizes]).cast("array<int>"))
-    ).withColumn("_net", _prefix(F.col("_base"), F.col("_size")))
-    if small:
-        held = probes.join(F.broadcast(network), ["_size", "_net"])
-    else:
-        held = probes.join(network, ["_size", "_net"])
-    return held.groupBy("_key").agg(F.max_by("_found", "_size").alias("_found"))
-
-
-def _prefix(base: Column, size: Column) -> Column:
-    """The first ``size`` bits of an address."""
-    return F.call_function("shiftright", base, 32 - size)
-
-
 def enrich_saved(findings: DataFrame, chain: Iterable[Enricher | Lookup], **options) -> DataFrame:
     """Enrich findings of an earlier scan; nothing is searched again and nothing is pruned."""
     return enrich(findings, chain, **options)

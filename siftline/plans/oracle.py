@@ -143,13 +143,26 @@ def mixed() -> str:
     return f"SELECT pattern, target, content, count(*) AS found FROM {found} GROUP BY ALL"
 
 
-def networks() -> str:
+def networks(asked: str, columns: str) -> str:
+    """Owners of the addresses in ``asked``, from networks made of all addresses in documents."""
     found = hits("documents", "doc_id", "text", named("ip"))
     octets = "split_part(content, '.', 1) AS a, split_part(content, '.', 1) || '.' || split_part(content, '.', 2) AS ab"
     return f"""
-WITH found AS (SELECT *, {octets} FROM {found}),
-near AS (SELECT ab FROM found GROUP BY ab HAVING count(*) > 1)
-SELECT doc_id, ordinal, content, 'ip_info=org-' || coalesce(near.ab, a) AS outputs FROM found LEFT JOIN near USING (ab)"""
+WITH near AS (SELECT ab FROM (SELECT {octets} FROM {found}) GROUP BY ab HAVING count(*) > 1)
+SELECT {columns}, 'ip_info=org-' || coalesce(near.ab, a) AS outputs FROM (SELECT *, {octets} FROM {asked}) LEFT JOIN near USING (ab)"""
+
+
+def fitted(found: str, columns: str) -> str:
+    """Findings that the model fitted to documents puts in class 1."""
+    return f"""
+WITH {MODEL},
+found AS (SELECT * FROM {found}),
+scored AS (SELECT content, any_value(p0) + coalesce(sum(CASE WHEN token IS NOT NULL THEN ln((coalesce(n0, 0) + {ALPHA}) / (t0 + {ALPHA} * v)) END), 0) AS s0,
+           any_value(p1) + coalesce(sum(CASE WHEN token IS NOT NULL THEN ln((coalesce(n1, 0) + {ALPHA}) / (t1 + {ALPHA} * v)) END), 0) AS s1
+           FROM (SELECT DISTINCT content FROM found) d
+           LEFT JOIN {words("(SELECT DISTINCT content FROM found)", "content", "content")} w USING (content)
+           LEFT JOIN counts USING (token), size, prior GROUP BY content)
+SELECT {columns} FROM found JOIN scored USING (content) WHERE s1 >= s0"""
 
 
 def json_leaves() -> str:
@@ -269,15 +282,8 @@ SELECT token, round(ln((sum((role = 'assistant')::INT) + {ALPHA}) / {ALPHA}), 9)
 FROM (SELECT role, CASE WHEN len(text) < 2 THEN text ELSE substr(text, i, 2) END AS token
       FROM (SELECT role, text, unnest(range(1, greatest(len(text), 2))) AS i FROM conversations)) GROUP BY token""",
         "smart_filter": smart(),
-        "smart_filter_fitted": f"""
-WITH {MODEL},
-found AS (SELECT * FROM {hits("conversations", "conv_id, turn", "text", named("all_lines"))}),
-scored AS (SELECT content, any_value(p0) + coalesce(sum(CASE WHEN token IS NOT NULL THEN ln((coalesce(n0, 0) + {ALPHA}) / (t0 + {ALPHA} * v)) END), 0) AS s0,
-           any_value(p1) + coalesce(sum(CASE WHEN token IS NOT NULL THEN ln((coalesce(n1, 0) + {ALPHA}) / (t1 + {ALPHA} * v)) END), 0) AS s1
-           FROM (SELECT DISTINCT content FROM found) d
-           LEFT JOIN {words("(SELECT DISTINCT content FROM found)", "content", "content")} w USING (content)
-           LEFT JOIN counts USING (token), size, prior GROUP BY content)
-SELECT conv_id, turn, ordinal, content FROM found JOIN scored USING (content) WHERE s1 >= s0""",
+        "smart_filter_fitted": fitted(hits("conversations", "conv_id, turn", "text", named("all_lines")), "conv_id, turn, ordinal, content"),
+        "stream_classified": fitted(hits(DOCUMENT_LINES, "doc_id", "content", named("all_lines")), "content"),
         "jsonl_fields": " UNION ALL ".join(
             f"SELECT event_id::VARCHAR AS record_id, '{target}' AS target, {value} AS content, 'events:' || event_id AS file "
             "FROM events WHERE event_type = 'click'" for target, value in (
@@ -350,7 +356,9 @@ FROM {hits('pages', 'page_id', 'html', [ENTITIES])}""",
         "enrich_lookup": f"WITH hosts AS (SELECT split_part(url, '/', 3) AS host, count(*) AS n FROM pages GROUP BY 1) "
                          f"SELECT page_id, content, 'extract_domain=' || host || '|whois=pages:' || n AS outputs "
                          f"FROM {url_hits} JOIN hosts ON host = {HOST}",
-        "enrich_networks": networks(),
+        "enrich_networks": networks(hits("documents", "doc_id", "text", named("ip")), "doc_id, ordinal, content"),
+        "enrich_networks_stream": networks(
+            hits(f"(SELECT doc_id || chr(9) || content AS t FROM {DOCUMENT_LINES})", "1", "t", named("ip")), "content"),
         "enrich_listing": "SELECT page_id, 'dir_listing=' || CASE WHEN min(CASE WHEN contains(lower(c.html), 'index of /') THEN "
                           "'Enabled' ELSE 'Disabled' END) = 'Enabled' THEN 'Enabled' ELSE 'Disabled' END AS outputs "
                           "FROM pages p JOIN (SELECT url, html FROM pages) c USING (url) GROUP BY page_id",

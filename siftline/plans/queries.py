@@ -235,6 +235,17 @@ def smart_filter_fitted(spark, folder):
     return kept.select("conv_id", "turn", "ordinal", "content")
 
 
+@query
+def stream_classified(spark, folder):
+    """Lines of documents that a model fitted to documents puts in the class of good quality, as they arrive."""
+    model = fit_text_classifier(_quality(spark, folder))
+    source, target = written_lines(spark, folder), new_folder(spark)
+    lines = stream_lines(spark, source, max_files=3).withColumn("value", F.expr("substring(value, instr(value, '\t') + 1)"))
+    rows = only_high_interest(scan_stream(lines, library("all_lines")), model, "1").select("content")
+    run_available(rows, target, f"{target}-checkpoint").awaitTermination()
+    return spark.read.schema(rows.schema).parquet(target)
+
+
 # Records.
 
 @query
@@ -531,22 +542,33 @@ def enrich_lookup(spark, folder):
     return enrich(found, chain).select("page_id", "content", outputs())
 
 
-@query
-def enrich_networks(spark, folder):
-    """Owner of an address by its longest network; the networks are made from the findings.
-
-    Every first octet has a network, and every first two octets that were found more than once.
-    """
-    found = scan(documents(spark, folder), library("ip"))
+def _owners(found):
+    """Networks made from the findings: every first octet, and every first two octets that were found more than once."""
     step = [F.split_part("content", F.lit("."), F.lit(part)) for part in (1, 2)]
     wide = found.select(F.concat(step[0], F.lit(".0.0.0/8")).alias("key"), F.concat(F.lit("org-"), step[0]).alias("value"))
     pair = F.concat(step[0], F.lit("."), step[1])
     near = found.groupBy(pair.alias("pair")).agg(F.count(F.lit(1)).alias("found")).filter("found > 1").select(
         F.concat("pair", F.lit(".0.0/16")).alias("key"), F.concat(F.lit("org-"), "pair").alias("value")
     )
-    networks = stored(wide.unionByName(near).dropDuplicates())
-    chain = [LOOKUPS["ip_info"].using(networks)]
-    return enrich(found, chain).select("doc_id", "ordinal", "content", outputs())
+    return stored(wide.unionByName(near).dropDuplicates())
+
+
+@query
+def enrich_networks(spark, folder):
+    """Owner of an address by its longest network."""
+    found = scan(documents(spark, folder), library("ip"))
+    return enrich(found, [LOOKUPS["ip_info"].using(_owners(found))]).select("doc_id", "ordinal", "content", outputs())
+
+
+@query
+def enrich_networks_stream(spark, folder):
+    """The same for addresses in lines that arrive as a stream."""
+    networks = _owners(scan(documents(spark, folder), library("ip")))
+    source, target = written_lines(spark, folder), new_folder(spark)
+    found = enrich(scan_stream(stream_lines(spark, source, max_files=3), library("ip")), [LOOKUPS["ip_info"].using(networks)])
+    rows = found.select("content", outputs())
+    run_available(rows, target, f"{target}-checkpoint").awaitTermination()
+    return spark.read.schema(rows.schema).parquet(target)
 
 
 @query

@@ -17,12 +17,13 @@ from siftline.functions.template import render_placeholders
 from siftline.functions.text import trim_space
 from siftline.model import CsvConfig, InputConfig
 from siftline.operators.classify import (
-    DEFAULT_SMOOTHING, DEFAULT_TEXTS, classify_text, default_model, fit_text_classifier, only_high_interest, tokens,
+    DEFAULT_SMOOTHING, DEFAULT_TEXTS, TokenTable, classify_text, default_model, fit_text_classifier, only_high_interest, tokens,
 )
 from siftline.operators.diagnose import diagnose
 from siftline.operators.enrich import (
-    ENRICHERS, LOOKUPS, Enricher, Lookup, active_enrichers, address_number, alive_table, enrich, enrich_saved, listing_table,
+    ENRICHERS, LOOKUPS, Enricher, Lookup, active_enrichers, alive_table, enrich, enrich_saved, listing_table,
 )
+from siftline.operators.networks import address_number, network_table, pieces
 from siftline.operators.patterns import pattern
 from siftline.operators.rewrite import rewrite_fields, rewrite_file
 from siftline.operators.scan import as_findings, scan
@@ -143,10 +144,23 @@ def test_networks_by_longest_prefix(spark, records):
         for row in got:
             assert (row["tool_data"][0]["value"] if row["tool_data"] else None) == owner(row["content"]), row["content"]
         assert len(got) == len(addresses)
+    # Findings are read as they come: no aggregate and no second scan of them.
+    plan = enrich(found, [LOOKUPS["ip_info"].using(table)])._jdf.queryExecution().executedPlan().toString()
+    assert "Aggregate" not in plan and plan.count("LocalTableScan") + plan.count("Scan ExistingRDD") <= 1
     numbers = column(texts(spark, ["0.0.0.1", "1.0.0.0", "256.1.1.1", "1.2.3", "a.b.c.d"]), address_number(F.col("t")))
     assert numbers == [1, 1 << 24, None, None, None]
 
 
+def test_pieces_of_nested_networks(spark):
+    assert pieces([(0, 16, "a"), (4, 8, "b"), (4, 6, "c"), (8, 16, "d")], 16) == [(0, "a"), (4, "c"), (6, "b"), (8, "d")]
+    assert pieces([(4, 8, "a"), (4, 8, "b")], 16) == [(0, None), (4, "b"), (8, None)] and pieces([], 16) == [(0, None)]
+    rows = [("10.0.0.0/8", "wide"), ("10.1.2.128/25", "half"), ("10.1.2.7", "one"), ("10.1.2.7/32", "other"), ("nonsense/9", "x"), ("1.2.3.4/40", "x")]
+    found = {(r.fine, r.key): list(zip(r.lows, r["values"])) for r in network_table(spark.createDataFrame(rows, "key string, value string")).collect()}
+    assert len(found) == 257 and found[False, 10 << 8] == [(0, "wide")]
+    assert found[True, (10 << 16) + 258] == [(0, "wide"), (7, "one"), (8, "wide"), (128, "half")]
+    assert found[False, (10 << 8) + 1] == [(0, "wide"), (3, "wide")]
+
+
 def test_listing_and_liveness(spark, records):
     pages = spark.createDataFrame([("u1", "<h1>INDEX OF /x"), ("u2", "home")], "url string, html string")
     hosts = spark.createDataFrame([("u1", True), ("u2", False)], "host string, alive boolean")
@@ -207,6 +221,33 @@ def test_large_model_and_ngrams(spark, records):
     assert column(texts(spark, ["1010", "bab"]), grams.label_column(F.col("t"))) == ["n", "s"]
 
 
+def test_token_table_with_long_probes():
+    """Hashes that all want the same slots, at the end of the table too."""
+    import numpy as np
+
+    hashes = np.array([k << 40 | 15 for k in range(9)] + [-1, -2, 0, 16], np.int64)
+    gains = np.arange(26, dtype=float).reshape(13, 2)
+    table = TokenTable(hashes, gains)
+    assert table.reach >= 8
+    asked = np.concatenate([hashes[::-1], [99, 1 << 50 | 15], hashes[:3]])
+    row = np.concatenate([np.arange(13), [13, 13], [14] * 3])
+    sums = table.sums(asked, row, 16)
+    assert (sums[:13] == gains[::-1]).all() and not sums[13].any() and (sums[14] == gains[:3].sum(0)).all() and not sums[15].any()
+    assert (TokenTable(np.zeros(0, np.int64), np.zeros((0, 2))).sums(np.array([0, 5]), np.array([0, 0]), 1) == 0).all()
+    with pytest.raises(ValueError):
+        TokenTable(np.array([3, 3]), np.zeros((2, 1)))
+
+
+def test_model_of_many_tokens_is_one_expression(spark):
+    """20,000 tokens and an odd text or two; the plan has neither a shuffle nor an aggregate."""
+    training = spark.range(20_000).select(F.concat(F.lit("t"), "id").alias("text"), F.when(F.col("id") % 2 == 0, "even").otherwise("odd").alias("label"))
+    model = fit_text_classifier(training)
+    frame = spark.createDataFrame([(1, "t4 t8 t15"), (2, None), (3, ""), (4, "t19999"), (5, "x " * 5000 + "t1 t2 t3")], "id int, text string")
+    labelled = classify_text(frame, model, ["id"])
+    assert {r.id: r.label for r in labelled.collect()} == {1: "even", 2: "odd", 3: "odd", 4: "odd", 5: "odd"}
+    assert not re.search("Exchange|Aggregate|Join", labelled._jdf.queryExecution().executedPlan().toString())
+
+
 def test_model_agrees_with_the_library_one(spark):
     from pyspark.ml.classification import NaiveBayes
     from pyspark.ml.feature import CountVectorizer, StringIndexer
