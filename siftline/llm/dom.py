@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -18,11 +19,13 @@ _ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""
 #: Fixed values of HTML: elements without an end, inline elements, elements whose content is no text of the page.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset(
-    "a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q ruby rt rp s samp small span "
-    "strike strong sub sup time tt u var wbr".split()
+    "a abbr acronym audio b bdi bdo big br button canvas cite code data del dfn em font i img ins kbd label mark math noscript object "
+    "q ruby rt rp s samp small span strike strong sub sup svg time tt u var video wbr "
+    "g text tspan annotation menclose merror mfenced mfrac mi mmultiscripts mn mo mover mpadded mphantom mroot mrow ms mspace "
+    "msqrt mstyle msub msubsup msup mtable mtd mtext mtr munder munderover semantics".split()
 )
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
-HIDDEN = RAW | frozenset("head noscript template svg math object canvas select button audio video datalist".split())
+HIDDEN = RAW | frozenset("head template select button datalist".split())
 CLOSED_BY = {
     "li": frozenset(["li"]), "dt": frozenset(["dt", "dd"]), "dd": frozenset(["dt", "dd"]), "tr": frozenset(["tr", "td", "th"]),
     "td": frozenset(["td", "th"]), "th": frozenset(["td", "th"]), "option": frozenset(["option"]),
@@ -64,7 +67,7 @@ class Page:
     linked: list[bool] = field(default_factory=list)
 
 
-def _attributes(rest: str) -> tuple[frozenset[str], int]:
+def _attributes(rest: str, labelled: bool) -> tuple[frozenset[str], int]:
     tokens, label = [], 1
     for name, value in _ATTRIBUTE.findall(rest):
         name = name.lower()
@@ -72,16 +75,21 @@ def _attributes(rest: str) -> tuple[frozenset[str], int]:
             tokens += re.split(r"[^a-z]+", re.sub(r"(?<=[a-z])(?=[A-Z])", " ", value).lower())
         elif name in ("hidden", "aria-hidden") and value.strip("\"'").lower() != "false":
             tokens.append("hidden")
-        elif name == "data-train":
+        elif labelled and name == "data-train":
             label = int(value.strip("\"'"))
     return frozenset(x for x in tokens if x), label
 
 
-def read_page(text: str) -> Page:
-    """The nodes are block elements and elements with a class, id or role; other inline ones only carry text."""
+def read_page(text: str, labelled: bool = False) -> Page:
+    """The nodes are block elements and elements with a class, id or role; other inline ones only carry text.
+
+    With ``labelled``, for made pages, the attribute ``data-train`` holds a node's label.
+    """
     page = Page(["html"], [-1], [frozenset()], [1])
     stack: list[tuple[str, int]] = [("html", 0)]
     block, at, n, links, hidden = 0, 0, len(text), 0, 0
+    # How many elements of each tag are open, so that a stray end tag costs nothing.
+    opened: Counter[str] = Counter()
 
     def add(piece: str) -> None:
         if piece and not hidden:
@@ -91,6 +99,7 @@ def read_page(text: str) -> Page:
     def pop() -> None:
         nonlocal block, links, hidden
         tag, _ = stack.pop()
+        opened[tag] -= 1
         links -= tag == "a"
         hidden -= tag in HIDDEN
         if tag not in INLINE:
@@ -113,7 +122,7 @@ def read_page(text: str) -> Page:
         if not tag:
             continue
         if found["end"] or found["end2"]:
-            if any(open_ == tag for open_, _ in stack[1:]):
+            if opened[tag]:
                 while stack[-1][0] != tag:
                     pop()
                 pop()
@@ -126,14 +135,14 @@ def read_page(text: str) -> Page:
             continue
         if tag not in INLINE:
             closed = CLOSED_BY.get(tag, frozenset()) | {"p"}
-            for k in range(len(stack) - 1, 0, -1):
+            for k in range(len(stack) - 1, 0, -1) if any(opened[x] for x in closed) else ():
                 if stack[k][0] in closed:
                     while len(stack) > k:
                         pop()
                 elif stack[k][0] in SCOPE:
                     break
             block += 1
-        tokens, label = _attributes(found["rest"] or found["rest2"] or "")
+        tokens, label = _attributes(found["rest"] or found["rest2"] or "", labelled)
         node = stack[-1][1]
         if tag not in HIDDEN and (tag not in INLINE or tokens):
             page.tags.append(tag)
@@ -142,6 +151,7 @@ def read_page(text: str) -> Page:
             page.labels.append(label)
             node = len(page.tags) - 1
         stack.append((tag, node))
+        opened[tag] += 1
         links += tag == "a"
         hidden += tag in HIDDEN
         if tag in RAW:

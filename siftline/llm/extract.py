@@ -131,7 +131,7 @@ def training_pages(count: int, seed: int = 1) -> list[str]:
 @cache
 def default_forest(pages: int = TRAINING_PAGES) -> Forest:
     """Trees fitted on the made pages; the same on every call."""
-    read = [read_page(text) for text in training_pages(pages)]
+    read = [read_page(text, labelled=True) for text in training_pages(pages)]
     return fit_forest(np.concatenate([features(p) for p in read]), np.concatenate([p.labels for p in read]).astype(float))
 
 

@@ -38,7 +38,7 @@ def test_odd_pages(spark):
 def test_held_out_layouts():
     forest = default_forest()
     wrong = 0
-    for page in map(read_page, training_pages(200, seed=77)):
+    for page in (read_page(text, labelled=True) for text in training_pages(200, seed=77)):
         kept = decode(page, forest.log_odds(features(page)))
         wrong += text_of(page, kept) != text_of(page, np.array(page.labels) > 0)
     assert wrong <= 6
@@ -66,3 +66,31 @@ def test_reader_of_broken_markup():
     for _, block, text in page.segments:
         blocks[block] = blocks.get(block, "") + text
     assert [" ".join(t.split()) for t in blocks.values() if t.strip()] == ["a", "b", "c", "d", "e f"]
+
+
+def test_labels_of_other_pages_are_attributes_like_any(spark):
+    pages = ['<article><p data-train="x">Some words of the article, more than a few.</p></article>', "<p data-train>One, two.</p>", '<p data-train="0">One, two.</p>']
+    got = texts(spark, [(k, "u", page) for k, page in enumerate(pages)])
+    assert got[0][2] == "Some words of the article, more than a few."
+    assert [read_page(page).labels for page in pages] == [[1, 1, 1], [1, 1], [1, 1]]
+
+
+def test_stray_end_tags_take_linear_time():
+    import time
+
+    spent = []
+    for count in (20_000, 100_000):
+        start = time.perf_counter()
+        read_page("<div>" * count + "</section>" * count + "<span><li>" * 50 + "</p></b>" * count + "x")
+        spent.append(time.perf_counter() - start)
+    assert spent[1] < 20 * spent[0] + 1
+
+
+def test_formulas_and_fallback_texts_stay_in_their_paragraph(spark):
+    page = (
+        '<article><p>We all know and love the formula <math><mi>E</mi><mo>=</mo><mi>m</mi></math> by heart, it is old.</p>'
+        '<p>There is a picture here, <object>a boat on the sea</object>, painted by hand and <svg><text>signed</text></svg> by its maker.</p></article>'
+    )
+    assert texts(spark, [(1, "u", page)])[0][2] == (
+        "We all know and love the formula E=m by heart, it is old.\nThere is a picture here, a boat on the sea, painted by hand and signed by its maker."
+    )
