@@ -313,7 +313,7 @@ UNION ALL SELECT 'events', event_id, 'meta.user_id', user_id::VARCHAR FROM event
                       "FROM documents WHERE doc_id % 4 <> 1",
         "ignored_files": f"SELECT pattern, content, count(*) AS found FROM "
                          + hits(lines("documents", "lang", "text"), "lang", "content", named("ip,http-auth"))
-                         + " WHERE lang IN ('en', 'de') GROUP BY ALL",
+                         + " WHERE lang <> 'de' GROUP BY ALL",
         "text_lines": f"SELECT doc_id, line, content FROM {DOCUMENT_LINES}",
         "mixed_formats": mixed(),
         "preset_records": "SELECT 'crawl:' || url AS file, page_id AS line, pattern, ordinal, content FROM "
@@ -392,6 +392,9 @@ UNION ALL SELECT 'pages', count(*), sum(strlen(html))::BIGINT FROM pages WHERE h
             "(SELECT c_custkey, '1' AS target, c_name AS v FROM customer UNION ALL SELECT c_custkey, '2', c_mktsegment FROM customer)",
             "c_custkey, target", "v", [DIGITS, *named("all_lines")],
         ),
+        "resume_lines": f"SELECT doc_id, line, content FROM {DOCUMENT_LINES}",
+        "stream_unique_runs": "SELECT DISTINCT pattern, content FROM "
+                              + hits(f"(SELECT doc_id || chr(9) || content AS t FROM {DOCUMENT_LINES})", "1", "t", named("ip,http-auth")),
         "stream_unique": "SELECT DISTINCT pattern, content FROM "
                          + hits(f"(SELECT doc_id || chr(9) || content AS t FROM {DOCUMENT_LINES})", "1", "t", named("ip,http-auth")),
     }

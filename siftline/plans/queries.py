@@ -27,6 +27,7 @@ from siftline.sinks.outputs import (
     findings_table, list_runs, load_run, markdown_report, render_template, report_entries, save_run, to_content_lines, to_text_lines,
     with_finding_ids, write_findings_json, write_text,
 )
+from siftline.sources.appended import scan_appended
 from siftline.sources.csv import read_csv_records
 from siftline.sources.documents import expand_json_document
 from siftline.sources.files import (
@@ -34,10 +35,11 @@ from siftline.sources.files import (
 )
 from siftline.sources.findings import read_grep_output, read_findings
 from siftline.sources.jsonl import jsonl_records
-from siftline.sources.lines import literal_path, read_lines
+from siftline.sources.lines import literal_path, read_lines, row_in_task
 from siftline.sources.prepare import transform_fields, unescape_content
 from siftline.sources.presets import PRESETS
 from siftline.sources.tables import read_table_records
+from siftline.streaming.seen import SeenKeys, unique_over_runs
 from siftline.streaming.streams import run_available, scan_numbered, scan_stream, stream_lines, unique_stream
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -330,21 +332,30 @@ def csv_ragged(spark, folder):
         F.concat_ws(",", "doc_id", quoted, F.when(F.col("doc_id") % 4 == 1, F.lit("more"))).alias("value"),
     )
     target = new_folder(spark)
-    # One file, in the order of the documents.
-    head = spark.createDataFrame([(-1, "id,text")], rows.schema)
-    rows.unionByName(head).coalesce(1).sortWithinPartitions("place").select("value").write.text(target)
-    config = CsvConfig(has_header=True, target_indices=(1,))
-    return read_csv_records(spark, target, config).select("record_id", "line", "content")
+    # Files of neighbouring documents, each with a header of its own; rows are numbered in their file.
+    ordered = rows.repartitionByRange("place").sortWithinPartitions("place")
+    ordered.select(F.when(row_in_task() == 0, F.concat(F.lit("id,text\n"), "value")).otherwise(F.col("value")).alias("value")).write.text(target)
+    records = read_csv_records(spark, target, CsvConfig(has_header=True, target_indices=(1,)))
+    # The same numbers counted on over the files.
+    files = records.groupBy("source_file").agg(F.max("line").alias("rows"), F.min(F.col("record_id").cast("bigint")).alias("first"))
+    before = F.coalesce(F.sum("rows").over(Window.orderBy("first").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = files.select("source_file", before.alias("before"))
+    return records.join(offsets, "source_file").select("record_id", (F.col("line") + F.col("before")).alias("line"), "content")
 
 
 @query
 def ignored_files(spark, folder):
-    """Text files of some languages, others left out by ending or by name."""
+    """Lines of all documents as files of three endings; two endings are left out, and the files of one language by name."""
     target = new_folder(spark)
     lines = table(spark, folder, "documents").select("lang", F.explode(split_lines(F.col("text"))).alias("value"))
-    for lang, ending in (("en", "txt"), ("de", "log")):
-        lines.filter(F.col("lang") == lang).select("value").write.text(f"{target}/{lang}-{ending}")
-    records = read_records(spark, target, InputConfig(), line_numbers=False, ignore_extensions=["crc", ".png"], ignore_names=["_SUCCESS"])
+    # A task gives its files of all folders the same name, so the language to be left out is written on its own.
+    german = F.coalesce(F.col("lang") == "de", F.lit(False))
+    lines.filter(german).select("value").write.text(f"{target}/german")
+    lines.filter(~german).select("value").write.text(f"{target}/others")
+    lines.write.json(f"{target}/json")
+    lines.write.csv(f"{target}/csv")
+    names = [row["path"].rsplit("/", 1)[1] for row in list_files(spark, f"{target}/german", glob="*.txt").collect()]
+    records = read_records(spark, target, InputConfig(), line_numbers=False, ignore_extensions=["json", ".csv"], ignore_names=names)
     found = scan(records, library("ip,http-auth"))
     return found.groupBy("pattern", "content").agg(F.count(F.lit(1)).alias("found"))
 
@@ -418,6 +429,30 @@ def resume_scan(spark, folder):
     return run(1, first).unionByName(run(2, rest))
 
 
+def _by_document(found):
+    """Lines ``doc_id TAB text`` with their numbers counted from the first of each document."""
+    lines = found.select(
+        F.split_part("content", F.lit("\t"), F.lit(1)).cast("bigint").alias("doc_id"),
+        F.expr("substring(content, instr(content, '\t') + 1)").alias("content"), "line",
+    )
+    first = lines.groupBy("doc_id").agg(F.min("line").alias("first"))
+    return lines.join(first, "doc_id").select("doc_id", (F.col("line") - F.col("first") + 1).alias("line"), "content")
+
+
+@query
+def resume_lines(spark, folder):
+    """Files of document lines read some part at a time, each run going on within the files, with the lines' numbers."""
+    source, target, state = written_lines(spark, folder), new_folder(spark), new_folder(spark)
+    longest = list_files(spark, source, glob="*.txt").agg(F.max("length")).first()[0] or 0
+
+    def sink(found, number):
+        found.select("content", "line").write.mode("overwrite").parquet(f"{target}/run={number}")
+
+    while scan_appended(spark, source, [KEYED], state, sink, glob="*.txt", block=1 << 20, most=longest // 3 + 1):
+        pass
+    return _by_document(spark.read.schema("content string, line bigint").parquet(target))
+
+
 @query
 def target_list(spark, folder):
     """Files named by a list, scanned in one run."""
@@ -679,12 +714,7 @@ def stream_numbered(spark, folder):
         found.select("content", "line").write.mode("overwrite").parquet(f"{target}/batch={number}")
 
     scan_numbered(spark, source, [KEYED], f"{target}-checkpoint", sink, max_files=3).awaitTermination()
-    lines = spark.read.schema("content string, line bigint").parquet(target).select(
-        F.split_part("content", F.lit("\t"), F.lit(1)).cast("bigint").alias("doc_id"),
-        F.expr("substring(content, instr(content, '\t') + 1)").alias("content"), "line",
-    )
-    first = lines.groupBy("doc_id").agg(F.min("line").alias("first"))
-    return lines.join(first, "doc_id").select("doc_id", (F.col("line") - F.col("first") + 1).alias("line"), "content")
+    return _by_document(spark.read.schema("content string, line bigint").parquet(target))
 
 
 @query
@@ -718,3 +748,22 @@ def stream_unique(spark, folder):
     rows = found.select("pattern", "content")
     run_available(rows, target, f"{target}-checkpoint").awaitTermination()
     return spark.read.schema(rows.schema).parquet(target)
+
+
+@query
+def stream_unique_runs(spark, folder):
+    """Matches that are new over three runs of a stream that share a stored set; each run brings its own files."""
+    source, target = new_folder(spark), new_folder(spark)
+    lines = table(spark, folder, "documents").select(
+        F.pmod("doc_id", F.lit(3)).alias("run"), "doc_id", F.explode(split_lines(F.col("text"))).alias("value"),
+    ).select("run", F.concat_ws("\t", "doc_id", "value").alias("value"))
+    lines.write.partitionBy("run").text(source)
+    seen = SeenKeys(spark, new_folder(spark))
+    for run in range(3):
+        found = scan_stream(stream_lines(spark, f"{source}/run={run}"), library("ip,http-auth")).select("pattern", "content")
+
+        def sink(rows, number, run=run):
+            rows.write.mode("overwrite").parquet(f"{target}/run={run}/batch={number}")
+
+        unique_over_runs(found, seen, f"run {run}", new_folder(spark), sink).awaitTermination()
+    return spark.read.schema("pattern string, content string").parquet(target).select("pattern", "content")

@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from siftline.functions.template import render_placeholders
 from siftline.model import FINDING
 from siftline.operators.scan import as_findings
 from siftline.session import stored
+from siftline.sinks.versions import entries, load_version, save_version
 from siftline.sources.lines import row_in_task
 
 REPORT_TITLE = "# Findings report"
@@ -94,23 +95,18 @@ def write_findings_json(findings: DataFrame, path: str) -> None:
 
 
 def save_run(findings: DataFrame, folder: str, run_id: str) -> None:
-    """Keep a scan's findings under a name; a run of the same name is replaced, others stay."""
-    rows = as_findings(findings).withColumn("run_id", F.lit(run_id))
-    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run_id").parquet(folder)
-
-
-def _runs(spark: SparkSession, folder: str) -> DataFrame:
-    return spark.read.schema(T.StructType([*FINDING.fields, T.StructField("run_id", T.StringType())])).parquet(folder)
+    """Keep a scan's findings under a name; a run of the same name is replaced at once when the new one is complete."""
+    save_version(as_findings(findings), folder, run_id)
 
 
 def load_run(spark: SparkSession, folder: str, run_id: str) -> DataFrame:
     """The findings of one run; only its files are read."""
-    return _runs(spark, folder).filter(F.col("run_id") == run_id).drop("run_id")
+    return load_version(spark, folder, run_id, FINDING)
 
 
 def list_runs(spark: SparkSession, folder: str) -> DataFrame:
-    """Names of the runs that hold findings."""
-    return _runs(spark, folder).select("run_id").distinct()
+    """Names of the runs that were saved."""
+    return entries(spark, folder).select(F.col("name").alias("run_id"))
 
 
 def with_finding_ids(findings: DataFrame, order: Sequence[str]) -> DataFrame:
