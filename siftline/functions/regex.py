@@ -14,6 +14,8 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass, field
 
+from siftline.functions.ambiguity import repeats
+
 
 class PatternError(ValueError):
     """The text is not a pattern RE2 would accept."""
@@ -23,8 +25,10 @@ class PatternError(ValueError):
 class Regex:
     """A translated pattern.
 
-    ``deep`` marks an unbounded repeat of a group.  Java recurses once per iteration for
-    those and can overflow its stack on long texts, so ``scan`` runs them with ``python``.
+    ``deep`` marks an unbounded repeat of a group that could not be written possessive (see
+    ``ambiguity``).  Java recurses once per iteration for those and can overflow its stack on long texts, so ``scan`` runs
+    them with ``python``.  ``inner``, where it is not empty, finds the groups in the text of a whole match: Java
+    does not forget what a group in a possessive repeat held when an attempt before failed.
     """
 
     source: str
@@ -32,6 +36,7 @@ class Regex:
     python: str | None
     groups: int
     deep: bool
+    inner: str = ""
 
 
 # ASCII classes as inclusive code point ranges.
@@ -156,6 +161,12 @@ class _Translator:
         # Whether an alternative of the whole pattern begins here, and where guards were put.
         self.fresh = True
         self.guards = []
+        # Where open groups begin in the output, where the last one closed began, and every repeat: its sign, the
+        # first part of its group, whether it is an unbounded one of a group, and whether no group is around it.
+        self.opened = []
+        self.closed = None
+        self.signs = []
+        self.inner = False
 
     def run(self):
         while self.at < len(self.text):
@@ -164,11 +175,38 @@ class _Translator:
             raise PatternError("missing closing )")
         self.close_flag()
         python = None if None in self.python else "".join(self.python)
+        if self.deep and python is not None:
+            self.deep = not self.possessive(python)
         if python is None or _least_width(python) == 0:
             # After an empty match the search goes on one character later, where a run may be cut.
             for place in self.guards:
                 self.java[place] = ""
-        return Regex(self.text, "".join(self.java), python, self.groups, self.deep)
+        java = "".join(self.java)
+        return Regex(self.text, java, python, self.groups, self.deep, rf"\A(?:{java})\z" if self.inner else "")
+
+    def possessive(self, python):
+        """Write unbounded repeats of groups so that Java runs them in a loop; False if one cannot be."""
+        verdicts, looks = repeats(python)
+        if len(verdicts) != len(self.signs):
+            return False
+        deep = [(sign, verdict) for sign, verdict in zip(self.signs, verdicts) if sign[2]]
+        if any(verdict is None or (verdict.captures and looks) for _, verdict in deep):
+            return False
+        if any(verdict.kind == "rest" and not sign[3] for sign, verdict in deep):
+            return False
+        self.inner = any(verdict.captures for _, verdict in deep)
+        rest = {sign[0]: "".join(self.java[sign[0] + 1:]) for sign, verdict in deep if verdict.kind == "rest"}
+        for (sign, begin, _, _), verdict in deep:
+            if verdict.kind == "some":
+                # No repetition leaves the group empty, as an empty one would.
+                self.java[begin] += f"(?={_Class(ranges=list(verdict.some)).java()})"
+                self.java[sign] = "*+"
+            elif verdict.kind == "rest":
+                self.java[begin] = "(?:" + self.java[begin]
+                self.java[sign] = f"(?={rest[sign]})){self.java[sign]}+"
+            else:
+                self.java[sign] += "+"
+        return True
 
     def put(self, java, python="", kind="atom"):
         self.java.append(java)
@@ -237,6 +275,7 @@ class _Translator:
             scope.open_flag = False
 
     def open_group(self, scope):
+        self.opened.append(len(self.java))
         rest = self.text[self.at:]
         inner = _Scope(scope.ignore_case, scope.ignore_case, scope.multi_line, scope.dot_all)
         if not rest.startswith("(?"):
@@ -249,6 +288,7 @@ class _Translator:
             self.at = found.end()
             if found[3] == ")":
                 fresh = self.fresh
+                self.opened.pop()
                 self.set_flags(scope, found[1], found[2] or "")
                 self.close_flag()
                 self.open_flag(scope)
@@ -279,6 +319,7 @@ class _Translator:
             raise PatternError("unexpected )")
         self.close_flag()
         self.scopes.pop()
+        self.closed = self.opened.pop()
         self.put(")", kind="group")
         self.at += 1
 
@@ -287,7 +328,9 @@ class _Translator:
     def repeat(self, text, end, unbounded):
         if self.last in (None, "repeat"):
             raise PatternError(f"nothing to repeat at {self.at}")
-        self.deep = self.deep or (unbounded and self.last == "group")
+        deep = unbounded and self.last == "group"
+        self.deep = self.deep or deep
+        self.signs.append((len(self.java), self.closed, deep, len(self.scopes) == 1 and not self.scopes[0].open_flag))
         if self.text[end:end + 1] == "?":
             text, end = text + "?", end + 1
         self.put(text, kind="repeat")

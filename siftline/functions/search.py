@@ -1,7 +1,7 @@
 """Searching text for a translated pattern.
 
-Patterns run inside Spark's own functions.  Only those with an unbounded repeat of a group, where
-Java recurses once per repetition, run on Python's ``re`` in Arrow batches; if such a pattern also
+Patterns run inside Spark's own functions.  Only those with an unbounded repeat of a group that cannot be
+written possessive, where Java recurses once per repetition, run on Python's ``re`` in Arrow batches; if such a pattern also
 uses a Unicode class, which ``re`` lacks, Java it is, and ``-Xss`` sets how long a match may be.
 """
 
@@ -57,7 +57,14 @@ def every_match(content: Column, regex: Regex) -> Column:
 
 def group_arrays(content: Column, regex: Regex) -> list[Column]:
     """One array per group, the whole match first; ``""`` for a group that took no part."""
-    return [F.regexp_extract_all(content, F.lit(regex.java), F.lit(group)) for group in range(regex.groups + 1)]
+    whole = F.regexp_extract_all(content, F.lit(regex.java), F.lit(0))
+    if regex.inner:
+        return [whole, *[F.transform(whole, _inner(regex, group)) for group in range(1, regex.groups + 1)]]
+    return [whole, *[F.regexp_extract_all(content, F.lit(regex.java), F.lit(group)) for group in range(1, regex.groups + 1)]]
+
+
+def _inner(regex: Regex, group: int) -> Callable[[Column], Column]:
+    return lambda match: F.regexp_extract(match, regex.inner, group)
 
 
 def first_match(content: Column, regex: Regex) -> Column:
