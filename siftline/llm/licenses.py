@@ -7,6 +7,7 @@ plain compression, the better the template.  The best ones are confirmed by the
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from difflib import SequenceMatcher
@@ -26,8 +27,6 @@ ROW = 3
 #: How much of a template must be there word by word, and how far a block reaches beyond where the template would lie.
 AGREEMENT = 0.9
 SLACK = 0.15
-#: Templates of a block that are compared word by word, best first.
-RANKED = 3
 
 _U = np.uint64
 FOUND = (
@@ -75,6 +74,7 @@ class Index:
 
     def __init__(self, templates: list[Template]) -> None:
         self.templates = templates
+        self.counts = [Counter(t.words) for t in templates]
         places: dict[int, list[tuple[int, int]]] = {}
         for number, template in enumerate(templates):
             data = np.frombuffer(template.plain, np.uint8)
@@ -148,7 +148,12 @@ def find_licenses(index: Index, data: bytes, starts: np.ndarray, ends: np.ndarra
     for (low, high), put in sorted(index.blocks(hits, token, len(words)).items()):
         block = b" ".join(words[low:high])
         ranked = sorted(((index.shrink(block, number), number) for number in put), key=lambda x: (-x[0], x[1]))
-        for reduction, number in ranked[:RANKED] if len(put) > RANKED else ranked:
+        present = Counter(words[low:high])
+        for reduction, number in ranked:
+            # Words that the block lacks, wherever they stand, are missing in every comparison.
+            lacking = sum((index.counts[number] - present).values())
+            if 1 - lacking / len(index.templates[number].words) < AGREEMENT:
+                continue
             found = _confirm(index.templates[number], words[low:high])
             if found:
                 first, end, missing, added = found
