@@ -8,12 +8,16 @@ from operator import and_, or_
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from siftline.functions.literals import numbers_found
 from siftline.functions.regex import Regex, translate_regex
 from siftline.functions.search import count_matches, every_match, group_arrays, has_match, runs_in_python
 from siftline.functions.text import shannon_entropy
 from siftline.model import FINDING, TOOL_OUTPUT
 from siftline.operators.patterns import Pattern, compile_patterns
 
+#: So many patterns with literals are tested by one search for all of them.
+MANY = 40
+
 HITS = "array<struct<pattern:string,ordinal:bigint,matches:array<string>>>"
 
 
@@ -39,12 +43,19 @@ def scan(records: DataFrame, patterns: Iterable[Pattern], content: str = "conten
     ``ext`` and an empty ``tool_data``.
 
     The input is read once for all patterns and nothing is shuffled, so the same function
-    serves batch and streaming DataFrames.  Groups 1..n are searched only where the pattern hit.
+    serves batch and streaming DataFrames.  Groups 1..n are searched only where the pattern hit.  Of many patterns
+    with literals only those run whose literals one search has found in the text.
     """
     kept = [name for name in records.columns if name != content]
     text = F.col("_text")
     whole, parts, arrays = {}, {}, []
-    for index, (pattern, regex) in enumerate(compile_patterns(patterns)):
+    compiled = compile_patterns(patterns)
+    sought = [item for item in compiled if item[0].needs and not item[1].inner and not runs_in_python(item[1])]
+    if len(sought) >= MANY:
+        compiled = [item for item in compiled if item not in sought]
+        whole["_candidates"] = candidates(text, [pattern for pattern, _ in sought])
+        arrays.append(_searched(text, F.col("_candidates"), sought))
+    for index, (pattern, regex) in enumerate(compiled):
         first = f"_g{index}_0"
         hit = F.size(first) > 0
         guard = may_match(text, pattern)
@@ -76,6 +87,34 @@ def scan(records: DataFrame, patterns: Iterable[Pattern], content: str = "conten
     )
 
 
+def candidates(text: Column, patterns: list[Pattern]) -> Column:
+    """The numbers of the patterns that may match a text: those of which it holds a literal, in order."""
+    plain: dict[str, list[int]] = {}
+    folded: dict[str, list[int]] = {}
+    for number, pattern in enumerate(patterns):
+        for literal in pattern.needs:
+            (folded if pattern.ignore_case else plain).setdefault(literal, []).append(number)
+    found = [numbers_found(text, plain)] if plain else []
+    if folded:
+        found.append(numbers_found(F.replace(F.lower(text), F.lit("ſ"), F.lit("s")), folded))
+    return F.array_sort(F.array_distinct(F.concat(*found)))
+
+
+def _searched(text: Column, numbers: Column, compiled: list[tuple[Pattern, Regex]]) -> Column:
+    """The hits of the patterns with these numbers; each is looked up with its text and run on its own."""
+    names = F.lit([pattern.name for pattern, _ in compiled])
+    expressions = F.lit([regex.java for _, regex in compiled])
+    groups = F.lit([regex.groups for _, regex in compiled])
+
+    def hits(number: Column) -> Column:
+        found = F.transform(F.sequence(F.lit(0), F.get(groups, number)), lambda group: F.regexp_extract_all(text, F.get(expressions, number), group))
+        return F.flatten(F.transform(F.array(found), lambda parts: F.transform(parts[0], lambda match, ordinal: F.struct(
+            F.get(names, number).alias("pattern"), ordinal.cast("bigint").alias("ordinal"), F.transform(parts, lambda part: part[ordinal]).alias("matches"),
+        ))))
+
+    return F.coalesce(F.flatten(F.transform(numbers, hits)).cast(HITS), F.array().cast(HITS))
+
+
 def _fields(names: list[str]) -> Callable[[Column], Column]:
     return lambda match: F.array(*[match[name] for name in names])
 

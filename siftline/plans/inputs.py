@@ -69,6 +69,17 @@ def document_findings(spark: SparkSession, folder: str, names: str = "ip,http-au
     return scan(documents(spark, folder), library(names))
 
 
+def frequent_patterns(spark: SparkSession, folder: str, count: int = 500) -> list[Pattern]:
+    """Patterns out of the data: a word that some document begins with, of six letters at least, and the word behind it.
+
+    The first ``count`` words by frequency and alphabet come to the driver.
+    """
+    word = F.regexp_extract("text", "^[A-Za-z]{6,}", 0)
+    words = table(spark, folder, "documents").select(word.alias("word")).filter("word <> ''").groupBy("word").count()
+    rows = words.orderBy(F.col("count").desc(), "word").limit(count).collect()
+    return [Pattern(f"word-{row['word']}", rf"{row['word']} ([a-z]+)", needs=(row["word"],)) for row in rows]
+
+
 def new_folder(spark: SparkSession) -> str:
     """A folder name not used before, where all executors can reach it."""
     return f"{shared_folder(spark)}/run-{uuid.uuid4().hex}"

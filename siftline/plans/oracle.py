@@ -281,6 +281,11 @@ SELECT token, round(ln((sum((role = 'assistant')::INT) + {ALPHA}) / {ALPHA}), 9)
        round(ln((sum((role = 'user')::INT) + {ALPHA}) / {ALPHA}), 9) AS gain_user
 FROM (SELECT role, CASE WHEN len(text) < 2 THEN text ELSE substr(text, i, 2) END AS token
       FROM (SELECT role, text, unnest(range(1, greatest(len(text), 2))) AS i FROM conversations)) GROUP BY token""",
+        "scan_many": """
+WITH chosen AS (SELECT regexp_extract(text, '^[A-Za-z]{6,}') AS word, count(*) AS n FROM documents WHERE regexp_extract(text, '^[A-Za-z]{6,}') <> ''
+                GROUP BY word ORDER BY n DESC, word LIMIT 500),
+found AS (SELECT word, unnest(regexp_extract_all(text, word || ' ([a-z]+)')) AS content FROM chosen JOIN documents ON contains(text, word))
+SELECT 'word-' || word AS pattern, count(*) AS found, count(DISTINCT content) AS contents FROM found GROUP BY word""",
         "smart_filter": smart(),
         "smart_filter_fitted": fitted(hits("conversations", "conv_id, turn", "text", named("all_lines")), "conv_id, turn, ordinal, content"),
         "stream_classified": fitted(hits(DOCUMENT_LINES, "doc_id", "content", named("all_lines")), "content"),

@@ -19,7 +19,7 @@ from siftline.operators.rewrite import rewrite_fields
 from siftline.operators.scan import as_findings, grep_lines, hits_per_pattern, scan
 from siftline.operators.summary import scan_progress, scan_summary, total_hits
 from siftline.plans.inputs import (
-    DIGITS, ENTITIES, FLAGGED, HEAD_SEED, KEYED, SEEDS, TITLES, WORDS, document_findings, document_lines, documents, event_lines, library, new_folder, pages,
+    DIGITS, ENTITIES, FLAGGED, frequent_patterns, HEAD_SEED, KEYED, SEEDS, TITLES, WORDS, document_findings, document_lines, documents, event_lines, library, new_folder, pages,
     table, turns, written_lines,
 )
 from siftline.session import stored
@@ -95,6 +95,14 @@ def scan_deep_pattern(spark, folder):
     )
 
 
+@query
+def scan_many(spark, folder):
+    """Five hundred patterns, each a word that documents start with and what follows it up to the end of the line."""
+    return scan(documents(spark, folder), frequent_patterns(spark, folder)).groupBy("pattern").agg(
+        F.count(F.lit(1)).alias("found"), F.countDistinct("content").alias("contents"),
+    )
+
+
 @query
 def scan_targets(spark, folder):
     """Several columns of a table as targets."""

@@ -1,9 +1,11 @@
 import json
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
+from siftline.functions.literals import numbers_found
 from siftline.functions.text import shannon_entropy
 from siftline.model import FINDING
 from siftline.operators.enrich import sub_extract
@@ -12,7 +14,7 @@ from siftline.operators.patterns import (
     Pattern, compile_patterns, load_patterns, pattern, list_patterns, select_patterns, tag_counts,
 )
 from siftline.operators.prune import min_entropy, unique_findings, unseen_findings
-from siftline.operators.scan import as_findings, grep_lines, hits_per_pattern, scan
+from siftline.operators.scan import MANY, as_findings, grep_lines, hits_per_pattern, scan
 from siftline.operators.summary import scan_progress, scan_summary, total_hits
 
 IP = pattern("ip", r"\d+\.\d+\.\d+\.\d+")
@@ -156,3 +158,33 @@ def test_min_entropy(records):
     found = scan(records("aaaa", "abcdefghijklmnop"), [pattern("w", r"[a-z]+")])
     assert [row["content"] for row in min_entropy(found).collect()] == ["abcdefghijklmnop"]
     assert min_entropy(found, 0.0).count() == 2
+
+
+# Many patterns at once.
+
+def test_literals_that_overlap_and_contain_one_another(spark):
+    pick = random.Random(3)
+    words = sorted({"".join(pick.choice("abc.é") for _ in range(pick.randint(1, 5))) for _ in range(60)})
+    wanted = {word: [number, number + 100] for number, word in enumerate(words)}
+    rows = ["".join(pick.choice("abc.é \n") for _ in range(pick.randint(0, 30))) for _ in range(60)]
+    frame = spark.createDataFrame([(text,) for text in rows], "t string")
+    for text, row in zip(rows, frame.select(F.array_sort(F.array_distinct(numbers_found(F.col("t"), wanted)))).collect()):
+        assert row[0] == sorted(n for word, numbers in wanted.items() if word in text for n in numbers), text
+
+
+def test_many_patterns_equal_few_at_a_time(spark, records):
+    """With and without case, groups, several literals, and patterns that have none or look for themselves."""
+    pick = random.Random(8)
+    patterns = [pattern("free", r"[0-9]+"), pattern("titles", r"([A-Z][a-z]+ )+[A-Z][a-z]+")]
+    for number in range(110):
+        word = "".join(pick.choice("abk") for _ in range(3))
+        patterns.append(pattern(f"p{number}", [rf"{word}(x)?([0-9]*)", rf"(?:{word}|{word[::-1]})!"][number % 2], flags="i" if number % 3 == 0 else ""))
+    texts = ["".join(pick.choice(["abk", "kab", "aab", "bba", "KAB", "x", "7", "!", " ", "ſ", "K", "New York "]) for _ in range(25)) for _ in range(40)]
+    shown = ("line", "pattern", "ordinal", "content", "matches")
+    def rows(found):
+        return sorted(map(tuple, found.select(*shown).collect()))
+
+    every = rows(scan(records(*texts), patterns))
+    apart = [row for start in range(0, len(patterns), 10) for row in rows(scan(records(*texts), patterns[start:start + 10]))]
+    assert every == sorted(apart) and len({row[1] for row in every}) > 30
+    assert sum(bool(item.needs) for item in patterns) >= MANY
