@@ -324,6 +324,7 @@ UNION ALL SELECT 'events', event_id, 'meta.user_id', user_id::VARCHAR FROM event
         "preset_records": "SELECT 'crawl:' || url AS file, page_id AS line, pattern, ordinal, content FROM "
                           + hits("pages", "url, page_id", "html", named("strings,http-auth")),
         "expand_json": json_leaves(),
+        "json_large": json_leaves(),
         "grep_output": f"SELECT 'doc-' || doc_id || '.txt' AS file, '.txt' AS ext, line, content FROM {DOCUMENT_LINES}",
         "resume_scan": "SELECT CASE WHEN lang = 'en' THEN 1 ELSE 2 END AS run, pattern, content FROM " + hits(
             lines("documents", "lang", "text"), "lang", "content", named("ip,http-auth")

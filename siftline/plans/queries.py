@@ -28,6 +28,7 @@ from siftline.sinks.outputs import (
     with_finding_ids, write_findings_json, write_text,
 )
 from siftline.sources.appended import scan_appended
+from siftline.sources.bigjson import large_json_leaves
 from siftline.sources.csv import read_csv_records
 from siftline.sources.documents import expand_json_document
 from siftline.sources.files import (
@@ -292,6 +293,22 @@ def json_documents(spark, folder):
     return records.groupBy("target", "content").agg(F.count(F.lit(1)).alias("found"))
 
 
+@query
+def json_large(spark, folder):
+    """Events as a few JSON arrays, each one document of a file, cut into parts of 64 kB; leaves by event."""
+    target = new_folder(spark)
+    lines = event_lines(spark, folder).select("event_id", "value").repartitionByRange("event_id").sortWithinPartitions("event_id")
+    placed = stored(lines.withColumns({"part": F.spark_partition_id(), "place": row_in_task()}))
+    last = placed.groupBy("part").agg(F.max("place").alias("last"))
+    text = F.concat(F.when(F.col("place") == 0, "[").otherwise(","), "value", F.when(F.col("place") == F.col("last"), "]").otherwise(""))
+    ordered = placed.join(last, "part").select("part", "place", text.alias("value")).repartition("part").sortWithinPartitions("part", "place")
+    ordered.select("part", "value").write.partitionBy("part").text(target)
+    leaves = large_json_leaves(spark, list_files(spark, target, glob="*.txt"), block=1 << 18, most=1 << 16)
+    element = leaves.select("file", F.regexp_extract("path", r"^\$\[([0-9]+)\]", 1).alias("element"), "value", F.regexp_replace("path", r"^\$\[[0-9]+\]", "\\$").alias("path"))
+    events = element.filter("path = '$.event_id'").select("file", "element", F.col("value").cast("bigint").alias("event_id"))
+    return element.join(events, ["file", "element"]).select("event_id", "path", "value")
+
+
 @query
 def jsonl_malformed(spark, folder):
     """Lines that are no objects, given whole because the whole line is a target."""

@@ -9,10 +9,8 @@ pass hands out the lines: the text is never shuffled, and a file of any size is
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator
-from urllib.parse import urlsplit
 
 import pyarrow as pa
-from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types as T
 
 from siftline.functions.text import strip_carriage_return
@@ -25,6 +23,7 @@ from siftline.sources.files import list_files
 from siftline.sources.jsonl import jsonl_records
 from siftline.sources.lines import text_records
 from siftline.sources.prepare import prepare
+from siftline.sources.stores import open_file, plain_name
 
 PROGRESS = T.StructType([T.StructField("path", T.StringType()), T.StructField("byte", T.LongType()), T.StructField("line", T.LongType())])
 
@@ -33,21 +32,9 @@ BLOCK = 8 << 20
 BLOCKS_A_TASK = 16
 MORE = 1 << 20
 
-#: What a label leaves out of the name of a local file.
-LOCAL = r"\Afile:(//)?(?=/)"
-
 _BLOCK = "path string, line bigint, begin bigint, start bigint, stop bigint, length bigint"
 
 
-def open_file(path: str):
-    """A file of any store that Arrow knows, by the name that Spark has for it."""
-    parts = urlsplit(path)
-    if parts.scheme in ("", "file"):
-        return fs.LocalFileSystem().open_input_file(path.removeprefix("file:").removeprefix("//"))
-    store, root = fs.FileSystem.from_uri(f"{parts.scheme}://{parts.netloc}")
-    return store.open_input_file(root.rstrip("/") + path.split(parts.netloc, 1)[1])
-
-
 def lines_of_block(path: str, begin: int, start: int, stop: int, length: int) -> tuple[int, bytes]:
     """Where the first line that starts in a block begins, and all such lines that end within the file's length.
 
@@ -124,7 +111,7 @@ def appended_lines(
 
     lines = placed.select(*[name.split()[0] for name in _BLOCK.split(", ")]).repartition(tasks, "path", "start").mapInArrow(
         read, "value string, path string, line bigint",
-    ).select(strip_carriage_return(F.col("value")).alias("value"), F.regexp_replace("path", LOCAL, "").alias("file"), "line")
+    ).select(strip_carriage_return(F.col("value")).alias("value"), plain_name(F.col("path")).alias("file"), "line")
     # A block in which no line starts says nothing about how far the file is done.
     after = counted.groupBy("path").agg(
         F.max(F.when(F.col("lines") > 0, F.col("done")).otherwise(F.col("begin"))).alias("byte"),

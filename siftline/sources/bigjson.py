@@ -17,8 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from siftline.session import stored
-from siftline.sources.appended import open_file
 from siftline.sources.documents import expand_json_document
+from siftline.sources.stores import open_file
 
 #: Bytes of a block, of a member that is given as one, and read at a time behind a block; blocks of a task.
 BLOCK = 8 << 20

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -10,6 +10,9 @@ from siftline.functions.fields import parse_json
 from siftline.session import configure, stored
 from siftline.sources.lines import file_label, text_records
 
+#: Bytes of a file that is read as one value.
+WHOLE_BYTES = 64 << 20
+
 
 def json_depth(document: Column) -> Column:
     """How deep the brackets of a JSON text nest, read off the text; 0 for a lone value."""
@@ -55,41 +58,57 @@ def expand_json_document(documents: DataFrame, document: str = "document", depth
 
 def leaf_records(documents: DataFrame, depth: int | None = None) -> DataFrame:
     """Records of documents (``document``, ``file``, ``line``): one per leaf, the path as target."""
-    leaves = expand_json_document(documents, depth=depth).filter(F.coalesce("value", F.lit("")) != "")
-    return leaves.select(
+    return _records_of(expand_json_document(documents, depth=depth))
+
+
+def _records_of(leaves: DataFrame) -> DataFrame:
+    return leaves.filter(F.coalesce("value", F.lit("")) != "").select(
         F.col("value").alias("content"), F.lit("").alias("record_id"), "line", "file",
         F.col("file").alias("source_file"), F.col("path").alias("target"),
     )
 
 
-def document_records(spark: SparkSession, paths: str | Sequence[str], lines: DataFrame) -> DataFrame:
+def document_records(
+    spark: SparkSession, paths: str | Sequence[str], lines: DataFrame, most: int = WHOLE_BYTES,
+    cut: Callable[[DataFrame], DataFrame] | None = None,
+) -> DataFrame:
     """Records of files (``lines`` are theirs, numbered) that hold JSON in any layout, or text.
 
     Where the first line that is not blank is a JSON value, every line is a document of its own;
-    else the whole file is one if it is JSON.  What is no JSON is given as text, line by line.
+    else the whole file is one if it is JSON.  What is no JSON is given as text, line by line.  Files of more than
+    ``most`` bytes that begin with a bracket are taken for JSON and opened by ``cut``, which gives (file, path, value) of labelled files.
     """
     blank = F.trim("value") == ""
     first = lines.filter(~blank).groupBy("file").agg(F.min_by(parse_json(F.col("value")).isNotNull(), "line").alias("_by_line"))
     # One row per file; the files that are read whole are documents that fit a task.
-    whole = read_json_documents(spark, paths).join(first.filter("not _by_line").select("file"), "file", "left_semi")
+    several = first.filter("not _by_line").select("file")
+    whole = read_json_documents(spark, paths, most if cut else None).join(several, "file", "left_semi")
     whole = stored(whole.withColumn("_json", parse_json(F.col("document")).isNotNull()))
     known = first.filter("_by_line").select("file", F.lit(True).alias("_by_line"))
     kinds = known.unionByName(whole.filter("_json").select("file", F.lit(False).alias("_by_line")))
+    opened = None
+    if cut:
+        opened = cut(several)
+        kinds = kinds.unionByName(opened.select("file").distinct().select("file", F.lit(False).alias("_by_line")))
     placed = lines.join(kinds, "file", "left")
     single = placed.withColumn("_json", F.col("_by_line") & parse_json(F.col("value")).isNotNull())
     documents = single.filter("_json").select(F.col("value").alias("document"), "line", "file").unionByName(
         whole.filter("_json").select("document", "line", "file"),
     )
     text = single.filter((F.col("_by_line").isNull() | F.col("_by_line")) & ~F.coalesce("_json", F.lit(False)))
-    return leaf_records(documents).unionByName(text_records(text))
+    records = leaf_records(documents).unionByName(text_records(text))
+    return records if opened is None else records.unionByName(_records_of(opened.withColumn("line", F.lit(0).cast("bigint"))))
 
 
-def read_json_documents(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
-    """Files that hold one JSON document each, as (document, file, line).
+def read_json_documents(spark: SparkSession, paths: str | Sequence[str], most: int | None = None) -> DataFrame:
+    """Files that hold one JSON document each, as (document, file, line); with ``most``, those of no more bytes.
 
-    A document is one value in one row, so it must fit a task; many documents spread over tasks.
+    A document is one value in one row, so it must fit a task; many documents spread over tasks.  ``large_json_leaves`` reads larger ones.
     """
-    return spark.read.text(paths if isinstance(paths, str) else list(paths), wholetext=True, recursiveFileLookup=True).select(
+    files = spark.read.text(paths if isinstance(paths, str) else list(paths), wholetext=True, recursiveFileLookup=True)
+    if most is not None:
+        files = files.filter(F.col("_metadata.file_size") <= most)
+    return files.select(
         F.col("value").alias("document"), file_label(F.col("_metadata.file_path")).alias("file"),
         F.lit(0).cast("bigint").alias("line"),
     )

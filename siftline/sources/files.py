@@ -8,11 +8,13 @@ from dataclasses import replace
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from siftline.model import InputConfig
+from siftline.sources.bigjson import large_json_leaves
 from siftline.sources.csv import read_csv_records
-from siftline.sources.documents import document_records
+from siftline.sources.documents import WHOLE_BYTES, document_records
 from siftline.sources.jsonl import jsonl_records
 from siftline.sources.lines import literal_path, read_lines, text_records
 from siftline.sources.prepare import prepare
+from siftline.sources.stores import plain_name
 
 # File name endings of each format; any other file is text.
 ENDINGS = {"jsonl": (".jsonl", ".json"), "csv": (".csv",)}
@@ -24,20 +26,33 @@ def detect_format(path: str) -> str:
 
 
 def read_records(
-    spark: SparkSession, paths: str | Sequence[str], config: InputConfig, line_numbers: bool = True, **files
+    spark: SparkSession, paths: str | Sequence[str], config: InputConfig, line_numbers: bool = True,
+    document_bytes: int = WHOLE_BYTES, **files,
 ) -> DataFrame:
-    """Records of files and folders in the config's format, decoded and transformed."""
+    """Records of files and folders in the config's format, decoded and transformed.
+
+    JSON documents of more than ``document_bytes`` are cut into parts.
+    """
     if config.format == "csv":
         records = read_csv_records(spark, paths, config.csv, **files)
     else:
         lines = read_lines(spark, paths, line_numbers or config.expand_json, **files)
         if config.expand_json:
-            records = document_records(spark, paths, lines)
+            records = document_records(spark, paths, lines, document_bytes, lambda files: _opened(spark, paths, files, document_bytes))
         else:
             records = jsonl_records(lines, config) if config.format in ("jsonl", "json") else text_records(lines)
     return prepare(records, config)
 
 
+def _opened(spark: SparkSession, paths: str | Sequence[str], files: DataFrame, most: int) -> DataFrame:
+    """(file, path, value) of the leaves of those labelled files that are larger than ``most`` bytes."""
+    large = list_files(spark, paths).filter(F.col("length") > most).withColumn("file", plain_name(F.col("path")))
+    if large.isEmpty():
+        return spark.createDataFrame([], "file string, path string, value string")
+    leaves = large_json_leaves(spark, large.join(files, "file", "left_semi"), most=most)
+    return leaves.withColumn("file", plain_name(F.col("file")))
+
+
 def read_any_records(
     spark: SparkSession, paths: str | Sequence[str], config: InputConfig = InputConfig(), **options
 ) -> DataFrame:

@@ -4,8 +4,9 @@ import random
 import numpy as np
 import pytest
 
+from siftline.model import InputConfig
 from siftline.sources.bigjson import large_json_leaves, structure
-from siftline.sources.files import list_files
+from siftline.sources.files import list_files, read_records
 
 
 def leaves(value, path="$"):
@@ -67,3 +68,15 @@ def test_a_document_is_read_by_many_tasks(spark, tmp_path):
     assert found.count() == 40_001
     got = {r.path: r.value for r in found.filter("path in ('$.head.n', '$.data[0].id', '$.data[19999].id', '$.data[777].text')").collect()}
     assert got == {"$.head.n": "1", "$.data[0].id": "0", "$.data[19999].id": "19999", "$.data[777].text": "x" * 177}
+
+
+def test_records_of_large_documents_equal_those_of_small_ones(spark, tmp_path):
+    (tmp_path / "a b.json").write_text(json.dumps({"rows": [{"id": k, "text": f"line {k}"} for k in range(50)]}, indent=2))
+    (tmp_path / "lines.json").write_text("".join(json.dumps({"id": k}) + "\n" for k in range(300)))
+    (tmp_path / "c.json").write_text("no json\nat all\n" * 100)
+    shown = ("file", "line", "target", "content")
+    whole, cut = (
+        sorted(map(tuple, read_records(spark, str(tmp_path), InputConfig(expand_json=True), document_bytes=most).select(*shown).collect()))
+        for most in (1 << 20, 1000)
+    )
+    assert whole == cut and len(whole) == 100 + 300 + 200
