@@ -10,6 +10,7 @@ score(class | text) = log(prior) + Σ over tokens log((n(token, class) + s) / (N
 
 from __future__ import annotations
 
+import json
 import math
 from collections.abc import Sequence
 from dataclasses import dataclass, field
@@ -19,7 +20,7 @@ import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from siftline.functions.skew import BROADCAST_BYTES
+from siftline.functions.skew import BROADCAST_BYTES, fits_broadcast
 from siftline.session import stored
 
 HIGH, LOW = "high-interest", "low-interest"
@@ -31,11 +32,13 @@ DEFAULT_TEXTS = {
     LOW: ["//", "import", "func", "<html>", "package", "var", "const", "class"],
 }
 
-#: Most classes a model may have; their totals are held on the driver.
-MAX_LABELS = 1000
+#: Classes up to which each has a score column of its own, and scores that a task holds at once.
+SCORE_COLUMNS = 100
+SCORES = 4_000_000
 
-#: Largest vocabulary that is broadcast; its table has two slots a token, of a hash and a number per class each.
+#: Largest vocabulary that is broadcast, as a table of two to four slots a token; most classes that are broadcast to count them.
 BROADCAST_TOKENS = 10_000_000
+BROADCAST_LABELS = 1_000_000
 
 
 def tokens(text: Column, ngram: int = 0) -> Column:
@@ -51,10 +54,11 @@ class TokenTable:
     """The gains of a model as an open-addressed hash table in arrays.
 
     A token lies in the first free slot from that of its hash on; ``reach`` is how far the farthest one lies.  The last slots
-    have ``reach`` more behind them, so a probe never runs over the end.
+    have ``reach`` more behind them, so a probe never runs over the end.  A token's gains are those of the classes it
+    was seen in: ``classes`` and ``gains`` from ``bounds`` of the token on.
     """
 
-    def __init__(self, hashes: np.ndarray, gains: np.ndarray) -> None:
+    def __init__(self, hashes: np.ndarray, bounds: np.ndarray, classes: np.ndarray, gains: np.ndarray, labels: int) -> None:
         if len(np.unique(hashes)) < len(hashes):
             raise ValueError("two tokens of the model have the same hash")
         size = 1 << max(4, (2 * len(hashes)).bit_length())
@@ -66,52 +70,67 @@ class TokenTable:
         slot = np.maximum.accumulate(home[order] - rank) + rank if len(order) else rank
         self.reach = int((slot - home[order]).max(initial=0))
         self.keys = np.zeros(size + self.reach + 1, np.int64)
-        self.filled = np.zeros(len(self.keys), bool)
-        self.gains = np.zeros((len(self.keys), gains.shape[1] if gains.ndim == 2 else 0))
-        self.keys[slot], self.filled[slot], self.gains[slot] = hashes[order], True, gains[order]
+        self.token = np.full(len(self.keys), -1, np.int64)
+        self.keys[slot], self.token[slot] = hashes[order], order
+        self.bounds, self.classes, self.gains, self.labels = bounds, classes, gains, labels
 
     def sums(self, hashes: np.ndarray, row: np.ndarray, rows: int) -> np.ndarray:
-        """The summed gains of the hashes of each row; unknown ones add nothing."""
+        """The summed gains of the hashes of each row, by class; unknown ones add nothing."""
         home = (hashes.view(np.uint64) & self.mask).astype(np.int64)
-        out = np.zeros((rows, self.gains.shape[1]))
+        found = np.full(len(hashes), -1, np.int64)
         left = np.arange(len(hashes))
         for step in range(self.reach + 1):
             slot = home[left] + step
-            hit = self.filled[slot] & (self.keys[slot] == hashes[left])
-            for index in range(out.shape[1]):
-                out[:, index] += np.bincount(row[left[hit]], self.gains[slot[hit], index], rows)
-            left = left[~hit & self.filled[slot]]
+            hit = (self.token[slot] >= 0) & (self.keys[slot] == hashes[left])
+            found[left[hit]] = self.token[slot[hit]]
+            left = left[~hit & (self.token[slot] >= 0)]
             if not len(left):
                 break
-        return out
+        known = found >= 0
+        token, row = found[known], row[known]
+        many = self.bounds[token + 1] - self.bounds[token]
+        place = np.repeat(self.bounds[token] - (np.cumsum(many) - many), many) + np.arange(many.sum())
+        key = np.repeat(row, many) * self.labels + self.classes[place]
+        return np.bincount(key, self.gains[place], rows * self.labels).reshape(rows, self.labels)
 
 
 @dataclass(frozen=True)
 class TextModel:
     """A fitted model.
 
-    ``gains`` has one row per token: for each class, in the order of ``labels``, how much more
-    the token adds to the score than an unseen one.  ``priors`` and ``unseen`` are log values.
+    ``entries`` has one row per token: for each class that has it, by its number in ``labels``, how much more
+    the token adds to the score than an unseen one.  ``priors`` and ``unseen`` are log values; ``size`` counts all entries.
     """
 
     labels: tuple[str, ...]
     priors: tuple[float, ...]
     unseen: tuple[float, ...]
-    gains: DataFrame
+    entries: DataFrame
     vocabulary: int
+    size: int
     ngram: int = 0
     _sent: dict[str, Broadcast] = field(default_factory=dict, repr=False, compare=False)
 
+    @property
+    def gains(self) -> DataFrame:
+        """(token, gains): the gains of all classes, in the order of ``labels``."""
+        classes, values = F.col("entries.class"), F.col("entries.gain")
+        return self.entries.select("token", F.transform(F.sequence(F.lit(0), F.lit(len(self.labels) - 1)), lambda number: F.coalesce(
+            F.get(values, F.array_position(classes, number).cast("int") - 1), F.lit(0.0),
+        )).alias("gains"))
+
     def fits(self, most: int = BROADCAST_TOKENS) -> bool:
         """Whether the model may be sent to every task, by its counted size."""
-        return self.vocabulary <= min(most, BROADCAST_BYTES // (2 * (9 + 8 * len(self.labels))))
+        return self.vocabulary <= most and 4 * 24 * self.vocabulary + 12 * self.size <= BROADCAST_BYTES
 
     def _table(self) -> Broadcast:
-        context = self.gains.sparkSession.sparkContext
+        context = self.entries.sparkSession.sparkContext
         if context.applicationId not in self._sent:
-            rows = self.gains.select(F.xxhash64("token").alias("hash"), "gains").toArrow().combine_chunks()
-            gains = rows.column("gains").combine_chunks().flatten().to_numpy() if len(rows) else np.zeros(0)
-            table = TokenTable(rows.column("hash").to_numpy(), gains.reshape(len(rows), len(self.labels)))
+            rows = self.entries.select(F.xxhash64("token").alias("hash"), F.col("entries.class").alias("class"), F.col("entries.gain").alias("gain")).toArrow()
+            rows = rows.combine_chunks()
+            classes, gains = (_flat(rows.column(name)) for name in ("class", "gain"))
+            bounds = np.concatenate([[0], np.cumsum(rows.column("class").combine_chunks().value_lengths().to_numpy(zero_copy_only=False))]) if len(rows) else np.zeros(1)
+            table = TokenTable(rows.column("hash").to_numpy(), bounds.astype(np.int64), classes, gains, len(self.labels))
             self._sent[context.applicationId] = context.broadcast(table)
         return self._sent[context.applicationId]
 
@@ -124,34 +143,43 @@ class TextModel:
         if not self.fits():
             raise ValueError(f"a model of {self.vocabulary} tokens is too large to be sent to every task; use classify_text on a batch")
         table, priors, unseen = self._table(), np.array(self.priors), np.array(self.unseen)
+        step = max(1, SCORES // len(priors))
 
         @F.arrow_udf("array<double>")
         def scores(hashes: pa.Array) -> pa.Array:
-            sizes = np.diff(hashes.offsets.to_numpy())
-            row = np.repeat(np.arange(len(sizes)), sizes)
-            total = priors + sizes[:, None] * unseen + table.value.sums(hashes.flatten().to_numpy(), row, len(sizes))
-            ends = pa.array(np.arange(len(sizes) + 1) * len(priors), pa.int32())
-            return pa.ListArray.from_arrays(ends, pa.array(total.ravel()))
+            parts = []
+            for low in range(0, max(1, len(hashes)), step):
+                some = hashes.slice(low, step)
+                sizes = np.diff(some.offsets.to_numpy())
+                row = np.repeat(np.arange(len(sizes)), sizes)
+                total = priors + sizes[:, None] * unseen + table.value.sums(some.flatten().to_numpy(), row, len(sizes))
+                parts.append(total.ravel())
+            ends = pa.array(np.arange(len(hashes) + 1) * len(priors), pa.int32())
+            return pa.ListArray.from_arrays(ends, pa.array(np.concatenate(parts)))
 
         return scores(F.transform(tokens(F.coalesce(text, F.lit("")), self.ngram), lambda token: F.xxhash64(token)))
 
     def best(self, scores: Column) -> Column:
         """The class with the highest of the scores; later classes win ties."""
         place = F.size(scores) - F.array_position(F.reverse(scores), F.array_max(scores)).cast("int")
-        return F.get(F.lit(list(self.labels)), place)
+        return F.get(F.from_json(F.lit(json.dumps(self.labels)), "array<string>"), place)
 
     def label_column(self, text: Column) -> Column:
         """The class of a text as an expression."""
         return F.transform(F.array(self.score_column(text)), self.best)[0]
 
 
+def _flat(column: pa.ChunkedArray) -> np.ndarray:
+    return column.combine_chunks().flatten().to_numpy() if len(column) else np.zeros(0, np.int64)
+
+
 def fit_text_classifier(
     training: DataFrame, smoothing: float = DEFAULT_SMOOTHING, text: str = "text", label: str = "label", ngram: int = 0
 ) -> TextModel:
     """Fit a model to rows of (text, label).
 
     Token counts are summed before the shuffle and stored in the shared folder; only the totals
-    per class come to the driver.
+    per class come to the driver, however many classes there are.
     """
     rows = training.select(F.col(text).alias("text"), F.col(label).cast("string").alias("label")).filter(
         F.col("text").isNotNull() & F.col("label").isNotNull()
@@ -162,24 +190,25 @@ def fit_text_classifier(
     totals = pairs.groupBy("label").agg(
         F.sum(F.when(F.col("token").isNull(), F.col("n"))).alias("texts"),
         F.coalesce(F.sum(F.when(F.col("token").isNotNull(), F.col("n"))), F.lit(0)).alias("tokens"),
-    ).orderBy("label").limit(MAX_LABELS + 1).collect()
-    if not totals or len(totals) > MAX_LABELS:
-        raise ValueError(f"a model needs 1 to {MAX_LABELS} classes")
-    labels = [row["label"] for row in totals]
-    counts = pairs.filter("token IS NOT NULL").groupBy("token").agg(*[
-        F.sum(F.when(F.col("label") == name, F.col("n")).otherwise(0)).alias(f"n{index}") for index, name in enumerate(labels)
-    ])
-    gains = stored(counts.select("token", F.array(*[
-        F.log((F.col(f"n{index}") + F.lit(smoothing)) / F.lit(smoothing)) for index in range(len(labels))
-    ]).alias("gains")))
-    vocabulary = gains.count()
+    ).orderBy("label").collect()
+    if not totals:
+        raise ValueError("a model needs a text with a class")
+    # A row per class, as many as the driver holds anyway.
+    numbers = training.sparkSession.createDataFrame([(row["label"], number) for number, row in enumerate(totals)], "label string, class int")
+    numbers = F.broadcast(numbers) if fits_broadcast(numbers, BROADCAST_LABELS) else numbers
+    gain = F.log((F.col("n") + F.lit(smoothing)) / F.lit(smoothing))
+    entries = stored(pairs.filter("token IS NOT NULL").join(numbers, "label").groupBy("token").agg(
+        F.sort_array(F.collect_list(F.struct("class", gain.alias("gain")))).alias("entries"),
+    ))
+    vocabulary, size = entries.agg(F.count("*"), F.coalesce(F.sum(F.size("entries")), F.lit(0))).first()
     texts = sum(row["texts"] for row in totals)
     return TextModel(
-        labels=tuple(labels),
+        labels=tuple(row["label"] for row in totals),
         priors=tuple(math.log(row["texts"] / texts) for row in totals),
         unseen=tuple(math.log(smoothing / (row["tokens"] + smoothing * vocabulary)) for row in totals),
-        gains=gains,
+        entries=entries,
         vocabulary=vocabulary,
+        size=size,
         ngram=ngram,
     )
 
@@ -203,27 +232,38 @@ def classify_text(
 ) -> DataFrame:
     """(id columns, ``label``, ``score_<class>``…) per text; ``id`` must tell the texts apart.
 
+    With more than ``SCORE_COLUMNS`` classes there is one array ``scores`` instead, in the order of the model's labels.
+
     A model that is small by its counted size is a table in every task, and nothing is shuffled: that also serves streams.  The
-    tokens of a larger one meet it by a join that Spark splits where a token is frequent; sums are taken before the final shuffle, which
-    moves one row per text and task.
+    tokens of a larger one meet it by a join that Spark splits where a token is frequent; sums by class are taken before the shuffles.
     """
-    names = [f"score_{name}" for name in model.labels]
     if model.fits(broadcast_tokens):
-        scored = texts.select(*id, model.score_column(F.col(text)).alias("_scores"))
+        scored = texts.select(*id, model.score_column(F.col(text)).alias("scores"))
     elif texts.isStreaming:
         raise ValueError(f"a model of {model.vocabulary} tokens is too large for a stream")
     else:
-        found = tokens(F.coalesce(F.col(text), F.lit("")), model.ngram)
-        exploded = texts.select(*id, F.explode_outer(found).alias("token"))
-        joined = exploded.join(model.gains.withColumnRenamed("gains", "_gains"), "token", "left")
-        scored = joined.groupBy(*id).agg(F.array(*[
-            F.lit(model.priors[index]) + F.count("token") * F.lit(model.unseen[index])
-            + F.coalesce(F.sum(F.col("_gains")[index]), F.lit(0.0))
-            for index in range(len(model.labels))
-        ]).alias("_scores"))
-    return scored.select(*id, model.best(F.col("_scores")).alias("label"), *[
-        F.get("_scores", F.lit(index)).alias(name) for index, name in enumerate(names)
-    ])
+        scored = _joined_scores(texts, model, id, text)
+    label = model.best(F.col("scores")).alias("label")
+    if len(model.labels) > SCORE_COLUMNS:
+        return scored.select(*id, label, "scores")
+    return scored.select(*id, label, *[F.get("scores", F.lit(index)).alias(f"score_{name}") for index, name in enumerate(model.labels)])
+
+
+def _joined_scores(texts: DataFrame, model: TextModel, id: Sequence[str], text: str) -> DataFrame:
+    """(id columns, scores) by joining tokens to the stored model; class -1 counts the tokens of a text."""
+    found = tokens(F.coalesce(F.col(text), F.lit("")), model.ngram)
+    exploded = texts.select(*id, F.explode_outer(found).alias("token"))
+    counted = F.array(F.struct(F.lit(-1).alias("class"), F.col("token").isNotNull().cast("double").alias("gain")))
+    sums = exploded.join(model.entries, "token", "left").select(*id, F.explode(F.when(
+        F.col("entries").isNull(), counted,
+    ).otherwise(F.concat(counted, "entries"))).alias("entry")).groupBy(*id, "entry.class").agg(F.sum("entry.gain").alias("gain"))
+    gathered = sums.groupBy(*id).agg(F.sort_array(F.collect_list(F.struct("class", "gain"))).alias("sums"))
+    priors, unseen = (F.from_json(F.lit(json.dumps(values)), "array<double>") for values in (model.priors, model.unseen))
+    classes, gains = F.col("sums.class"), F.col("sums.gain")
+    return gathered.select(*id, F.zip_with(
+        F.zip_with(priors, unseen, lambda prior, rest: prior + gains[0] * rest), F.sequence(F.lit(0), F.lit(len(model.labels) - 1)),
+        lambda score, number: score + F.coalesce(F.get(gains, F.array_position(classes, number).cast("int") - 1), F.lit(0.0)),
+    ).alias("scores"))
 
 
 def only_high_interest(findings: DataFrame, model: TextModel | None = None, wanted: str = HIGH) -> DataFrame:

@@ -227,15 +227,27 @@ def test_token_table_with_long_probes():
 
     hashes = np.array([k << 40 | 15 for k in range(9)] + [-1, -2, 0, 16], np.int64)
     gains = np.arange(26, dtype=float).reshape(13, 2)
-    table = TokenTable(hashes, gains)
+    table = TokenTable(hashes, np.arange(0, 27, 2), np.tile([0, 1], 13), gains.ravel(), 2)
     assert table.reach >= 8
     asked = np.concatenate([hashes[::-1], [99, 1 << 50 | 15], hashes[:3]])
     row = np.concatenate([np.arange(13), [13, 13], [14] * 3])
     sums = table.sums(asked, row, 16)
     assert (sums[:13] == gains[::-1]).all() and not sums[13].any() and (sums[14] == gains[:3].sum(0)).all() and not sums[15].any()
-    assert (TokenTable(np.zeros(0, np.int64), np.zeros((0, 2))).sums(np.array([0, 5]), np.array([0, 0]), 1) == 0).all()
+    empty = TokenTable(np.zeros(0, np.int64), np.zeros(1, np.int64), np.zeros(0, np.int64), np.zeros(0), 2)
+    assert (empty.sums(np.array([0, 5]), np.array([0, 0]), 1) == 0).all()
     with pytest.raises(ValueError):
-        TokenTable(np.array([3, 3]), np.zeros((2, 1)))
+        TokenTable(np.array([3, 3]), np.array([0, 1, 2]), np.zeros(2, np.int64), np.zeros(2), 1)
+
+
+def test_thousands_of_classes(spark):
+    """A class for each of 5,000 texts, applied as a table and by the join."""
+    training = spark.range(5000).select(F.concat(F.lit("common t"), "id", F.lit(" u"), F.col("id") % 50).alias("text"), F.format_string("c%05d", "id").alias("label"))
+    model = fit_text_classifier(training)
+    assert len(model.labels) == 5000 and model.vocabulary == 5051 and model.size == 15_000
+    frame = spark.createDataFrame([(k, f"t{k * 700} common u{k * 700 % 50}") for k in range(7)] + [(9, "none of these"), (8, "")], "id int, text string")
+    for limit in (10_000, 0):
+        got = {r.id: (r.label, len(r.scores)) for r in classify_text(frame, model, ["id"], broadcast_tokens=limit).collect()}
+        assert got == {**{k: (f"c{k * 700:05d}", 5000) for k in range(7)}, 9: ("c04999", 5000), 8: ("c04999", 5000)}
 
 
 def test_model_of_many_tokens_is_one_expression(spark):
