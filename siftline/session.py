@@ -62,3 +62,10 @@ def stored(frame: DataFrame) -> DataFrame:
     path = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
     frame.write.parquet(path)
     return spark.read.schema(frame.schema).parquet(path)
+
+
+def stored_by(frame: DataFrame, column: str) -> str:
+    """The folder of a table in the shared folder that has a folder of its own for each value of a column."""
+    path = f"{shared_folder(frame.sparkSession)}/table-{uuid.uuid4().hex}"
+    frame.repartition(column).write.partitionBy(column).parquet(path)
+    return path

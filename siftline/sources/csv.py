@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 from siftline.functions.text import strip_carriage_return
 from siftline.model import CsvConfig
 from siftline.session import stored
-from siftline.sources.lines import MAX_BLOCKS, add_shift, file_label, in_parts, literal_path, raw_lines, row_in_task, shifts
+from siftline.sources.lines import MAX_BLOCKS, add_shift, file_label, in_parts, literal_path, raw_lines, row_in_task
 
 #: Rows numbered together by one window in files with multi-line cells.
 ROWS_PER_GROUP = 100_000
@@ -283,7 +283,7 @@ def _widths(rows: DataFrame, grammar: Grammar) -> DataFrame:
     ))
 
 
-def _line_rows(lines: DataFrame, widths: DataFrame, grammar: Grammar, config: CsvConfig) -> DataFrame:
+def _line_rows(lines: DataFrame, widths: DataFrame, grammar: Grammar, config: CsvConfig, large: bool) -> DataFrame:
     """Rows of files in which every line is a row: (cells, line, _path)."""
     # The first row of a file sets the number of cells of all.
     heads = widths.groupBy("_path").agg(F.min(F.struct("_block", "first", "_width")).alias("_head")).select(
@@ -301,7 +301,7 @@ def _line_rows(lines: DataFrame, widths: DataFrame, grammar: Grammar, config: Cs
     if config.has_header:
         kept = kept.filter(~((F.col("_block") == F.col("_head_block")) & (F.col("_index") == F.col("_head_index"))))
     # The place is taken again among the rows that are left.
-    return add_shift(kept.withColumn("_index", row_in_task()), shifts(blocks)).select("cells", "line", "_path")
+    return add_shift(kept.withColumn("_index", row_in_task()), blocks, large).select("cells", "line", "_path")
 
 
 def _multi_line_rows(lines: DataFrame, grammar: Grammar, config: CsvConfig) -> DataFrame:
@@ -370,17 +370,17 @@ def read_csv_records(
         rows = raw_lines(spark, some, **files)
         return rows.withColumn("value", strip_carriage_return(F.col("value")))
 
-    def number(rows):
+    def number(rows, large):
         widths = _widths(rows, grammar)
         kinds = widths.groupBy("_path").agg(F.max("open").alias("open")).collect()
         open_files = [literal_path(unquote(row["_path"])) for row in kinds if row["open"]]
         if not open_files:
-            return _line_rows(rows, widths, grammar, config)
+            return _line_rows(rows, widths, grammar, config, large)
         split = _multi_line_rows(read(open_files), grammar, config)
         others = [literal_path(unquote(row["_path"])) for row in kinds if not row["open"]]
         if not others:
             return split
         rest = read(others)
-        return split.unionByName(_line_rows(rest, _widths(rest, grammar), grammar, config))
+        return split.unionByName(_line_rows(rest, _widths(rest, grammar), grammar, config, large))
 
     return csv_records(in_parts(paths, read, number, max_blocks), config)

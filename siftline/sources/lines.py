@@ -3,24 +3,33 @@
 A file is read in blocks, each block by one task from front to back.  A first pass counts the
 rows of every block; the counts (one small row per block) give each block's offset in its file,
 and the second pass adds the offset to the row's place in its task.  Only the counts are
-shuffled, and the broadcast holds one row per block, bounded by ``MAX_BLOCKS``.
+shuffled, and the broadcast holds one row per block, bounded by ``MAX_BLOCKS``.  Where one file alone
+has more blocks, nothing is broadcast: the offsets are stored by segments of a file, and a task reads
+the segments of its own blocks.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from urllib.parse import unquote
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
 
 from siftline.functions.decode import percent_decode
 from siftline.functions.text import strip_carriage_return
-from siftline.session import configure
+from siftline.session import configure, stored, stored_by
+from siftline.sources.stores import read_folder
 
 #: Most blocks numbered by one broadcast (64 TB in blocks of 128 MB); more files go in several parts.
 MAX_BLOCKS = 500_000
 
+#: Blocks of a segment, whose offsets a task holds at once.
+SEGMENT_BLOCKS = 10_000
+
 #: Columns that say where a line lies: its file, its block, its task and its place in the task.
 PLACE = ("_path", "_block", "_part", "_index")
 
@@ -91,50 +100,120 @@ def block_bound(rows: DataFrame) -> tuple[int, list[str]]:
 
 def in_parts(
     paths: str | Sequence[str], read: Callable[[str | Sequence[str]], DataFrame],
-    number: Callable[[DataFrame], DataFrame], max_blocks: int = MAX_BLOCKS,
+    number: Callable[[DataFrame, bool], DataFrame], max_blocks: int = MAX_BLOCKS,
 ) -> DataFrame:
-    """Number the lines of all files, in several parts where one would hold too many blocks."""
+    """Number the lines of all files, in several parts where one would hold too many blocks.
+
+    ``number`` is told whether a part has more blocks than a broadcast may hold, as one very large file has.
+    """
     rows = read(paths)
     bound, files = block_bound(rows)
     if bound <= max_blocks or len(files) < 2:
-        return number(rows)
+        return number(rows, bound > max_blocks)
     parts = -(-bound // max_blocks)
     size = -(-len(files) // parts)
     united = None
     for start in range(0, len(files), size):
-        part = number(read([literal_path(file) for file in files[start:start + size]]))
+        rows = read([literal_path(file) for file in files[start:start + size]])
+        part = number(rows, block_bound(rows)[0] > max_blocks)
         united = part if united is None else united.unionByName(part)
     return united
 
 
-def shifts(blocks: DataFrame) -> DataFrame:
+def block_span(blocks: DataFrame, segment_blocks: int = SEGMENT_BLOCKS) -> int:
+    """Bytes of a file that hold about ``segment_blocks`` of its blocks, for all files are cut alike."""
+    files = blocks.groupBy("_path").agg(F.max("_block").alias("last"), F.count_distinct("_block").alias("n"))
+    wide = files.filter("n > 1").agg(F.max(F.ceil(F.col("last") / (F.col("n") - 1)))).first()[0]
+    return max(1, wide or 1) * segment_blocks
+
+
+def shifts(blocks: DataFrame, span: int | None = None) -> DataFrame:
     """(_path, _block, _part, first, good) → what to add to a row's place in its task.
 
     ``good`` is the number of rows of the block that are numbered, ``first`` the place of its
-    first row in the task.
+    first row in the task.  With a ``span`` sums run over segments of so many bytes first and over the
+    blocks of a segment then, so no task orders all blocks of a file.
     """
-    in_file = Window.partitionBy("_path").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    in_task = Window.partitionBy("_part").orderBy("first").rowsBetween(Window.unboundedPreceding, -1)
-    before_file = F.coalesce(F.sum("good").over(in_file), F.lit(0))
-    before_task = F.coalesce(F.sum("good").over(in_task), F.lit(0))
-    return blocks.select("_path", "_block", "_part", (before_file - before_task).alias("_shift"))
+    def before(*keys: str):
+        return F.coalesce(F.sum("good").over(
+            Window.partitionBy(*keys[:-1]).orderBy(keys[-1]).rowsBetween(Window.unboundedPreceding, -1)
+        ), F.lit(0))
+
+    in_task = before("_part", "first")
+    if span is None:
+        return blocks.select("_path", "_block", "_part", (before("_path", "_block") - in_task).alias("_shift"))
+    blocks = blocks.withColumn("_segment", F.floor(F.col("_block") / span))
+    segments = blocks.groupBy("_path", "_segment").agg(F.sum("good").alias("good"))
+    segments = segments.select("_path", "_segment", before("_path", "_segment").alias("_earlier"))
+    inside = blocks.select(
+        "_path", "_segment", "_block", "_part", (before("_path", "_segment", "_block") - in_task).alias("_inside")
+    )
+    return inside.join(segments, ["_path", "_segment"]).select(
+        "_path", "_block", "_part", (F.col("_earlier") + F.col("_inside")).alias("_shift")
+    )
+
 
+def with_stored_shifts(rows: DataFrame, offsets: DataFrame, span: int) -> DataFrame:
+    """Rows with the ``_shift`` of their block, null for an unknown block.
 
-def add_shift(rows: DataFrame, offsets: DataFrame) -> DataFrame:
-    """``line`` for rows that hold ``_index``; a block unknown to the first pass is an error."""
-    joined = rows.join(F.broadcast(offsets), ["_path", "_block", "_part"], "left")
+    The offsets are stored in a folder for each segment of a file; a task reads those of its own blocks, one
+    segment at a time.  The rows stay in their tasks.
+    """
+    slot = F.hex(F.xxhash64("_path", F.floor(F.col("_block") / span)))
+    folder = stored_by(offsets.withColumn("slot", slot), "slot")
+    names = rows.columns
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, now = {}, None
+        for batch in batches:
+            n = batch.num_rows
+            if not n:
+                continue
+            places = [batch.column(name) for name in ("_path", "_block", "_part", "_slot")]
+            new = np.zeros(n, bool)
+            new[0] = True
+            for column in places[:3]:
+                new[1:] |= pc.not_equal(column.slice(1), column.slice(0, n - 1)).to_numpy(zero_copy_only=False)
+            found = []
+            # One entry for each block in the batch, not for each row.
+            for path, block, part, wanted in zip(*(column.take(pa.array(np.flatnonzero(new))).to_pylist() for column in places), strict=True):
+                if wanted != now:
+                    stored = read_folder(f"{folder}/slot={wanted}")
+                    known = {} if stored is None else {
+                        (row["_path"], row["_block"], row["_part"]): row["_shift"] for row in stored.to_pylist()
+                    }
+                    now = wanted
+                found.append(known.get((path, block, part)))
+            shift = pa.array(found, pa.int64()).take(pa.array(np.cumsum(new) - 1))
+            yield pa.RecordBatch.from_arrays([*(batch.column(name) for name in names), shift], [*names, "_shift"])
+
+    schema = T.StructType([*rows.schema.fields, T.StructField("_shift", T.LongType())])
+    return rows.withColumn("_slot", slot).mapInArrow(find, schema)
+
+
+def add_shift(rows: DataFrame, blocks: DataFrame, large: bool = False, segment_blocks: int = SEGMENT_BLOCKS) -> DataFrame:
+    """``line`` for rows that hold ``_index``; a block unknown to the first pass is an error.
+
+    ``blocks`` are those of ``shifts``; they are broadcast unless they are ``large``.
+    """
+    if large:
+        blocks = stored(blocks)
+        span = block_span(blocks, segment_blocks)
+        joined = with_stored_shifts(rows, shifts(blocks, span), span)
+    else:
+        joined = rows.join(F.broadcast(shifts(blocks)), ["_path", "_block", "_part"], "left")
     known = F.when(F.col("_shift").isNull(), F.raise_error(F.lit("files changed between two passes")))
     line = F.coalesce(known.cast("bigint"), F.col("_index") + F.col("_shift") + 1)
     return joined.withColumn("line", line).drop("_shift")
 
 
-def with_line_numbers(rows: DataFrame) -> DataFrame:
+def with_line_numbers(rows: DataFrame, large: bool = False, segment_blocks: int = SEGMENT_BLOCKS) -> DataFrame:
     """Raw lines with ``line``, the 1-based number of the line in its file."""
     placed = rows.withColumns({"_part": F.spark_partition_id(), "_index": row_in_task()})
     blocks = placed.groupBy("_path", "_block", "_part").agg(
         F.count(F.lit(1)).alias("good"), F.min("_index").alias("first")
     )
-    return add_shift(placed, shifts(blocks))
+    return add_shift(placed, blocks, large, segment_blocks)
 
 
 def read_lines(

@@ -18,7 +18,7 @@ from siftline.sources.files import (
 )
 from siftline.sources.findings import read_grep_output, read_findings
 from siftline.sources.jsonl import jsonl_records
-from siftline.sources.lines import read_lines, read_text_records
+from siftline.sources.lines import literal_path, raw_lines, read_lines, read_text_records, with_line_numbers
 from siftline.sources.prepare import transform_fields, unescape_content
 from siftline.sources.presets import PRESETS
 from siftline.sources.tables import lines_of, read_table_records
@@ -63,6 +63,24 @@ def test_line_numbers_over_many_blocks_and_files(small_blocks, tmp_path):
     assert small_blocks.read.text(str(tmp_path)).rdd.getNumPartitions() > 20
 
 
+def test_line_numbers_of_one_file_of_many_blocks(small_blocks, tmp_path):
+    right = F.split_part("value", F.lit(":"), F.lit(1)).cast("bigint") == F.col("line")
+    for count, number in ((9000, lambda rows: with_line_numbers(rows, True, 30)), (900, None)):
+        path = write(tmp_path / f"a [b] é {count}.txt", "\n".join(f"{n}:" + "x" * (n * 7 % 61) for n in range(1, count + 1)))
+        name = literal_path(path)
+        assert small_blocks.read.text(name).rdd.getNumPartitions() >= count // 9
+        found = number(raw_lines(small_blocks, name)) if number else read_lines(small_blocks, name, max_blocks=30)
+        assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+        assert [tuple(row) for row in found.groupBy(right).count().collect()] == [(True, count)]
+
+
+def test_csv_rows_of_one_file_of_many_blocks(small_blocks, tmp_path):
+    text = "no,word\n" + "\n".join(f"{n},{'x' * (n * 5 % 40)}" if n % 9 else "one,two,three" for n in range(1, 701))
+    path = write(tmp_path / "a.csv", text)
+    read = read_csv_records(small_blocks, path, CsvConfig(target_indices=(0,), has_header=True), max_blocks=10)
+    assert contents(read, "line", "content") == [(k, str(n)) for k, n in enumerate((n for n in range(1, 701) if n % 9), 1)]
+
+
 def test_scan_of_text_file(spark, tmp_path):
     path = write(tmp_path / "a.txt", "".join(f"{n}: {'9.9.9.%d ' % n * (n % 3)}\n" for n in range(1, 9)))
     found = scan(read_text_records(spark, path), [IP])
