@@ -21,8 +21,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftline.llm.common import few_files, numbered, saved, table
-from siftline.session import shared_folder
+from siftline.llm.common import numbered, table
+from siftline.session import shared_folder, stored
 
 #: Fixed values of the Zstandard seekable format.
 SKIPPABLE_MAGIC = 0x184D2A5E
@@ -35,6 +35,8 @@ SAME_PAYLOAD = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest
 #: Plain bytes after which a frame is closed, and stored bytes after which a bundle is.
 FRAME_BYTES = 1 << 20
 BUNDLE_BYTES = 64 << 20
+#: Frames that a task reads, about 128 MB of records.
+FRAMES_A_TASK = 128
 #: Date of records, for pages have none.
 DATE = "1970-01-01T00:00:00Z"
 
@@ -173,14 +175,15 @@ def write_bundles(records: DataFrame, folder: str, frame_bytes: int = FRAME_BYTE
         if entries:
             yield indexed()
 
-    return saved(records.select("record_id", "kind", "payload", "url", "refers_to").mapInArrow(write, INDEX))
+    return stored(records.select("record_id", "kind", "payload", "url", "refers_to").mapInArrow(write, INDEX))
 
 
 def read_bundles(index: DataFrame, folder: str, payloads: bool = True) -> DataFrame:
     """The records that ``index`` names, read frame by frame through the seek tables.
 
     ``index`` may be any choice of rows of the index; only their frames are read.  Digest and size of a
-    response are taken from its payload as read, those of a revisit from its header.
+    response are taken from its payload as read, those of a revisit from its header.  The number of tasks
+    comes from the number of frames, for the index itself is small.
     """
     spark = index.sparkSession
     uri = _qualified(spark, folder)
@@ -213,7 +216,9 @@ def read_bundles(index: DataFrame, folder: str, payloads: bool = True) -> DataFr
                 names = [part.split()[0] for part in RECORD.split(", ")]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 
-    frames = index.groupBy("bundle", "frame").agg(F.collect_list("offset").alias("offsets"))
+    many = index.select("bundle", "frame").distinct().count()
+    tasks = max(1, -(-many // FRAMES_A_TASK), min(many, spark.sparkContext.defaultParallelism))
+    frames = index.repartition(tasks, "bundle", "frame").groupBy("bundle", "frame").agg(F.collect_list("offset").alias("offsets"))
     return frames.mapInArrow(read, RECORD)
 
 
@@ -250,7 +255,7 @@ def op3_warc_bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
     folder = f"{shared_folder(spark)}/warc-{uuid.uuid4().hex}"
     records = read_bundles(archive_pages(pages, folder), folder)
-    return few_files(records).select(
+    return records.select(
         page_of("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type",
         page_of("refers_to_id").alias("refers_to"),
     )
