@@ -25,12 +25,17 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from siftline.llm.common import BASE, BASE_INVERSE, MIX_1, MIX_2, SLAB, Rolling, few_files, mixed, powers, run_number, saved, slabs, table, tuned
+from siftline.llm.common import BASE, BASE_INVERSE, MIX_1, MIX_2, SLAB, Rolling, mixed, powers, run_number, slabs, table, tuned
+from siftline.session import stored
 
 #: Bytes that a string must have to count as repeated.
 LENGTH = 200
 #: Kernels in a string of ``LENGTH``; a power of two.
 KERNELS = 128
+#: Bytes of text for each anchor, and how many anchors and open contexts a bucket is to have.
+ANCHOR_BYTES = 64
+BUCKET_ANCHORS = 1_000_000
+BUCKET_CONTEXTS = 100_000
 #: Bits that hold a place inside a slab.
 PLACE_BITS = 23
 
@@ -136,7 +141,12 @@ def suffixes(frame: DataFrame, length: int = LENGTH) -> DataFrame:
     return frame.select("uid", "text").mapInArrow(find, _ANCHOR)
 
 
-def compared_suffixes(found: DataFrame) -> DataFrame:
+def _buckets(frame: DataFrame, rows: int, each: int) -> int:
+    """Buckets of about ``each`` rows, and one for each core at least."""
+    return max(frame.sparkSession.sparkContext.defaultParallelism, -(-rows // each))
+
+
+def compared_suffixes(found: DataFrame, buckets: int) -> DataFrame:
     """The suffixes that repeat: uid, place, ``whole`` (equal context elsewhere) and ``open`` (unequal ones too).
 
     Of a run of equal contexts one is open at most in each bucket, for the others add nothing to compare.
@@ -172,8 +182,8 @@ def compared_suffixes(found: DataFrame) -> DataFrame:
             names=["bucket", *keys, "uid", "place", "whole", "open", "head", "edge"],
         ).to_batches(max_chunksize=100_000)
 
-    ranged = found.repartitionByRange(*keys, "uid", "place")
-    kept = saved(ranged.mapInArrow(
+    ranged = found.repartitionByRange(buckets, *keys, "uid", "place")
+    kept = stored(ranged.mapInArrow(
         sort, "bucket bigint, lead bigint, kernel bigint, context bigint, uid bigint, place bigint, whole boolean, "
         "open boolean, head boolean, edge tinyint",
     ))
@@ -250,7 +260,7 @@ def _strings(before: list[bytes], suffix: list[bytes], low: np.ndarray, length:
     return mixed(one).view(np.int64), mixed(two).view(np.int64), row, low[row] + inside
 
 
-def compared_strings(open_contexts: DataFrame, length: int = LENGTH) -> DataFrame:
+def compared_strings(open_contexts: DataFrame, buckets: int, length: int = LENGTH) -> DataFrame:
     """uid and start of every string that is found in two contexts."""
     size = length - KERNELS + 1
 
@@ -297,7 +307,7 @@ def compared_strings(open_contexts: DataFrame, length: int = LENGTH) -> DataFram
                 names=["hash", "second", "uid", "start", "found"],
             ).to_batches(max_chunksize=100_000)
 
-    rows = saved(open_contexts.repartitionByRange("suffix", "uid", "low").mapInArrow(sort, _STRING))
+    rows = stored(open_contexts.repartitionByRange(buckets, "suffix", "uid", "low").mapInArrow(sort, _STRING))
     local = rows.filter("found = 1").select("uid", "start")
     waiting = rows.filter("found = 0")
     # Against the strings of border runs in other buckets.
@@ -308,12 +318,14 @@ def compared_strings(open_contexts: DataFrame, length: int = LENGTH) -> DataFram
 
 def repeated_spans(frame: DataFrame, length: int = LENGTH) -> DataFrame:
     """For each ``uid`` of ``frame`` (uid, text) with repeats: ``spans``, byte runs (low, high) that may overlap."""
-    found = saved(compared_suffixes(suffixes(frame, length)))
+    size = frame.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    found = stored(compared_suffixes(suffixes(frame, length), _buckets(frame, size // ANCHOR_BYTES, BUCKET_ANCHORS)))
+    open_ = found.filter("open")
     place = F.col("place")
     low = F.shiftright(place, 16) - F.shiftright(place, 8).bitwiseAND(F.lit(255))
     high = low + place.bitwiseAND(F.lit(255)) + length
     whole = found.filter("whole").select("uid", low.alias("low"), high.alias("high"))
-    single = compared_strings(contexts(frame, found.filter("open"), length), length)
+    single = compared_strings(contexts(frame, open_, length), _buckets(frame, open_.count(), BUCKET_CONTEXTS), length)
     near = Window.partitionBy("uid").orderBy("start")
     # Neighbouring starts make one span.
     step = single.withColumn("run", F.col("start") - F.row_number().over(near))
@@ -395,4 +407,4 @@ def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document without strings of 200 bytes that start elsewhere too."""
     documents = table(spark, sf_dir, "documents").select("doc_id", "text")
     cut = cut_repeats(documents, with_text=False)
-    return few_files(cut).select("row.doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    return cut.select("row.doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
