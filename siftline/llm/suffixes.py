@@ -34,8 +34,8 @@ LENGTH = 200
 KERNELS = 128
 #: Bytes of text for each anchor, and how many anchors and open contexts a bucket is to have.
 ANCHOR_BYTES = 64
-BUCKET_ANCHORS = 1_000_000
-BUCKET_CONTEXTS = 100_000
+BUCKET_ANCHORS = 250_000
+BUCKET_CONTEXTS = 50_000
 #: Bits that hold a place inside a slab.
 PLACE_BITS = 23
 
