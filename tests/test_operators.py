@@ -8,6 +8,8 @@ from collections import Counter
 from types import SimpleNamespace
 from urllib.parse import unquote
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -275,6 +277,30 @@ def test_model_agrees_with_the_library_one(spark):
     assert {row["id"]: row["label"] for row in ours.collect()} == theirs
 
 
+def test_large_models_move_rare_tokens_only(spark, monkeypatch):
+    """Lines of 2,000 words: what is shuffled holds none of them, and rows that are alike are scored each on its own."""
+    from siftline.operators import classify
+
+    training = [(" ".join(f"t{n * k}" for k in range(40)), "x" if n % 2 else "y") for n in range(50)]
+    model = fit_text_classifier(spark.createDataFrame(training, "text string, label string"))
+    rows = [(" ".join(f"t{n * k % 900}" for k in range(2000)), n % 3) for n in range(12)] + [(None, 1), ("", 2), ("t1 t1 unknown", 0), ("t1 t1 unknown", 0)]
+    frame = spark.createDataFrame(rows, "text string, id int")
+    want = sorted(map(tuple, classify_text(frame, model, ["id"]).collect()))
+    for head in (0, 20, 400):
+        got = classify_text(frame, model, ["id"], broadcast_tokens=head)
+        for mine, theirs in zip(sorted(map(tuple, got.collect())), want, strict=True):
+            assert mine[:2] == theirs[:2] and mine[2:] == pytest.approx(theirs[2:])
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "_text" not in plan and "hashpartitioning(text" not in plan
+    # Texts are scored a few at a time, whatever an Arrow batch holds.
+    monkeypatch.setattr(classify, "SCORED_TOKENS", 100)
+    hashes = pa.array([[3] * 70, [], [4] * 300, [5, 9], [3, 5]], pa.list_(pa.int64()))
+    table = TokenTable(np.array([3, 5]), np.array([0, 1, 2]), np.array([0, 1]), np.array([1.0, 2.0]), 2)
+    scores, rest = classify._scored(hashes, table, np.zeros(2), np.zeros(2))
+    assert scores.to_pylist() == [[70, 0], [0, 0], [0, 0], [0, 2], [1, 2]] and rest.to_pylist() == [[], [], list(range(300)), [1], []]
+    assert [part.to_pylist() for part in classify._scored(hashes.slice(3), table, np.zeros(2), np.zeros(2))] == [[[0, 2], [1, 2]], [[1], []]]
+
+
 # Diagnosis and rewriting.
 
 def test_diagnose(spark):
