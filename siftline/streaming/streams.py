@@ -14,6 +14,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from siftline.functions.text import strip_carriage_return
 from siftline.model import InputConfig
+from siftline.operators.classify import HIGH, TextModel, only_high_interest
 from siftline.operators.patterns import Pattern
 from siftline.operators.prune import KEY
 from siftline.operators.scan import scan
@@ -69,6 +70,20 @@ def run_available(findings: DataFrame, target: str, checkpoint: str, format: str
     )
 
 
+def run_classified(findings: DataFrame, target: str, checkpoint: str, model: TextModel | None = None, wanted: str = HIGH) -> StreamingQuery:
+    """Write those findings of all files not yet done whose content the model puts in the wanted class, then stop.
+
+    A model of any size is met: each micro-batch is classified as a batch, and its findings replace those of an attempt that died.
+    Read ``target`` with ``recursiveFileLookup``, for each micro-batch has a folder of its own; one is empty, so that there is something to read.
+    """
+    findings.sparkSession.createDataFrame([], findings.schema).write.mode("overwrite").parquet(f"{target}/batch-none")
+
+    def batch(rows: DataFrame, number: int) -> None:
+        only_high_interest(rows, model, wanted).write.mode("overwrite").parquet(f"{target}/batch-{number}")
+
+    return findings.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
 def stream_progress(query: StreamingQuery) -> tuple[int, int]:
     """Micro-batches and lines that a query has read since it was started, as far as it remembers them."""
     batches = {step["batchId"]: step["numInputRows"] for step in query.recentProgress}

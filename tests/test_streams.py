@@ -104,3 +104,33 @@ def test_lines_of_a_stream_are_text_or_json_lines(spark, tmp_path):
     for config in (InputConfig(format="csv"), InputConfig(expand_json=True)):
         with pytest.raises(ValueError):
             scan_stream(stream_lines(spark, str(tmp_path)), [IP], config)
+
+
+def test_stream_with_a_model_too_large_for_tasks(spark, tmp_path, monkeypatch):
+    """Micro-batches meet the frequent tokens as a table and the others by a join; nothing fails, and batch and stream agree."""
+    from siftline.operators import classify
+    from siftline.operators.classify import TextModel, fit_text_classifier, only_high_interest
+    from siftline.streaming.streams import run_classified
+
+    training = [(f"w{n} common u{n % 7}", "x" if n % 3 else "y") for n in range(300)]
+    model = fit_text_classifier(spark.createDataFrame(training, "text string, label string"), 1.0)
+    lines = [f"w{n} w{n + 1} common u{n % 5} new{n}" for n in range(0, 290, 4)] + ["w3", "", "common", "nothing", "w3"]
+    texts = spark.createDataFrame([(line,) for line in lines if line], "content string")
+    want = sorted(row["content"] for row in only_high_interest(texts, model, "y").collect())
+    assert want and len(want) < len(lines) - 1
+    monkeypatch.setattr(TextModel, "fits", lambda self, most=0: False)
+    monkeypatch.setattr(classify, "HEAD_TOKENS", 9)
+    least = model.head_limit(9)
+    assert 0 < model.entries.filter(F.col("n") > least).count() <= 9 < model.vocabulary
+    for limit in (classify.SENT_TOKENS, 0):
+        monkeypatch.setattr(classify, "SENT_TOKENS", limit)
+        assert sorted(row["content"] for row in only_high_interest(texts, model, "y").collect()) == want
+    source, target = tmp_path / "in", str(tmp_path / "out")
+    source.mkdir()
+    for part in range(3):
+        (source / f"{part}.txt").write_text("\n".join(lines[part::3]) + "\n")
+    rows = scan_stream(stream_lines(spark, str(source), max_files=2), [pattern("all", ".+")])
+    for _ in range(2):
+        run_classified(rows, target, str(tmp_path / "state"), model, "y").awaitTermination()
+    got = spark.read.option("recursiveFileLookup", "true").parquet(target)
+    assert sorted(row["content"] for row in got.collect()) == want
