@@ -80,3 +80,22 @@ def test_records_of_large_documents_equal_those_of_small_ones(spark, tmp_path):
         for most in (1 << 20, 1000)
     )
     assert whole == cut and len(whole) == 100 + 300 + 200
+
+
+def test_structure_of_any_bytes():
+    """Against a loop over the bytes, for both cases and with a backslash before the start."""
+    pick = random.Random(5)
+    for size in [0, 1, 2, 3, 7, 40] * 60:
+        data = bytes(pick.choice(b'\\\\"[]{},a') for _ in range(size))
+        for inside in (False, True):
+            for escaped in (False, True):
+                depth, string, odd, want = 0, inside, escaped, []
+                for byte in data:
+                    plain = not string
+                    if byte == 34 and not odd:
+                        string, plain = not string, False
+                    depth += plain * ((byte in b"[{") - (byte in b"]}"))
+                    odd = byte == 92 and not odd
+                    want.append((depth, plain and byte == 44))
+                got = structure(data, inside, escaped)
+                assert list(zip(got[0].tolist(), got[1].tolist(), strict=True)) == want and got[2] == string
