@@ -7,8 +7,10 @@ that overlap are all found.  Of several that begin at one place the longest is t
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from bisect import bisect_left
+from collections.abc import Callable, Mapping, Sequence
 
+import pandas as pd
 from pyspark.sql import Column, functions as F
 
 #: First characters that are tried one after the other; more are halved by a look at their range.
@@ -54,3 +56,52 @@ def numbers_found(text: Column, wanted: Mapping[str, Sequence[int]]) -> Column:
     lists = F.array(*[F.array(*[F.lit(number) for number in some]) for some in numbers])
     known = F.lit(literals)
     return F.flatten(F.transform(found, lambda literal: F.get(lists, F.array_position(known, literal).cast("int") - 1)))
+
+
+def folded(data: bytes) -> bytes:
+    """UTF-8 text with ASCII letters in lower case, and those characters that fold to ASCII letters, as Spark's ``lower`` and ``scan`` have them."""
+    data = data.lower()
+    for char, lower in (("\u017f", "s"), ("\u212a", "k"), ("\u0130", "i\u0307")):
+        data = data.replace(char.encode(), lower.encode())
+    return data
+
+
+def _breaks(data: bytes) -> list[int]:
+    found, at = [], data.find(b"\n")
+    while at >= 0:
+        found.append(at)
+        at = data.find(b"\n", at + 1)
+    return found
+
+
+def lines_with(wanted: Sequence[tuple[Sequence[str], bool]]) -> Callable[[pd.Series], pd.Series]:
+    """For each of the wanted (ASCII literals, whether case is ignored), what it leaves of a text: the lines that hold one
+    of them, and the first and the last line; nothing where none does.
+
+    Made here so that tasks get it by value.
+    """
+    sought = [([literal.encode() for literal in literals], ignore) for literals, ignore in wanted]
+
+    def numbers(data: bytes, breaks: list[int], literals: list[bytes]) -> set[int]:
+        found = set()
+        for literal in literals:
+            at = data.find(literal)
+            while at >= 0:
+                number = bisect_left(breaks, at)
+                found.add(number)
+                at = data.find(literal, breaks[number]) if number < len(breaks) else -1
+        return found
+
+    def parts(data: bytes | None) -> list[bytes | None] | None:
+        if data is None:
+            return None
+        lower, lines = folded(data), data.split(b"\n")
+        # A letter may have another length in lower case, but no line break comes or goes.
+        breaks, lower_breaks = _breaks(data), _breaks(lower)
+        out = []
+        for literals, ignore in sought:
+            found = numbers(lower, lower_breaks, literals) if ignore else numbers(data, breaks, literals)
+            out.append(b"\n".join(lines[number] for number in sorted(found | {0, len(lines) - 1})) if found else None)
+        return out
+
+    return lambda texts: texts.map(parts, na_action="ignore").astype(object)

@@ -14,7 +14,7 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass, field
 
-from siftline.functions.ambiguity import repeats
+from siftline.functions.ambiguity import in_one_line, looks_around, repeats
 
 
 class PatternError(ValueError):
@@ -28,7 +28,8 @@ class Regex:
     ``deep`` marks an unbounded repeat of a group that could not be written possessive (see
     ``ambiguity``).  Java recurses once per iteration for those and can overflow its stack on long texts, so ``scan`` runs
     them with ``python``.  ``inner``, where it is not empty, finds the groups in the text of a whole match: Java
-    does not forget what a group in a possessive repeat held when an attempt before failed.
+    does not forget what a group in a possessive repeat held when an attempt before failed.  ``free`` tells that a whole
+    match can be matched again without what stands around it, ``one_line`` that no match goes beyond its line (see ``in_one_line``).
     """
 
     source: str
@@ -37,6 +38,8 @@ class Regex:
     groups: int
     deep: bool
     inner: str = ""
+    free: bool = False
+    one_line: bool = False
 
 
 # ASCII classes as inclusive code point ranges.
@@ -167,6 +170,8 @@ class _Translator:
         self.closed = None
         self.signs = []
         self.inner = False
+        # Whether a group is repeated without end, in whatever way it is written.
+        self.repeated = False
 
     def run(self):
         while self.at < len(self.text):
@@ -182,7 +187,10 @@ class _Translator:
             for place in self.guards:
                 self.java[place] = ""
         java = "".join(self.java)
-        return Regex(self.text, java, python, self.groups, self.deep, rf"\A(?:{java})\z" if self.inner else "")
+        return Regex(
+            self.text, java, python, self.groups, self.deep, rf"\A(?:{java})\z" if self.inner else "",
+            python is not None and not self.repeated and not looks_around(python), python is not None and in_one_line(python),
+        )
 
     def possessive(self, python):
         """Write unbounded repeats of groups so that Java runs them in a loop; False if one cannot be."""
@@ -329,7 +337,7 @@ class _Translator:
         if self.last in (None, "repeat"):
             raise PatternError(f"nothing to repeat at {self.at}")
         deep = unbounded and self.last == "group"
-        self.deep = self.deep or deep
+        self.deep = self.repeated = self.deep or deep
         self.signs.append((len(self.java), self.closed, deep, len(self.scopes) == 1 and not self.scopes[0].open_flag))
         if self.text[end:end + 1] == "?":
             text, end = text + "?", end + 1

@@ -58,13 +58,18 @@ def every_match(content: Column, regex: Regex) -> Column:
 def group_arrays(content: Column, regex: Regex) -> list[Column]:
     """One array per group, the whole match first; ``""`` for a group that took no part."""
     whole = F.regexp_extract_all(content, F.lit(regex.java), F.lit(0))
-    if regex.inner:
-        return [whole, *[F.transform(whole, _inner(regex, group)) for group in range(1, regex.groups + 1)]]
+    if regex.inner or regex.free:
+        return [whole, *groups_within(whole, regex)]
     return [whole, *[F.regexp_extract_all(content, F.lit(regex.java), F.lit(group)) for group in range(1, regex.groups + 1)]]
 
 
+def groups_within(whole: Column, regex: Regex) -> list[Column]:
+    """One array per group, found in the texts of the whole matches; for patterns with ``inner`` or ``free``."""
+    return [F.transform(whole, _inner(regex, group)) for group in range(1, regex.groups + 1)]
+
+
 def _inner(regex: Regex, group: int) -> Callable[[Column], Column]:
-    return lambda match: F.regexp_extract(match, regex.inner, group)
+    return lambda match: F.regexp_extract(match, regex.inner or rf"\A(?:{regex.java})\z", group)
 
 
 def first_match(content: Column, regex: Regex) -> Column:

@@ -8,15 +8,18 @@ from operator import and_, or_
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from siftline.functions.literals import numbers_found
+from siftline.functions.literals import lines_with, numbers_found
 from siftline.functions.regex import Regex, translate_regex
-from siftline.functions.search import count_matches, every_match, group_arrays, has_match, runs_in_python
+from siftline.functions.search import count_matches, every_match, group_arrays, groups_within, has_match, runs_in_python
 from siftline.functions.text import shannon_entropy
 from siftline.model import FINDING, TOOL_OUTPUT
 from siftline.operators.patterns import Pattern, compile_patterns
 
 #: So many patterns with literals are tested by one search for all of them.
 MANY = 40
+#: Of so many patterns that stay within a line, only lines with a literal are searched, in texts of so many bytes.
+BY_LINES = 8
+LONG = 500
 
 HITS = "array<struct<pattern:string,ordinal:bigint,matches:array<string>>>"
 
@@ -25,15 +28,29 @@ def may_match(content: Column, pattern: Pattern) -> Column | None:
     """A cheap test that is true for every text the pattern matches; None where there is none."""
     if not pattern.needs and not pattern.sieve:
         return None
-    # Besides the capital letters, only two characters fold to ASCII: U+212A, which lower() turns
-    # into k, and the long s.
-    text = F.replace(F.lower(content), F.lit("ſ"), F.lit("s")) if pattern.ignore_case else content
+    text = fold(content) if pattern.ignore_case else content
     tests = [F.contains(text, F.lit(literal)) for literal in pattern.needs]
     any_literal = [reduce(or_, tests)] if tests else []
     sieve = [F.rlike(content, F.lit(translate_regex(pattern.sieve).java))] if pattern.sieve else []
     return reduce(and_, any_literal + sieve)
 
 
+def fold(content: Column) -> Column:
+    """The text in lower case, as literals are compared where case is ignored."""
+    # Besides the capital letters, only two characters fold to ASCII: U+212A, which lower() turns
+    # into k, and the long s.
+    return F.replace(F.lower(content), F.lit("ſ"), F.lit("s"))
+
+
+def by_lines(pattern: Pattern, regex: Regex) -> bool:
+    """Whether lines without a literal of the pattern can be left out of a text, but for the first and the last one.
+
+    Every match then lies in a line that has one, with at most one of the line breaks beside that.
+    """
+    plain = all(literal.isascii() and "\n" not in literal for literal in pattern.needs)
+    return bool(pattern.needs) and plain and not pattern.sieve and regex.one_line and not runs_in_python(regex)
+
+
 def scan(records: DataFrame, patterns: Iterable[Pattern], content: str = "content") -> DataFrame:
     """Every non-overlapping match of every pattern, left to right; zero-length matches are dropped.
 
@@ -44,17 +61,21 @@ def scan(records: DataFrame, patterns: Iterable[Pattern], content: str = "conten
 
     The input is read once for all patterns and nothing is shuffled, so the same function
     serves batch and streaming DataFrames.  Groups 1..n are searched only where the pattern hit.  Of many patterns
-    with literals only those run whose literals one search has found in the text.
+    with literals only those run whose literals one search has found in the text.  Where several stay within a
+    line, the lines with their literals are found first, and only those are searched.
     """
     kept = [name for name in records.columns if name != content]
     text = F.col("_text")
-    whole, parts, arrays = {}, {}, []
+    near, whole, parts, arrays = {}, {}, {}, []
     compiled = compile_patterns(patterns)
     sought = [item for item in compiled if item[0].needs and not item[1].inner and not runs_in_python(item[1])]
     if len(sought) >= MANY:
         compiled = [item for item in compiled if item not in sought]
         whole["_candidates"] = candidates(text, [pattern for pattern, _ in sought])
         arrays.append(_searched(text, F.col("_candidates"), sought))
+    lined = [index for index, (pattern, regex) in enumerate(compiled) if by_lines(pattern, regex)]
+    if len(lined) < BY_LINES:
+        lined = []
     for index, (pattern, regex) in enumerate(compiled):
         first = f"_g{index}_0"
         hit = F.size(first) > 0
@@ -63,13 +84,25 @@ def scan(records: DataFrame, patterns: Iterable[Pattern], content: str = "conten
             whole[first] = every_match(text if guard is None else F.when(guard, text), regex)
             rows = F.transform(first, _hit(pattern.name, lambda match: match))
         else:
-            groups = group_arrays(text, regex)
+            searched = text
+            if index in lined:
+                searched = F.col(f"_n{index}")
+                lines = F.col("_lines")[lined.index(index)].cast("string")
+                near[f"_n{index}"] = F.when(F.col("_lines").isNotNull(), lines).otherwise(F.when(guard, text))
+                guard = None
+            groups = group_arrays(searched, regex)
+            if regex.inner or regex.free:
+                groups[1:] = groups_within(F.col(first), regex)
             whole[first] = groups[0] if guard is None else F.when(guard, groups[0])
             names = [f"_g{index}_{group}" for group in range(len(groups))]
             parts.update({name: F.when(hit, group) for name, group in zip(names[1:], groups[1:])})
             rows = F.transform(F.arrays_zip(*names), _hit(pattern.name, _fields(names)))
         arrays.append(F.coalesce(F.when(hit, rows).cast(HITS), F.array().cast(HITS)))
     stage = records.withColumnRenamed(content, "_text")
+    if near:
+        long = F.when(F.octet_length(text) >= LONG, text.cast("binary"))
+        wanted = [(compiled[index][0].needs, compiled[index][0].ignore_case) for index in lined]
+        stage = stage.withColumn("_lines", F.pandas_udf(lines_with(wanted), "array<binary>")(long)).withColumns(near)
     stage = stage.withColumns(whole) if whole else stage
     stage = stage.withColumns(parts) if parts else stage
     every = F.concat(*arrays) if arrays else F.array().cast(HITS)
