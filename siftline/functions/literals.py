@@ -58,22 +58,6 @@ def numbers_found(text: Column, wanted: Mapping[str, Sequence[int]]) -> Column:
     return F.flatten(F.transform(found, lambda literal: F.get(lists, F.array_position(known, literal).cast("int") - 1)))
 
 
-def folded(data: bytes) -> bytes:
-    """UTF-8 text with ASCII letters in lower case, and those characters that fold to ASCII letters, as Spark's ``lower`` and ``scan`` have them."""
-    data = data.lower()
-    for char, lower in (("\u017f", "s"), ("\u212a", "k"), ("\u0130", "i\u0307")):
-        data = data.replace(char.encode(), lower.encode())
-    return data
-
-
-def _breaks(data: bytes) -> list[int]:
-    found, at = [], data.find(b"\n")
-    while at >= 0:
-        found.append(at)
-        at = data.find(b"\n", at + 1)
-    return found
-
-
 def lines_with(wanted: Sequence[tuple[Sequence[str], bool]]) -> Callable[[pd.Series], pd.Series]:
     """For each of the wanted (ASCII literals, whether case is ignored), what it leaves of a text: the lines that hold one
     of them, and the first and the last line; nothing where none does.
@@ -82,6 +66,20 @@ def lines_with(wanted: Sequence[tuple[Sequence[str], bool]]) -> Callable[[pd.Ser
     """
     sought = [([literal.encode() for literal in literals], ignore) for literals, ignore in wanted]
 
+    def folded(data: bytes) -> bytes:
+        """ASCII letters in lower case, and what Spark's ``lower`` and ``scan`` fold to them."""
+        data = data.lower()
+        for char, lower in (("\u017f", "s"), ("\u212a", "k"), ("\u0130", "i\u0307")):
+            data = data.replace(char.encode(), lower.encode())
+        return data
+
+    def breaks_of(data: bytes) -> list[int]:
+        found, at = [], data.find(b"\n")
+        while at >= 0:
+            found.append(at)
+            at = data.find(b"\n", at + 1)
+        return found
+
     def numbers(data: bytes, breaks: list[int], literals: list[bytes]) -> set[int]:
         found = set()
         for literal in literals:
@@ -97,7 +95,7 @@ def lines_with(wanted: Sequence[tuple[Sequence[str], bool]]) -> Callable[[pd.Ser
             return None
         lower, lines = folded(data), data.split(b"\n")
         # A letter may have another length in lower case, but no line break comes or goes.
-        breaks, lower_breaks = _breaks(data), _breaks(lower)
+        breaks, lower_breaks = breaks_of(data), breaks_of(lower)
         out = []
         for literals, ignore in sought:
             found = numbers(lower, lower_breaks, literals) if ignore else numbers(data, breaks, literals)

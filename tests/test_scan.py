@@ -1,13 +1,16 @@
 import json
 import math
 import random
+import subprocess
+import sys
 
 import pandas as pd
 import pytest
+from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
 from siftline.functions.ambiguity import in_one_line
-from siftline.functions.literals import folded, lines_with, numbers_found
+from siftline.functions.literals import lines_with, numbers_found
 from siftline.functions.regex import translate_regex
 from siftline.functions.text import shannon_entropy
 from siftline.model import FINDING
@@ -208,7 +211,13 @@ def test_lines_with_a_literal_and_the_outer_ones():
     kept = find(pd.Series([text, None, b"key"], dtype=object)).tolist()
     assert kept[0] == [b"first\nkey key\nkey\nlast", "first\n\u0130\u0130 \u017f\u212a\nlast".encode(), None]
     assert kept[1] is None and kept[2] == [b"key", None, None]
-    assert folded("A\u0130".encode()) == "ai\u0307".encode()
+
+
+def test_lines_with_goes_to_tasks_that_lack_the_package(tmp_path):
+    (tmp_path / "find").write_bytes(cloudpickle.dumps(lines_with([(["key"], True)])))
+    code = "import pandas, pickle, pyspark; print(pickle.load(open('find', 'rb'))(pandas.Series([b'a\\nKEY'])).tolist())"
+    ran = subprocess.run([sys.executable, "-I", "-c", code], cwd=tmp_path, capture_output=True, text=True, check=True)
+    assert ran.stdout.strip() == r"[[b'a\nKEY']]"
 
 
 def test_long_texts_line_by_line_equal_each_pattern_alone(spark, records):
