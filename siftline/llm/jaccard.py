@@ -26,9 +26,9 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftline.llm.common import Rolling, few_files, lowered, mixed, numbered, saved, slabs, table, tuned, word_spans
+from siftline.llm.common import Rolling, lowered, mixed, numbered, saved, slabs, table, tuned, word_spans
 from siftline.llm.components import components
-from siftline.session import stored
+from siftline.session import Passing, passing_tables, stored
 
 #: Words of a shingle, and the share of common shingles in hundredths.
 WORDS = 3
@@ -194,7 +194,8 @@ def shared_filter(frame: DataFrame, counts: Broadcast, words: int, percent: int)
     shared = frame.select("text").mapInArrow(find, "token bigint, fa bigint").groupBy("token").agg(
         F.min("fa").alias("low"), F.max("fa").alias("high"),
     ).filter("low <> high").select("token")
-    rows = shared.mapInArrow(places, "word int, bits bigint").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
+    # Stored, as the shuffle of all prefix tokens then goes at once.
+    rows = saved(shared.mapInArrow(places, "word int, bits bigint").groupBy("word").agg(F.bit_or("bits").alias("bits"))).toArrow()
     out = np.zeros(FILTER_BITS >> 6, _U)
     out[rows.column("word").to_numpy()] = rows.column("bits").to_numpy().view(_U)
     return out
@@ -417,11 +418,18 @@ def linked_documents(
     A null or empty text has no shingle, links with nothing and is a component of its own, as is each of
     several such rows.  Repeated rows are linked like other equal texts.  A null id counts only where a
     component has no other; then the component is null.
+
+    The result is a stored table; what was stored on the way to it is removed.
     """
-    spark = documents.sparkSession
-    tuned(spark)
-    context = spark.sparkContext
+    tuned(documents.sparkSession)
     frame = documents.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text"))
+    with passing_tables() as tables:
+        return tables.keep(saved(_linked(frame, tables, words, percent)))
+
+
+def _linked(frame: DataFrame, tables: Passing, words: int, percent: int) -> DataFrame:
+    """The result of ``linked_documents`` for ``frame`` (doc_id, text), read from ``tables``."""
+    context = frame.sparkSession.sparkContext
     kind = frame.schema["doc_id"].dataType.simpleString()
     counts = context.broadcast(bucket_levels(frame, words))
     shared = context.broadcast(shared_filter(frame, counts, words, percent))
@@ -461,6 +469,9 @@ def linked_documents(
     ).withColumn(
         "node", F.monotonically_increasing_id(),
     ))
+    # The texts are in the sets now.
+    packed, rows = rows, saved(rows.select("doc_id", *KEY))
+    tables.drop(packed)
     found = sets.select("node", "packed").mapInArrow(keys, "node bigint, token bigint")
     twice = found.groupBy("token").agg(F.min("node").alias("low"), F.max("node").alias("high")).filter("low <> high")
     tokens = saved(found.join(twice.select("token"), "token").select("node", "token"))
@@ -480,7 +491,7 @@ def linked_documents(
     joined = saved(lowest.join(member, KEY, "left"))
     by_root = joined.filter("root IS NOT NULL").groupBy("root").agg(F.min("lowest").alias("component"))
     by_set = joined.join(by_root, "root", "left").select(*KEY, F.coalesce("component", "lowest").alias("component"))
-    return few_files(rows.select("doc_id", *KEY).join(by_set, KEY, "left")).select(
+    return rows.join(by_set, KEY, "left").select(
         "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc_id")).alias("component_id"),
     )
 

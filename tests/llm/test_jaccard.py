@@ -1,3 +1,4 @@
+import os
 import re
 from collections import defaultdict
 
@@ -7,7 +8,7 @@ import pytest
 from siftline.llm import common, jaccard
 from siftline.llm.components import components
 from siftline.llm.jaccard import Group, linked_documents, one_of_each_group
-from siftline.session import stored
+from siftline.session import shared_folder, stored
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -100,6 +101,16 @@ def test_plans_stay_small(documents, families, monkeypatch):
     assert len(seen) > 10 and max(seen) <= 20
 
 
+def test_tables_on_the_way_are_removed(documents, families, spark):
+    """The shared folder holds one more table afterwards, the result."""
+    folder = shared_folder(spark)
+    before = set(os.listdir(folder)) if os.path.isdir(folder) else set()
+    linked = linked_documents(documents(families))
+    (left,) = set(os.listdir(folder)) - before
+    assert all(f"/{left}/" in path for path in linked.inputFiles())
+    assert sorted(map(tuple, linked.collect()), key=repr) == expected(families)
+
+
 def test_components_of_links(spark):
     pick = np.random.default_rng(2)
     links = [(int(a), int(b)) for a, b in pick.integers(0, 400, (260, 2))] + [(k, k + 1) for k in range(1000, 1100)] + [(7, 7)]
