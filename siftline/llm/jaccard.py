@@ -1,15 +1,16 @@
 """Exact Jaccard join of documents on word shingles, by a token-group matrix.
 
 Two sets that are similar enough share one of their rarest tokens: of a set with n tokens the
-``n - ceil(share * n) + 1`` rarest form its *prefix*, and of a prefix that is longer by k they share k more.
+``n - ceil(share * n) + 1`` rarest form its *prefix*, and of a prefix that is longer by k they share k more; up
+to three in common are asked for.
 Only sets with enough tokens of a long prefix that other sets have too are looked at; which tokens those are
 is told by a filter of fixed size, and a false hit costs but a row.
 
 Similar sets are put into groups of bounded size by the smallest (and once more by the largest) hash of
 their shared prefix tokens.  Each group is joined within, together with a hub that all groups of that hash
-have in common.  The links so far make classes.  The matrix then has a row for each prefix token and group;
-a set is a query against a group if they share a prefix token there and the group has members of another
-class.  Signatures, which bound the difference of two sets from below, rule out most of them.  In the task of
+have in common; sets without a near signature there are left out.  The links so far make classes.  The matrix
+then has a row for each prefix token and group; a set is a query against a group if they share prefix tokens
+there and the group has members of another class.  Signatures, which bound the difference of two sets from below, rule out most of them.  In the task of
 a group, the union of its tokens bounds the overlap with each query; only groups whose bound reaches the needed
 share are opened and compared set by set.  Nothing similar is missed, and a
 large family of copies costs no pairs, for its members are in one class by then.
@@ -42,14 +43,17 @@ MOST_ROWS = 1 << (64 - TOKEN_BITS)
 #: Bits of the filter of shared tokens, and bits set by a token.
 FILTER_BITS = 1 << 26
 FILTER_HASHES = 3
-#: One in so many tokens is asked for in common before a set is looked at.
+#: One in so many tokens is asked for in common before a set is looked at, and so many at most before two sets are.
 SURPLUS = 20
+PAIR_SURPLUS = 3
 #: Bytes of a signature.
 SIGNATURE = 256
 #: Sets of a group at most on average, tokens of a group, and queries that are held against a copy of it.
 GROUP_SETS = 128
 GROUP_TOKENS = 400_000
 GROUP_QUERIES = 1024
+#: Members of groups whose signatures are held against each other by one call.
+SCREEN_ROWS = 4096
 
 _U = np.uint64
 KEY = ["fa", "fb", "n"]
@@ -105,6 +109,11 @@ def surplus(n: np.ndarray) -> np.ndarray:
     return np.maximum(1, n // SURPLUS)
 
 
+def pair_surplus(n: np.ndarray) -> np.ndarray:
+    """Common tokens of two similar sets that are asked for in prefixes with as many more tokens than can be lacking."""
+    return np.minimum(surplus(n), PAIR_SURPLUS)
+
+
 def prefixes(token: np.ndarray, at: np.ndarray, counts: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Places of the ``size`` first tokens of every set, and their sets; low levels first, then by hash."""
     n = np.diff(at)
@@ -294,10 +303,42 @@ def _spread(nodes: DataFrame, gid: str) -> DataFrame:
     return own.filter("parts = 1 OR node <> hub").select("gid", "part", "node").union(hubs)
 
 
+def near_each_other(group: np.ndarray, bits: np.ndarray, n: np.ndarray, percent: int) -> np.ndarray:
+    """Which sets have a signature near enough to that of another set of their group; ``group`` is sorted."""
+    end = np.searchsorted(group, group, "right")
+    near = np.zeros(len(group), bool)
+    apart = 1
+    while len(left := np.flatnonzero(np.arange(apart, len(group) + apart) < end)):
+        left = left[~(near[left] & near[left + apart])]
+        right = left + apart
+        hit = may_be_similar(bits[left], bits[right], n[left], n[right], percent)
+        near[left[hit]] = near[right[hit]] = True
+        apart += 1
+    return near
+
+
+def _near_within(parts: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """The members of groups (``parts``) that have a member near enough, by signature, in their part."""
+
+    def screen(found: pa.Table) -> pa.Table:
+        first, gid, part, n = (found.column(c).to_numpy() for c in ("first", "gid", "part", "n"))
+        order = np.lexsort((part, gid, first))
+        first, gid, part = first[order], gid[order], part[order]
+        new = (first[1:] != first[:-1]) | (gid[1:] != gid[:-1]) | (part[1:] != part[:-1])
+        bits = np.frombuffer(b"".join(found.column("bits").to_pylist()), _U).reshape(-1, SIGNATURE // 8)[order]
+        near = near_each_other(np.cumsum(np.append(False, new)), bits, n[order], percent)
+        return found.select(["gid", "part", "node", "first"]).take(pa.array(order[near]))
+
+    calls = max(1, -(-parts.count() // SCREEN_ROWS))
+    shown = parts.join(nodes.select("node", "n", "bits"), "node").withColumn("call", F.pmod(F.xxhash64("gid", "part", "first"), F.lit(calls)))
+    return shown.groupBy("call").applyInArrow(screen, "gid bigint, part int, node bigint, first boolean")
+
+
 def links_within(nodes: DataFrame, sets: DataFrame, words: int, percent: int) -> DataFrame:
     """Links (a, b) of sets to the smallest one of their group that links lead to.
 
-    ``nodes`` has node, n, gid, gid2, ``sets`` node, packed; ``first`` tells links of groups by gid.
+    ``nodes`` has node, n, bits, gid, gid2, ``sets`` node, packed; ``first`` tells links of groups by gid.  Texts
+    are moved only of sets with a signature near enough to another one of their group.
     """
 
     def join(found: pa.Table) -> pa.Table:
@@ -311,7 +352,8 @@ def links_within(nodes: DataFrame, sets: DataFrame, words: int, percent: int) ->
     parts = saved(_spread(nodes, "gid").withColumn("first", F.lit(True))).union(
         saved(_spread(nodes.filter("gid2 <> gid"), "gid2").withColumn("first", F.lit(False))),
     )
-    return parts.join(sets, "node").groupBy("gid", "part", "first").applyInArrow(join, "a bigint, b bigint, first boolean")
+    near = saved(_near_within(parts, nodes, percent))
+    return near.join(sets, "node").groupBy("gid", "part", "first").applyInArrow(join, "a bigint, b bigint, first boolean")
 
 
 def _copies(asked: DataFrame) -> DataFrame:
@@ -351,9 +393,10 @@ def _near_groups(asked: DataFrame, own: DataFrame, percent: int) -> DataFrame:
 
 
 def links_across(nodes: DataFrame, sets: DataFrame, tokens: DataFrame, classes: DataFrame, words: int, percent: int) -> DataFrame:
-    """Links (a, b) between sets of different classes that share a prefix token.
+    """Links (a, b) between sets of different classes that share prefix tokens.
 
-    Of two classes the smaller one asks, so a large class is never held against its few neighbours.
+    A set is held against a group only if it has as many of the group's prefix tokens as its smallest possible
+    partner has in common with it.  Of two classes the smaller one asks, so a large class is never held against its few neighbours.
     """
     # Every step whose result is used twice is stored, which keeps the plans small.
     own = saved(nodes.select("node", "gid", "n", "bits").join(classes, "node", "left").withColumn("root", F.coalesce("root", "node")))
@@ -376,7 +419,9 @@ def links_across(nodes: DataFrame, sets: DataFrame, tokens: DataFrame, classes:
     asked = marked.join(cells, "token").filter(
         (F.col("class") < F.col("high")) & (percent * F.col("least") <= 100 * F.col("n"))
         & (100 * F.col("most") >= percent * F.col("n"))
-    ).select("open", "node", "class").distinct()
+    ).groupBy("open", "node", "class", "n").agg(F.count("*").alias("common")).filter(
+        f"common >= least({PAIR_SURPLUS}, greatest(1, (({percent} * n + 99) div 100) div {SURPLUS}))"
+    ).select("open", "node", "class")
     asked = saved(_near_groups(saved(asked), own, percent))
     copies = _copies(asked)
     queries = asked.join(copies, "open").join(sets, "node").select(
@@ -460,7 +505,8 @@ def _linked(frame: DataFrame, tables: Passing, words: int, percent: int) -> Data
         for batch in batches:
             node = batch.column("node").to_numpy()
             for first, token, at in shingle_sets(_unpacked(batch.column("packed")), words):
-                place, row = prefixes(token, at, counts.value, missing(np.diff(at), percent) + 1)
+                n = np.diff(at)
+                place, row = prefixes(token, at, counts.value, missing(n, percent) + pair_surplus(n))
                 hit = _in_filter(shared.value, token[place])
                 yield _batch("node bigint, token bigint", node[first + row[hit]], token[place[hit]].view(np.int64))
 

@@ -111,6 +111,51 @@ def test_tables_on_the_way_are_removed(documents, families, spark):
     assert sorted(map(tuple, linked.collect()), key=repr) == expected(families)
 
 
+def test_unlike_texts_with_common_passages_are_not_opened(documents, random_prose, monkeypatch):
+    """Each text shares all its shingles with its neighbours, a third or two with each, but no text is moved for that."""
+    words = random_prose(3000, 800).lower().split()
+    rows = [(k, " ".join(words[12 * k : 12 * k + 36])) for k in range(60)]
+    # A close pair, which has to be found.
+    rows.append((100, f"{rows[0][1]} more"))
+    seen = defaultdict(list)
+
+    def write(frame):
+        out = stored(frame)
+        seen[tuple(frame.columns)].append(out.count())
+        return out
+
+    monkeypatch.setattr(common, "stored", write)
+    assert got(documents(rows)) == expected(rows)
+    members, _, near = seen["gid", "part", "node", "first"]
+    assert members > 10 and near <= 4
+
+
+def test_pairs_are_asked_for_several_common_tokens():
+    """Two sets with a share of nine tenths have that many tokens in common among their prefixes, however they are ordered."""
+    pick = np.random.default_rng(8)
+    for n in (1, 2, 9, 19, 20, 39, 40, 59, 60, 61, 200):
+        for _ in range(30):
+            lost = int(pick.integers(0, int(jaccard.missing(np.array([n]), 90)[0]) + 1))
+            a, b = np.arange(n), np.arange(lost, n)
+            if 100 * len(b) < 90 * n:
+                continue
+            rank = pick.permutation(n)
+            short = [
+                set(own[np.argsort(rank[own])][: int((jaccard.missing(size, 90) + jaccard.pair_surplus(size))[0])].tolist())
+                for own in (a, b) for size in [np.array([len(own)])]
+            ]
+            least = jaccard.pair_surplus(-(-90 * np.array([n]) // 100))[0]
+            assert len(short[0] & short[1]) >= least
+
+
+def test_near_each_other_compares_all_of_a_group():
+    sets = [set(range(40)), set(range(500, 540)), set(range(39)), set(range(500, 539)), set(range(900, 940)), set(range(900, 940))]
+    bits = np.frombuffer(b"".join(jaccard.signature(np.array(sorted(s), np.uint64)) for s in sets), np.uint64).reshape(len(sets), -1)
+    n = np.array([len(s) for s in sets])
+    assert jaccard.near_each_other(np.array([0, 0, 0, 1, 1, 2]), bits, n, 90).tolist() == [True, False, True, False, False, False]
+    assert jaccard.near_each_other(np.array([0, 0, 0, 0, 3, 3]), bits, n, 90).all()
+
+
 def test_components_of_links(spark):
     pick = np.random.default_rng(2)
     links = [(int(a), int(b)) for a, b in pick.integers(0, 400, (260, 2))] + [(k, k + 1) for k in range(1000, 1100)] + [(7, 7)]
